@@ -195,22 +195,42 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "median", **bounds) -> DataFrame:
-    """Median per key from the histogram of distinct values, never from one task's list."""
+def exact_quantiles(
+    df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = (), **bounds
+) -> DataFrame:
+    """Linearly interpolated quantiles per key, one column per name in ``probs``.
+
+    Built on the histogram of distinct values and its running count, so no
+    task ever holds all values of a key.
+    """
     keys = list(keys)
     hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    size = hist.groupBy(*keys).agg(F.sum("_n").alias("_size")) if keys else None
     cum = with_history(hist, keys, [value], [Total("_hi", F.col("_n"), "sum", inclusive=True)], **bounds)
     if keys:
-        cum = cum.join(size, keys)
+        cum = cum.join(hist.groupBy(*keys).agg(F.sum("_n").alias("_size")), keys)
     else:
         cum = cum.withColumn("_size", hist.agg(F.sum("_n")).scalar())
-    lo_pos = F.floor((F.col("_size") + 1) / 2)
-    hi_pos = F.floor(F.col("_size") / 2) + 1
-    start = F.col("_hi") - F.col("_n")
-    lo = F.max(F.when((start < lo_pos) & (lo_pos <= F.col("_hi")), F.col(value)))
-    hi = F.max(F.when((start < hi_pos) & (hi_pos <= F.col("_hi")), F.col(value)))
-    return cum.groupBy(*keys).agg(((lo + hi) / 2).alias(name))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_hi") - F.col("_n") < rank) & (rank <= F.col("_hi")), F.col(value)))
+
+    aggs = [F.max("_size").alias("_size")]
+    for i, p in enumerate(probs.values()):
+        spot = (F.col("_size") - 1) * F.lit(float(p))
+        aggs += [at(F.floor(spot) + 1).alias(f"_lo{i}"), at(F.ceil(spot) + 1).alias(f"_hi{i}")]
+    ends = cum.groupBy(*keys).agg(*aggs)
+
+    def between(i: int, p: float) -> Column:
+        spot = (F.col("_size") - 1) * F.lit(float(p))
+        lo, hi = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double")
+        return lo + (spot - F.floor(spot)) * (hi - lo)
+
+    return ends.select(*keys, *[between(i, p).alias(n) for i, (n, p) in enumerate(probs.items())])
+
+
+def exact_median(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "median", **bounds) -> DataFrame:
+    """Median per key; the mean of the middle two for an even count."""
+    return exact_quantiles(df, value, {name: 0.5}, keys, **bounds)
 
 
 def modes(df: DataFrame, keys: Sequence[str], value: str, name: str = "mode") -> DataFrame:

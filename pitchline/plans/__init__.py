@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from pitchline.plans import join_queries, prior_queries, text_queries  # noqa: F401
+from pitchline.plans import aggregate_queries, join_queries, prior_queries, text_queries  # noqa: F401
 from pitchline.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -15,24 +15,24 @@ from pitchline.plans.views import Tables, cte
 
 
 @query("jon1_dimension_left_join", cte("matches") + """
-SELECT m.match_id, m.team1, n.n_regionkey AS region, r.r_name AS region_name FROM matches m
+SELECT m.match_id, m.team1, coalesce(n.n_regionkey, -1) AS region, r.r_name AS region_name FROM matches m
   LEFT JOIN nation n ON m.team1 = n.n_name AND n.n_nationkey < 20 LEFT JOIN region r ON n.n_regionkey = r.r_regionkey""")
 def jon1(t: Tables):
     dim = t.read("nation").filter("n_nationkey < 20").select(
         F.col("n_name").alias("team1"), F.col("n_regionkey").alias("region"))
     names = t.read("region").select(F.col("r_regionkey").alias("region"), F.col("r_name").alias("region_name"))
     return t.matches.select("match_id", "team1").join(dim, "team1", "left").join(names, "region", "left").select(
-        "match_id", "team1", "region", "region_name")
+        "match_id", "team1", F.coalesce("region", F.lit(-1)).alias("region"), "region_name")
 
 
 @query("jon2_long_back_to_sides", cte("matches", "innings") + """
-SELECT m.match_id, m.team1, m.team2, a.runs AS team1_runs, b.runs AS team2_runs, a.balls AS team1_balls,
-       b.balls AS team2_balls FROM matches m
+SELECT m.match_id, m.team1, m.team2, coalesce(a.runs, 0) AS team1_runs, coalesce(b.runs, 0) AS team2_runs,
+       coalesce(a.balls, 0) AS team1_balls, coalesce(b.balls, 0) AS team2_balls FROM matches m
   LEFT JOIN innings a ON a.match_id = m.match_id AND a.side = 1
   LEFT JOIN innings b ON b.match_id = m.match_id AND b.side = 2""")
 def jon2(t: Tables):
     wide = both_sides(t.innings, ["match_id"], ["runs", "balls"])
-    return t.matches.select("match_id", "team1", "team2").join(wide, "match_id", "left")
+    return t.matches.select("match_id", "team1", "team2").join(wide, "match_id", "left").fillna(0)
 
 
 @query("jon3_full_outer_zero_fill", cte("batting", "bowling") + """
@@ -45,11 +45,11 @@ def jon3(t: Tables):
 
 
 @query("jon4_lineup_member_lookup", cte("lineups", "bowling") + """
-SELECT l.match_id, l.side, l.player, b.wickets, b.runs_given FROM lineups l
+SELECT l.match_id, l.side, l.player, coalesce(b.wickets, 0) AS wickets, coalesce(b.runs_given, 0) AS runs_given FROM lineups l
   LEFT JOIN bowling b ON l.match_id = b.match_id AND l.player = b.player""")
 def jon4(t: Tables):
     rows = L.lineup_rows(t.lineups, "players", "match_id", "side").drop("slot")
-    return rows.join(t.bowling.select("match_id", "player", "wickets", "runs_given"), ["match_id", "player"], "left")
+    return rows.join(t.bowling.select("match_id", "player", "wickets", "runs_given"), ["match_id", "player"], "left").fillna(0)
 
 
 _RATED = """, rt AS (SELECT 'player' || s_suppkey AS key, CAST(s_acctbal AS DECIMAL(18,2)) AS rating FROM supplier WHERE s_suppkey % 3 <> 0),
@@ -80,25 +80,25 @@ def jon6(t: Tables):
 
 
 @query("jon7_as_of_form", cte("long") + """, h AS (
-  SELECT team, match_date AS at, 0 AS probe, match_id AS id, CASE WHEN winner = team THEN 1 ELSE 0 END AS win FROM long
+  SELECT team, match_date AS day_at, 0 AS probe, match_id AS id, CASE WHEN winner = team THEN 1 ELSE 0 END AS win FROM long
   UNION ALL SELECT 'NATION_' || c_nationkey, DATE '1995-01-01' + CAST(c_custkey % 2400 AS INTEGER), -1, c_custkey, NULL
   FROM customer),
-o AS (SELECT *, 1 + count(win) OVER (PARTITION BY team ORDER BY at, probe, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+o AS (SELECT *, 1 + count(win) OVER (PARTITION BY team ORDER BY day_at, probe, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
         AS ord FROM h),
 f AS (SELECT *, avg(win) OVER (PARTITION BY team ORDER BY ord RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING) AS form FROM o)
-SELECT id AS probe_id, team, at, round(coalesce(form, 0.5), 6) AS form FROM f WHERE probe = -1""")
+SELECT id AS probe_id, team, day_at, round(coalesce(form, 0.5), 6) AS form FROM f WHERE probe = -1""")
 def jon7(t: Tables):
     long = team_long(t.matches.select("match_id", "match_date", "team1", "team2", "winner"))
-    past = long.select("team", F.col("match_date").alias("at"), F.lit(0).alias("probe"), F.col("match_id").alias("id"),
+    past = long.select("team", F.col("match_date").alias("day_at"), F.lit(0).alias("probe"), F.col("match_id").alias("id"),
                        R.flag(F.col("winner") == F.col("team")).alias("win"))
     asks = t.read("customer").select(
         F.concat(F.lit("NATION_"), "c_nationkey").alias("team"),
-        F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") % 2400).cast("int")).alias("at"),
+        F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") % 2400).cast("int")).alias("day_at"),
         F.lit(-1).alias("probe"), F.col("c_custkey").alias("id"), F.lit(None).cast("int").alias("win"))
     out = priors.completed_state(past.unionByName(asks), ["team"], F.col("probe") == 0,
-                                 [Recent("form", F.col("win"), 5, "avg", True)], None, ["at", "probe", "id"])
+                                 [Recent("form", F.col("win"), 5, "avg", True)], None, ["day_at", "probe", "id"])
     return out.filter("probe = -1").select(
-        F.col("id").alias("probe_id"), "team", "at", F.round(F.coalesce("before.form", F.lit(0.5)), 6).alias("form"))
+        F.col("id").alias("probe_id"), "team", "day_at", F.round(F.coalesce("before.form", F.lit(0.5)), 6).alias("form"))
 
 
 @query("jon8_fixture_either_order", cte("results") + """
