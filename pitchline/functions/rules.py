@@ -49,7 +49,8 @@ def role_score(role: Column, skill: int) -> Column:
 
 
 def clamp(x: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+    """Within the band; null stays null (least/greatest alone would skip it)."""
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
 
 
 def squad_multiplier(mean_score: Column) -> Column:

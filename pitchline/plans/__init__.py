@@ -1,4 +1,6 @@
 """All registered queries."""
 
-from pitchline.plans import aggregate_queries, join_queries, prior_queries, text_queries  # noqa: F401
+from pitchline.plans import (  # noqa: F401
+    aggregate_queries, join_queries, prior_queries, report_queries, text_queries,
+)
 from pitchline.plans.registry import ORACLES, QUERIES  # noqa: F401
