@@ -122,64 +122,102 @@ def with_history(
     *,
     rows: int | None = None,
     slice_rows: int | None = None,
+    context: DataFrame | None = None,
 ) -> DataFrame:
     """Add one column per spec, computed over the earlier rows of the same key.
 
     ``order`` must be unique per key and free of nulls.  ``rows`` is a known
     upper bound of the row count; without it the rows are counted.
+    ``context`` (see ``history_context``) stands for rows seen before ``df``.
     """
     keys, order, specs = list(keys), list(order), list(specs)
     per_slice = slice_rows_of(df, slice_rows)
     rows = df.count() if rows is None else rows
-    cols = [f"_in{i}" for i in range(len(specs))]
-    staged = df.withColumns({c: _input(s) for c, s in zip(cols, specs)})
+    cols = _input_names(specs)
+    staged = df.withColumns({c: _input(s) for c, s in zip(cols, specs)}).withColumn(_EXTRA, F.lit(False))
+    before = None if context is None else context.withColumn(_EXTRA, F.lit(True))
 
     if rows <= per_slice:
-        w = W.partitionBy(*keys).orderBy(*order)
-        out = staged.withColumns({s.name: _result(s, c, w) for c, s in zip(cols, specs)})
-        return out.drop(*cols)
+        merged = staged if before is None else staged.unionByName(before, allowMissingColumns=True)
+        return _windowed(merged, keys, order, specs)
 
     sliced = cut_into_slices(staged, order, math.ceil(rows / per_slice))
+    if before is not None:
+        sliced = sliced.unionByName(before.withColumn(SLICE, F.lit(-1)), allowMissingColumns=True)
     w_slices = W.partitionBy(*keys).orderBy(SLICE)
-    parts = [sliced.withColumn("_extra", F.lit(False))]
+    merged = sliced
 
     totals = [(c, s) for c, s in zip(cols, specs) if not isinstance(s, Recent)]
     if totals:
         per = sliced.groupBy(*keys, SLICE).agg(
             *[_slice_total(s, c, order).alias(c) for c, s in totals]
         )
-        parts.append(
-            per.select(*keys, SLICE, F.lit(True).alias("_extra"),
-                       *[_before_slice(s, c, w_slices).alias(c) for c, s in totals])
-        )
+        carried = per.select(*keys, SLICE, F.lit(True).alias(_EXTRA),
+                             *[_before_slice(s, c, w_slices).alias(c) for c, s in totals])
+        merged = merged.unionByName(carried, allowMissingColumns=True)
 
-    recents = [(c, s) for c, s in zip(cols, specs) if isinstance(s, Recent)]
-    reach = max((s.reach for _, s in recents), default=0)
+    recents = [c for c, s in zip(cols, specs) if isinstance(s, Recent)]
+    reach = _reach(specs)
     if reach:
-        carried = [*order, *[c for c, _ in recents]]
-        newest = W.partitionBy(*keys, SLICE).orderBy(*[F.col(c).desc() for c in order])
-        ends = (
-            sliced.select(*keys, SLICE, F.struct(*carried).alias("_row"), *order)
-            .withColumn("_rn", F.row_number().over(newest))
-            .filter(F.col("_rn") <= reach)
-            .groupBy(*keys, SLICE)
-            .agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
-        )
+        last = top_n(sliced.select(*keys, SLICE, *order, F.struct(*order, *recents).alias("_row")), [*keys, SLICE],
+                     [F.col(c).desc() for c in order], reach)
+        ends = last.groupBy(*keys, SLICE).agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
         earlier = F.flatten(F.collect_list("_rows").over(w_slices.rowsBetween(-reach, -1)))
-        parts.append(
+        carried = (
             ends.withColumn("_rows", earlier)
             .withColumn("_rows", F.slice("_rows", F.greatest(F.size("_rows") - reach + 1, F.lit(1)), reach))
-            .select(*keys, SLICE, F.lit(True).alias("_extra"), F.explode("_rows").alias("_row"))
-            .select(*keys, SLICE, "_extra", "_row.*")
+            .select(*keys, SLICE, F.lit(True).alias(_EXTRA), F.explode("_rows").alias("_row"))
+            .select(*keys, SLICE, _EXTRA, "_row.*")
         )
+        merged = merged.unionByName(carried, allowMissingColumns=True)
+    return _windowed(merged, [*keys, SLICE], order, specs).drop(SLICE)
+
+
+_EXTRA = "_extra"
+
+
+def _input_names(specs: Sequence[Spec]) -> list[str]:
+    return [f"_in{i}" for i in range(len(specs))]
+
+
+def _reach(specs: Sequence[Spec]) -> int:
+    return max((s.reach for s in specs if isinstance(s, Recent)), default=0)
+
 
-    # Extra rows sort first: totals carry no order value, carried rows an earlier one.
-    merged = parts[0]
-    for extra in parts[1:]:
-        merged = merged.unionByName(extra, allowMissingColumns=True)
-    w = W.partitionBy(*keys, SLICE).orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    out = merged.withColumns({s.name: _result(s, c, w) for c, s in zip(cols, specs)})
-    return out.filter(~F.col("_extra")).drop("_extra", SLICE, *cols)
+def _windowed(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: Sequence[Spec]) -> DataFrame:
+    """Extra rows sort first: totals carry no order value, carried rows an earlier one."""
+    cols = _input_names(specs)
+    w = W.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    out = df.withColumns({s.name: _result(s, c, w) for c, s in zip(cols, specs)})
+    return out.filter(~F.col(_EXTRA)).drop(_EXTRA, *cols)
+
+
+def history_context(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: Sequence[Spec], context: DataFrame | None = None
+) -> DataFrame:
+    """What later rows need to know about ``df`` (and ``context`` before it).
+
+    Per key: one row of totals (null order) and the last few rows.  Its size
+    depends on the number of keys, not on the length of their history.
+    """
+    keys, order, specs = list(keys), list(order), list(specs)
+    cols = _input_names(specs)
+    seen = df.select(*keys, *order, *[_input(s).alias(c) for c, s in zip(cols, specs)])
+    if context is not None:
+        seen = seen.unionByName(context, allowMissingColumns=True)
+    recents = [c for c, s in zip(cols, specs) if isinstance(s, Recent)]
+    totals = [(c, s) for c, s in zip(cols, specs) if not isinstance(s, Recent)]
+    parts = []
+    if totals:
+        parts.append(seen.groupBy(*keys).agg(*[_slice_total(s, c, order).alias(c) for c, s in totals]))
+    if _reach(specs):
+        real = seen.filter(F.col(order[0]).isNotNull()).select(*keys, *order, *recents)
+        parts.append(top_n(real, keys, [F.col(c).desc() for c in order], _reach(specs)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    missing = [c for c in order if c not in out.columns]
+    return out.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in missing}) if missing else out
 
 
 def positions(
