@@ -279,7 +279,25 @@ def sco1(t: Tables):
                     F.round(F.element_at("probabilities", "view"), 6).alias("p_view"))
 
 
-@query("sco6_live_feature_rows")
+_LIVE = """,
+l AS (SELECT match_id, match_date, 1 AS side, team1 AS team, actual FROM log UNION ALL SELECT match_id, match_date, 2, team2, actual FROM log),
+o AS (SELECT *, CASE WHEN actual = team THEN 1 WHEN actual IS NOT NULL THEN 0 END AS win, 1 + count(actual) OVER (PARTITION BY team
+  ORDER BY match_date, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ord FROM l),
+f AS (SELECT match_id, side, team, actual, coalesce(avg(win) OVER (PARTITION BY team ORDER BY ord RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING), 0.5) AS form FROM o),
+r AS (SELECT team, avg(win) AS rf FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY match_date DESC, match_id DESC) AS rn FROM o WHERE actual IS NOT NULL) WHERE rn <= 5 GROUP BY 1),
+b AS (SELECT f.match_id, f.side, CASE WHEN rf IS NULL THEN form ELSE 0.7::DOUBLE * form + 0.3::DOUBLE * rf END AS form FROM f LEFT JOIN r ON f.team = r.team WHERE f.actual IS NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY match_date DESC, match_id DESC) AS rn FROM log WHERE actual IS NOT NULL),
+p AS (SELECT venue, avg(first_score) AS s, avg(CASE WHEN toss_winner = actual THEN 1 ELSE 0 END) AS tw,
+  avg(CASE WHEN actual = CASE WHEN toss_decision = 'field' THEN toss_winner WHEN toss_winner = team1 THEN team2 ELSE team1 END THEN 1 ELSE 0 END) AS ch,
+  coalesce(avg(first_score) FILTER (rn <= 20), 170.0) AS rs, avg(CASE WHEN toss_winner = actual THEN 1 ELSE 0 END) FILTER (rn <= 20) AS rt FROM k GROUP BY 1)
+SELECT g.match_id, g.team1, g.team2, g.venue, g.toss_winner, g.toss_decision, round(b1.form, 6) AS team1_form, round(b2.form, 6) AS team2_form,
+  round(0.8::DOUBLE * s + 0.2::DOUBLE * rs, 5) AS venue_score_prior, round(0.8::DOUBLE * tw + 0.2::DOUBLE * rt, 6) AS toss_advantage,
+  round(ch, 6) AS venue_chase_winrate_prior, CASE WHEN g.toss_decision = 'field' AND ch >= 0.52 THEN 1 ELSE 0 END AS is_high_dew
+FROM log g JOIN b b1 ON b1.match_id = g.match_id AND b1.side = 1 JOIN b b2 ON b2.match_id = g.match_id AND b2.side = 2
+  JOIN p ON p.venue = g.venue WHERE g.actual IS NULL"""
+
+
+@query("sco6_live_feature_rows", cte("log") + _LIVE)
 def sco6(t: Tables):
     """Open fixtures: as-of form blended with the log, venue profile blended with its last 20 rows."""
     log = t.log
@@ -300,7 +318,7 @@ def sco6(t: Tables):
     open_ = log.filter(F.col("actual").isNull()).select("match_id", "team1", "team2", "venue", "toss_winner", "toss_decision")
     rows = open_.join(sides, "match_id").join(venue, "venue", "left")
     rows = rows.withColumn("is_high_dew", R.live_dew_flag(F.col("toss_decision"), F.col("venue_chase_winrate_prior")))
-    return rounded(rows, "team1_form", "team2_form", "venue_score_prior", "toss_advantage", "venue_chase_winrate_prior")
+    return rounded(rounded(rows, "team1_form", "team2_form", "toss_advantage", "venue_chase_winrate_prior"), "venue_score_prior", digits=5)
 
 
 @query("sco7_serving_rows", cte("log") + """,

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pitchline.functions import rules
+from pitchline.operators.ordered import top_n
 
-SPLIT_YEAR = 2000
+SIDE_SIZE = 11
 
 
 class Tables:
@@ -73,19 +74,27 @@ class Tables:
 
         return side_by_side(self.matches, self.innings, ["runs", "balls", "wkts", "pp_runs", "death_runs"])
 
+    @property
+    def lineup_slots(self) -> DataFrame:
+        """Playing eleven per match and side: the first eleven distinct names, one row each.
+
+        The limit is the size of a side; each map task forwards at most eleven
+        rows per side, so a match with very many deliveries stays small.
+        """
+        d = self.deliveries.select("match_id", "side", F.col("batter").alias("player")).distinct()
+        return top_n(d, ["match_id", "side"], [F.col("player")], SIDE_SIZE)
+
     @property
     def lineups(self) -> DataFrame:
-        d = self.deliveries.select("match_id", "side", "batter").distinct()
-        packed = d.groupBy("match_id", "side").agg(F.sort_array(F.collect_list("batter")).alias("players"))
-        return packed
+        """The eleven of each side as one sorted array."""
+        return self.lineup_slots.groupBy("match_id", "side").agg(F.sort_array(F.collect_list("player")).alias("players"))
 
     @property
     def lineup_long(self) -> DataFrame:
         """One row per match, side and player, with team and date."""
-        m = self.matches
         team = F.when(F.col("side") == 1, F.col("team1")).otherwise(F.col("team2"))
-        d = self.deliveries.select("match_id", "side", F.col("batter").alias("player")).distinct()
-        return d.join(m, "match_id").select("match_id", "match_date", "side", team.alias("team"), "player", "venue")
+        return self.lineup_slots.join(self.matches, "match_id").select(
+            "match_id", "match_date", "side", team.alias("team"), "player", "venue")
 
     @property
     def batting(self) -> DataFrame:
@@ -175,7 +184,9 @@ _RESULTS = """results AS (
        LEFT JOIN innings b ON b.match_id = m.match_id AND b.side = 2)"""
 
 _LINEUPS = """lineups AS (
-  SELECT DISTINCT match_id, side, batter AS player FROM deliveries)"""
+  SELECT match_id, side, player FROM (
+    SELECT *, row_number() OVER (PARTITION BY match_id, side ORDER BY player) AS rn
+    FROM (SELECT DISTINCT match_id, side, batter AS player FROM deliveries)) WHERE rn <= 11)"""
 
 _LINEUP_LONG = """lineup_long AS (
   SELECT l.match_id, m.match_date, l.side, CASE WHEN l.side = 1 THEN m.team1 ELSE m.team2 END AS team,
