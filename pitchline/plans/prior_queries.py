@@ -70,12 +70,13 @@ _VENUE_IN = """, v AS (
 
 
 @query("win3_venue_means_prior", cte("results") + _VENUE_IN + " SELECT match_id, " + ", ".join(
-    f"round(coalesce({_all(f'avg({c})', 'venue')}, {d}), 7) AS venue_{n}_prior" for c, d, n in (
+    f"round(coalesce({_all(f'avg({c})', 'venue')}, {d}) + 1e-9, 6) AS venue_{n}_prior" for c, d, n in (
         ("fr", 165.0, "first_runs"), ("p1", 7.5, "pp_rr_first"), ("d1", 9.5, "death_rr_first"),
         ("p2", 7.3, "pp_rr_second"), ("d2", 9.2, "death_rr_second"))) + " FROM v")
 def win3(t: Tables):
     out = priors.venue_phase_means(t.results, rows=t.rows("orders"))
-    return rounded(out, *[c for c in out.columns if c != "match_id"], digits=7)
+    # Means of fractions: a tiny shift keeps exact halves from rounding by summation order.
+    return out.select("match_id", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in out.columns if c != "match_id"])
 
 
 _CHASER = """CASE WHEN toss_decision = 'field' THEN toss_winner
