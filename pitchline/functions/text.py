@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def canonical(name: Column, aliases: Mapping[str, str]) -> Column:
@@ -54,40 +54,48 @@ def first_group(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def quoted(name: Column) -> Column:
-    """A name as a literal inside a regular expression."""
-    return F.concat(F.lit("\\Q"), name, F.lit("\\E"))
+_EDGE = "\u0001"
 
 
-def _extract(text: Column, pattern: Column, group: int = 1) -> Column:
-    return F.nullif(F.call_function("regexp_extract", text, pattern, F.lit(group)), F.lit(""))
+def _edged(text: Column) -> Column:
+    """Lower case with a mark at every word edge, so whole words can be searched as plain text."""
+    return F.regexp_replace(F.lower(text), r"\b", _EDGE)
 
 
-def toss_facts(text: Column, team1: Column, team2: Column, aliases: Mapping[str, str]) -> tuple[Column, Column]:
-    """(winner, decision) from ``X elected to bat|field``; else (side 1, field)."""
-    pattern = r"(?i)([A-Za-z .&-]+?) elected to (bat|field)"
-    who = canonical(first_group(text, pattern, 1), aliases)
-    what = F.lower(first_group(text, pattern, 2))
-    is1 = F.coalesce((team1 != "") & F.contains(who, team1), F.lit(False))
-    is2 = F.coalesce((team2 != "") & F.contains(who, team2), F.lit(False))
-    winner = F.when(is1, team1).when(is2, team2).otherwise(team1)
-    return winner, F.when(is1 | is2, what).otherwise(F.lit("field"))
+def report_facts(df: DataFrame, text: str, team1: str, team2: str, aliases: Mapping[str, str]) -> DataFrame:
+    """Adds toss_winner, toss_decision, winner, margin and date_text of a match report.
 
+    Toss: ``X elected to bat|field``, else (side 1, field).  Winner: the side
+    named before ``won by``, empty when neither is.  Every pattern is fixed
+    and runs once per row; the row's own names are plain text searches.
+    """
+    body, a, b = F.col(text), F.col(team1), F.col(team2)
+    toss = r"(?i)([A-Za-z .&-]+?) elected to (bat|field)"
+    staged = df.withColumns({
+        "_toss": first_group(body, toss, 0),
+        "_won": first_group(body, r"(?i)([A-Za-z .&-]+?) won by [A-Za-z0-9 .&-]+"),
+        "_marked": _edged(F.regexp_replace(body, r"(?i)\s+won by", " won by")),
+        "_name1": _edged(a), "_name2": _edged(b),
+    }).withColumns({
+        "_who": canonical(first_group(F.col("_toss"), toss, 1), aliases), "_what": F.lower(first_group(F.col("_toss"), toss, 2)),
+        "_winner": canonical(F.col("_won"), aliases),
+    })
 
-def winner_fact(text: Column, team1: Column, team2: Column, aliases: Mapping[str, str]) -> Column:
-    """Which of the two sides ``won by``; empty when neither is named."""
+    def within(name: Column, part: Column) -> Column:
+        return F.coalesce((part != "") & F.contains(name, part), F.lit(False))
 
-    def named(team: Column) -> Column:
-        return (team != "") & F.rlike(text, F.concat(F.lit(r"(?i)\b"), quoted(team), F.lit(r"\b\s+won by")))
+    def named(mark: Column) -> Column:
+        whole = F.startswith(mark, F.lit(_EDGE)) & F.endswith(mark, F.lit(_EDGE))
+        return whole & F.contains(F.col("_marked"), F.concat(mark, F.lit(f" {_EDGE}won{_EDGE} {_EDGE}by")))
 
-    who = canonical(first_group(text, r"(?i)([A-Za-z .&-]+?) won by [A-Za-z0-9 .&-]+"), aliases)
-    return (
-        F.when(named(team1), team1)
-        .when(named(team2), team2)
-        .when((team1 != "") & F.contains(who, team1), team1)
-        .when((team2 != "") & F.contains(who, team2), team2)
-        .otherwise(F.lit(""))
-    )
+    who, winner = F.col("_who"), F.col("_winner")
+    return staged.withColumns({
+        "toss_winner": F.when(within(who, a), a).when(within(who, b), b).otherwise(a),
+        "toss_decision": F.when(within(who, a) | within(who, b), F.col("_what")).otherwise(F.lit("field")),
+        "winner": F.when(named(F.col("_name1")), a).when(named(F.col("_name2")), b)
+        .when(within(winner, a), a).when(within(winner, b), b).otherwise(F.lit("")),
+        "margin": margin_fact(body), "date_text": date_fact(body),
+    }).drop("_toss", "_won", "_marked", "_name1", "_name2", "_who", "_what", "_winner")
 
 
 def margin_fact(text: Column) -> Column:
@@ -121,13 +129,17 @@ def venue_fact(html: Column, text: Column, unknown: str) -> Column:
 
 
 def last_score(text: Column, team: Column) -> Column:
-    """struct(runs, wkts, overs) of the last ``team … 180-5 (20 Ovs)`` mention."""
-    tail = r"[^0-9]{0,40}(\d{2,3})-(\d{1,2})(?:\s*\((\d{1,2}(?:\.\d)?)\s*Ovs\))?"
-    pattern = F.concat(F.lit("(?i)"), quoted(team), F.lit(tail))
-    hits = F.call_function("regexp_extract_all", text, pattern, F.lit(0))
-    last = F.try_element_at(hits, F.lit(-1))
+    """struct(runs, wkts, overs) of the last ``team … 180-5 (20 Ovs)`` mention.
+
+    The team's name is first replaced by a mark of the same length, so one
+    fixed pattern serves every row.
+    """
+    mark, fill = "\u0001", "\u0002"
+    pattern = (mark + fill + r"*[^0-9]{0,40}(\d{2,3})-(\d{1,2})(?:\s*\((\d{1,2}(?:\.\d)?)\s*ovs\))?")
+    marked = F.replace(F.lower(text), F.lower(team), F.rpad(F.lit(mark), F.length(team), F.lit(fill)))
+    last = F.try_element_at(F.regexp_extract_all(marked, F.lit(pattern), 0), F.lit(-1))
     return F.struct(*[
-        _extract(last, pattern, i + 1).cast("double").alias(n) for i, n in enumerate(("runs", "wkts", "overs"))
+        first_group(last, pattern, i + 1).cast("double").alias(n) for i, n in enumerate(("runs", "wkts", "overs"))
     ])
 
 

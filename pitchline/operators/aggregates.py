@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pitchline import presets as P
 from pitchline.functions import rules as R, text as X
 from pitchline.operators.ordered import modes, top_n
+from pitchline.session import durable
 
 
 def team_profiles(sides: DataFrame, values: Sequence[str]) -> DataFrame:
@@ -66,7 +67,8 @@ def player_ratings(batting: DataFrame, bowling: DataFrame) -> DataFrame:
     bowl = recency_weighted(keyed(bowling), ["player_key"], "bowling_raw", w, "bowling_score")
     both = bat.join(bowl, "player_key", "full").fillna(0.0)
     both = both.withColumn("performance", 0.60 * F.col("batting_score") + 0.40 * F.col("bowling_score"))
-    return rating_scale(both, "performance")
+    # One row per player, read twice: for the mean and deviation, and for the ratings.
+    return rating_scale(durable(both), "performance")
 
 
 def missing_share(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from pitchline.functions import rules as R
 from pitchline.operators.ordered import Total, with_history
-from pitchline.operators.scoring import argmax
+from pitchline.session import durable
 
 EPS = 1e-15
 
@@ -113,8 +113,8 @@ def expected_calibration_error(df: DataFrame, conf: Column, correct: Column, bin
 def roc_points(df: DataFrame, score: Column, positive: Column, keys: Sequence[str] = (), **bounds) -> DataFrame:
     """True and false positive rates per distinct score, highest score first."""
     keys = list(keys)
-    hist = df.groupBy(*keys, score.alias("score")).agg(
-        F.sum(positive.cast("bigint")).alias("pos"), F.sum(1 - positive.cast("bigint")).alias("neg"))
+    hist = durable(df.groupBy(*keys, score.alias("score")).agg(
+        F.sum(positive.cast("bigint")).alias("pos"), F.sum(1 - positive.cast("bigint")).alias("neg")))
     cum = with_history(hist.withColumn("_down", -F.col("score")), keys, ["_down"], [
         Total("tp", F.col("pos"), inclusive=True), Total("fp", F.col("neg"), inclusive=True)], **bounds)
     sums = [F.sum("pos").alias("_p"), F.sum("neg").alias("_n")]
@@ -261,7 +261,7 @@ def correlations(df: DataFrame, columns: Sequence[str], target: str, **bounds) -
     long = df.select(F.col(target).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         ["_y"], list(columns), "feature", "_x").filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
     # Equal pairs are counted first, so a hot value is one row from here on.
-    pairs = long.groupBy("feature", "_x", "_y").agg(F.count("*").alias("_w"))
+    pairs = durable(long.groupBy("feature", "_x", "_y").agg(F.count("*").alias("_w")))
     n = pairs.groupBy("feature").agg(F.sum("_w").alias("n"))
 
     def ranks(col: str, name: str) -> DataFrame:
@@ -292,7 +292,7 @@ def anova(df: DataFrame, columns: Sequence[str], target: str, **bounds) -> DataF
     """One-way F per categorical column over target codes re-encoded inside each group."""
     long = df.select(F.col(target).cast("string").alias("_y"), *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
         ["_y"], list(columns), "feature", "_g").filter(F.col("_y").isNotNull() & F.col("_g").isNotNull())
-    counts = long.groupBy("feature", "_g", "_y").agg(F.count("*").alias("_n"))
+    counts = durable(long.groupBy("feature", "_g", "_y").agg(F.count("*").alias("_n")))
     coded = with_history(counts, ["feature", "_g"], ["_y"], [Total("_code", F.lit(1), "count")], **bounds)
     groups = coded.groupBy("feature", "_g").agg(
         F.sum("_n").alias("n"), F.sum(F.col("_n") * F.col("_code")).alias("s"),

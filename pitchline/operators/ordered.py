@@ -242,7 +242,8 @@ def exact_quantiles(
     task ever holds all values of a key.
     """
     keys = list(keys)
-    hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    # Read three times below (row count, running count, size), computed once.
+    hist = durable(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")))
     cum = with_history(hist, keys, [value], [Total("_hi", F.col("_n"), "sum", inclusive=True)], **bounds)
     if keys:
         cum = cum.join(hist.groupBy(*keys).agg(F.sum("_n").alias("_size")), keys)

@@ -12,6 +12,7 @@ from pitchline import presets as P
 from pitchline.functions import lineups as L, rules as R
 from pitchline.operators.facts import both_sides, team_long
 from pitchline.operators.ordered import Latest, Recent, Total, with_history
+from pitchline.session import durable
 
 ORDER = ["match_date", "match_id"]
 
@@ -160,7 +161,7 @@ def venue_toss_side(matches: DataFrame, rows: int | None = None) -> DataFrame:
 
 def simple_expanding(results: DataFrame, rows: int | None = None) -> DataFrame:
     """Earlier win rate per side (.5) and earlier first-innings mean per venue (160)."""
-    base = results.select(*ORDER, "venue", "team1", "team2", "winner", "runs_1")
+    base = durable(results.select(*ORDER, "venue", "team1", "team2", "winner", "runs_1"))
     long = team_long(base)
     t = with_history(long, ["team"], ORDER, [
         Total("_g", F.lit(1), "count"), Total("_w", win_flag(F.col("winner"), F.col("team"))),
@@ -231,6 +232,8 @@ def store_features(results: DataFrame, n: int = 5, rows: int | None = None) -> D
     match, open or completed, then takes the latest state before it.
     """
     d = P.STORE_DEFAULTS
+    # Four histories read the match rows; the join and innings totals behind them run once.
+    results = durable(results)
     done = F.col("winner").isNotNull()
     pair = lambda f: (f(1, 2), f(2, 1))
     long = team_long(results, {

@@ -300,7 +300,7 @@ FROM log g JOIN b b1 ON b1.match_id = g.match_id AND b1.side = 1 JOIN b b2 ON b2
 @query("sco6_live_feature_rows", cte("log") + _LIVE)
 def sco6(t: Tables):
     """Open fixtures: as-of form blended with the log, venue profile blended with its last 20 rows."""
-    log = t.log
+    log = durable(t.log)
     long = team_long(log.select("match_id", "match_date", "team1", "team2", "actual"))
     state = priors.completed_state(
         long, ["team"], F.col("actual").isNotNull(),

@@ -138,13 +138,9 @@ SELECT match_id,
   CAST(strptime(regexp_extract(body, '([A-Za-z]+\\s+\\d{1,2},\\s+\\d{4})', 1), '%B %d, %Y') AS DATE) AS match_date
 FROM x""")
 def prj10(t: Tables):
-    body, a, b = F.col("body"), F.col("a"), F.col("b")
-    who, what = X.toss_facts(body, a, b, P.TEAM_ALIASES)
-    return _report_text(t).select(
-        "match_id", who.alias("toss_winner"), what.alias("toss_decision"),
-        X.winner_fact(body, a, b, P.TEAM_ALIASES).alias("winner"), X.margin_fact(body).alias("margin"),
-        X.date_fact(body).alias("date_text"), X.long_date(X.date_fact(body)).alias("match_date"),
-    )
+    facts = X.report_facts(_report_text(t), "body", "a", "b", P.TEAM_ALIASES)
+    return facts.select("match_id", "toss_winner", "toss_decision", "winner", "margin", "date_text",
+                        X.long_date(F.col("date_text")).alias("match_date"))
 
 
 @query("prj11_last_score", cte("matches") + _NAMED + """, s AS (
