@@ -53,7 +53,7 @@ def agg3(t: Tables):
 
 @query("agg4_lineup_rating_gap", cte("lineups") + """, r AS (
   SELECT l.match_id, l.side, avg(CAST(s.s_acctbal AS DECIMAL(18,2))) AS a, max(s.s_acctbal) AS hi, min(s.s_acctbal) AS lo
-  FROM lineups l LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 5 <> 0) s ON l.player = 'Player ' || s.s_suppkey
+  FROM lineups l LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 1000) s ON l.player = 'Player ' || s.s_suppkey
   GROUP BY 1, 2)
 SELECT match_id, round(coalesce(max(CASE WHEN side = 1 THEN a END), 1000), 5) AS team1_avg,
   round(coalesce(max(CASE WHEN side = 2 THEN a END), 1000), 5) AS team2_avg,
@@ -62,7 +62,7 @@ SELECT match_id, round(coalesce(max(CASE WHEN side = 1 THEN a END), 1000), 5) AS
   round(coalesce(max(CASE WHEN side = 1 THEN a END), 1000) - coalesce(max(CASE WHEN side = 2 THEN a END), 1000), 5) AS gap
 FROM r GROUP BY 1""")
 def agg4(t: Tables):
-    known = t.read("supplier").filter("s_suppkey % 5 <> 0").select(
+    known = t.read("supplier").filter("s_acctbal > 1000").select(
         F.concat(F.lit("Player "), "s_suppkey").alias("player"), F.col("s_acctbal").alias("rating"))
     rows = L.lineup_rows(t.lineups, "players", "match_id", "side").join(known, "player", "left")
     per = rows.groupBy("match_id", "side").agg(
@@ -388,11 +388,11 @@ def _open_log(t: Tables):
 
 
 @query("set7_close_by_id", cte("log") + _OPEN + """
-SELECT o.match_id, o.match_date, o.team1, o.team2, CASE WHEN o.match_id % 2 = 0 AND m.winner IS NOT NULL THEN m.winner ELSE o.actual END AS actual,
-  CASE WHEN o.match_id % 2 = 0 AND m.winner IS NOT NULL THEN 1 ELSE o.ended END AS ended
+SELECT o.match_id, o.match_date, o.team1, o.team2, CASE WHEN m.venue < '3' AND m.winner IS NOT NULL THEN m.winner ELSE o.actual END AS actual,
+  CASE WHEN m.venue < '3' AND m.winner IS NOT NULL THEN 1 ELSE o.ended END AS ended
 FROM o JOIN matches m ON o.match_id = m.match_id""")
 def set7(t: Tables):
-    results = t.matches.filter("match_id % 2 = 0 AND winner IS NOT NULL").select("match_id", F.col("winner").alias("actual"))
+    results = t.matches.filter("venue < '3' AND winner IS NOT NULL").select("match_id", F.col("winner").alias("actual"))
     return U.close_by_id(_open_log(t), results, "match_id", ["actual"])
 
 

@@ -52,7 +52,7 @@ def jon4(t: Tables):
     return rows.join(t.bowling.select("match_id", "player", "wickets", "runs_given"), ["match_id", "player"], "left").fillna(0)
 
 
-_RATED = """, rt AS (SELECT 'player' || s_suppkey AS key, CAST(s_acctbal AS DECIMAL(18,2)) AS rating FROM supplier WHERE s_suppkey % 3 <> 0),
+_RATED = """, rt AS (SELECT 'player' || s_suppkey AS key, CAST(s_acctbal AS DECIMAL(18,2)) AS rating FROM supplier WHERE s_acctbal > 2000),
 d AS (SELECT median(CAST(rating AS DOUBLE)) AS md FROM rt)"""
 
 
@@ -61,7 +61,7 @@ SELECT match_id, side, round(avg(r), 5) AS rating_avg, max(r) AS rating_max, min
   SELECT l.match_id, l.side, coalesce(CAST(rt.rating AS DOUBLE), md) AS r FROM lineups l CROSS JOIN d
     LEFT JOIN rt ON regexp_replace(lower(l.player), '[^a-z0-9]', '', 'g') = rt.key) GROUP BY 1, 2""")
 def jon5(t: Tables):
-    ratings = t.read("supplier").filter("s_suppkey % 3 <> 0").select(
+    ratings = t.read("supplier").filter("s_acctbal > 2000").select(
         F.concat(F.lit("PLAYER-"), "s_suppkey").alias("player"), F.col("s_acctbal").alias("rating"))
     rows = L.lineup_rows(t.lineups, "players", "match_id", "side")
     return rounded(J.lineup_rating(rows, ratings), "rating_avg", digits=5)
@@ -102,18 +102,18 @@ def jon7(t: Tables):
 
 
 @query("jon8_fixture_either_order", cte("results") + """
-SELECT match_id, team1, team2, CASE WHEN match_id % 5 = 0 THEN 160.0::DOUBLE WHEN match_id % 3 = 0
-  THEN CAST(runs_1 + 1 AS DOUBLE) WHEN match_id % 4 = 0 AND runs_1 = 0 THEN 160.0 ELSE CAST(runs_1 AS DOUBLE) END AS score
+SELECT match_id, team1, team2, CASE WHEN venue = '5-LOW' THEN 160.0::DOUBLE WHEN venue = '2-HIGH'
+  THEN CAST(runs_1 + 1 AS DOUBLE) WHEN runs_1 = 0 THEN 160.0 ELSE CAST(runs_1 AS DOUBLE) END AS score
 FROM results""")
 def jon8(t: Tables):
-    r = t.results.select("match_id", "team1", "team2", F.col("runs_1").cast("double").alias("score"))
-    k = F.col("match_id")
-    kept = r.filter(k % 5 != 0).withColumn("score", F.when((k % 4 == 0) & (k % 3 != 0) & (F.col("score") == 0), None)
-                                           .otherwise(F.col("score")))
+    full = t.results.select("match_id", "team1", "team2", "venue", F.col("runs_1").cast("double").alias("score"))
+    r = full.drop("venue")
+    unknown = (F.col("venue") != "2-HIGH") & (F.col("score") == 0)
+    kept = full.filter("venue <> '5-LOW'").withColumn("score", F.when(~unknown, F.col("score")))
     turned = kept.select("match_id", F.col("team2").alias("team1"), F.col("team1").alias("team2"),
                          (F.col("score") + 5).alias("score"))
-    fixed = kept.filter(k % 3 == 0).withColumn("score", F.col("score") + 1)
-    store = (kept.withColumn("_ver", F.lit(1)).unionByName(turned.withColumn("_ver", F.lit(3)))
+    fixed = kept.filter("venue = '2-HIGH'").withColumn("score", F.col("score") + 1).drop("venue")
+    store = (kept.drop("venue").withColumn("_ver", F.lit(1)).unionByName(turned.withColumn("_ver", F.lit(3)))
              .unionByName(fixed.withColumn("_ver", F.lit(2))))
     return J.fixture_lookup(r.drop("score"), store, {"score": 160.0})
 
@@ -161,15 +161,16 @@ def jon11(t: Tables):
 
 
 @query("jon12_roster_multiplier", cte("lineup_long") + """, f AS (
-  SELECT *, row_number() OVER (PARTITION BY match_id, side ORDER BY player) AS rn FROM lineup_long),
+  SELECT l.*, row_number() OVER (PARTITION BY match_id, side ORDER BY player) AS rn, s_suppkey FROM lineup_long l
+    LEFT JOIN supplier ON player = 'Player ' || s_suppkey AND s_nationkey < 7),
 s AS (SELECT match_id, side, CASE CAST(substr(player, 8) AS INTEGER) % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.35 ELSE 1.0 END
-        + CASE WHEN CAST(substr(player, 8) AS INTEGER) % 4 = 0 THEN 0.03 ELSE 0 END AS bat FROM f WHERE rn <= 11)
+        + CASE WHEN s_suppkey IS NOT NULL THEN 0.03 ELSE 0 END AS bat FROM f WHERE rn <= 11)
 SELECT match_id, side, round(least(greatest(avg(CAST(bat AS DOUBLE)) / 0.8, 0.88), 1.12), 6) AS bat_multiplier,
   count(*) AS players_used FROM s GROUP BY 1, 2""")
 def jon12(t: Tables):
     k = F.substr(F.col("player"), F.lit(8)).cast("int")
     role = F.when(k % 3 == 0, "allrounder").when(k % 3 == 1, "bowler").otherwise("batter")
-    roster = t.read("supplier").filter("s_suppkey % 4 = 0").select(
+    roster = t.read("supplier").filter("s_nationkey < 7").select(
         F.concat(F.lit("Player "), "s_suppkey").alias("player"), F.lit(P.ROSTER_BONUS).alias("bonus"))
     rows = L.lineup_rows(t.lineups, F.slice("players", 1, 11), "match_id", "side")
     score = R.role_score(role, 0) + F.coalesce("bonus", F.lit(0.0))
