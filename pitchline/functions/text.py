@@ -71,31 +71,33 @@ def report_facts(df: DataFrame, text: str, team1: str, team2: str, aliases: Mapp
     """
     body, a, b = F.col(text), F.col(team1), F.col(team2)
     toss = r"(?i)([A-Za-z .&-]+?) elected to (bat|field)"
-    staged = df.withColumns({
-        "_toss": first_group(body, toss, 0),
-        "_won": first_group(body, r"(?i)([A-Za-z .&-]+?) won by [A-Za-z0-9 .&-]+"),
-        "_marked": _edged(F.regexp_replace(body, r"(?i)\s+won by", " won by")),
-        "_name1": _edged(a), "_name2": _edged(b),
-    }).withColumns({
-        "_who": canonical(first_group(F.col("_toss"), toss, 1), aliases), "_what": F.lower(first_group(F.col("_toss"), toss, 2)),
-        "_winner": canonical(F.col("_won"), aliases),
-    })
+    won = r"(?i)([A-Za-z .&-]+?) won by [A-Za-z0-9 .&-]+"
 
     def within(name: Column, part: Column) -> Column:
         return F.coalesce((part != "") & F.contains(name, part), F.lit(False))
 
-    def named(mark: Column) -> Column:
+    def named(team: Column) -> Column:
+        mark = _edged(team)
         whole = F.startswith(mark, F.lit(_EDGE)) & F.endswith(mark, F.lit(_EDGE))
         return whole & F.contains(F.col("_marked"), F.concat(mark, F.lit(f" {_EDGE}won{_EDGE} {_EDGE}by")))
 
-    who, winner = F.col("_who"), F.col("_winner")
+    # The open-ended patterns run only where their key words occur and nothing cheaper has answered.
+    low = F.lower(body)
+    staged = df.withColumns({
+        "_toss": F.when(F.contains(low, F.lit(" elected to ")), first_group(body, toss, 0)),
+        "_marked": _edged(F.regexp_replace(body, r"(?i)\s+won by", " won by")),
+    }).withColumns({
+        "_who": canonical(first_group(F.col("_toss"), toss, 1), aliases), "_what": F.lower(first_group(F.col("_toss"), toss, 2)),
+        "_winner": F.when(named(a), a).when(named(b), b),
+    }).withColumn("_other", canonical(F.when(
+        F.col("_winner").isNull() & F.contains(low, F.lit(" won by ")), first_group(body, won)), aliases))
+    who, other = F.col("_who"), F.col("_other")
     return staged.withColumns({
         "toss_winner": F.when(within(who, a), a).when(within(who, b), b).otherwise(a),
         "toss_decision": F.when(within(who, a) | within(who, b), F.col("_what")).otherwise(F.lit("field")),
-        "winner": F.when(named(F.col("_name1")), a).when(named(F.col("_name2")), b)
-        .when(within(winner, a), a).when(within(winner, b), b).otherwise(F.lit("")),
+        "winner": F.coalesce("_winner", F.when(within(other, a), a).when(within(other, b), b).otherwise(F.lit(""))),
         "margin": margin_fact(body), "date_text": date_fact(body),
-    }).drop("_toss", "_won", "_marked", "_name1", "_name2", "_who", "_what", "_winner")
+    }).drop("_toss", "_marked", "_who", "_what", "_winner", "_other")
 
 
 def margin_fact(text: Column) -> Column:
