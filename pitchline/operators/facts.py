@@ -21,6 +21,24 @@ def innings_totals(
     )
 
 
+def innings_wide(deliveries: DataFrame, powerplay_until: int = 6, death_from: int = 16) -> DataFrame:
+    """Totals of both sides as ``<value>_1`` / ``<value>_2`` per match.
+
+    One aggregation straight from the deliveries: they are shuffled once, as
+    one partial row per match and map task, and stay partitioned for joins on
+    the match id.
+    """
+    over, runs = F.col("over_no"), F.col("runs")
+    values = {
+        "runs": runs, "balls": F.lit(1).cast("bigint"), "wkts": F.col("wicket").cast("bigint"),
+        "pp_runs": F.when(over < powerplay_until, runs), "death_runs": F.when(over >= death_from, runs),
+    }
+    return deliveries.groupBy("match_id").agg(*[
+        F.coalesce(F.sum(F.when(F.col("side") == s, v)), F.lit(0).cast("bigint")).alias(f"{n}_{s}")
+        for s in (1, 2) for n, v in values.items()
+    ])
+
+
 def batting_order(innings: DataFrame) -> DataFrame:
     """Side that batted first and second per match, from the innings number."""
     pos = F.col("innings_no")
@@ -30,19 +48,6 @@ def batting_order(innings: DataFrame) -> DataFrame:
     )
 
 
-def side_by_side(matches: DataFrame, per_side: DataFrame, values: Sequence[str]) -> DataFrame:
-    """Per-side rows as ``<value>_1`` / ``<value>_2`` columns of the match, zero-filled.
-
-    One pass with conditional aggregation, so the long table is shuffled once.
-    """
-    cols = [
-        F.max(F.when(F.col("side") == s, F.col(v))).alias(f"{v}_{s}") for s in (1, 2) for v in values
-    ]
-    wide = per_side.groupBy("match_id").agg(*cols)
-    names = [f"{v}_{s}" for s in (1, 2) for v in values]
-    return matches.join(wide, "match_id", "left").fillna(0, names)
-
-
 def team_long(matches: DataFrame, extra: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
     """Two rows per match in one pass; ``extra`` maps a name to (side 1, side 2) values."""
     extra = extra or {}

@@ -70,9 +70,10 @@ class Tables:
     @property
     def results(self) -> DataFrame:
         """Matches with both innings side by side; sides without deliveries count as zero."""
-        from pitchline.operators.facts import side_by_side
+        from pitchline.operators.facts import innings_wide
 
-        return side_by_side(self.matches, self.innings, ["runs", "balls", "wkts", "pp_runs", "death_runs"])
+        wide = innings_wide(self.deliveries, powerplay_until=3, death_from=6)
+        return self.matches.join(wide, "match_id", "left").fillna(0, [c for c in wide.columns if c != "match_id"])
 
     @property
     def lineup_slots(self) -> DataFrame:

@@ -139,7 +139,7 @@ def test_page_rules(spark):
 
 
 @pytest.mark.parametrize("text,winner", [
-    ("Reds won by 5 runs", "Reds"), ("the blues  won by 1 wicket", "Blues"), ("Redskins won by 2 runs", "Reds"), ("no result", ""),
+    ("Reds won by 5 runs", "Reds"), ("the blues  won by 1 wicket", "Blues"), ("Redstart won by 2 runs", "Reds"), ("no result", ""),
 ])
 def test_report_winner(spark, text, winner):
     df = spark.createDataFrame([(text, "Reds", "Blues")], "body string, a string, b string")
