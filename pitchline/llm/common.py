@@ -35,23 +35,42 @@ def crc_bucket(column: str, buckets: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(buckets)
 
 
-def appended(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], fields: list[T.StructField],
-             drop: tuple[str, ...] = ()) -> DataFrame:
+SLICE = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about SLICE bytes of text each, or one longer text, so memory stays bounded."""
+    column = batch.column(text_at)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    if not len(column):
+        return
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset:column.offset + len(column) + 1]
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(offsets, int(offsets[a]) + SLICE, side="right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def appended(df: DataFrame, make: Callable[[], Callable[[pa.Array], list]], fields: list[T.StructField],
+             text_col: str, drop: tuple[str, ...] = ()) -> DataFrame:
     """Append Arrow-computed columns to every row.
 
-    ``make`` runs once per task and returns the function from a batch to the new columns. Columns that already
+    ``make`` runs once per task and returns the function from a part of the text column to the
+    new columns. Columns that already
     have one of the new names are replaced; those in ``drop`` are read but not returned.
     """
     taken = {f.name.lower() for f in fields}
     base = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
     kept = [i for i, f in enumerate(base.schema.fields) if f.name not in drop]
     schema = T.StructType([base.schema.fields[i] for i in kept] + fields)
-    names = schema.names
+    names, text_at = schema.names, base.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + step(batch), names=names)
+        for whole in batches:
+            for batch in slices(whole, text_at):
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + step(batch.column(text_at)), names=names)
 
     return base.mapInArrow(run, schema)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchline.llm import perplexity
-from pitchline.llm.common import table
+from pitchline.llm import perplexity, token_files, toxicity
+from pitchline.llm.common import crc_bucket, table
+from pitchline.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,3 +24,20 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 def op3_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return perplexity.judged(docs, drop=("text",))
+
+
+@query
+def op4_class_conditional_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    held_out = crc_bucket("doc_id", toxicity.Fit().folds) == 0
+    return toxicity.scored(docs, model, drop=("text",)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op1_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.digests(spark, path)
