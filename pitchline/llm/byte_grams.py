@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitchline.llm.common import utf8
+from pitchline.llm.common import slices, utf8
 
 # Bytes that UTF-8 never uses mark the start and the end of a text.
 START, END = 0xFE, 0xFF
 # Windows that a task counts before it sorts them together.
-PENDING = 1 << 24
+PENDING = 1 << 23
 
 
 def padded(data: np.ndarray, offsets: np.ndarray, front: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,6 +48,12 @@ def windows(stream: np.ndarray, order: int) -> np.ndarray:
     return parts[stream[order - 1:] != START]
 
 
+def stretches(stream: np.ndarray, order: int, size: int = 1 << 20) -> Iterator[np.ndarray]:
+    """``windows`` of the stream piece by piece, for texts of any length."""
+    for a in range(0, max(1, len(stream) - order + 1), size):
+        yield windows(stream[a:a + size + order - 1], order)
+
+
 def merged(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and their summed counts."""
     if not len(keys):
@@ -62,55 +68,37 @@ def merged(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
     return keys[edge], np.add.reduceat(counts, edge)
 
 
-def count_grams(df: DataFrame, text_col: str, order: int, prepare: Callable | None = None,
-                mark_col: str | None = None) -> DataFrame:
-    """(gram, n) over all texts, or (gram, mark, n) with a small integer mark per row.
+def count_grams(df: DataFrame, text_col: str, order: int, prepare: Callable | None = None) -> DataFrame:
+    """(gram, n) over all texts; ``prepare`` may rewrite the bytes first.
 
     Each task adds up its own windows first, so a gram crosses the shuffle once per task however often it occurs.
     """
-    marks = [mark_col] if mark_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        waiting: dict[int, list] = {}
-        size = 0
-
-        def settle() -> None:
-            for mark, parts in waiting.items():
-                keys, counts = merged(np.concatenate(parts))
-                if mark in held:
-                    keys, counts = merged(np.concatenate([held[mark][0], keys]), np.concatenate([held[mark][1], counts]))
-                held[mark] = [keys, counts]
+        keys, counts = merged(np.zeros(0, np.uint64))
+        waiting: list[np.ndarray] = []
+
+        def settled() -> tuple[np.ndarray, np.ndarray]:
+            fresh, n = merged(np.concatenate(waiting)) if waiting else (keys[:0], counts[:0])
             waiting.clear()
+            return merged(np.concatenate([keys, fresh]), np.concatenate([counts, n]))
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             data, offsets = utf8(batch.column(0))
             if prepare is not None:
                 data, offsets = prepare(data, offsets)
-            mark = batch.column(1).to_numpy(zero_copy_only=False) if mark_col else np.zeros(len(offsets) - 1, np.int64)
-            for value in np.unique(mark).tolist():
-                rows = np.flatnonzero(mark == value)
-                if len(rows) < len(mark):
-                    part = np.concatenate([data[offsets[r]:offsets[r + 1]] for r in rows.tolist()])
-                    cuts = np.concatenate([[0], np.cumsum(np.diff(offsets)[rows])])
-                else:
-                    part, cuts = data, offsets
-                grams = windows(padded(part, cuts, order - 1)[0], order)
-                waiting.setdefault(int(value), []).append(grams)
-                size += len(grams)
-                if size > PENDING:
-                    settle()
-                    size = 0
-        settle()
-        for mark, (keys, counts) in held.items():
-            for a in range(0, len(keys), 1 << 17):
-                k, c = keys[a:a + (1 << 17)].astype(np.int64), counts[a:a + (1 << 17)].astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k), pa.array(np.full(len(k), mark, np.int64)), pa.array(c)], names=["gram", "mark", "n"])
-
-    one = df.select(F.col(text_col).alias("text"), *[F.col(m).cast("long").alias("mark") for m in marks])
-    out = one.mapInArrow(run, "gram long, mark long, n long")
-    return out.groupBy("gram", *["mark"] * bool(marks)).agg(F.sum("n").alias("n"))
+            for grams in stretches(padded(data, offsets, order - 1)[0], order):
+                waiting.append(grams)
+                if sum(map(len, waiting)) > PENDING:
+                    keys, counts = settled()
+        keys, counts = settled()
+        for a in range(0, len(keys), 1 << 17):
+            part = slice(a, a + (1 << 17))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[part].astype(np.int64)), pa.array(counts[part].astype(np.int64))], names=["gram", "n"])
+
+    out = df.select(F.col(text_col).alias("text")).mapInArrow(run, "gram long, n long")
+    return out.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def suffix(gram, size: int):

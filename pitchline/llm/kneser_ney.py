@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pitchline.llm.byte_grams import context, suffix
+from pitchline.llm.byte_grams import context, stretches, suffix
 from pitchline.llm.common import HashArray
 
 CHUNK = 1 << 18
@@ -106,6 +106,10 @@ class Backoff:
             self._values(grams[a:a + CHUNK], out[a:a + CHUNK])
         return out
 
+    def along(self, stream: np.ndarray, order: int) -> np.ndarray:
+        """Values of the grams that end at each non-start byte of a padded stream."""
+        return np.concatenate([self.values(part) for part in stretches(stream, order)])
+
     def _values(self, grams: np.ndarray, out: np.ndarray) -> None:
         out[:] = 0
         left = np.arange(len(grams))

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pitchline.llm import kneser_ney as kn
-from pitchline.llm.byte_grams import count_grams, padded, windows
+from pitchline.llm.byte_grams import count_grams, padded
 from pitchline.llm.common import appended, mix, row_sums, staged, utf8
 
 SYMBOLS = b"[#*$%&|<>]"
@@ -101,21 +101,20 @@ def scored(docs: DataFrame, model: kn.Backoff, text_col: str = "text", rules: Ru
     """``docs`` with the rule counts and the log-perplexity per word (end mark included)."""
     shared = docs.sparkSession.sparkContext.broadcast(model.state())  # at most 1 / share grams and contexts per order
     order = rules.order
-    place = docs.columns.index(text_col)
 
     def make():
         lm = kn.Backoff.restore(shared.value)
 
-        def step(batch: pa.RecordBatch) -> list:
-            data, offsets = utf8(batch.column(place))
+        def step(texts: pa.Array) -> list:
+            data, offsets = utf8(texts)
             stream, lengths = padded(data, offsets, order - 1)
-            total = row_sums(lm.values(windows(stream, order)), lengths)
+            total = row_sums(lm.along(stream, order), lengths)
             counts = rule_counts(data, offsets)
             return [pa.array(x) for x in counts] + [pa.array(-total / np.maximum(counts[0], 1))]
 
         return step
 
-    return appended(docs, make, [*COUNTS, LOG_PPL], drop)
+    return appended(docs, make, [*COUNTS, LOG_PPL], text_col, drop)
 
 
 def failed(rules: Rules = Rules()):
