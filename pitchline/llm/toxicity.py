@@ -1,18 +1,21 @@
 """Toxicity from class-conditional Kneser-Ney models over bytes.
 
-Two models, of toxic and of ordinary texts, share the counts of their short orders: an expression that is rare in
-either class falls back to the shared counts and then says nothing. A text's log-likelihood ratio, normalised by its
-length, becomes a probability through a logistic curve fitted on labelled texts that neither model has seen.
-
-The models are fitted on a bounded sample of labelled rows: ``max_docs`` per class, ``max_calibration`` for the
-curve. Every text is scored whole. Defined results: null and empty texts have ratio 0 and get the curve's value
-there; null labels are unlabelled; several labels of one document count as toxic if any is; without labels of both
-classes each score is the smoothed share of toxic labels; an empty table gives an empty result.
+Two models, of toxic and of ordinary texts, count in how many different documents each gram occurs. Both back off to
+one model of the pooled counts: a gram that a class has rarely seen gets the shared probability in it, and where both
+classes do so the gram says nothing. A text's log-likelihood ratio, normalised by its length, becomes a probability
+through a logistic curve fitted on labelled texts that neither model has seen.
+
+The models are fitted on a bounded sample of labelled rows: ``max_toxic`` and ``max_ordinary`` documents, with copies
+and most near copies (equal least word n-gram) counted once, and ``max_calibration`` for the curve. Every text is
+scored whole. Defined results: null and empty texts have ratio 0 and get the curve's value there; null labels are
+unlabelled; several labels of one document count as toxic if any is; without labels of both classes each score is the
+smoothed share of toxic labels; an empty table gives an empty result; equal texts get equal scores.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +24,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitchline.llm import kneser_ney as kn
-from pitchline.llm.byte_grams import count_grams, padded
-from pitchline.llm.common import appended, crc_bucket, row_sums, staged, utf8
+from pitchline.llm.byte_grams import merged, padded, windows
+from pitchline.llm.common import appended, crc_bucket, row_sums, slices, staged, utf8
+from pitchline.llm.shingles import row_minimum, shingle_hashes, word_hashes
 
 
 @dataclass(frozen=True)
 class Fit:
-    order: int = 6
-    shared_order: int = 3  # up to here both classes use the same counts
-    min_count: int = 4  # an expression seen less often in both classes together is left to shorter ones
-    max_docs: int = 5000  # labelled documents per class that the models are fitted on
+    order: int = 4
+    min_count: int = 2  # a gram of fewer documents in both classes together is left to the shared counts
+    max_toxic: int = 8000  # labelled documents that the class models are fitted on
+    max_ordinary: int = 24000
     max_calibration: int = 8000  # labelled documents that the logistic curve is fitted on
     folds: int = 5  # crc32 of the id, modulo this: 0 is held out, 1 fits the curve, the rest fits the models
+    shingle: int = 5  # words in the n-grams that tell near copies
 
 
 @dataclass(frozen=True)
@@ -41,37 +46,72 @@ class Model:
     curve: np.ndarray  # intercept, and weights of the ratio per byte and per root of bytes
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z in lower case."""
+    return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+
+
 def sample(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text",
            label_col: str = "toxic") -> DataFrame:
-    """(text, toxic, calibrates): at most 2 * max_docs + max_calibration rows, picked by a hash of the id."""
-    fold = crc_bucket("id", fit.folds)
+    """(text, toxic, calibrates): a bounded number of labelled rows, picked by a hash of the id."""
     known = (labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
              .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
-             .withColumn("fold", fold).filter("fold <> 0"))
-    sizes = {r["toxic"]: r["n"] for r in known.filter("fold <> 1").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    each = min(fit.max_docs, sizes.get(0, 0), sizes.get(1, 0))
-    spread = F.xxhash64("id")
-    chosen = known.filter("fold = 1").orderBy(spread, "id").limit(fit.max_calibration).select("id", "toxic", F.lit(True).alias("calibrates"))
-    for value in (0, 1):
-        part = known.filter(f"fold <> 1 and toxic = {value}").orderBy(spread, "id").limit(each)
-        chosen = chosen.unionByName(part.select("id", "toxic", F.lit(False).alias("calibrates")))
+             .withColumn("fold", crc_bucket("id", fit.folds)).filter("fold <> 0"))
+    parts = (("fold = 1", fit.max_calibration, True), ("fold <> 1 and toxic = 1", fit.max_toxic, False),
+             ("fold <> 1 and toxic = 0", fit.max_ordinary, False))
+    chosen = reduce(DataFrame.unionByName, [
+        known.filter(which).orderBy(F.xxhash64("id"), "id").limit(most).select("id", "toxic", F.lit(use).alias("calibrates"))
+        for which, most, use in parts])
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), "id").select("text", "toxic", "calibrates")  # bounded by the limits above
+    found = texts.join(F.broadcast(chosen), "id").select("text", "toxic", "calibrates")  # bounded by the limits above
+    size = fit.shingle
+
+    def make():
+        def step(texts: pa.Array) -> list:
+            data, offsets = utf8(texts)
+            return [pa.array(row_minimum(*shingle_hashes(*word_hashes(lowered(data), offsets), size)).astype(np.int64))]
+
+        return step
+
+    marked = appended(found, make, [T.StructField("least", T.LongType())], "text")
+    alone = F.when(F.col("calibrates"), F.monotonically_increasing_id())  # the curve keeps the copies: it needs true shares
+    return marked.withColumn("alone", alone).dropDuplicates(["calibrates", "toxic", "least", "alone"]).drop("least", "alone")
+
+
+def document_counts(texts: DataFrame, order: int) -> DataFrame:
+    """(gram, t, o, a): documents of the toxic class, of the ordinary class, and of both that contain the gram."""
+
+    def run(batches):
+        for batch in (part for whole in batches for part in slices(whole, 0)):
+            data, offsets = utf8(batch.column(0))
+            stream, lengths = padded(lowered(data), offsets, order - 1)
+            doc = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
+            pair = merged((windows(stream, order) << np.uint64(64 - 8 * order)) | doc)[0]  # each gram once a document
+            toxic = batch.column(1).to_numpy(zero_copy_only=False)[(pair & np.uint64((1 << 64 - 8 * order) - 1)).astype(np.int64)]
+            for value in (0, 1):
+                grams, n = merged(pair[toxic == value] >> np.uint64(64 - 8 * order))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(grams.astype(np.int64)), pa.array(n * value), pa.array(n * (1 - value))], names=["gram", "t", "o"])
+
+    counted = texts.select("text", "toxic").mapInArrow(run, "gram long, t long, o long")
+    return counted.groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.sum(F.col("t") + F.col("o")).alias("a"))
 
 
 def ratios(texts: DataFrame, fit: Fit = Fit()) -> kn.Backoff:
-    """Log-ratios of the class models' stored grams, and of the backoff weights of their contexts."""
-    counted = count_grams(texts, "text", fit.order, mark_col="toxic")
-    by_class = [F.sum(F.when(F.col("mark") == v, F.col("n")).otherwise(0)).alias(c) for c, v in (("t", 1), ("o", 0))]
-    grams = staged(counted.groupBy("gram").agg(*by_class, F.sum("n").alias("a")), "toxicity-grams")
+    """Log-ratios of the stored grams, and of the mass that each context leaves to the shared model."""
+    grams = staged(document_counts(texts, fit.order), "toxicity-grams")
     tables = kn.levels(grams, fit.order, ["t", "o"], types="a")
     found = kn.discounts(tables, ["t", "o", "a"])
-    kept = kn.stored(tables, ["t", "o", "a"], found,
-                     lambda size: F.col("a") >= (fit.min_count if size > fit.shared_order else 1))
-    toxic, ordinary = (kn.interpolated(kept, lambda size, c=c: c if size > fit.shared_order else "a") for c in ("t", "o"))
+    kept = kn.stored(tables, ["t", "o", "a"], found, lambda size: F.col("a") >= (fit.min_count if size == fit.order else 1))
+    pooled = kn.interpolated(kept, lambda size: "a")
+    top = kept[fit.order]
+    share = np.exp(pooled.values(top["gram"]).astype(np.float64))
+    logs = []
+    for name in ("t", "o"):
+        contexts, mass, number = kn.remaining(top["gram"], top[name])
+        logs.append((np.log(top[name] + mass[number] * share), np.log(mass)))
     out = kn.Backoff(0.0)
-    out.rows = [(size, g, v - v2, c, w - w2) for (size, g, v, c, w), (_, _, v2, _, w2) in zip(toxic.rows, ordinary.rows)
-                if size > fit.shared_order]
+    out.add(fit.order, top["gram"], logs[0][0] - logs[1][0], contexts, logs[0][1] - logs[1][1])
     return out
 
 
@@ -109,7 +149,7 @@ def with_ratio(docs: DataFrame, table: kn.Backoff, fit: Fit, text_col: str, fini
 
         def step(texts: pa.Array) -> list:
             data, offsets = utf8(texts)
-            stream, lengths = padded(data, offsets, order - 1)
+            stream, lengths = padded(lowered(data), offsets, order - 1)
             return finish(row_sums(lm.along(stream, order), lengths), lengths)
 
         return step
