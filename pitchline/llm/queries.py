@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pitchline.llm import perplexity, token_files, toxicity
+from pitchline.llm import chat_collapse, context_tree, mixing, ngram_join, perplexity, piece_lattice, shards, token_files, toxicity
 from pitchline.llm.common import crc_bucket, table
 from pitchline.session import checkpoint_dir
 
@@ -41,3 +42,80 @@ def op1_pfor_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.digests(spark, path)
+
+
+@query
+def op5_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.scored(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_splitting_tree_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_collapse.rendered(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    shards.write(docs, path)
+    return shards.read(spark, path, docs).select(
+        "doc_id", shards.text_size(F.col("text")).alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+ORACLES["op9_snapshot_collapse"] = r"""
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place
+    FROM conversations),
+lists AS (
+    SELECT conv_id, count(*) AS n_turns, list(role || chr(31) || text ORDER BY place) AS said,
+        list('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) ORDER BY place) AS shown
+    FROM turns GROUP BY conv_id),
+kept AS (
+    SELECT * FROM lists a
+    WHERE NOT EXISTS (SELECT 1 FROM lists b WHERE b.n_turns > a.n_turns AND b.said[1:a.n_turns] = a.said)
+      AND NOT EXISTS (SELECT 1 FROM lists b WHERE b.conv_id < a.conv_id AND b.said = a.said)),
+parts AS (SELECT *, unnest(range(0, (n_turns - 1) // 256 + 1)) AS part FROM kept)
+SELECT conv_id, n_turns, CAST(part AS INTEGER) AS part,
+    array_to_string(shown[CAST(part * 256 + 1 AS BIGINT):CAST(part * 256 + 256 AS BIGINT)], '') AS text
+FROM parts"""
+
+
+@query
+def op2_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_lattice.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), drop=("text",))
+
+
+@query
+def op7_minhash_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+ORACLES["op7_minhash_jaccard_join"] = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+    FROM documents),
+grams AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM words),
+flat AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM grams),
+pairs AS (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM flat a JOIN flat b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n
+    HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-6),
+reach(x, y) AS (SELECT x, y FROM pairs UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x)
+SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(y) FROM reach r WHERE r.x = d.doc_id), d.doc_id)) AS class_id,
+    coalesce((SELECT count(*) FROM pairs p WHERE p.x = d.doc_id), 0) AS n_links
+FROM documents d"""
