@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchline.llm import chat_collapse, context_tree, mixing, ngram_join, perplexity, piece_lattice, shards, token_files, toxicity
+from pitchline.llm import bm25_search, chat_collapse, context_tree, mixing, ngram_join, perplexity, piece_lattice, shards, token_files, toxicity
 from pitchline.llm.common import crc_bucket, table
 from pitchline.session import checkpoint_dir
 
@@ -119,3 +119,27 @@ reach(x, y) AS (SELECT x, y FROM pairs UNION SELECT r.x, p.y FROM reach r JOIN p
 SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(y) FROM reach r WHERE r.x = d.doc_id), d.doc_id)) AS class_id,
     coalesce((SELECT count(*) FROM pairs p WHERE p.x = d.doc_id), 0) AS n_links
 FROM documents d"""
+
+
+@query
+def op6_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25_search.search_all(docs, docs.filter(F.col("doc_id") % 100 == 0))
+
+
+ORACLES["op6_block_max_wand"] = r"""
+WITH words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+    FROM documents),
+facts AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM words),
+flat AS (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM words),
+tf AS (SELECT doc_id, size, term, count(*) AS tf FROM flat GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scores AS (
+    SELECT q.doc_id AS query_id, t.doc_id,
+        round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * q.tf * 2.2 * t.tf / (t.tf + 1.2 * (0.25 + 0.75 * t.size / mean))), 6) AS score
+    FROM tf q JOIN df USING (term) JOIN tf t USING (term), facts
+    WHERE q.doc_id % 100 = 0 GROUP BY q.doc_id, t.doc_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10"""
