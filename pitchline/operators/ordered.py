@@ -1,28 +1,27 @@
 """Ordered history per key that stays parallel when one key owns most rows.
 
 A plain ``Window.partitionBy(key)`` puts a whole key into one task.  Here the
-rows are first cut into *slices*: contiguous ranges of the global order with a
-bounded number of rows each.  No window ever spans more than one (key, slice);
-what a slice needs from earlier ones arrives as a few extra rows:
+rows are cut into *slices*: equal stretches between the least and the greatest
+value of the leading order column.  The slice number is a plain expression of
+that column, so it is the same wherever it is computed, and how many slices
+there are is set by the cluster.  No window ever spans more than one
+(key, slice); what a slice needs from earlier ones arrives as a few extra rows:
 
 * totals of all earlier slices (pre-aggregated, one row per key and slice);
 * the last ``n`` rows before the slice, for frames over the previous n rows.
-
-Inputs that fit into one slice keep the plain window.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import types as T
 
 from pitchline.session import durable
 
-SLICE_ROWS_CONF = "spark.pitchline.sliceRows"
-SLICE_ROWS = 2_000_000
+SLICES_CONF = "spark.pitchline.slices"
 SLICE = "_slice"
 
 
@@ -68,18 +67,45 @@ _AGG = {
 }
 
 
-def slice_rows_of(df: DataFrame, given: int | None = None) -> int:
-    return given or int(df.sparkSession.conf.get(SLICE_ROWS_CONF, str(SLICE_ROWS)))
+@dataclass(frozen=True)
+class Span:
+    """Least and greatest value of an order column, as columns: literals or scalar subqueries."""
 
+    low: Column
+    high: Column
 
-def cut_into_slices(df: DataFrame, order: Sequence[str], slices: int) -> DataFrame:
-    """Tag rows with the contiguous order range they fall in.
 
-    The tag depends on sampled range bounds, so it is written down once
-    (checkpoint) before anything reads it twice.
-    """
-    ranged = df.repartitionByRange(slices, *[F.col(c) for c in order])
-    return durable(ranged.withColumn(SLICE, F.spark_partition_id()))
+def span_of(df: DataFrame, column: str) -> Span:
+    """Subqueries over ``df``: nothing runs before the query that uses them."""
+    c = F.col(column)
+    return Span(df.agg(F.min(c)).scalar(), df.agg(F.max(c)).scalar())
+
+
+def slices_of(df: DataFrame) -> int:
+    """As many slices as the session has shuffle partitions, unless set."""
+    conf = df.sparkSession.conf
+    return int(conf.get(SLICES_CONF, None) or conf.get("spark.sql.shuffle.partitions"))
+
+
+def _as_number(x: Column, kind: T.DataType) -> Column:
+    """A number that grows with the value; text counts by its first six bytes."""
+    if isinstance(kind, T.DateType):
+        return F.unix_date(x).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(x).cast("double")
+    if isinstance(kind, T.StringType):
+        head = F.rpad(F.substring(F.hex(F.encode(x, "UTF-8")), 1, 12), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    return x.cast("double")
+
+
+def sliced_by(df: DataFrame, column: str, span: Span | None = None) -> DataFrame:
+    """Tag rows with the slice that their value of ``column`` falls in; values outside the span go to the end slices."""
+    n, kind = slices_of(df), df.schema[column].dataType
+    span = span or span_of(df, column)
+    x, low, high = (_as_number(c, kind) for c in (F.col(column), span.low, span.high))
+    at = F.floor((x - low) * n / F.nullif(high - low, F.lit(0.0)))
+    return df.withColumn(SLICE, F.coalesce(F.least(F.greatest(at, F.lit(0)), F.lit(n - 1)), F.lit(0)).cast("int"))
 
 
 def _input(spec: Spec) -> Column:
@@ -120,30 +146,23 @@ def with_history(
     order: Sequence[str],
     specs: Sequence[Spec],
     *,
-    rows: int | None = None,
-    slice_rows: int | None = None,
+    span: Span | None = None,
     context: DataFrame | None = None,
 ) -> DataFrame:
     """Add one column per spec, computed over the earlier rows of the same key.
 
-    ``order`` must be unique per key and free of nulls.  ``rows`` is a known
-    upper bound of the row count; without it the rows are counted.
-    ``context`` (see ``history_context``) stands for rows seen before ``df``.
+    ``order`` must be unique per key and free of nulls.  ``span`` holds the
+    bounds of its first column where they are known more cheaply than from
+    ``df``.  ``context`` (see ``history_context``) stands for rows seen before
+    ``df``.
     """
     keys, order, specs = list(keys), list(order), list(specs)
-    per_slice = slice_rows_of(df, slice_rows)
-    rows = df.count() if rows is None else rows
     cols = _input_names(specs)
     staged = df.withColumns({c: _input(s) for c, s in zip(cols, specs)}).withColumn(_EXTRA, F.lit(False))
-    before = None if context is None else context.withColumn(_EXTRA, F.lit(True))
-
-    if rows <= per_slice:
-        merged = staged if before is None else staged.unionByName(before, allowMissingColumns=True)
-        return _windowed(merged, keys, order, specs)
-
-    sliced = cut_into_slices(staged, order, math.ceil(rows / per_slice))
-    if before is not None:
-        sliced = sliced.unionByName(before.withColumn(SLICE, F.lit(-1)), allowMissingColumns=True)
+    sliced = sliced_by(staged, order[0], span)
+    if context is not None:
+        before = context.withColumn(_EXTRA, F.lit(True)).withColumn(SLICE, F.lit(-1))
+        sliced = sliced.unionByName(before, allowMissingColumns=True)
     w_slices = W.partitionBy(*keys).orderBy(SLICE)
     merged = sliced
 

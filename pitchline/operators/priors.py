@@ -11,29 +11,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pitchline import presets as P
 from pitchline.functions import lineups as L, rules as R
 from pitchline.operators.facts import both_sides, team_long
-from pitchline.operators.ordered import Latest, Recent, Total, with_history
+from pitchline.operators.ordered import Latest, Recent, Span, Total, with_history
 from pitchline.session import durable
 
 ORDER = ["match_date", "match_id"]
 
 
-def _long_rows(rows: int | None) -> int | None:
-    return None if rows is None else 2 * rows
-
-
 def win_flag(winner: Column, team: Column) -> Column:
     return R.flag(winner == team)
 
 
-def team_form(matches: DataFrame, n: int = 5, rows: int | None = None) -> DataFrame:
+def team_form(matches: DataFrame, n: int = 5, span: Span | None = None) -> DataFrame:
     """Win share over each side's previous n matches; null on its first."""
     long = team_long(matches.select(*ORDER, "team1", "team2", "winner"))
     spec = Recent("form", win_flag(F.col("winner"), F.col("team")), n)
-    out = with_history(long, ["team"], ORDER, [spec], rows=_long_rows(rows))
+    out = with_history(long, ["team"], ORDER, [spec], span=span)
     return both_sides(out, ["match_id"], ["form"])
 
 
-def team_recent(results: DataFrame, n: int = 5, rows: int | None = None) -> DataFrame:
+def team_recent(results: DataFrame, n: int = 5, span: Span | None = None) -> DataFrame:
     """Form, runs for/against, wickets taken, powerplay and death rates, with defaults."""
     d = P.BALL_DEFAULTS
     pair = lambda f: (f(1, 2), f(2, 1))
@@ -50,12 +46,12 @@ def team_recent(results: DataFrame, n: int = 5, rows: int | None = None) -> Data
         "pp_rr": d["pp_rr"], "death_rr": d["death_rr"],
     }
     specs = [Recent(f"{c}_{n}", F.col(c), n) for c in fill]
-    out = with_history(long, ["team"], ORDER, specs, rows=_long_rows(rows))
+    out = with_history(long, ["team"], ORDER, specs, span=span)
     out = out.withColumns({f"{c}_{n}": F.coalesce(f"{c}_{n}", F.lit(v)) for c, v in fill.items()})
     return both_sides(out, ["match_id"], [f"{c}_{n}" for c in fill])
 
 
-def venue_phase_means(results: DataFrame, rows: int | None = None) -> DataFrame:
+def venue_phase_means(results: DataFrame, span: Span | None = None) -> DataFrame:
     """Mean first-innings runs and phase rates at the venue before the match."""
     d = P.BALL_DEFAULTS
     first1 = R.batting_first(*_toss()) == F.col("team1")
@@ -70,7 +66,7 @@ def venue_phase_means(results: DataFrame, rows: int | None = None) -> DataFrame:
     played = (F.col("balls_1") > 0) & (F.col("balls_2") > 0)
     base = results.select(*ORDER, "venue", *[F.when(played, v).alias(f"_{n}") for n, (v, _) in values.items()])
     specs = [s for n in values for s in (Total(f"{n}_sum", F.col(f"_{n}")), Total(f"{n}_n", F.col(f"_{n}"), "count"))]
-    out = with_history(base, ["venue"], ORDER, specs, rows=rows)
+    out = with_history(base, ["venue"], ORDER, specs, span=span)
     return out.select("match_id", *[
         F.coalesce(F.col(f"{n}_sum") / F.nullif(F.col(f"{n}_n"), F.lit(0)), F.lit(v)).alias(f"venue_{n}_prior")
         for n, (_, v) in values.items()
@@ -81,54 +77,54 @@ def _toss() -> tuple[Column, Column, Column, Column]:
     return F.col("toss_winner"), F.col("toss_decision"), F.col("team1"), F.col("team2")
 
 
-def venue_chase(matches: DataFrame, rows: int | None = None) -> DataFrame:
+def venue_chase(matches: DataFrame, span: Span | None = None) -> DataFrame:
     """Smoothed chase win rate by toss-derived order, and its signed score."""
     chase_won = R.flag(F.col("winner") == R.chasing_side(*_toss()))
     known = F.col("toss_winner").isNotNull() & F.col("winner").isNotNull()
     specs = [Total("_g", F.when(known, 1), "count"), Total("_w", F.when(known, chase_won))]
-    out = with_history(matches, ["venue"], ORDER, specs, rows=rows)
+    out = with_history(matches, ["venue"], ORDER, specs, span=span)
     rate = F.when(F.col("_g") > 0, R.smoothed_rate(F.col("_w"), F.col("_g"))).otherwise(0.5)
     return out.select("match_id", rate.alias("venue_chase_winrate_prior"),
                       R.signed_score(rate).alias("venue_score_prior"))
 
 
-def venue_chase_played(results: DataFrame, rows: int | None = None) -> DataFrame:
+def venue_chase_played(results: DataFrame, span: Span | None = None) -> DataFrame:
     """Smoothed chase rate where both innings were really played."""
     played = (F.col("balls_1") > 0) & (F.col("balls_2") > 0)
     won = R.flag(F.col("winner") == R.chasing_side(*_toss()))
     specs = [Total("_g", F.when(played, 1), "count"), Total("_w", F.when(played, won))]
     out = with_history(results.select(*ORDER, "venue", "toss_winner", "toss_decision", "team1", "team2", "winner",
-                                      "balls_1", "balls_2"), ["venue"], ORDER, specs, rows=rows)
+                                      "balls_1", "balls_2"), ["venue"], ORDER, specs, span=span)
     rate = F.when(F.col("_g") > 0, R.smoothed_rate(F.col("_w"), F.col("_g"))).otherwise(0.5)
     return out.select("match_id", rate.alias("venue_chase_played_prior"))
 
 
-def head_to_head(matches: DataFrame, rows: int | None = None) -> DataFrame:
+def head_to_head(matches: DataFrame, span: Span | None = None) -> DataFrame:
     """Side 1's win share in earlier meetings in the same order of sides."""
     specs = [Total("_g", F.lit(1), "count"), Total("_w", win_flag(F.col("winner"), F.col("team1")))]
-    out = with_history(matches, ["team1", "team2"], ORDER, specs, rows=rows)
+    out = with_history(matches, ["team1", "team2"], ORDER, specs, span=span)
     rate = F.col("_w") / F.nullif(F.col("_g"), F.lit(0))
     return out.select("match_id", F.coalesce(rate, F.lit(P.BALL_DEFAULTS["h2h"])).alias("h2h_team1_winrate_prior"))
 
 
-def head_to_head_any_order(matches: DataFrame, rows: int | None = None) -> DataFrame:
+def head_to_head_any_order(matches: DataFrame, span: Span | None = None) -> DataFrame:
     """Side 1's win share in earlier decided meetings, either order of sides."""
     lo, hi = F.least("team1", "team2"), F.greatest("team1", "team2")
     m = matches.withColumns({"_lo": lo, "_hi": hi})
     decided = F.col("winner").isNotNull()
     specs = [Total("_g", F.when(decided, 1), "count"), Total("_w", F.when(decided, R.flag(F.col("winner") == F.col("_lo"))))]
-    out = with_history(m, ["_lo", "_hi"], ORDER, specs, rows=rows)
+    out = with_history(m, ["_lo", "_hi"], ORDER, specs, span=span)
     wins = F.when(F.col("team1") == F.col("_lo"), F.col("_w")).otherwise(F.col("_g") - F.col("_w"))
     rate = wins / F.nullif(F.col("_g"), F.lit(0))
     return out.select("match_id", F.coalesce(rate, F.lit(0.5)).alias("h2h_any_order_prior"))
 
 
-def venue_team(matches: DataFrame, smoothed: bool = True, rows: int | None = None) -> DataFrame:
+def venue_team(matches: DataFrame, smoothed: bool = True, span: Span | None = None) -> DataFrame:
     """Each side's earlier win rate at the venue."""
     long = team_long(matches.select(*ORDER, "venue", "team1", "team2", "winner"))
     counted = F.lit(1) if smoothed else F.when(F.col("winner").isNotNull(), 1)
     specs = [Total("_g", counted, "count"), Total("_w", win_flag(F.col("winner"), F.col("team")))]
-    out = with_history(long, ["venue", "team"], ORDER, specs, rows=_long_rows(rows))
+    out = with_history(long, ["venue", "team"], ORDER, specs, span=span)
     if smoothed:
         rate = R.smoothed_rate(F.col("_w"), F.col("_g"))
     else:
@@ -136,39 +132,39 @@ def venue_team(matches: DataFrame, smoothed: bool = True, rows: int | None = Non
     return both_sides(out.withColumn("venue_winrate", rate), ["match_id"], ["venue_winrate"])
 
 
-def venue_toss_habit(matches: DataFrame, rows: int | None = None) -> DataFrame:
+def venue_toss_habit(matches: DataFrame, span: Span | None = None) -> DataFrame:
     """Share of earlier tosses at the venue that chose to bat, and what follows from it."""
     known = F.col("toss_decision").isin("bat", "field")
     specs = [
         Total("_n", F.when(known, 1), "count"),
         Total("_bat", F.when(known, R.flag(F.col("toss_decision") == "bat"))),
     ]
-    out = with_history(matches, ["venue"], ORDER, specs, rows=rows)
+    out = with_history(matches, ["venue"], ORDER, specs, span=span)
     rate = F.coalesce(F.col("_bat") / F.nullif(F.col("_n"), F.lit(0)), F.lit(P.BALL_DEFAULTS["toss_bat"]))
     return out.select("match_id", rate.alias("venue_toss_bat_rate_prior"),
                       R.toss_alignment(F.col("toss_decision"), rate).alias("toss_decision_alignment_prior"))
 
 
-def venue_toss_side(matches: DataFrame, rows: int | None = None) -> DataFrame:
+def venue_toss_side(matches: DataFrame, span: Span | None = None) -> DataFrame:
     """Smoothed side-1 win rate by venue, toss side and decision."""
     m = matches.withColumn("_t1", R.flag(F.col("toss_winner") == F.col("team1")))
     known = F.col("toss_winner").isin(F.col("team1"), F.col("team2"))
     specs = [Total("_g", F.when(known, 1), "count"),
              Total("_w", F.when(known, win_flag(F.col("winner"), F.col("team1"))))]
-    out = with_history(m, ["venue", "_t1", "toss_decision"], ORDER, specs, rows=rows)
+    out = with_history(m, ["venue", "_t1", "toss_decision"], ORDER, specs, span=span)
     return out.select("match_id", R.smoothed_rate(F.col("_w"), F.col("_g")).alias("toss_decision_venue_team1_winrate"))
 
 
-def simple_expanding(results: DataFrame, rows: int | None = None) -> DataFrame:
+def simple_expanding(results: DataFrame, span: Span | None = None) -> DataFrame:
     """Earlier win rate per side (.5) and earlier first-innings mean per venue (160)."""
     base = durable(results.select(*ORDER, "venue", "team1", "team2", "winner", "runs_1"))
     long = team_long(base)
     t = with_history(long, ["team"], ORDER, [
         Total("_g", F.lit(1), "count"), Total("_w", win_flag(F.col("winner"), F.col("team"))),
-    ], rows=_long_rows(rows))
+    ], span=span)
     rate = F.coalesce(F.col("_w") / F.nullif(F.col("_g"), F.lit(0)), F.lit(0.5))
     teams = both_sides(t.withColumn("winrate_all", rate), ["match_id"], ["winrate_all"])
-    v = with_history(base, ["venue"], ORDER, [Total("_n", F.col("runs_1"), "count"), Total("_s", F.col("runs_1"))], rows=rows)
+    v = with_history(base, ["venue"], ORDER, [Total("_n", F.col("runs_1"), "count"), Total("_s", F.col("runs_1"))], span=span)
     mean = F.coalesce(F.col("_s") / F.nullif(F.col("_n"), F.lit(0)), F.lit(160.0))
     return teams.join(v.select("match_id", mean.alias("venue_avg_runs")), "match_id")
 
@@ -177,10 +173,10 @@ def _guard(x: Column) -> Column:
     return F.when(x == 0, F.lit(1)).otherwise(x)
 
 
-def batting_vectors(batting: DataFrame, n: int = 10, rows: int | None = None) -> DataFrame:
+def batting_vectors(batting: DataFrame, n: int = 10, span: Span | None = None) -> DataFrame:
     """Batting average and strike rate over the previous n matches of a player."""
     specs = [Recent(f"_{c}", F.col(c), n, "sum") for c in ("runs", "balls", "outs")]
-    out = with_history(batting, ["player"], ORDER, specs, rows=rows)
+    out = with_history(batting, ["player"], ORDER, specs, span=span)
     return out.select(
         "match_id", "player",
         F.coalesce(F.col("_runs") / _guard(F.col("_outs")), F.lit(0.0)).alias("bat_avg_10"),
@@ -188,10 +184,10 @@ def batting_vectors(batting: DataFrame, n: int = 10, rows: int | None = None) ->
     )
 
 
-def bowling_vectors(bowling: DataFrame, n: int = 10, rows: int | None = None) -> DataFrame:
+def bowling_vectors(bowling: DataFrame, n: int = 10, span: Span | None = None) -> DataFrame:
     """Bowling average, economy and strike rate over the previous n matches."""
     specs = [Recent(f"_{c}", F.col(c), n, "sum") for c in ("wickets", "runs_given", "balls_bowled")]
-    out = with_history(bowling, ["player"], ORDER, specs, rows=rows)
+    out = with_history(bowling, ["player"], ORDER, specs, span=span)
     overs = F.col("_balls_bowled") / 6
     return out.select(
         "match_id", "player",
@@ -201,31 +197,31 @@ def bowling_vectors(bowling: DataFrame, n: int = 10, rows: int | None = None) ->
     )
 
 
-def player_vectors(batting: DataFrame, bowling: DataFrame, n: int = 10, rows: int | None = None) -> DataFrame:
+def player_vectors(batting: DataFrame, bowling: DataFrame, n: int = 10, span: Span | None = None) -> DataFrame:
     """Batting and bowling vectors in one row per match and player, zero-filled."""
-    return batting_vectors(batting, n, rows).join(
-        bowling_vectors(bowling, n, rows), ["match_id", "player"], "full"
+    return batting_vectors(batting, n, span).join(
+        bowling_vectors(bowling, n, span), ["match_id", "player"], "full"
     ).fillna(0.0)
 
 
-def lineup_continuity(lineups: DataFrame, rows: int | None = None) -> DataFrame:
+def lineup_continuity(lineups: DataFrame, span: Span | None = None) -> DataFrame:
     """Share of a side's lineup (array ``players``) seen in its previous lineup."""
     spec = Recent("_prev", F.col("players"), 1, "last")
-    out = with_history(lineups, ["team"], ORDER, [spec], rows=rows)
+    out = with_history(lineups, ["team"], ORDER, [spec], span=span)
     share = L.continuity(F.col("players"), F.col("_prev"), P.BALL_DEFAULTS["continuity"])
     return out.select("match_id", "side", share.alias("xi_continuity"))
 
 
-def player_availability(lineup_rows: DataFrame, days: int = P.SEEN_WITHIN_DAYS, rows: int | None = None) -> DataFrame:
+def player_availability(lineup_rows: DataFrame, days: int = P.SEEN_WITHIN_DAYS, span: Span | None = None) -> DataFrame:
     """Share of a side's players seen within the last ``days``; complement as injury proxy."""
     spec = Recent("_seen", F.col("match_date"), 1, "last")
-    out = with_history(lineup_rows, ["player"], [*ORDER, "side"], [spec], rows=rows)
+    out = with_history(lineup_rows, ["player"], [*ORDER, "side"], [spec], span=span)
     active = F.coalesce(F.datediff("match_date", "_seen") <= days, F.lit(False)).cast("int")
     per = out.groupBy("match_id", "side").agg((F.sum(active) / F.count("*")).alias("availability"))
     return per.withColumn("injury_proxy", 1 - F.col("availability"))
 
 
-def store_features(results: DataFrame, n: int = 5, rows: int | None = None) -> DataFrame:
+def store_features(results: DataFrame, n: int = 5, span: Span | None = None) -> DataFrame:
     """Feature-store row per match, built from *completed* earlier matches only.
 
     Each completed match first gets the state *after* it (per key); every
@@ -246,7 +242,7 @@ def store_features(results: DataFrame, n: int = 5, rows: int | None = None) -> D
     fill = {"win": d["form"], "runs_for": d["runs"], "runs_against": d["runs"], "wkts_taken": d["wkts"],
             "pp_rr": d["pp_rr"], "death_rr": d["death_rr"]}
     long = long.select(*ORDER, "side", "team", "winner", *fill)
-    state = completed_state(long, ["team"], done, [Recent(f"last_{c}", F.col(c), n, "avg", True) for c in fill], _long_rows(rows))
+    state = completed_state(long, ["team"], done, [Recent(f"last_{c}", F.col(c), n, "avg", True) for c in fill], span)
     teams = both_sides(
         state.withColumns({f"{c}_{n}": F.coalesce(F.col(f"before.last_{c}"), F.lit(v)) for c, v in fill.items()}),
         ["match_id"], [f"{c}_{n}" for c in fill],
@@ -260,23 +256,23 @@ def store_features(results: DataFrame, n: int = 5, rows: int | None = None) -> D
     v = completed_state(venue_in, ["venue"], done, [
         Total("n", F.lit(1), "count", True), Total("first", F.col("first_runs"), "sum", True),
         Total("chase", F.col("chase_won"), "sum", True),
-    ], rows)
+    ], span)
     venue = v.select(
         "match_id",
         F.coalesce(F.col("before.first") / F.col("before.n"), F.lit(d["first_runs"])).alias("venue_avg_first_innings_runs_prior"),
         F.coalesce(F.col("before.chase") / F.col("before.n"), F.lit(d["chase"])).alias("venue_chase_winrate_prior"),
     )
-    h2h = head_to_head_any_order(results, rows)
-    at = venue_team(results, smoothed=False, rows=rows)
+    h2h = head_to_head_any_order(results, span)
+    at = venue_team(results, smoothed=False, span=span)
     keep = results.select("match_id", "team1", "team2", "venue")
     return keep.join(teams, "match_id").join(venue, "match_id").join(h2h, "match_id").join(at, "match_id")
 
 
 def completed_state(
-    df: DataFrame, keys: list[str], done: Column, specs: list, rows: int | None = None, order: list[str] = ORDER
+    df: DataFrame, keys: list[str], done: Column, specs: list, span: Span | None = None, order: list[str] = ORDER
 ) -> DataFrame:
     """Add struct ``before``: the spec values after the key's latest completed earlier row."""
-    closed = with_history(df.filter(done), keys, order, specs, rows=rows)
+    closed = with_history(df.filter(done), keys, order, specs, span=span)
     closed = closed.select(*df.columns, F.struct(*[s.name for s in specs]).alias("_after"))
     every = closed.unionByName(df.filter(~done), allowMissingColumns=True)
-    return with_history(every, keys, order, [Latest("before", F.col("_after"))], rows=rows).drop("_after")
+    return with_history(every, keys, order, [Latest("before", F.col("_after"))], span=span).drop("_after")

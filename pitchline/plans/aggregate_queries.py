@@ -240,7 +240,7 @@ def agg18(t: Tables):
 SELECT match_id, match_date, row_number() OVER (ORDER BY match_date, match_id) AS pos FROM matches""")
 def srt1(t: Tables):
     m = t.matches.select("match_id", "match_date")
-    return positions(m, ["match_date", "match_id"], rows=t.rows("orders")).orderBy("match_date", "match_id")
+    return positions(m, ["match_date", "match_id"], span=t.dates).orderBy("match_date", "match_id")
 
 
 @query("srt2_latest_log_rows", cte("log") + """
@@ -274,7 +274,7 @@ def srt4(t: Tables):
 SELECT match_id, season = 2001 AS is_test FROM matches""")
 def spl1(t: Tables):
     m = t.matches.select("match_id", "match_date", "season")
-    return S.holdout_year(m, F.col("season"), 2001, ["match_date", "match_id"], rows=t.rows("orders")).select("match_id", "is_test")
+    return S.holdout_year(m, F.col("season"), 2001, ["match_date", "match_id"], span=t.dates).select("match_id", "is_test")
 
 
 @query("spl1_holdout_fallback", cte("matches") + """
@@ -282,7 +282,7 @@ SELECT match_id, row_number() OVER (ORDER BY match_date, match_id) > floor(0.8 *
 FROM matches""")
 def spl1b(t: Tables):
     m = t.matches.select("match_id", "match_date", "season")
-    return S.holdout_year(m, F.col("season"), 2030, ["match_date", "match_id"], rows=t.rows("orders")).select("match_id", "is_test")
+    return S.holdout_year(m, F.col("season"), 2030, ["match_date", "match_id"], span=t.dates).select("match_id", "is_test")
 
 
 @query("spl2_split_by_position", cte("matches") + """
@@ -290,7 +290,7 @@ SELECT match_id, row_number() OVER (ORDER BY match_date, match_id) > floor(0.85
 FROM matches""")
 def spl2(t: Tables):
     m = t.matches.select("match_id", "match_date")
-    return S.split_by_position(m, ["match_date", "match_id"], 0.85, rows=t.rows("orders")).select("match_id", "is_test")
+    return S.split_by_position(m, ["match_date", "match_id"], 0.85, span=t.dates).select("match_id", "is_test")
 
 
 @query("spl3_stratified_split", cte("scored") + """, p AS (
@@ -299,14 +299,14 @@ def spl2(t: Tables):
 SELECT match_id, label, pos > floor(n * 0.8) AS is_test FROM p""")
 def spl3(t: Tables):
     s = t.scored.select("match_id", "label")
-    return S.stratified_split(s, "label", "match_id", rows=t.rows("orders")).select("match_id", "label", "is_test")
+    return S.stratified_split(s, "label", "match_id").select("match_id", "label", "is_test")
 
 
 @query("spl4_stratified_folds", cte("scored") + """
 SELECT match_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY match_id * 31 % 1009, match_id) - 1) % 5 AS INTEGER)
   AS fold FROM scored""")
 def spl4(t: Tables):
-    return S.stratified_folds(t.scored.select("match_id", "label"), "label", "match_id", 5, rows=t.rows("orders"))
+    return S.stratified_folds(t.scored.select("match_id", "label"), "label", "match_id", 5)
 
 
 @query("spl5_fallback_source", cte("log") + """

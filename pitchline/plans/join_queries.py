@@ -190,7 +190,7 @@ SIDE_MEANS_SQL = cte("matches", "batting", "bowling", "lineups") + VECTORS_SQL[l
 
 
 def side_means(t: Tables):
-    v = priors.player_vectors(t.dated(t.batting), t.dated(t.bowling), rows=t.rows("lineitem"))
+    v = priors.player_vectors(t.dated(t.batting), t.dated(t.bowling), span=t.dates)
     v = v.select("match_id", "player", F.col("bat_avg_10").alias("bat_avg"), F.col("bat_sr_10").alias("bat_sr"),
                  F.col("bowl_econ_10").alias("bowl_eco"), F.col("bowl_sr_10").alias("bowl_sr"))
     rows = L.lineup_rows(t.lineups, "players", "match_id", "side")

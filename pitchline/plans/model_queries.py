@@ -29,14 +29,14 @@ def feature_frame(t: Tables):
     """Decided matches with priors, label, split flag and folds, stored once per session."""
     key = (t.spark.sparkContext.applicationId, t.dir)
     if key not in _frames:
-        n, m = t.rows("orders"), t.matches
-        f = (m.join(priors.team_form(m, rows=n), "match_id").join(priors.venue_chase(m, n), "match_id")
-             .join(priors.head_to_head(m, n), "match_id").join(priors.venue_team(m, rows=n), "match_id"))
+        span, m = t.dates, t.matches
+        f = (m.join(priors.team_form(m, span=span), "match_id").join(priors.venue_chase(m, span), "match_id")
+             .join(priors.head_to_head(m, span), "match_id").join(priors.venue_team(m, span=span), "match_id"))
         f = f.filter(F.col("winner").isNotNull()).withColumn("label", R.won_by_side1(F.col("winner"), F.col("team1")).cast("double"))
         f = f.select("match_id", "match_date", "season", *TEXT, *NUMBER, "label").withColumns({
             "is_test": F.col("season") >= 2000, "weight": R.training_weight(F.col("season") + 23),
             "spread": (F.col("match_id") * 7919 % 10007) / 10007.0})
-        _frames[key] = durable(S.stratified_folds(f, "label", "match_id", FOLDS, rows=n))
+        _frames[key] = durable(S.stratified_folds(f, "label", "match_id", FOLDS))
     return _frames[key]
 
 
@@ -363,7 +363,7 @@ def squad_vectors(t: Tables):
     squads = t.read("supplier").select(F.concat(F.lit("NATION_"), "s_nationkey").alias("team"), "s_suppkey",
                                        F.concat(F.lit("Player "), "s_suppkey").alias("player"), "s_acctbal")
     xi = top_n(squads, ["team"], [F.col("s_acctbal").desc(), F.col("s_suppkey")], 11)
-    v = priors.player_vectors(t.dated(t.batting), t.dated(t.bowling), rows=t.rows("lineitem"))
+    v = priors.player_vectors(t.dated(t.batting), t.dated(t.bowling), span=t.dates)
     latest = J.latest_per_key(v, ["player"], ["match_id"])
     named = {"bat_avg_10": "bat_avg", "bat_sr_10": "bat_sr", "bowl_econ_10": "bowl_eco", "bowl_sr_10": "bowl_sr"}
     j = xi.join(latest, "player", "left")

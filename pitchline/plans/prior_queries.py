@@ -28,7 +28,7 @@ def _all(expr: str, key: str, order: str = "match_date, match_id") -> str:
 SELECT match_id, round(max(CASE WHEN side = 1 THEN form END), 6) AS team1_form,
        round(max(CASE WHEN side = 2 THEN form END), 6) AS team2_form FROM f GROUP BY 1""")
 def win1(t: Tables):
-    return rounded(priors.team_form(t.matches, rows=t.rows("orders")), "team1_form", "team2_form")
+    return rounded(priors.team_form(t.matches, span=t.dates), "team1_form", "team2_form")
 
 
 _RECENT = ["score", "runs_for", "runs_against", "wkts_taken", "pp_rr", "death_rr"]
@@ -51,7 +51,7 @@ _RECENT_LONG = """, tl AS (
     f"round(max(CASE WHEN side = {s} THEN {c} END), 6) AS team{s}_{c}_5" for s in (1, 2) for c in _RECENT)
     + " FROM f GROUP BY 1")
 def win2(t: Tables):
-    out = priors.team_recent(t.results, rows=t.rows("orders"))
+    out = priors.team_recent(t.results, span=t.dates)
     return rounded(out, *[c for c in out.columns if c != "match_id"])
 
 
@@ -74,7 +74,7 @@ _VENUE_IN = """, v AS (
         ("fr", 165.0, "first_runs"), ("p1", 7.5, "pp_rr_first"), ("d1", 9.5, "death_rr_first"),
         ("p2", 7.3, "pp_rr_second"), ("d2", 9.2, "death_rr_second"))) + " FROM v")
 def win3(t: Tables):
-    out = priors.venue_phase_means(t.results, rows=t.rows("orders"))
+    out = priors.venue_phase_means(t.results, span=t.dates)
     # Means of fractions: a tiny shift keeps exact halves from rounding by summation order.
     return out.select("match_id", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in out.columns if c != "match_id"])
 
@@ -90,7 +90,7 @@ _CHASER = """CASE WHEN toss_decision = 'field' THEN toss_winner
 SELECT match_id, round(CASE WHEN g > 0 THEN (w + 1) / (g + 2) ELSE 0.5 END, 6) AS venue_chase_winrate_prior,
        round(2 * CASE WHEN g > 0 THEN (w + 1) / (g + 2) ELSE 0.5 END - 1, 6) AS venue_score_prior FROM g""")
 def win4(t: Tables):
-    return rounded(priors.venue_chase(t.matches, rows=t.rows("orders")), "venue_chase_winrate_prior", "venue_score_prior")
+    return rounded(priors.venue_chase(t.matches, span=t.dates), "venue_chase_winrate_prior", "venue_score_prior")
 
 
 @query("win4_venue_chase_played", cte("results") + f""", g AS (
@@ -99,14 +99,14 @@ def win4(t: Tables):
   FROM results)
 SELECT match_id, round(CASE WHEN g > 0 THEN (w + 1) / (g + 2) ELSE 0.5 END, 6) AS venue_chase_played_prior FROM g""")
 def win4b(t: Tables):
-    return rounded(priors.venue_chase_played(t.results, rows=t.rows("orders")), "venue_chase_played_prior")
+    return rounded(priors.venue_chase_played(t.results, span=t.dates), "venue_chase_played_prior")
 
 
 @query("win5_head_to_head_ordered", cte("matches") + f"""
 SELECT match_id, round(coalesce({_all("avg(CASE WHEN winner = team1 THEN 1 ELSE 0 END)", "team1, team2")}, 0.5), 6)
   AS h2h_team1_winrate_prior FROM matches""")
 def win5(t: Tables):
-    return rounded(priors.head_to_head(t.matches, rows=t.rows("orders")), "h2h_team1_winrate_prior")
+    return rounded(priors.head_to_head(t.matches, span=t.dates), "h2h_team1_winrate_prior")
 
 
 @query("win6_head_to_head_unordered", cte("matches") + f""", g AS (
@@ -117,7 +117,7 @@ def win5(t: Tables):
 SELECT match_id, round(coalesce(CASE WHEN team1 = lo THEN w ELSE g - w END / nullif(g, 0), 0.5), 6)
   AS h2h_any_order_prior FROM g""")
 def win6(t: Tables):
-    return rounded(priors.head_to_head_any_order(t.matches, rows=t.rows("orders")), "h2h_any_order_prior")
+    return rounded(priors.head_to_head_any_order(t.matches, span=t.dates), "h2h_any_order_prior")
 
 
 @query("win7_venue_team_smoothed", cte("long") + f""", g AS (
@@ -126,7 +126,7 @@ def win6(t: Tables):
 SELECT match_id, round(max(CASE WHEN side = 1 THEN r END), 6) AS team1_venue_winrate,
        round(max(CASE WHEN side = 2 THEN r END), 6) AS team2_venue_winrate FROM g GROUP BY 1""")
 def win7(t: Tables):
-    return rounded(priors.venue_team(t.matches, rows=t.rows("orders")), "team1_venue_winrate", "team2_venue_winrate")
+    return rounded(priors.venue_team(t.matches, span=t.dates), "team1_venue_winrate", "team2_venue_winrate")
 
 
 @query("win7_venue_team_unsmoothed", cte("long") + f""", g AS (
@@ -135,7 +135,7 @@ def win7(t: Tables):
 SELECT match_id, round(max(CASE WHEN side = 1 THEN r END), 6) AS team1_venue_winrate,
        round(max(CASE WHEN side = 2 THEN r END), 6) AS team2_venue_winrate FROM g GROUP BY 1""")
 def win7b(t: Tables):
-    out = priors.venue_team(t.matches, smoothed=False, rows=t.rows("orders"))
+    out = priors.venue_team(t.matches, smoothed=False, span=t.dates)
     return rounded(out, "team1_venue_winrate", "team2_venue_winrate")
 
 
@@ -146,7 +146,7 @@ SELECT match_id, round(r, 6) AS venue_toss_bat_rate_prior,
        CASE WHEN (r >= 0.5) = (toss_decision = 'bat') THEN 1.0::DOUBLE ELSE 0.0 END AS toss_decision_alignment_prior
 FROM g""")
 def win8(t: Tables):
-    return rounded(priors.venue_toss_habit(t.matches, rows=t.rows("orders")), "venue_toss_bat_rate_prior")
+    return rounded(priors.venue_toss_habit(t.matches, span=t.dates), "venue_toss_bat_rate_prior")
 
 
 @query("win9_venue_toss_side_decision", cte("matches") + f""", m AS (
@@ -154,7 +154,7 @@ def win8(t: Tables):
 SELECT match_id, round((coalesce({_all("sum(CASE WHEN winner = team1 THEN 1 ELSE 0 END)", "venue, t1, toss_decision")}, 0) + 1)
   / ({_all("count(*)", "venue, t1, toss_decision")} + 2), 6) AS toss_decision_venue_team1_winrate FROM m""")
 def win9(t: Tables):
-    return rounded(priors.venue_toss_side(t.matches, rows=t.rows("orders")), "toss_decision_venue_team1_winrate")
+    return rounded(priors.venue_toss_side(t.matches, span=t.dates), "toss_decision_venue_team1_winrate")
 
 
 @query("win10_expanding_defaults", cte("results") + f""", tl AS (
@@ -166,7 +166,7 @@ SELECT f.match_id, round(max(CASE WHEN side = 1 THEN r END), 6) AS team1_winrate
        round(max(CASE WHEN side = 2 THEN r END), 6) AS team2_winrate_all, round(max(a), 5) AS venue_avg_runs
 FROM f JOIN v ON f.match_id = v.match_id GROUP BY 1""")
 def win10(t: Tables):
-    out = priors.simple_expanding(t.results, rows=t.rows("orders"))
+    out = priors.simple_expanding(t.results, span=t.dates)
     return rounded(rounded(out, "team1_winrate_all", "team2_winrate_all"), "venue_avg_runs", digits=5)
 
 
@@ -190,7 +190,7 @@ SELECT coalesce(bv.match_id, wv.match_id) AS match_id, coalesce(bv.player, wv.pl
     f"round(coalesce({c}, 0), 5) AS {c}" for c in ("bat_avg_10", "bat_sr_10", "bowl_avg_10", "bowl_econ_10", "bowl_sr_10"))
     + " FROM bv FULL JOIN wv ON bv.match_id = wv.match_id AND bv.player = wv.player")
 def win11(t: Tables):
-    out = priors.player_vectors(t.dated(t.batting), t.dated(t.bowling), rows=t.rows("lineitem"))
+    out = priors.player_vectors(t.dated(t.batting), t.dated(t.bowling), span=t.dates)
     return rounded(out, "bat_avg_10", "bat_sr_10", "bowl_avg_10", "bowl_econ_10", "bowl_sr_10", digits=5)
 
 
@@ -204,7 +204,7 @@ def win12(t: Tables):
         "match_id", "match_date", "side", "players",
         F.when(F.col("side") == 1, F.col("team1")).otherwise(F.col("team2")).alias("team"),
     )
-    return rounded(priors.lineup_continuity(packed, rows=t.rows("lineitem")), "xi_continuity")
+    return rounded(priors.lineup_continuity(packed, span=t.dates), "xi_continuity")
 
 
 @query("win13_player_availability", cte("lineup_long") + """, q AS (
@@ -213,7 +213,7 @@ def win12(t: Tables):
 SELECT match_id, side, round(avg(CASE WHEN gap <= 450 THEN 1 ELSE 0 END), 6) AS availability,
        round(1 - avg(CASE WHEN gap <= 450 THEN 1 ELSE 0 END), 6) AS injury_proxy FROM q GROUP BY 1, 2""")
 def win13(t: Tables):
-    out = priors.player_availability(t.lineup_long, rows=t.rows("lineitem"))
+    out = priors.player_availability(t.lineup_long, span=t.dates)
     return rounded(out, "availability", "injury_proxy")
 
 
@@ -254,7 +254,7 @@ FROM matches m JOIN t ON t.match_id = m.match_id JOIN v ON v.match_id = m.match_
 
 @query("win14_feature_store_rows", _STORE_SQL)
 def win14(t: Tables):
-    out = priors.store_features(t.results, rows=t.rows("orders"))
+    out = priors.store_features(t.results, span=t.dates)
     long = "venue_avg_first_innings_runs_prior"
     return rounded(rounded(out, *[c for c in out.columns if c not in ("match_id", "team1", "team2", "venue", long)]),
                    long, digits=5)

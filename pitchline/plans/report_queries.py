@@ -44,7 +44,7 @@ SELECT user_id, round(list_reduce(list_prepend(1000.0::DOUBLE, s),
   lambda r, x: r + 20 * (x - 1 / (1 + pow(10.0, (1000.0 - r) / 400)))), 5) AS rating, games FROM l""")
 def rec3(t: Tables):
     score = F.when(F.col("event_type") == "purchase", 1.0).when(F.col("event_type") == "error", 0.0).otherwise(0.5)
-    out = ratings.anchored_ratings(t.read("events"), "user_id", ["ts", "event_id"], score, rows=t.rows("events"))
+    out = ratings.anchored_ratings(t.read("events"), "user_id", ["ts", "event_id"], score)
     return rounded(out, "rating", digits=5)
 
 
@@ -230,7 +230,7 @@ a AS (SELECT count(*) AS samples_test, avg(CASE WHEN label = pred THEN 1 ELSE 0
 SELECT samples_test, round(acc, 4) AS accuracy, round((sr - np * (np + 1) / 2) / (np * nn), 4) AS auc,
   CASE WHEN acc >= 0.65 THEN 'good' ELSE 'needs_attention' END AS status FROM a, s""")
 def evl14(t: Tables):
-    parts = S.stratified_split(t.scored, "label", "match_id", rows=t.rows("orders"))
+    parts = S.stratified_split(t.scored, "label", "match_id")
     test = parts.filter("is_test")
     auc = E.auc(E.roc_points(test, F.col("p1"), F.col("label") == 1)).select("auc").scalar()
     a = test.agg(F.count("*").alias("samples_test"), F.avg((F.col("label") == F.col("pred")).cast("int")).alias("acc"))

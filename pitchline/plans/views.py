@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pitchline.functions import rules
-from pitchline.operators.ordered import top_n
+from pitchline.operators.ordered import Span, span_of, top_n
 
 SIDE_SIZE = 11
 
@@ -27,6 +27,11 @@ class Tables:
             self._rows[name] = self.read(name).count()
         return self._rows[name]
 
+    @property
+    def dates(self) -> Span:
+        """First and last match date, read from one column of the base table."""
+        return span_of(self.read("orders").select(F.col("o_orderdate").cast("date").alias("d")), "d")
+
     @property
     def matches(self) -> DataFrame:
         o = self.read("orders")

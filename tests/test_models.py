@@ -28,7 +28,7 @@ def test_cardinality_reducer(spark, tmp_path):
 
 def test_folds_are_balanced(spark):
     df = spark.range(1000).select(F.col("id").alias("match_id"), (F.col("id") % 4 == 0).cast("int").alias("label"))
-    counts = {(r.label, r.fold): r["count"] for r in S.stratified_folds(df, "label", "match_id", 5, slice_rows=90).groupBy("label", "fold").count().collect()}
+    counts = {(r.label, r.fold): r["count"] for r in S.stratified_folds(df, "label", "match_id", 5).groupBy("label", "fold").count().collect()}
     assert set(counts.values()) == {50, 150} and len(counts) == 10
 
 

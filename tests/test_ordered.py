@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchline.operators.ordered import (
-    Latest, Recent, Total, exact_median, exact_quantiles, history_context, modes, positions, top_n, with_history,
+    SLICES_CONF, Latest, Recent, Total, exact_median, exact_quantiles, history_context, modes, positions, top_n, with_history,
 )
 
 
@@ -43,9 +43,15 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("slice_rows", [10_000, 200, 37, 5])
-def test_history_equals_brute_force(skewed, slice_rows):
-    got = with_history(skewed, ["k"], ["day", "id"], SPECS(), slice_rows=slice_rows).collect()
+@pytest.fixture(params=[1, 3, 16, 100])
+def slices(spark, request):
+    spark.conf.set(SLICES_CONF, request.param)
+    yield request.param
+    spark.conf.unset(SLICES_CONF)
+
+
+def test_history_equals_brute_force(skewed, slices):
+    got = with_history(skewed, ["k"], ["day", "id"], SPECS()).collect()
     want = brute(skewed.collect())
     assert len(got) == len(want)
     for r in got:
@@ -54,14 +60,13 @@ def test_history_equals_brute_force(skewed, slice_rows):
         assert (r.avg5 is None) == (w[4] is None) and (w[4] is None or abs(r.avg5 - w[4]) < 1e-9)
 
 
-@pytest.mark.parametrize("slice_rows", [10_000, 60])
-def test_context_continues_where_the_last_batch_ended(skewed, slice_rows):
+def test_context_continues_where_the_last_batch_ended(skewed, slices):
     order, keys = ["day", "id"], ["k"]
-    whole = as_rows(with_history(skewed, keys, order, SPECS(), slice_rows=slice_rows))
+    whole = as_rows(with_history(skewed, keys, order, SPECS()))
     context, parts = None, []
     for lo, hi in ((0, 200), (200, 650), (650, 1001)):
         batch = skewed.filter((F.col("day") >= lo) & (F.col("day") < hi))
-        parts += as_rows(with_history(batch, keys, order, SPECS(), slice_rows=slice_rows, context=context))
+        parts += as_rows(with_history(batch, keys, order, SPECS(), context=context))
         context = history_context(batch, keys, order, SPECS(), context)
     assert sorted(parts) == whole
     # State is bounded by keys: one totals row and at most four carried rows each.
@@ -69,15 +74,15 @@ def test_context_continues_where_the_last_batch_ended(skewed, slice_rows):
 
 
 def test_positions_are_a_permutation(skewed):
-    got = [r.pos for r in positions(skewed, ["day", "id"], slice_rows=50).orderBy("day", "id").collect()]
+    got = [r.pos for r in positions(skewed, ["day", "id"]).orderBy("day", "id").collect()]
     assert got == list(range(1, len(got) + 1))
 
 
 def test_quantiles_match_numpy(skewed):
     v = np.array([r.v for r in skewed.collect()])
-    got = exact_quantiles(skewed, "v", {"a": 0.25, "b": 0.5, "c": 0.9}, slice_rows=10).first()
+    got = exact_quantiles(skewed, "v", {"a": 0.25, "b": 0.5, "c": 0.9}).first()
     assert np.allclose([got.a, got.b, got.c], np.quantile(v, [0.25, 0.5, 0.9]))
-    per = {r.k: r.median for r in exact_median(skewed, "v", ["k"], slice_rows=10).collect()}
+    per = {r.k: r.median for r in exact_median(skewed, "v", ["k"]).collect()}
     for k in per:
         assert per[k] == np.median([r.v for r in skewed.collect() if r.k == k])
 

@@ -74,8 +74,7 @@ def test_lineup_rating(spark, slice_rows):
     assert abs(sum(r.rating - 1000 for r in got.values())) < 1e-6
 
 
-@pytest.mark.parametrize("slice_rows", [1000, 13])
-def test_anchored_rating(spark, slice_rows):
+def test_anchored_rating(spark):
     rng = random.Random(2)
     rows = [(rng.choice("aab"), i, rng.choice([0.0, 0.5, 1.0])) for i in range(70)]
     want = {}
@@ -83,7 +82,7 @@ def test_anchored_rating(spark, slice_rows):
         r = want.get(k, 1000.0)
         want[k] = r + 20 * (s - 1 / (1 + 10 ** ((1000 - r) / 400)))
     df = spark.createDataFrame(rows, "k string, t int, s double")
-    got = {r.k: r.rating for r in ratings.anchored_ratings(df, "k", ["t"], F.col("s"), slice_rows=slice_rows).collect()}
+    got = {r.k: r.rating for r in ratings.anchored_ratings(df, "k", ["t"], F.col("s")).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
