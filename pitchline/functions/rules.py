@@ -16,14 +16,14 @@ def other_side(team: Column, team1: Column, team2: Column) -> Column:
 def batting_first(toss_winner: Column, decision: Column, team1: Column, team2: Column) -> Column:
     """Side that bats first; null when the toss is unknown."""
     return F.when(decision == "bat", toss_winner).when(
-        decision == "field", other_side(toss_winner, team1, team2)
+        (decision == "field") & toss_winner.isNotNull(), other_side(toss_winner, team1, team2)
     )
 
 
 def chasing_side(toss_winner: Column, decision: Column, team1: Column, team2: Column) -> Column:
     """Side that bats second; null when the toss is unknown."""
     return F.when(decision == "field", toss_winner).when(
-        decision == "bat", other_side(toss_winner, team1, team2)
+        (decision == "bat") & toss_winner.isNotNull(), other_side(toss_winner, team1, team2)
     )
 
 

@@ -59,13 +59,13 @@ def rating_scale(df: DataFrame, score: str, name: str = "rating", digits: int =
     return z.withColumn(name, F.bround(value, digits)).drop("_s")
 
 
-def player_ratings(batting: DataFrame, bowling: DataFrame) -> DataFrame:
-    """Season tables (player, season, batting_raw | bowling_raw) to one rating per player."""
+def player_ratings(seasons: DataFrame) -> DataFrame:
+    """Season rows (player, season, batting_raw, bowling_raw) to one rating per player, in one aggregation."""
     w = R.season_weight(F.col("season"), P.RATING_SEASON_WEIGHTS)
-    keyed = lambda df: df.withColumn("player_key", X.join_key(F.col("player")))
-    bat = recency_weighted(keyed(batting), ["player_key"], "batting_raw", w, "batting_score")
-    bowl = recency_weighted(keyed(bowling), ["player_key"], "bowling_raw", w, "bowling_score")
-    both = bat.join(bowl, "player_key", "full").fillna(0.0)
+    total = F.sum(w)
+    mean = lambda score: F.sum(F.col(score) * w) / F.when(total == 0, 1.0).otherwise(total)
+    both = seasons.groupBy(X.join_key(F.col("player")).alias("player_key")).agg(
+        mean("batting_raw").alias("batting_score"), mean("bowling_raw").alias("bowling_score")).fillna(0.0)
     both = both.withColumn("performance", 0.60 * F.col("batting_score") + 0.40 * F.col("bowling_score"))
     # One row per player, read twice: for the mean and deviation, and for the ratings.
     return rating_scale(durable(both), "performance")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -217,6 +218,11 @@ def unseen_players(slots: DataFrame, is_test: str) -> DataFrame:
 
 # --- statistics -------------------------------------------------------------
 
+# The continued fraction takes about the root of its larger parameter in steps.
+_MOST_STEPS = 1_000_000
+# From here on, the normal limit is closer than differences of log-gammas can be.
+_NORMAL_FROM = 1e8
+
 def _beta_tail(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction."""
     if x <= 0.0 or x >= 1.0 or math.isnan(x):
@@ -225,7 +231,9 @@ def _beta_tail(a: float, b: float, x: float) -> float:
         return 1.0 - _beta_tail(b, a, 1.0 - x)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
     total, c, d = 1.0, 1.0, 0.0
-    for i in range(400):
+    for i in itertools.count():
+        if i > _MOST_STEPS:
+            raise ArithmeticError(f"no convergence for a={a}, b={b}, x={x}")
         m = i // 2
         if i == 0:
             term = 1.0
@@ -245,8 +253,14 @@ def _beta_tail(a: float, b: float, x: float) -> float:
 def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a correlation over n rows."""
     df = n - 2
-    return pd.Series([
-        0.0 if abs(a) >= 1 else _beta_tail(k / 2.0, 0.5, k / (k + a * a * k / (1 - a * a))) for a, k in zip(r, df)])
+
+    def tail(a: float, k: float) -> float:
+        if abs(a) >= 1:
+            return 0.0
+        t2 = a * a * k / (1 - a * a)
+        return math.erfc(math.sqrt(t2 / 2)) if k >= _NORMAL_FROM else _beta_tail(k / 2.0, 0.5, k / (k + t2))
+
+    return pd.Series([tail(a, k) for a, k in zip(r, df)])
 
 
 @F.pandas_udf(DoubleType())

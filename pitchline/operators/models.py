@@ -6,16 +6,18 @@ candidates and folds, never over rows; metrics come from one aggregation.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, functions as F
 
 from pitchline.operators.evaluate import fit_gaps, log_loss
@@ -48,8 +50,9 @@ def score(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ("match_id"
     out = model.transform(df)
     if "probability" in out.columns:
         p1 = vector_to_array("probability")[1]
-    else:
-        p1 = F.col("prediction").cast("double")
+    else:  # one boosted model per class: its margin as a probability, normalised over the classes
+        per_class = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
+        p1 = per_class[1] / F.aggregate(per_class, F.lit(0.0), lambda a, x: a + x)
     return out.select(*keep, F.col(LABEL).cast("int").alias(LABEL), p1.alias("p1"), F.col("prediction").cast("int").alias("pred"))
 
 
@@ -114,10 +117,18 @@ def seed_average(train: DataFrame, df: DataFrame, stages: Sequence, kind: str, s
 
 
 def draw_candidates(space: Mapping[str, Sequence | tuple[float, float]], n: int, seed: int = 7) -> list[dict]:
-    """n parameter sets: a list is drawn from, a (low, high) pair of floats is uniform."""
+    """n different parameter sets: a list is drawn from, a (low, high) pair of floats is uniform."""
     rng = random.Random(seed)
     uniform = lambda v: isinstance(v, tuple) and len(v) == 2 and all(isinstance(x, float) for x in v)
-    return [{k: rng.uniform(*v) if uniform(v) else rng.choice(list(v)) for k, v in space.items()} for _ in range(n)]
+    one = lambda: {k: rng.uniform(*v) if uniform(v) else rng.choice(list(v)) for k, v in space.items()}
+    if not any(uniform(v) for v in space.values()):
+        n = min(n, math.prod(len(v) for v in space.values()))
+    out: list[dict] = []
+    while len(out) < n:  # none twice
+        candidate = one()
+        if candidate not in out:
+            out.append(candidate)
+    return out
 
 
 def search(train: DataFrame, stages: Sequence, kind: str, candidates: Sequence[dict], k: int,
@@ -125,9 +136,17 @@ def search(train: DataFrame, stages: Sequence, kind: str, candidates: Sequence[d
     """Cross-validated score per candidate over the ready-made ``fold`` column, best first."""
     clf = learner(kind)
     grid = [{clf.getParam(p): v for p, v in c.items()} for c in candidates]
-    cv = CrossValidator(estimator=Pipeline(stages=[*stages, clf]), estimatorParamMaps=grid, numFolds=k, foldCol="fold",
-                        evaluator=MulticlassClassificationEvaluator(labelCol=LABEL, metricName=metric), parallelism=parallelism)
-    scores = cv.fit(train).avgMetrics
+    pipe, judge = Pipeline(stages=[*stages, clf]), MulticlassClassificationEvaluator(labelCol=LABEL, metricName=metric)
+    sums = [0.0] * len(grid)
+    with ThreadPool(min(parallelism, len(grid))) as pool:
+        for i in range(k):
+            rest, held = train.filter(F.col("fold") != i).cache(), train.filter(F.col("fold") == i).cache()
+            for j, value in enumerate(pool.map(inheritable_thread_target(rest.sparkSession)(
+                    lambda p: judge.evaluate(pipe.fit(rest, p).transform(held))), grid)):
+                sums[j] += value
+            rest.unpersist()
+            held.unpersist()
+    scores = [s / k for s in sums]
     return sorted(zip(candidates, scores), key=lambda r: (-r[1], str(r[0])))
 
 

@@ -212,13 +212,23 @@ def lineup_continuity(lineups: DataFrame, span: Span | None = None) -> DataFrame
     return out.select("match_id", "side", share.alias("xi_continuity"))
 
 
-def player_availability(lineup_rows: DataFrame, days: int = P.SEEN_WITHIN_DAYS, span: Span | None = None) -> DataFrame:
-    """Share of a side's players seen within the last ``days``; complement as injury proxy."""
+def player_availability(
+    lineup_rows: DataFrame, sides: DataFrame, days: int = P.SEEN_WITHIN_DAYS, span: Span | None = None
+) -> DataFrame:
+    """Share of a side's players seen within the last ``days``; complement as injury proxy.
+
+    ``sides`` lists every (match_id, side); one without players is at .5. A
+    player named by both sides of a match is no earlier sight of himself.
+    """
     spec = Recent("_seen", F.col("match_date"), 1, "last")
-    out = with_history(lineup_rows, ["player"], [*ORDER, "side"], [spec], span=span)
+    once = lineup_rows.groupBy("player", *ORDER).agg(F.collect_set("side").alias("_sides"))
+    out = with_history(once, ["player"], ORDER, [spec], span=span)
     active = F.coalesce(F.datediff("match_date", "_seen") <= days, F.lit(False)).cast("int")
-    per = out.groupBy("match_id", "side").agg((F.sum(active) / F.count("*")).alias("availability"))
-    return per.withColumn("injury_proxy", 1 - F.col("availability"))
+    per = out.select("match_id", F.explode("_sides").alias("side"), active.alias("_active")).groupBy("match_id", "side").agg(
+        (F.sum("_active") / F.count("*")).alias("availability"))
+    every = sides.select("match_id", "side").join(per, ["match_id", "side"], "left")
+    share = F.coalesce("availability", F.lit(P.BALL_DEFAULTS["availability"]))
+    return every.select("match_id", "side", share.alias("availability"), (1 - share).alias("injury_proxy"))
 
 
 def store_features(results: DataFrame, n: int = 5, span: Span | None = None) -> DataFrame:
@@ -236,7 +246,8 @@ def store_features(results: DataFrame, n: int = 5, span: Span | None = None) ->
         "runs_for": pair(lambda a, b: F.col(f"runs_{a}")),
         "runs_against": pair(lambda a, b: F.col(f"runs_{b}")),
         "wkts_taken": pair(lambda a, b: F.col(f"wkts_{b}")),
-        "pp_rr": pair(lambda a, b: F.col(f"pp_runs_{a}") / 6.0),
+        "pp_rr": pair(lambda a, b: R.powerplay_rate_or_innings(
+            F.col(f"pp_runs_{a}"), F.col(f"runs_{a}"), F.col(f"balls_{a}") / 6.0)),
         "death_rr": pair(lambda a, b: R.innings_rate(F.col(f"runs_{a}"), F.col(f"balls_{a}") / 6.0)),
     }).withColumn("win", win_flag(F.col("winner"), F.col("team")))
     fill = {"win": d["form"], "runs_for": d["runs"], "runs_against": d["runs"], "wkts_taken": d["wkts"],
@@ -248,19 +259,20 @@ def store_features(results: DataFrame, n: int = 5, span: Span | None = None) ->
         ["match_id"], [f"{c}_{n}" for c in fill],
     )
     first1 = R.batting_first(*_toss()) == F.col("team1")
-    venue_in = results.select(
+    venue_in = results.select(  # without a known toss, neither the first innings nor the chase is known
         *ORDER, "venue", "winner",
-        F.when(first1, F.col("runs_1")).otherwise(F.col("runs_2")).alias("first_runs"),
-        R.flag(F.col("winner") == R.chasing_side(*_toss())).alias("chase_won"),
+        F.when(first1, F.col("runs_1")).when(~first1, F.col("runs_2")).alias("first_runs"),
+        (F.col("winner") == R.chasing_side(*_toss())).cast("int").alias("chase_won"),
     )
     v = completed_state(venue_in, ["venue"], done, [
-        Total("n", F.lit(1), "count", True), Total("first", F.col("first_runs"), "sum", True),
-        Total("chase", F.col("chase_won"), "sum", True),
+        Total("first_n", F.col("first_runs"), "count", True), Total("first", F.col("first_runs"), "sum", True),
+        Total("chase_n", F.col("chase_won"), "count", True), Total("chase", F.col("chase_won"), "sum", True),
     ], span)
+    mean = lambda name: F.col(f"before.{name}") / F.nullif(F.col(f"before.{name}_n"), F.lit(0))
     venue = v.select(
         "match_id",
-        F.coalesce(F.col("before.first") / F.col("before.n"), F.lit(d["first_runs"])).alias("venue_avg_first_innings_runs_prior"),
-        F.coalesce(F.col("before.chase") / F.col("before.n"), F.lit(d["chase"])).alias("venue_chase_winrate_prior"),
+        F.coalesce(mean("first"), F.lit(d["first_runs"])).alias("venue_avg_first_innings_runs_prior"),
+        F.coalesce(mean("chase"), F.lit(d["chase"])).alias("venue_chase_winrate_prior"),
     )
     h2h = head_to_head_any_order(results, span)
     at = venue_team(results, smoothed=False, span=span)

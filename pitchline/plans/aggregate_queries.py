@@ -53,7 +53,7 @@ def agg3(t: Tables):
 
 @query("agg4_lineup_rating_gap", cte("lineups") + """, r AS (
   SELECT l.match_id, l.side, avg(CAST(s.s_acctbal AS DECIMAL(18,2))) AS a, max(s.s_acctbal) AS hi, min(s.s_acctbal) AS lo
-  FROM lineups l LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 1000) s ON l.player = 'Player ' || s.s_suppkey
+  FROM lineups l LEFT JOIN supplier s ON l.match_id % 4 <> 0 AND l.player = 'Player ' || s.s_suppkey
   GROUP BY 1, 2)
 SELECT match_id, round(coalesce(max(CASE WHEN side = 1 THEN a END), 1000), 5) AS team1_avg,
   round(coalesce(max(CASE WHEN side = 2 THEN a END), 1000), 5) AS team2_avg,
@@ -62,9 +62,9 @@ SELECT match_id, round(coalesce(max(CASE WHEN side = 1 THEN a END), 1000), 5) AS
   round(coalesce(max(CASE WHEN side = 1 THEN a END), 1000) - coalesce(max(CASE WHEN side = 2 THEN a END), 1000), 5) AS gap
 FROM r GROUP BY 1""")
 def agg4(t: Tables):
-    known = t.read("supplier").filter("s_acctbal > 1000").select(
-        F.concat(F.lit("Player "), "s_suppkey").alias("player"), F.col("s_acctbal").alias("rating"))
-    rows = L.lineup_rows(t.lineups, "players", "match_id", "side").join(known, "player", "left")
+    known = t.read("supplier").select(F.concat(F.lit("Player "), "s_suppkey").alias("player"), F.col("s_acctbal").alias("rating"))
+    asked = t.lineup_slots.withColumn("player", F.when(F.col("match_id") % 4 == 0, "guest").otherwise(F.col("player")))
+    rows = asked.join(known, "player", "left")
     per = rows.groupBy("match_id", "side").agg(
         (F.sum(F.col("rating").cast("decimal(18,2)")).cast("double") / F.count("rating")).alias("avg"),
         F.max("rating").alias("max"), F.min("rating").alias("min"))
@@ -157,8 +157,7 @@ def agg9(t: Tables):
   FROM sc GROUP BY 1)
 SELECT player_key, round_even(1000 + 150 * ((perf - (SELECT avg(perf) FROM b)) / (SELECT stddev_pop(perf) FROM b)), 3) AS rating FROM b""")
 def agg10(t: Tables):
-    s = season_scores(t)
-    return A.player_ratings(s.drop("bowling_raw"), s.drop("batting_raw")).select("player_key", "rating")
+    return A.player_ratings(season_scores(t)).select("player_key", "rating")
 
 
 @query("agg11_head_counts", "SELECT p_brand, count(*) AS players FROM part GROUP BY 1")
@@ -325,9 +324,7 @@ def spl5(t: Tables):
 @query("set1_wide_to_long", cte("long") + "SELECT match_id, team, opponent, CAST(side AS INTEGER) AS side FROM long")
 def set1(t: Tables):
     m = t.matches
-    a = m.select("match_id", F.col("team1").alias("team"), F.col("team2").alias("opponent"), F.lit(1).alias("side"))
-    b = m.select("match_id", F.col("team2").alias("team"), F.col("team1").alias("opponent"), F.lit(2).alias("side"))
-    return a.unionByName(b)
+    return team_long(m.select("match_id", "team1", "team2")).select("match_id", "team", "opponent", "side")
 
 
 @query("set2_union_missing_columns", cte("matches") + """
@@ -388,11 +385,11 @@ def _open_log(t: Tables):
 
 
 @query("set7_close_by_id", cte("log") + _OPEN + """
-SELECT o.match_id, o.match_date, o.team1, o.team2, CASE WHEN m.venue < '3' AND m.winner IS NOT NULL THEN m.winner ELSE o.actual END AS actual,
-  CASE WHEN m.venue < '3' AND m.winner IS NOT NULL THEN 1 ELSE o.ended END AS ended
+SELECT o.match_id, o.match_date, o.team1, o.team2, coalesce(m.winner, o.actual) AS actual,
+  CASE WHEN m.winner IS NOT NULL THEN 1 ELSE o.ended END AS ended
 FROM o JOIN matches m ON o.match_id = m.match_id""")
 def set7(t: Tables):
-    results = t.matches.filter("venue < '3' AND winner IS NOT NULL").select("match_id", F.col("winner").alias("actual"))
+    results = t.matches.filter("winner IS NOT NULL").select("match_id", F.col("winner").alias("actual"))
     return U.close_by_id(_open_log(t), results, "match_id", ["actual"])
 
 
@@ -420,4 +417,4 @@ def set8(t: Tables):
 @query("set9_distinct_teams", cte("long") + "SELECT DISTINCT team FROM long")
 def set9(t: Tables):
     m = t.matches
-    return m.select(F.col("team1").alias("team")).union(m.select("team2")).distinct().orderBy("team")
+    return m.select(F.explode(F.array("team1", "team2")).alias("team")).distinct().orderBy("team")

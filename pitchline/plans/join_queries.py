@@ -15,13 +15,15 @@ from pitchline.plans.views import Tables, cte
 
 
 @query("jon1_dimension_left_join", cte("matches") + """
-SELECT m.match_id, m.team1, coalesce(n.n_regionkey, -1) AS region, r.r_name AS region_name FROM matches m
-  LEFT JOIN nation n ON m.team1 = n.n_name AND n.n_nationkey < 20 LEFT JOIN region r ON n.n_regionkey = r.r_regionkey""")
+SELECT m.match_id, m.team1, coalesce(n.n_regionkey, -1) AS region, r.r_name AS region_name
+FROM (SELECT match_id, CASE WHEN match_id % 5 = 0 THEN 'guest' ELSE team1 END AS team1 FROM matches) m
+  LEFT JOIN nation n ON m.team1 = n.n_name LEFT JOIN region r ON n.n_regionkey = r.r_regionkey""")
 def jon1(t: Tables):
-    dim = t.read("nation").filter("n_nationkey < 20").select(
+    asked = t.matches.select("match_id", F.when(F.col("match_id") % 5 == 0, "guest").otherwise(F.col("team1")).alias("team1"))
+    dim = t.read("nation").select(
         F.col("n_name").alias("team1"), F.col("n_regionkey").alias("region"))
     names = t.read("region").select(F.col("r_regionkey").alias("region"), F.col("r_name").alias("region_name"))
-    return t.matches.select("match_id", "team1").join(dim, "team1", "left").join(names, "region", "left").select(
+    return asked.join(dim, "team1", "left").join(names, "region", "left").select(
         "match_id", "team1", F.coalesce("region", F.lit(-1)).alias("region"), "region_name")
 
 
@@ -52,19 +54,24 @@ def jon4(t: Tables):
     return rows.join(t.bowling.select("match_id", "player", "wickets", "runs_given"), ["match_id", "player"], "left").fillna(0)
 
 
-_RATED = """, rt AS (SELECT 'player' || s_suppkey AS key, CAST(s_acctbal AS DECIMAL(18,2)) AS rating FROM supplier WHERE s_acctbal > 2000),
+_RATED = """, rt AS (SELECT 'player' || s_suppkey AS key,
+  CAST(CASE WHEN s_suppkey % 5 = 0 THEN s_acctbal + 7 ELSE s_acctbal END AS DECIMAL(18,2)) AS rating FROM supplier),
 d AS (SELECT median(CAST(rating AS DOUBLE)) AS md FROM rt)"""
 
 
 @query("jon5_rating_lookup_with_median", cte("lineups") + _RATED + """
 SELECT match_id, side, round(avg(r), 5) AS rating_avg, max(r) AS rating_max, min(r) AS rating_min FROM (
   SELECT l.match_id, l.side, coalesce(CAST(rt.rating AS DOUBLE), md) AS r FROM lineups l CROSS JOIN d
-    LEFT JOIN rt ON regexp_replace(lower(l.player), '[^a-z0-9]', '', 'g') = rt.key) GROUP BY 1, 2""")
+    LEFT JOIN rt ON regexp_replace(lower(l.player), '[^a-z0-9]', '', 'g') || CASE WHEN l.match_id % 4 = 0 THEN 'guest' ELSE '' END = rt.key)
+GROUP BY 1, 2""")
 def jon5(t: Tables):
-    ratings = t.read("supplier").filter("s_acctbal > 2000").select(
-        F.concat(F.lit("PLAYER-"), "s_suppkey").alias("player"), F.col("s_acctbal").alias("rating"))
-    rows = L.lineup_rows(t.lineups, "players", "match_id", "side")
-    return rounded(J.lineup_rating(rows, ratings), "rating_avg", digits=5)
+    s = t.read("supplier")
+    first = s.select(F.concat(F.lit("PLAYER-"), "s_suppkey").alias("player"), F.col("s_acctbal").alias("rating"), F.lit(1).alias("row"))
+    again = s.filter("s_suppkey % 5 = 0").select(  # another spelling of the same key, further down the list
+        F.concat(F.lit("Player "), "s_suppkey").alias("player"), (F.col("s_acctbal") + 7).alias("rating"), F.lit(2).alias("row"))
+    guest = F.when(F.col("match_id") % 4 == 0, " guest").otherwise("")
+    rows = t.lineup_slots.withColumn("player", F.concat("player", guest))
+    return rounded(J.lineup_rating(rows, first.unionByName(again), "row"), "rating_avg", digits=5)
 
 
 @query("jon6_latest_row_lookup", cte("matches", "batting") + """, b AS (
@@ -102,14 +109,15 @@ def jon7(t: Tables):
 
 
 @query("jon8_fixture_either_order", cte("results") + """
-SELECT match_id, team1, team2, CASE WHEN venue = '5-LOW' THEN 160.0::DOUBLE WHEN venue = '2-HIGH'
+SELECT match_id, CASE WHEN venue = '5-LOW' THEN 'guest' ELSE team1 END AS team1, team2,
+  CASE WHEN venue = '5-LOW' THEN 160.0::DOUBLE WHEN venue = '2-HIGH'
   THEN CAST(runs_1 + 1 AS DOUBLE) WHEN runs_1 = 0 THEN 160.0 ELSE CAST(runs_1 AS DOUBLE) END AS score
 FROM results""")
 def jon8(t: Tables):
     full = t.results.select("match_id", "team1", "team2", "venue", F.col("runs_1").cast("double").alias("score"))
-    r = full.drop("venue")
+    r = full.withColumn("team1", F.when(F.col("venue") == "5-LOW", "guest").otherwise(F.col("team1"))).drop("venue")
     unknown = (F.col("venue") != "2-HIGH") & (F.col("score") == 0)
-    kept = full.filter("venue <> '5-LOW'").withColumn("score", F.when(~unknown, F.col("score")))
+    kept = full.withColumn("score", F.when(~unknown, F.col("score")))
     turned = kept.select("match_id", F.col("team2").alias("team1"), F.col("team1").alias("team2"),
                          (F.col("score") + 5).alias("score"))
     fixed = kept.filter("venue = '2-HIGH'").withColumn("score", F.col("score") + 1).drop("venue")
@@ -120,14 +128,14 @@ def jon8(t: Tables):
 
 @query("jon9_fuzzy_lookup", """
 WITH n AS (SELECT DISTINCT replace(p_name, 'e', '') || CASE WHEN p_size < 10 THEN 'x' ELSE '' END AS raw FROM part),
-k AS (SELECT DISTINCT p_name AS known FROM part WHERE p_size >= 5),
+k AS (SELECT DISTINCT p_name AS known FROM part),
 s AS (SELECT raw, known, 1 - levenshtein(raw, known) / greatest(length(raw), length(known))::DOUBLE AS score FROM n, k),
 b AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY score DESC, known) AS rn FROM s WHERE score >= 0.6)
 SELECT n.raw, coalesce(b.known, n.raw) AS match, round(b.score, 6) AS score FROM n LEFT JOIN b ON n.raw = b.raw AND rn = 1""")
 def jon9(t: Tables):
     part = t.read("part")
     raw = F.concat(F.replace("p_name", F.lit("e"), F.lit("")), F.when(F.col("p_size") < 10, "x").otherwise(""))
-    known = part.filter("p_size >= 5").select(F.col("p_name").alias("known"))
+    known = part.select(F.col("p_name").alias("known"))
     return rounded(J.fuzzy_lookup(part.select(raw.alias("raw")), known, "raw", "known", 0.6), "score")
 
 
@@ -151,18 +159,18 @@ def jon10(t: Tables):
 
 
 @query("jon11_class_distribution", cte("matches") + """,
-a AS (SELECT venue || '|' || team1 AS label, count(*) AS n FROM matches WHERE season < 1996 GROUP BY 1),
-b AS (SELECT venue || '|' || team1 AS label, count(*) AS n FROM matches WHERE season = 2001 GROUP BY 1)
+a AS (SELECT venue || '|' || team1 AS label, count(*) AS n FROM matches WHERE season < 2000 GROUP BY 1),
+b AS (SELECT venue || '|' || team1 AS label, count(*) AS n FROM matches WHERE season >= 2000 GROUP BY 1)
 SELECT coalesce(a.label, b.label) AS label, coalesce(a.n, 0) AS train_count, coalesce(b.n, 0) AS test_count
 FROM a FULL JOIN b ON a.label = b.label""")
 def jon11(t: Tables):
     lab = t.matches.select("season", F.concat_ws("|", "venue", "team1").alias("label"))
-    return J.class_distribution(lab.filter("season < 1996"), lab.filter("season = 2001"), "label")
+    return J.class_distribution(lab.filter("season < 2000"), lab.filter("season >= 2000"), "label")
 
 
 @query("jon12_roster_multiplier", cte("lineup_long") + """, f AS (
   SELECT l.*, row_number() OVER (PARTITION BY match_id, side ORDER BY player) AS rn, s_suppkey FROM lineup_long l
-    LEFT JOIN supplier ON player = 'Player ' || s_suppkey AND s_nationkey < 7),
+    LEFT JOIN supplier ON player = 'Player ' || s_suppkey AND match_id % 3 <> 0),
 s AS (SELECT match_id, side, CASE CAST(substr(player, 8) AS INTEGER) % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.35 ELSE 1.0 END
         + CASE WHEN s_suppkey IS NOT NULL THEN 0.03 ELSE 0 END AS bat FROM f WHERE rn <= 11)
 SELECT match_id, side, round(least(greatest(avg(CAST(bat AS DOUBLE)) / 0.8, 0.88), 1.12), 6) AS bat_multiplier,
@@ -170,11 +178,12 @@ SELECT match_id, side, round(least(greatest(avg(CAST(bat AS DOUBLE)) / 0.8, 0.88
 def jon12(t: Tables):
     k = F.substr(F.col("player"), F.lit(8)).cast("int")
     role = F.when(k % 3 == 0, "allrounder").when(k % 3 == 1, "bowler").otherwise("batter")
-    roster = t.read("supplier").filter("s_nationkey < 7").select(
-        F.concat(F.lit("Player "), "s_suppkey").alias("player"), F.lit(P.ROSTER_BONUS).alias("bonus"))
+    roster = t.read("supplier").select(
+        F.concat(F.lit("Player "), "s_suppkey").alias("_name"), F.lit(P.ROSTER_BONUS).alias("bonus"))
     rows = L.lineup_rows(t.lineups, F.slice("players", 1, 11), "match_id", "side")
     score = R.role_score(role, 0) + F.coalesce("bonus", F.lit(0.0))
-    per = rows.join(roster, "player", "left").groupBy("match_id", "side").agg(
+    asked = F.when(F.col("match_id") % 3 == 0, "guest").otherwise(F.col("player"))
+    per = rows.withColumn("_name", asked).join(roster, "_name", "left").groupBy("match_id", "side").agg(
         F.avg(score).alias("bat"), F.count("*").alias("players_used"))
     return per.select("match_id", "side", F.round(R.squad_multiplier(F.col("bat")), 6).alias("bat_multiplier"), "players_used")
 

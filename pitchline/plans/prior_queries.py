@@ -194,37 +194,47 @@ def win11(t: Tables):
     return rounded(out, "bat_avg_10", "bat_sr_10", "bowl_avg_10", "bowl_econ_10", "bowl_sr_10", digits=5)
 
 
-@query("win12_lineup_continuity", cte("lineup_long") + """, p AS (
-  SELECT match_id, match_date, side, team, list(player) AS players FROM lineup_long GROUP BY 1, 2, 3, 4),
+@query("win12_lineup_continuity", cte("lineups", "long") + """, p AS (
+  SELECT g.match_id, g.match_date, g.side, g.team, coalesce(list(l.player) FILTER (l.player IS NOT NULL), []) AS players
+  FROM long g LEFT JOIN lineups l ON l.match_id = g.match_id AND l.side = g.side GROUP BY 1, 2, 3, 4),
 q AS (SELECT match_id, side, players, lag(players) OVER (PARTITION BY team ORDER BY match_date, match_id) AS prev FROM p)
-SELECT match_id, side, round(CASE WHEN prev IS NULL THEN 0.5
-  ELSE len(list_intersect(players, prev)) / len(players)::DOUBLE END, 6) AS xi_continuity FROM q""")
+SELECT match_id, CAST(side AS INTEGER) AS side, round(CASE WHEN prev IS NULL OR len(prev) = 0 THEN 0.5
+  ELSE len(list_intersect(players, prev)) / greatest(len(players), 1)::DOUBLE END, 6) AS xi_continuity FROM q""")
 def win12(t: Tables):
-    packed = t.lineups.join(t.matches.select("match_id", "match_date", "team1", "team2"), "match_id").select(
-        "match_id", "match_date", "side", "players",
-        F.when(F.col("side") == 1, F.col("team1")).otherwise(F.col("team2")).alias("team"),
-    )
+    sides = team_long(t.matches.select("match_id", "match_date", "team1", "team2"))
+    packed = sides.join(t.lineups, ["match_id", "side"], "left").select(
+        "match_id", "match_date", "side", "team", F.coalesce("players", F.array().cast("array<string>")).alias("players"))
     return rounded(priors.lineup_continuity(packed, span=t.dates), "xi_continuity")
 
 
-@query("win13_player_availability", cte("lineup_long") + """, q AS (
-  SELECT match_id, side, match_date - lag(match_date) OVER (PARTITION BY player ORDER BY match_date, match_id, side)
-    AS gap FROM lineup_long)
-SELECT match_id, side, round(avg(CASE WHEN gap <= 450 THEN 1 ELSE 0 END), 6) AS availability,
-       round(1 - avg(CASE WHEN gap <= 450 THEN 1 ELSE 0 END), 6) AS injury_proxy FROM q GROUP BY 1, 2""")
+@query("win13_player_availability", cte("lineups", "long") + """, once AS (
+  SELECT DISTINCT l.player, l.match_id, g.match_date FROM lineups l JOIN long g ON l.match_id = g.match_id AND l.side = g.side),
+q AS (SELECT *, match_date - lag(match_date) OVER (PARTITION BY player ORDER BY match_date, match_id) AS gap FROM once),
+a AS (SELECT g.match_id, g.side, coalesce(avg(CASE WHEN l.player IS NULL THEN NULL WHEN gap <= 450 THEN 1 ELSE 0 END), 0.5) AS r
+      FROM long g LEFT JOIN lineups l ON l.match_id = g.match_id AND l.side = g.side
+        LEFT JOIN q ON q.player = l.player AND q.match_id = l.match_id GROUP BY 1, 2)
+SELECT match_id, CAST(side AS INTEGER) AS side, round(r, 6) AS availability, round(1 - r, 6) AS injury_proxy FROM a""")
 def win13(t: Tables):
-    out = priors.player_availability(t.lineup_long, span=t.dates)
+    sides = team_long(t.matches.select("match_id", "team1", "team2"))
+    out = priors.player_availability(t.lineup_long, sides, span=t.dates)
     return rounded(out, "availability", "injury_proxy")
 
 
 _STORE = ["win", "runs_for", "runs_against", "wkts_taken", "pp_rr", "death_rr"]
-_STORE_SQL = cte("results") + """, tl AS (
+_STORE_SQL = cte("results") + """, gaps AS (
+  SELECT * REPLACE (CASE WHEN match_id % 11 <> 0 THEN toss_winner END AS toss_winner,
+    CASE WHEN balls_1 > 0 THEN runs_1 END AS runs_1, CASE WHEN balls_2 > 0 THEN runs_2 END AS runs_2,
+    CASE WHEN match_id % 7 <> 0 AND balls_1 > 0 THEN pp_runs_1 END AS pp_runs_1,
+    CASE WHEN match_id % 7 <> 0 AND balls_2 > 0 THEN pp_runs_2 END AS pp_runs_2) FROM results),
+tl AS (
   SELECT match_id, match_date, 1 AS side, team1 AS team, winner, CASE WHEN winner = team1 THEN 1 ELSE 0 END AS win,
-         runs_1 AS runs_for, runs_2 AS runs_against, wkts_2 AS wkts_taken, pp_runs_1 / 6.0::DOUBLE AS pp_rr,
-         CASE WHEN balls_1 > 0 THEN runs_1 / (balls_1 / 6.0::DOUBLE) END AS death_rr FROM results
+         runs_1 AS runs_for, runs_2 AS runs_against, wkts_2 AS wkts_taken,
+         coalesce(pp_runs_1 / 6.0::DOUBLE, CASE WHEN balls_1 > 0 THEN runs_1 / (balls_1 / 6.0::DOUBLE) END) AS pp_rr,
+         CASE WHEN balls_1 > 0 THEN runs_1 / (balls_1 / 6.0::DOUBLE) END AS death_rr FROM gaps
   UNION ALL
   SELECT match_id, match_date, 2, team2, winner, CASE WHEN winner = team2 THEN 1 ELSE 0 END, runs_2, runs_1, wkts_1,
-         pp_runs_2 / 6.0::DOUBLE, CASE WHEN balls_2 > 0 THEN runs_2 / (balls_2 / 6.0::DOUBLE) END FROM results),
+         coalesce(pp_runs_2 / 6.0::DOUBLE, CASE WHEN balls_2 > 0 THEN runs_2 / (balls_2 / 6.0::DOUBLE) END),
+         CASE WHEN balls_2 > 0 THEN runs_2 / (balls_2 / 6.0::DOUBLE) END FROM gaps),
 o AS (SELECT *, 1 + count(winner) OVER (PARTITION BY team ORDER BY match_date, match_id
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ord FROM tl),
 f AS (SELECT match_id, side, """ + ", ".join(
@@ -234,8 +244,8 @@ f AS (SELECT match_id, side, """ + ", ".join(
 t AS (SELECT match_id, """ + ", ".join(
     f"max(CASE WHEN side = {s} THEN {c} END) AS team{s}_{c}_5" for s in (1, 2) for c in _STORE) + """ FROM f GROUP BY 1),
 vi AS (SELECT match_id, match_date, venue, winner,
-         CASE WHEN (toss_decision = 'bat') = (toss_winner = team1) THEN runs_1 ELSE runs_2 END AS fr,
-         CASE WHEN winner = """ + _CHASER + """ THEN 1 ELSE 0 END AS ch FROM results),
+         CASE WHEN toss_winner IS NULL THEN NULL WHEN (toss_decision = 'bat') = (toss_winner = team1) THEN runs_1 ELSE runs_2 END AS fr,
+         CASE WHEN toss_winner IS NULL THEN NULL WHEN winner = """ + _CHASER + """ THEN 1 ELSE 0 END AS ch FROM gaps),
 v AS (SELECT match_id, """ + f"""coalesce({_all("avg(CASE WHEN winner IS NOT NULL THEN fr END)", "venue")}, 170.0) AS fa,
        coalesce({_all("avg(CASE WHEN winner IS NOT NULL THEN ch END)", "venue")}, 0.5) AS ca FROM vi),
 h AS (SELECT match_id, {_all("count(winner)", "least(team1, team2), greatest(team1, team2)")} AS g,
@@ -254,7 +264,12 @@ FROM matches m JOIN t ON t.match_id = m.match_id JOIN v ON v.match_id = m.match_
 
 @query("win14_feature_store_rows", _STORE_SQL)
 def win14(t: Tables):
-    out = priors.store_features(t.results, span=t.dates)
+    m, known = t.results, lambda side: F.col(f"balls_{side}") > 0
+    gaps = m.withColumns({  # unknown tosses, scores and powerplays
+        "toss_winner": F.when(F.col("match_id") % 11 != 0, F.col("toss_winner")),
+        **{f"runs_{s}": F.when(known(s), F.col(f"runs_{s}")) for s in (1, 2)},
+        **{f"pp_runs_{s}": F.when(known(s) & (F.col("match_id") % 7 != 0), F.col(f"pp_runs_{s}")) for s in (1, 2)}})
+    out = priors.store_features(gaps, span=t.dates)
     long = "venue_avg_first_innings_runs_prior"
     return rounded(rounded(out, *[c for c in out.columns if c not in ("match_id", "team1", "team2", "venue", long)]),
                    long, digits=5)

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pitchline.functions import rules
-from pitchline.operators.ordered import Span, span_of, top_n
-
-SIDE_SIZE = 11
+from pitchline.operators.ordered import Span, span_of
 
 
 class Tables:
@@ -82,17 +80,12 @@ class Tables:
 
     @property
     def lineup_slots(self) -> DataFrame:
-        """Playing eleven per match and side: the first eleven distinct names, one row each.
-
-        The limit is the size of a side; each map task forwards at most eleven
-        rows per side, so a match with very many deliveries stays small.
-        """
-        d = self.deliveries.select("match_id", "side", F.col("batter").alias("player")).distinct()
-        return top_n(d, ["match_id", "side"], [F.col("player")], SIDE_SIZE)
+        """Players per match and side, one row each; slots are cut where slots are asked for."""
+        return self.deliveries.select("match_id", "side", F.col("batter").alias("player")).distinct()
 
     @property
     def lineups(self) -> DataFrame:
-        """The eleven of each side as one sorted array."""
+        """The players of each side as one sorted array."""
         return self.lineup_slots.groupBy("match_id", "side").agg(F.sort_array(F.collect_list("player")).alias("players"))
 
     @property
@@ -190,9 +183,7 @@ _RESULTS = """results AS (
        LEFT JOIN innings b ON b.match_id = m.match_id AND b.side = 2)"""
 
 _LINEUPS = """lineups AS (
-  SELECT match_id, side, player FROM (
-    SELECT *, row_number() OVER (PARTITION BY match_id, side ORDER BY player) AS rn
-    FROM (SELECT DISTINCT match_id, side, batter AS player FROM deliveries)) WHERE rn <= 11)"""
+  SELECT DISTINCT match_id, side, batter AS player FROM deliveries)"""
 
 _LINEUP_LONG = """lineup_long AS (
   SELECT l.match_id, m.match_date, l.side, CASE WHEN l.side = 1 THEN m.team1 ELSE m.team2 END AS team,

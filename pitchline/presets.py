@@ -40,7 +40,7 @@ DEFUNCT_TEAMS = (
 # What a feature is worth when a side, venue or player has no past.
 BALL_DEFAULTS = {
     "form": 0.5, "runs": 160.0, "wkts": 6.0, "pp_rr": 7.5, "death_rr": 9.5, "first_runs": 165.0,
-    "pp_rr_second": 7.3, "death_rr_second": 9.2, "continuity": 0.5, "h2h": 0.5, "toss_bat": 0.5,
+    "pp_rr_second": 7.3, "death_rr_second": 9.2, "continuity": 0.5, "availability": 0.5, "h2h": 0.5, "toss_bat": 0.5,
 }
 STORE_DEFAULTS = {
     "form": 0.5, "runs": 160.0, "wkts": 7.0, "pp_rr": 8.0, "death_rr": 10.0, "first_runs": 170.0,

@@ -25,10 +25,12 @@ def local_session(cpus: int = 8, memory: str = "12g", app: str = "pitchline") ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names, or a private one where none is set."""
+    """The shared folder the cluster names; a private one only where driver and executors are one process."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if named is None and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if named is None:
             named = tempfile.mkdtemp(prefix="pitchline-ckpt-")
         sc.setCheckpointDir(named)
