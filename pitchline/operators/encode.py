@@ -18,10 +18,11 @@ from pitchline.operators.ordered import exact_median, modes, top_n
 
 
 def frequent_values(df: DataFrame, columns: Sequence[str], min_count: int, max_values: int) -> DataFrame:
-    """(column_name, value) kept per column: count >= min_count, the most frequent first."""
+    """(column_name, value) kept per column: count >= min_count, the most frequent first; 0 keeps all of them."""
     long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column_name", "value")
     counts = long.filter(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.count("*").alias("n"))
-    return top_n(counts.filter(F.col("n") >= min_count), ["column_name"], [F.col("n").desc(), F.col("value")], max_values)
+    often = counts.filter(F.col("n") >= min_count)
+    return often if not max_values else top_n(often, ["column_name"], [F.col("n").desc(), F.col("value")], max_values)
 
 
 class _ReducerParams(HasInputCols):
@@ -44,7 +45,7 @@ class CardinalityReducer(Estimator, _ReducerParams, DefaultParamsReadable, Defau
     def _fit(self, dataset: DataFrame) -> "CardinalityReducerModel":
         cols = self.getInputCols()
         kept: dict[str, list[str]] = {c: [] for c in cols}
-        # At most maxValues rows per column reach the driver.
+        # At most maxValues rows per column reach the driver, or rows / minCount.
         for row in frequent_values(dataset, cols, self.getOrDefault("minCount"), self.getOrDefault("maxValues")).collect():
             kept[row.column_name].append(row.value)
         return CardinalityReducerModel(inputCols=cols, kept=json.dumps({c: sorted(v) for c, v in kept.items()}))
@@ -97,14 +98,57 @@ def column_roles(df: DataFrame, skip: Sequence[str]) -> tuple[list[str], list[st
     return text, number
 
 
-def encoder_stages(text: Sequence[str], number: Sequence[str], min_count: int = 1, max_values: int = 500) -> list:
-    """Rare values, one-hot with unknown ignored, median fill, scaling, assembly."""
-    text, number = list(text), list(number)
+class MostFrequentFill(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Learns one value per text column: the most frequent, ties to the smallest."""
+
+    @keyword_only
+    def __init__(self, *, inputCols=None):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _fit(self, dataset: DataFrame) -> "MostFrequentFillModel":
+        cols = self.getInputCols()
+        long = dataset.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column_name", "value")
+        found = {r.column_name: r.mode for r in modes(long, ["column_name"], "value").collect()}  # one row per column
+        return MostFrequentFillModel(inputCols=cols, found=json.dumps(found))
+
+
+class MostFrequentFillModel(Model, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    found = Param(Params._dummy(), "found", "fill value per column as JSON", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, found=None):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        found = json.loads(self.getOrDefault("found"))
+        return dataset.withColumns({
+            c: F.coalesce(F.col(c).cast("string"), F.lit(found.get(c))) for c in self.getInputCols()})
+
+
+def encoder_stages(
+    text: Sequence[str], number: Sequence[str], min_count: int = 1, players: Sequence[str] = (), max_players: int = 500
+) -> list:
+    """Fill, rare values, one-hot with unknown ignored, median fill, scaling, assembly.
+
+    Text columns take the training mode for nulls and keep every value seen
+    ``min_count`` times; ``players`` are text columns with their own marker
+    for nulls and at most ``max_players`` values.
+    """
+    players, number = list(players), list(number)
+    plain = [c for c in text if c not in players]
     stages, parts = [], []
+    if plain:
+        stages.append(MostFrequentFill(inputCols=plain))
+        if min_count > 1:
+            stages.append(CardinalityReducer(inputCols=plain, minCount=min_count, maxValues=0))
+    if players:
+        stages.append(CardinalityReducer(inputCols=players, minCount=min_count, maxValues=max_players))
+    text = plain + players
     if text:
         idx, hot = [f"_i_{c}" for c in text], [f"_o_{c}" for c in text]
         stages += [
-            CardinalityReducer(inputCols=text, minCount=min_count, maxValues=max_values),
             StringIndexer(inputCols=text, outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"),
             OneHotEncoder(inputCols=idx, outputCols=hot, handleInvalid="keep"),
         ]

@@ -95,26 +95,27 @@ def enc3(t: Tables):
 
 
 @query("enc4_one_hot_unknown_ignored", cte("matches") + _TRAIN_TEST + """,
-c AS (SELECT cell, row_number() OVER (ORDER BY cell) - 1 AS i FROM (SELECT DISTINCT cell FROM tr WHERE team1 <> 'NATION_7'))
-SELECT te.match_id, CAST(coalesce(c.i, -1) AS INTEGER) AS hot FROM te LEFT JOIN c ON te.cell = c.cell""")
+c AS (SELECT cell, row_number() OVER (ORDER BY cell) - 1 AS i FROM (SELECT DISTINCT cell FROM tr))
+SELECT te.match_id, CAST(coalesce(c.i, -1) AS INTEGER) AS hot FROM te LEFT JOIN c ON te.match_id % 5 <> 0 AND te.cell = c.cell""")
 def enc4(t: Tables):
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
 
     train, test = _cells(t)
     pipe = Pipeline(stages=[
         StringIndexer(inputCol="cell", outputCol="i", handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCol="i", outputCol="o", handleInvalid="keep")]).fit(train.filter("team1 <> 'NATION_7'"))
-    out = EN.one_hot_index(pipe, pipe.transform(test), "o", "hot")
+        OneHotEncoder(inputCol="i", outputCol="o", handleInvalid="keep")]).fit(train)
+    asked = test.withColumn("cell", F.when(F.col("match_id") % 5 == 0, "guest").otherwise(F.col("cell")))
+    out = EN.one_hot_index(pipe, pipe.transform(asked), "o", "hot")
     known = len(pipe.stages[0].labels)
     return out.select("match_id", F.when(F.col("hot") < known, F.col("hot")).otherwise(-1).alias("hot"))
 
 
-@query("enc5_infrequent_bucket", cte("matches") + _TRAIN_TEST + """, b AS (
-  SELECT match_id, CASE WHEN cell IN (SELECT cell FROM k) THEN cell ELSE 'OTHER_PLAYER' END AS v FROM te)
+@query("enc5_infrequent_bucket", cte("matches") + _TRAIN_TEST + """, f AS (SELECT cell FROM tr GROUP BY 1 HAVING count(*) >= 10), b AS (
+  SELECT match_id, CASE WHEN cell IN (SELECT cell FROM f) THEN cell ELSE 'OTHER_PLAYER' END AS v FROM te)
 SELECT v, count(*) AS n FROM b GROUP BY 1""")
 def enc5(t: Tables):
     train, test = _cells(t)
-    model = Pipeline(stages=EN.encoder_stages(["cell"], [], min_count=10, max_values=80)[:2]).fit(train)
+    model = Pipeline(stages=EN.encoder_stages(["cell"], [], min_count=10)[:2]).fit(train)
     return model.transform(test).groupBy(F.col("cell").alias("v")).agg(F.count("*").alias("n"))
 
 
