@@ -20,7 +20,7 @@ HEADLINE = [
     "rec1_lineup_rating_prior", "rec3_anchored_rating", "set6_merge_columns", "set7_close_latest_of_fixture",
     "spl2_split_by_position", "spl4_stratified_folds", "evl4_classification_report", "evl10_auc_ovr_weighted",
     "drf1_numeric_drift", "sta1_correlations", "prj10_text_facts", "src6_page_facts", "sco6_live_feature_rows",
-    "str3_live_team_state",
+    "str3_live_team_state", "src1_document_decode", "mod1_logistic_regression", "str2_status_gate",
 ]
 
 

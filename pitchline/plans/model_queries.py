@@ -268,6 +268,102 @@ def snk4(t: Tables):
     return rounded(M.score(model, test).withColumn("target", F.lit(meta["target"])), "p1")
 
 
+# --- training where the solution is known in closed form ---------------------
+# On one category, an unpenalised or unbagged model predicts what a grouped mean predicts.
+
+_MEAN = "avg(CASE WHEN winner = team1 THEN 1 ELSE 0 END)"
+
+
+def _decided(t: Tables):
+    label = R.won_by_side1(F.col("winner"), F.col("team1")).cast("double").alias("label")
+    return t.matches.filter(F.col("winner").isNotNull()).select("match_id", "season", "venue", label)
+
+
+def _venue_only():
+    return EN.encoder_stages(["venue"], [])
+
+
+def _tree(kind: str, seed: int = 42):
+    return M.learner(kind, seed, numTrees=1, maxDepth=6, featureSubsetStrategy="all", **({"bootstrap": False} if kind == "forest" else {}))
+
+
+def _by_venue(scored, *keys: str):
+    return scored.groupBy("venue", *keys).agg(F.round(F.avg("p1"), 4).alias("p1"))
+
+
+def _score(f, clf):
+    return M.score(M.fit(f, _venue_only(), clf), f, ("match_id", "venue"))
+
+
+def _parity(t: Tables):
+    """Two groups on different sides of one half: a classification tree merges leaves that predict the same class."""
+    k = F.col("match_id")
+    return _decided(t).withColumns({"venue": F.when(k % 2 == 0, "even").otherwise("odd"),
+                                    "label": (k * 37 % 101 < 30 + 40 * (k % 2)).cast("double")})
+
+
+_PARITY = cte("matches") + """, d AS (SELECT match_id, CASE WHEN match_id % 2 = 0 THEN 'even' ELSE 'odd' END AS venue,
+  CASE WHEN match_id * 37 % 101 < 30 + 40 * (match_id % 2) THEN 1 ELSE 0 END AS label FROM matches WHERE winner IS NOT NULL)"""
+_PARITY_MEANS = _PARITY + " SELECT venue, round(avg(label), 4) AS p1 FROM d GROUP BY 1"
+_VENUE_MEANS = cte("matches") + f"SELECT venue, round({_MEAN}, 4) AS p1 FROM matches WHERE winner IS NOT NULL GROUP BY 1"
+
+
+@query("mod1_group_means", _VENUE_MEANS)
+def mod1_means(t: Tables):
+    return _by_venue(_score(_decided(t), M.learner("logistic", regParam=0.0, tol=1e-9, maxIter=200)))
+
+
+@query("mod2_leaf_means", _PARITY_MEANS)
+def mod2_means(t: Tables):
+    return _by_venue(_score(_parity(t), _tree("forest")))
+
+
+@query("mod3_first_step", cte("matches") + f"""
+SELECT venue, round(1 / (1 + exp(-2 * (2 * {_MEAN} - 1))), 4) AS p1 FROM matches WHERE winner IS NOT NULL GROUP BY 1""")
+def mod3_step(t: Tables):
+    return _by_venue(_score(_decided(t), M.learner("boosted", maxIter=1, maxDepth=6)))
+
+
+@query("mod4_leaf_means", _PARITY_MEANS)
+def mod4_means(t: Tables):
+    return _by_venue(_score(_parity(t), _tree("extra_trees")))
+
+
+@query("mod6_equal_trees", _PARITY_MEANS)
+def mod6_means(t: Tables):
+    f = _parity(t)
+    p = M.seed_average(f, f, _venue_only(), "extra_trees", [1, 2], numTrees=1, maxDepth=6, featureSubsetStrategy="all")
+    return _by_venue(p.join(f.select("match_id", "venue"), "match_id"))
+
+
+@query("mod11_out_of_fold_means", _PARITY + """,
+f AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY match_id * 31 % 1009, match_id) - 1) % 3 AS fold FROM d)
+SELECT a.venue, CAST(a.fold AS INTEGER) AS fold, round(avg(b.label), 4) AS p1
+FROM (SELECT DISTINCT venue, fold FROM f) a JOIN f b ON a.venue = b.venue AND a.fold <> b.fold GROUP BY 1, 2""")
+def mod11_means(t: Tables):
+    f = durable(S.stratified_folds(_parity(t), "label", "match_id", 3))
+    p = M.out_of_fold(f, _venue_only(), _tree("extra_trees"), 3)
+    return _by_venue(p.select("match_id", "p1").join(f.select("match_id", "venue", "fold"), "match_id"), "fold")
+
+
+@query("mod12_refit_means", cte("matches") + f"""
+SELECT venue, round({_MEAN}, 4) AS p1 FROM matches WHERE winner IS NOT NULL AND season >= 1998 GROUP BY 1""")
+def mod12_means(t: Tables):
+    recent = _decided(t).filter("season >= 1998")
+    return _by_venue(_score(recent, M.learner("logistic", regParam=0.0, tol=1e-9, maxIter=200)))
+
+
+@query("snk4_bundle_round_trip", cte("matches") + """
+SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM matches WHERE winner IS NOT NULL""")
+def snk4_same(t: Tables):
+    f, path = _decided(t), f"{checkpoint_dir(t.spark)}/bundle-{uuid.uuid4().hex}"
+    fitted = M.fit(f, _venue_only(), M.learner("logistic"))
+    T.save_model(fitted, {"target": "label"}, path, t.spark)
+    loaded, _ = T.load_model(path, t.spark)
+    both = M.score(fitted, f).join(M.score(loaded, f).select("match_id", F.col("p1").alias("again")), "match_id")
+    return both.agg(F.count("*").alias("n_rows"), F.count(F.when(F.col("p1") != F.col("again"), 1)).alias("n_different"))
+
+
 # --- scoring ----------------------------------------------------------------
 
 @query("sco1_batch_score", cte("multi") + _MP + """
