@@ -2,7 +2,7 @@
 
 Documents are cut into shards by ranges of their id, so that the files in shard order hold them in ascending order.
 A file row is a segment of whole documents: their ids and token counts, and a payload of blocks. Each block subtracts
-its minimum, packs at the width that a percentile of its values needs, and lists the values beyond as exceptions; the
+its minimum, packs at the width that a percentile of its values needs (bit plane by bit plane), and lists the values beyond as exceptions; the
 payload indexes where each block starts. Spark writes the rows as Parquet, so a lost executor leaves no half file.
 
 Defined results: a null or empty text has only the end id; a null id sorts first; rows with equal ids sort by text and
@@ -12,9 +12,11 @@ each keeps its own tokens; an empty table gives no rows; other columns are not r
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ BLOCK = 512
 @dataclass(frozen=True)
 class Format:
     percentile: float = 0.95  # share of a block's values that its width must hold
+    shard_bytes: int = 64 << 20  # text of a shard, about: the larger, the more often a task meets a piece again
     segment: int = 1 << 18  # ids after which a segment closes at the next document end
     cached: int = 1_000_000  # distinct text pieces whose ids a task remembers
 
@@ -64,10 +67,8 @@ def pack(values: np.ndarray, percentile: float = Format.percentile) -> bytes:
         part = deltas[rows]
         patched[rows] = part >= np.uint64(1) << np.uint64(w)
         if w:
-            digits = np.empty((len(rows), BLOCK, w), np.uint8)
-            for k in range(w):
-                digits[:, :, k] = (part >> np.uint32(k)) & np.uint32(1)
-            body = np.packbits(digits.reshape(len(rows), -1), axis=1, bitorder="little")
+            planes = [np.packbits(((part >> np.uint32(k)) & np.uint32(1)).astype(np.uint8), axis=1) for k in range(w)]
+            body = np.stack(planes, axis=1).reshape(len(rows), -1)
             packed[ragged(starts[rows].astype(np.int64), np.full(len(rows), body.shape[1]))] = body.reshape(-1)
     where = np.nonzero(patched)
     head = MAGIC + np.array([n, blocks, len(where[0])], "<u4").tobytes()
@@ -89,37 +90,81 @@ def unpack(payload: bytes) -> np.ndarray:
         return out
 
     starts, low, bits, patched = take("<u4", blocks + 1), take("<u4", blocks), take("u1", blocks), take("<u2", blocks)
-    packed = np.concatenate([take("u1", int(starts[-1])), np.zeros(8, np.uint8)])
+    packed = take("u1", int(starts[-1]))
     place, value = take("<u2", exceptions), take("<u4", exceptions)
     grid = np.zeros((blocks, BLOCK), np.uint32)
-    step = np.arange(BLOCK, dtype=np.int64)
     for w in np.unique(bits).tolist():
         if w:
             rows = np.flatnonzero(bits == w)
-            offset = starts[rows].astype(np.int64)[:, None] * 8 + step * w
-            byte = offset >> 3
-            word = np.zeros(offset.shape, np.uint64)
-            for k in range((w + 7 + 7) // 8):
-                word |= packed[byte + k].astype(np.uint64) << np.uint64(8 * k)
-            grid[rows] = (word >> (offset & 7).astype(np.uint64)) & np.uint64((1 << w) - 1)
+            body = packed[ragged(starts[rows].astype(np.int64), np.full(len(rows), w * BLOCK // 8))].reshape(len(rows), w, -1)
+            part = np.zeros((len(rows), BLOCK), np.uint32)
+            for k in range(w):
+                part |= np.unpackbits(body[:, k], axis=1).astype(np.uint32) << np.uint32(k)
+            grid[rows] = part
     grid[np.repeat(np.arange(blocks), patched), place] = value
     return (grid + low[:, None]).reshape(-1)[:n]
 
 
+# An A-Z before one of these would be put together differently once it is in lower case.
+ACCENTED = re.compile("[A-Z][\u0300-\u036f]")
+
+
+def plain(text: str) -> str:
+    """The text with A-Z in lower case where the tokenizer, which lower-cases itself, sees no difference."""
+    if text.isascii() or not ACCENTED.search(text):
+        return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    return text
+
+
 class Pieces(dict):
     """Numbers for text pieces; new ones wait until the tokenizer has given their ids."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.waiting = tokenizer, []
+        self.tokenizer = tokenizer
+        self.waiting: list[tuple[int, str]] = []  # for the tokenizer
+        self.joined: list[tuple[int, int, int]] = []  # number, and the two numbers whose ids it has
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts = [0]
+        self.end = 0
+        self.starts = np.zeros(1 << 16, np.int64)
+        self.sizes = np.zeros(1 << 16, np.int64)
 
     def __missing__(self, piece: str) -> int:
-        number = self[piece] = len(self)
-        self.waiting.append(piece)
+        if len(piece) > 1 and piece[-1] in ".,!?;:" and "a" <= piece[-2] <= "z":
+            # A mark after a letter is a token of its own.
+            parts = self[piece[:-1]], self[piece[-1]]
+            number = self[piece] = len(self)
+            self.joined.append((number, *parts))
+        else:
+            number = self[piece] = len(self)
+            self.waiting.append((number, piece))
         return number
 
+    def _place(self, numbers: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+        if self.end + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + len(flat), np.uint32)])
+        self.ids[self.end:self.end + len(flat)] = flat
+        self.starts[numbers], self.sizes[numbers] = self.end + np.cumsum(sizes) - sizes, sizes
+        self.end += len(flat)
+
+    def settle(self) -> None:
+        """Give all new pieces their ids."""
+        if len(self) > len(self.starts):
+            more = np.zeros(len(self), np.int64)
+            self.starts, self.sizes = np.concatenate([self.starts, more]), np.concatenate([self.sizes, more])
+        fresh = [e.ids for e in self.tokenizer.encode_batch_fast([p for _, p in self.waiting], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        flat = np.fromiter(chain.from_iterable(fresh), np.uint32, int(sizes.sum()))
+        numbers = np.fromiter((n for n, _ in self.waiting), np.int64, len(fresh))
+        self._place(numbers, sizes, flat)
+        if self.joined:
+            number, left, right = np.array(self.joined, np.int64).T
+            sizes = self.sizes[left] + self.sizes[right]
+            pair = np.stack([left, right], axis=1).reshape(-1)
+            self._place(number, sizes, self.ids[ragged(self.starts[pair], self.sizes[pair])])
+        self.waiting.clear()
+        self.joined.clear()
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and each text's count.
 
@@ -128,25 +173,15 @@ class Pieces(dict):
         get = self.__getitem__
         numbers, counts = [], []
         for text in texts:
-            pieces = text.replace("\n", " ").split(" ") if text else []
+            pieces = plain(text).replace("\n", " ").split(" ") if text else []
             numbers.append(np.fromiter(map(get, pieces), np.int32, len(pieces)))
             counts.append(len(pieces))
-        encoded = self.tokenizer.encode_batch_fast(self.waiting, add_special_tokens=False)
-        fresh = [e.ids for e in encoded]
-        sizes = [len(x) for x in fresh]
-        flat = np.fromiter((i for x in fresh for i in x), np.uint32, sum(sizes))
-        end = self.starts[-1]
-        if end + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids[:end], np.zeros(max(end, len(flat)) + len(flat), np.uint32)])
-        self.ids[end:end + len(flat)] = flat
-        self.starts.extend((end + np.cumsum(sizes)).tolist() if sizes else [])
-        self.waiting.clear()
-        starts = np.array(self.starts, np.int64)
+        self.settle()
         number = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
-        length = starts[number + 1] - starts[number]
+        length = self.sizes[number]
         per_text = np.add.reduceat(np.append(length, 0), np.cumsum([0, *counts[:-1]])) if counts else np.zeros(0, np.int64)
         per_text[np.array(counts, np.int64) == 0] = 0
-        return self.ids[ragged(starts[number], length)], per_text
+        return self.ids[ragged(self.starts[number], length)], per_text
 
 
 def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, id_col: str = "doc_id",
@@ -197,8 +232,9 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, id_c
         if held:
             yield close()
 
-    ordered = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-               .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    ordered = rows.repartitionByRange(size // form.shard_bytes + 1, "doc_id").sortWithinPartitions("doc_id", "text")
     schema = "shard int, segment int, first long, n long, doc_ids array<long>, sizes array<long>, payload binary"
     ordered.mapInArrow(run, schema).write.parquet(path)
 
