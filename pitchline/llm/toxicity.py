@@ -124,19 +124,31 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Logistic regression by Newton steps with a small ridge; the smoothed share alone where one class is missing."""
+def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Logistic regression with a small ridge on standardised columns; the smoothed share alone where one class is missing."""
     w = np.zeros(3)
     w[0] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     if not 0 < y.sum() < len(y):
         return w
-    penalty = np.diag([0, ridge, ridge])
-    for _ in range(100):
-        p = logistic(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(3), x.T @ (y - p) - penalty @ w)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+    center, scale = x.mean(axis=0), x.std(axis=0)
+    center[0], scale = 0.0, np.where(scale > 1e-12, scale, 1.0)
+    z, penalty = (x - center) / scale, np.array([0.0, ridge, ridge])
+
+    def loss(w: np.ndarray) -> float:
+        margin = z @ w
+        return float(np.logaddexp(0, margin).sum() - y @ margin + 0.5 * penalty @ (w * w))
+
+    for _ in range(100):  # Newton steps, halved until the loss falls
+        p = logistic(z @ w)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-9), z.T @ (y - p) - penalty * w)
+        size = 1.0
+        while loss(w + size * step) > loss(w) and size > 1e-6:
+            size /= 2
+        w = w + size * step
+        if np.abs(size * step).max() < 1e-9:
             break
+    w = w / scale
+    w[0] -= w[1:] @ center[1:]
     return w
 
 
