@@ -25,50 +25,56 @@ SLICE = 256
 
 
 def numbered(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """conv, role, text, place (from 1) and the prefix hashes a, b of every turn."""
+    """conv, cid, role, text, place (from 1) and the prefix hashes a, b of every turn.
+
+    ``cid`` is the id as text and never null, so that the text is shuffled once, by (cid, part), for all steps.
+    """
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"),
                         F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("part", F.floor(F.col("turn") / SLICE)).withColumn("digest", F.xxhash64(
-        F.col("role").isNull(), "role", F.col("text").isNull(), "text")).withColumn("second", F.crc32(F.concat_ws("\x1f", "role", "text").cast("binary")))
-    inside = Window.partitionBy("conv", "part").orderBy("turn", "role", "text")
-    sizes = rows.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("conv").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    same = F.col("conv").eqNullSafe(F.col("c")) & F.col("part").eqNullSafe(F.col("p"))
-    placed = rows.withColumn("at", F.row_number().over(inside)).join(starts, same).drop("c", "p")
+    rows = rows.withColumn("cid", F.coalesce(F.concat(F.lit("="), F.col("conv").cast("string")), F.lit("")))
+    rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / SLICE), F.lit(-(1 << 60))))
+    rows = rows.withColumn("digest", F.xxhash64(F.col("role").isNull(), "role", F.col("text").isNull(), "text")).withColumn(
+        "second", F.crc32(F.concat_ws("\x1f", "role", "text").cast("binary")))
+    inside = Window.partitionBy("cid", "part").orderBy("turn", "role", "text")
+    earlier = Window.partitionBy("cid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+
+    def carried(frame: DataFrame, aggregates: dict) -> DataFrame:
+        """Per (cid, part), the aggregates of all earlier parts; one row a part, so the window is short."""
+        sums = frame.groupBy("cid", "part").agg(*[how(of).alias(name) for name, (how, of) in aggregates.items()])
+        over = {"count": F.sum, "bit_xor": F.bit_xor}
+        return sums.select("cid", "part", *[F.coalesce(over[how.__name__](name).over(earlier), F.lit(0)).alias(name)
+                                            for name, (how, _) in aggregates.items()])
+
+    placed = rows.withColumn("at", F.row_number().over(inside)).join(carried(rows, {"start": (F.count, F.lit(1))}), ["cid", "part"])
     placed = placed.withColumn("place", F.col("start") + F.col("at"))
     placed = placed.withColumn("ha", F.xxhash64(F.lit(1), "place", "digest", "second")).withColumn(
         "hb", F.xxhash64(F.lit(2), "second", "digest", "place"))
-    sums = placed.groupBy("conv", "part").agg(F.bit_xor("ha").alias("xa"), F.bit_xor("hb").alias("xb"))
-    before = sums.select(F.col("conv").alias("c"), F.col("part").alias("p"),
-                         *[F.coalesce(F.bit_xor(x).over(earlier), F.lit(0)).alias(x) for x in ("xa", "xb")])
+    before = carried(placed, {"xa": (F.bit_xor, "ha"), "xb": (F.bit_xor, "hb")})
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    rolled = placed.withColumn("ra", F.bit_xor("ha").over(upto)).withColumn("rb", F.bit_xor("hb").over(upto)).join(before, same)
-    return rolled.select("conv", "role", "text", "place", F.col("ra").bitwiseXOR(F.col("xa")).alias("a"),
+    rolled = placed.withColumn("ra", F.bit_xor("ha").over(upto)).withColumn("rb", F.bit_xor("hb").over(upto)).join(before, ["cid", "part"])
+    return rolled.select("conv", "cid", "role", "text", "place", F.col("ra").bitwiseXOR(F.col("xa")).alias("a"),
                          F.col("rb").bitwiseXOR(F.col("xb")).alias("b"))
 
 
 def maximal(prefixes: DataFrame) -> DataFrame:
-    """(conv, turns) of conversations that are no prefix of a longer one; the least id of equal ones (null is least)."""
-    lengths = prefixes.groupBy("conv").agg(F.max("place").alias("turns"))
-    ends = prefixes.select(F.col("conv").alias("c"), "place", "a", "b").join(
-        lengths, F.col("c").eqNullSafe(F.col("conv")) & (F.col("place") == F.col("turns"))).select("conv", "turns", "a", "b")
-    alone = ends.groupBy("turns", "a", "b").agg(F.min(F.struct(F.col("conv").isNotNull(), "conv")).alias("least"))
-    alone = alone.select(F.col("least.conv").alias("conv"), "turns", "a", "b")
-    longer = prefixes.join(lengths.select(F.col("conv").alias("c"), "turns"),
-                           F.col("conv").eqNullSafe(F.col("c")) & (F.col("place") < F.col("turns")))
-    inner = longer.select(F.col("place").alias("turns"), "a", "b").distinct()  # a shared opening counts once
-    return alone.join(inner, ["turns", "a", "b"], "left_anti").select("conv", "turns")
+    """(cid, turns) of conversations that are no prefix of a longer one; the least id of equal ones (null is least)."""
+    lengths = prefixes.groupBy("cid").agg(F.max("place").alias("turns"))
+    known = prefixes.join(lengths, "cid")
+    ends = known.filter("place = turns")
+    alone = ends.groupBy("turns", "a", "b").agg(F.min(F.struct(F.col("conv").isNotNull(), "conv", "cid")).alias("least"))
+    alone = alone.select(F.col("least.cid").alias("cid"), "turns", "a", "b")
+    inner = known.filter("place < turns").select(F.col("place").alias("turns"), "a", "b").distinct()  # a shared opening counts once
+    return alone.join(inner, ["turns", "a", "b"], "left_anti").select("cid", "turns")
 
 
 def rendered(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
              text_col: str = "text", start: str = "<|im_start|>", end: str = "<|im_end|>") -> DataFrame:
     """conv_id, n_turns, part and the rendered text of every maximal conversation."""
     rows = staged(numbered(turns, conv_col, turn_col, role_col, text_col), "chat-turns")
-    kept = maximal(rows.select("conv", "place", "a", "b")).withColumnRenamed("conv", "c")
+    kept = maximal(rows.select("conv", "cid", "place", "a", "b"))
     turn = F.concat(F.lit(start), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(f"{end}\n"))
-    said = rows.join(kept, F.col("conv").eqNullSafe(F.col("c"))).select(
-        "conv", "turns", F.floor((F.col("place") - 1) / SLICE).cast("int").alias("part"), F.struct("place", turn.alias("said")).alias("s"))
-    parts = said.groupBy("conv", "turns", "part").agg(F.array_sort(F.collect_list("s")).alias("all"))  # SLICE turns at most
+    said = rows.join(kept, "cid").select(
+        "conv", "cid", "turns", F.floor((F.col("place") - 1) / SLICE).cast("int").alias("part"), F.struct("place", turn.alias("said")).alias("s"))
+    parts = said.groupBy("cid", "conv", "turns", "part").agg(F.array_sort(F.collect_list("s")).alias("all"))  # SLICE turns at most
     return parts.select(F.col("conv").alias("conv_id"), F.col("turns").alias("n_turns"), "part",
                         F.concat_ws("", F.col("all.said")).alias("text"))
