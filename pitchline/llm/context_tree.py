@@ -30,10 +30,13 @@ from pitchline.llm.byte_grams import context, count_grams, padded, stretches, su
 from pitchline.llm.common import HashArray, appended, crc_bucket, row_sums, slices, staged, utf8
 
 
+CHUNK = 1024  # contexts whose binary nodes are worked out at a time
+
+
 @dataclass(frozen=True)
 class Tree:
     depth: int = 5
-    share: float = 1e-5
+    share: float = 2e-5
     word_share: float = 1e-6
     folds: int = 10  # crc32 of the id, modulo this: 0 is held out
     add: float = 0.1  # the base model's additive smoothing
@@ -95,39 +98,56 @@ class ContextTree:
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
         """``levels[d]``: the kept contexts of d bytes, sorted, and their [contexts, 256] next-byte counts."""
         depth = len(levels) - 1
-        stop: list[np.ndarray] = [np.zeros(0)] * (depth + 1)  # weight of ending the context here
-        rest: list[np.ndarray] = [np.zeros(0)] * (depth + 1)  # counts not in any kept extension
-        parent: list[np.ndarray] = [np.zeros(0, np.int64)] * (depth + 1)
-        below_logs = below_counts = None
+        stop, below, parent = [], [], []  # by level: weight of ending here, counts in kept extensions, number above
+        logs_below = np.zeros(0)
         for d in range(depth, -1, -1):
             contexts, by_byte = levels[d]
-            counts = node_counts(by_byte)
-            logs = block_logs(counts)
+            n = len(contexts)
             if d == depth:
-                weighted, stop[d] = logs, np.ones_like(logs)
-            else:
-                rest[d] = counts - below_counts
-                split = below_logs + block_logs(rest[d])
-                weighted = np.logaddexp(logs, split) + np.log(0.5)
-                stop[d] = np.exp(np.log(0.5) + logs - weighted)
+                below.insert(0, np.zeros((n, 0)))
             if d:
-                parent[d] = np.searchsorted(levels[d - 1][0], contexts & np.uint64((1 << 8 * (d - 1)) - 1))
                 above = len(levels[d - 1][0])
-                below_logs, below_counts = np.zeros((above, 255)), np.zeros((above, 512))
-                np.add.at(below_logs, parent[d], weighted)
-                np.add.at(below_counts, parent[d], counts)
+                up = np.searchsorted(levels[d - 1][0], contexts & np.uint64((1 << 8 * (d - 1)) - 1))
+                next_below, next_logs = np.zeros((above, 256)), np.zeros((above, 255))
+                np.add.at(next_below, up, by_byte)
+            else:
+                up = np.zeros(1, np.int64)
+            parent.insert(0, up)
+            weights = np.ones((n, 255), np.float32)
+            for a in range(0, n, CHUNK):
+                part = slice(a, a + CHUNK)
+                logs = block_logs(node_counts(by_byte[part]))
+                if d == depth:
+                    weighted = logs
+                else:
+                    split = logs_below[part] + block_logs(node_counts(by_byte[part] - below[0][part]))
+                    weighted = np.logaddexp(logs, split) + np.log(0.5)
+                    weights[part] = np.exp(np.log(0.5) + logs - weighted)
+                if d:
+                    np.add.at(next_logs, up[part], weighted)
+            stop.insert(0, weights)
+            if d:
+                below.insert(0, next_below)
+                logs_below = next_logs
         self.finders: list[tuple[int, HashArray, np.ndarray]] = []
         tables, at = [], 0
-        mixed, left = np.zeros((1, 255)), np.ones((1, 255))
+        mixed, left = np.zeros((1, 255), np.float32), np.ones((1, 255), np.float32)
         for d in range(depth + 1):
             contexts, by_byte = levels[d]
-            if d:
-                mixed, left = mixed[parent[d]], left[parent[d]]
-            mixed = mixed + left * stop[d] * next_one(node_counts(by_byte))
-            left = left * (1 - stop[d])
-            tables.append(byte_logs(mixed if d == depth else mixed + left * next_one(rest[d])))
-            states = np.arange(at, at + len(contexts), dtype=np.int32)
-            at += len(contexts)
+            n = len(contexts)
+            table, new_mixed, new_left = np.empty((n, 256), np.float32), *(np.empty((n, 255), np.float32) for _ in range(2))
+            for a in range(0, n, CHUNK):
+                part = slice(a, a + CHUNK)
+                up = parent[d][part]
+                one = mixed[up] + left[up] * stop[d][part] * next_one(node_counts(by_byte[part]))
+                new_mixed[part], new_left[part] = one, left[up] * (1 - stop[d][part])
+                if d < depth:
+                    one = one + new_left[part] * next_one(node_counts(by_byte[part] - below[d][part]))
+                table[part] = byte_logs(np.clip(one, 1e-12, 1 - 1e-12))
+            mixed, left = new_mixed, new_left
+            tables.append(table)
+            states = np.arange(at, at + n, dtype=np.int32)
+            at += n
             if d:
                 finder = HashArray(contexts)
                 self.finders.insert(0, (d, finder, states[finder.order]))
