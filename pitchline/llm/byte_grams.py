@@ -14,7 +14,7 @@ from pitchline.llm.common import slices, utf8
 # Bytes that UTF-8 never uses mark the start and the end of a text.
 START, END = 0xFE, 0xFF
 # Windows that a task counts before it sorts them together.
-PENDING = 1 << 23
+PENDING = 1 << 22
 
 
 def padded(data: np.ndarray, offsets: np.ndarray, front: int) -> tuple[np.ndarray, np.ndarray]:

@@ -35,7 +35,7 @@ def crc_bucket(column: str, buckets: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(buckets)
 
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:

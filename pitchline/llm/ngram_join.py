@@ -86,6 +86,20 @@ def signed(docs: DataFrame, text_col: str, join: Join, drop: tuple[str, ...] = (
     return appended(docs, make, [T.StructField("__key", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))], text_col, drop)
 
 
+def keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with __key alone."""
+
+    def make():
+        def step(texts: pa.Array) -> list:
+            data, offsets = utf8(texts)
+            words, counts = word_hashes(lowered(data), offsets)
+            return [pa.array(text_keys(words, counts).view(np.int64), mask=counts == 0)]
+
+        return step
+
+    return appended(docs, make, [T.StructField("__key", T.LongType())], text_col)
+
+
 def sets(docs: DataFrame, text_col: str, join: Join) -> DataFrame:
     """``docs`` with __key and __grams, the sorted distinct n-gram hashes; without the text."""
 
@@ -195,7 +209,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
     """``docs`` with one row of each group: the one with the group's id; rows without words all stay."""
     kept = joined(docs, id_col, text_col, join).filter("doc_id <=> class_id and text_key is not null").select("doc_id", "text_key").distinct()
-    keyed = sets(docs.withColumn("__copy", F.col(text_col)), "__copy", join).drop("__grams")
-    chosen = keyed.join(kept.withColumnRenamed("doc_id", "__id"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("text_key")), "left_semi")
+    rows = keyed(docs, text_col)
+    chosen = rows.join(kept.withColumnRenamed("doc_id", "__id"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("text_key")), "left_semi")
     one = chosen.dropDuplicates([id_col, "__key"])
-    return one.unionByName(keyed.filter("__key is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return one.unionByName(rows.filter("__key is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
