@@ -21,6 +21,7 @@ import heapq
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ UNKNOWN_PENALTY = 10.0  # a character without a piece scores this much below the
 @dataclass(frozen=True)
 class Search:
     best: int = 4
-    cached_characters: int = 5_000_000  # of the distinct words that a task remembers
+    cached_characters: int = 3_000_000  # of the distinct words that a task remembers
 
 
 class Vocabulary:
@@ -58,6 +59,7 @@ class Vocabulary:
             for n in range(1, len(names[i])):
                 self.pieces.setdefault(names[i][:n], None)  # the start of a piece
         self.pieces.update({names[i]: (scores[i], i) for i in normal})
+        self.joined = {pair for i in normal for pair in zip(names[i], names[i][1:])}
         self.line_end = not any("\n" in names[i] for i in normal)
         raw = [names[i].replace(MARK, " ").encode() if i in scores else b"" for i in range(self.size)]
         for value, i in enumerate(self.byte):
@@ -73,6 +75,11 @@ class Vocabulary:
             return re.findall(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+" if self.line_end else f"{MARK}*[^{MARK}]+|{MARK}+", marked)
         return [w for w in marked.replace(MARK, " " + MARK).replace("\n", " \n ").split(" ") if w]
 
+    def cuts(self, word: str) -> list[str]:
+        """The word at its characters that stand side by side in no piece: its lattice is a chain of these parts'."""
+        at = [0, *(k for k, pair in enumerate(zip(word, word[1:]), 1) if pair not in self.joined), len(word)]
+        return [word[a:b] for a, b in zip(at, at[1:])] if len(at) > 2 else [word]
+
     def lattice(self, word: str) -> tuple[list[float], list[list[tuple[int, float, int]]]]:
         """Forward Viterbi: best score of each position, and the edges (start, score, piece) that end there."""
         n, pieces = len(word), self.pieces
@@ -140,26 +147,26 @@ class Vocabulary:
             at = start
         return self.ids(word, path[::-1]), score[n], gap
 
-    def search(self, chain: list[str], most: int) -> list[tuple[float, list[list[int]]]]:
-        """The ``most`` best segmentations of a chain of words: (score, ids of each word), best first, by A-star."""
-        lattices = [self.lattice(w) for w in chain]
+    def search(self, words: list[str], most: int) -> list[tuple[float, list[list[int]]]]:
+        """The ``most`` best segmentations of words in a row: (score, ids of each word), best first, by A-star."""
+        lattices = [self.lattice(w) for w in words]
         before = np.concatenate([[0.0], np.cumsum([score[-1] for score, _ in lattices])]).tolist()
         # An entry: minus (done + heuristic), order of entry, score done so far, word, position, edge behind, next entry
-        agenda = [(-before[-1], 0, 0.0, len(chain) - 1, len(chain[-1]), None, None)] if chain else []
+        agenda = [(-before[-1], 0, 0.0, len(words) - 1, len(words[-1]), None, None)] if words else []
         out, entered = [], 0
         while agenda and len(out) < most:
             entry = heapq.heappop(agenda)
             _, _, done, k, at, _, _ = entry
             if at == 0 and k == 0:
-                ids: list[list[tuple]] = [[] for _ in chain]
+                ids: list[list[tuple]] = [[] for _ in words]
                 step = entry
                 while step[6] is not None:
                     ids[step[5][0]].append(step[5][1:])
                     step = step[6]
-                out.append((done, [self.ids(w, path) for w, path in zip(chain, ids)]))
+                out.append((done, [self.ids(w, path) for w, path in zip(words, ids)]))
                 continue
             if at == 0:
-                k, at = k - 1, len(chain[k - 1])
+                k, at = k - 1, len(words[k - 1])
             score, into = lattices[k]
             for a, s, piece in into[at]:
                 entered += 1
@@ -173,7 +180,8 @@ class Words(dict):
     def __init__(self, vocabulary: Vocabulary, search: Search):
         super().__init__()
         self.vocabulary, self.search = vocabulary, search
-        self.fresh: list[list[int]] = []
+        self.lists: list[tuple[int, ...]] = []
+        self.settled = 0
         self.scores: list[float] = []
         self.gaps: list[float] = []
         self.flat = np.zeros(0, np.int32)
@@ -181,9 +189,15 @@ class Words(dict):
         self.characters = 0
 
     def __missing__(self, word: str) -> int:
+        parts = self.vocabulary.cuts(word)
+        if len(parts) == 1:
+            ids, score, gap = self.vocabulary.best(word)
+        else:
+            numbers = [self[part] for part in parts]
+            ids = chain.from_iterable(self.lists[k] for k in numbers)
+            score, gap = sum(self.scores[k] for k in numbers), min(self.gaps[k] for k in numbers)
         number = self[word] = len(self)
-        ids, score, gap = self.vocabulary.best(word)
-        self.fresh.append(ids)
+        self.lists.append(tuple(ids))
         self.scores.append(score)
         self.gaps.append(gap)
         self.characters += len(word)
@@ -191,11 +205,12 @@ class Words(dict):
 
     def settle(self) -> tuple[np.ndarray, np.ndarray]:
         """Scores and gaps by number; new ids join the flat array."""
-        sizes = np.fromiter(map(len, self.fresh), np.int64, len(self.fresh))
-        more = np.fromiter((i for ids in self.fresh for i in ids), np.int32, int(sizes.sum()))
+        fresh = self.lists[self.settled:]
+        self.settled = len(self.lists)
+        sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        more = np.fromiter(chain.from_iterable(fresh), np.int32, int(sizes.sum()))
         self.flat = np.concatenate([self.flat, more])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.fresh.clear()
         return np.array(self.scores), np.array(self.gaps)
 
     def trimmed(self) -> Words:
