@@ -36,7 +36,7 @@ class Format:
     percentile: float = 0.95  # share of a block's values that its width must hold
     shard_bytes: int = 64 << 20  # text of a shard, about: the larger, the more often a task meets a piece again
     segment: int = 1 << 18  # ids after which a segment closes at the next document end
-    cached: int = 1_000_000  # distinct text pieces whose ids a task remembers
+    cached: int = 500_000  # distinct text pieces whose ids a task remembers
 
 
 def widths(deltas: np.ndarray, percentile: float) -> np.ndarray:
@@ -152,7 +152,10 @@ class Pieces(dict):
         if len(self) > len(self.starts):
             more = np.zeros(len(self), np.int64)
             self.starts, self.sizes = np.concatenate([self.starts, more]), np.concatenate([self.sizes, more])
-        fresh = [e.ids for e in self.tokenizer.encode_batch_fast([p for _, p in self.waiting], add_special_tokens=False)]
+        fresh = []
+        for a in range(0, len(self.waiting), 10_000):  # an encoding is large until its ids are taken
+            part = [piece for _, piece in self.waiting[a:a + 10_000]]
+            fresh += [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
         sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
         flat = np.fromiter(chain.from_iterable(fresh), np.uint32, int(sizes.sum()))
         numbers = np.fromiter((n for n, _ in self.waiting), np.int64, len(fresh))
