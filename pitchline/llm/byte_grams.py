@@ -1,4 +1,9 @@
-"""Byte n-grams: padded streams, counting in tasks, one Spark aggregation over all of them."""
+"""Byte n-grams: padded streams, counting in tasks, one Spark aggregation over all of them.
+
+Values of grams reach the texts by joins, not by a broadcast, so a table of values may be of any size. Rows are read
+once and stored in chunks, stretches of one partition: their rows packed and compressed, and their distinct grams. The
+grams are joined with the values, and rows and values of a chunk meet in one task.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +11,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pitchline.llm.common import slices, utf8
+from pitchline.llm.common import HashArray, slices, staged, utf8
 
 # Bytes that UTF-8 never uses mark the start and the end of a text.
 START, END = 0xFE, 0xFF
 # Windows that a task counts before it sorts them together.
 PENDING = 1 << 22
+# Text bytes of a chunk. A task may have several.
+CHUNK_BYTES = 32 << 20
+CHUNK_STEP = 1_000_003  # more than a table has partitions
 
 
 def padded(data: np.ndarray, offsets: np.ndarray, front: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +112,150 @@ def count_grams(df: DataFrame, text_col: str, order: int, prepare: Callable | No
     return out.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def chunks(batches: Iterator[pa.RecordBatch], text_at: int, size: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Parts of the batches with the number of their chunk, which depends on the partition and the bytes before a row."""
+    partition, seen = TaskContext.get().partitionId(), 0
+    for batch in (part for whole in batches for part in slices(whole, text_at)):
+        offsets = utf8(batch.column(text_at))[1]
+        number = (seen + offsets[:-1]) // size
+        seen += int(offsets[-1])
+        edges = np.flatnonzero(np.diff(number)) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(number)]):
+            yield int(number[a]) * CHUNK_STEP + partition, batch.slice(a, b - a)
+
+
+class Chunks:
+    """Stored rows: ``pairs`` (chunk, gram, n) has the distinct grams of every chunk, ``bodies`` (chunk, body) its rows.
+
+    ``n`` counts the grams of rows where the column ``learn`` holds, or of all rows if it is not given.
+    """
+
+    def __init__(self, df: DataFrame, text_col: str, order: int, name: str, prepare: Callable | None = None,
+                 learn: str | None = None, size: int = CHUNK_BYTES):
+        self.columns, self.schema, self.text_col = df.columns, df.schema, text_col
+        text_at, learn_at = df.columns.index(text_col), None if learn is None else df.columns.index(learn)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, counts = merged(np.zeros(0, np.uint64))
+            waiting: tuple[list, list] = [], []  # not to be learned, to be learned
+            now = None
+
+            def settled() -> tuple[np.ndarray, np.ndarray]:
+                all_keys, all_counts = [keys], [counts]
+                for known, grams in enumerate(waiting):
+                    if grams:
+                        fresh, n = merged(np.concatenate(grams))
+                        all_keys.append(fresh)
+                        all_counts.append(n * known)
+                    grams.clear()
+                return merged(np.concatenate(all_keys), np.concatenate(all_counts))
+
+            def listed() -> Iterator[pa.RecordBatch]:
+                for a in range(0, len(keys), 1 << 17):
+                    part = keys[a:a + (1 << 17)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(part), now, np.int64)), pa.array(part.astype(np.int64)),
+                         pa.array(counts[a:a + (1 << 17)].astype(np.int64)), pa.nulls(len(part), pa.binary())], names=["chunk", "gram", "n", "body"])
+
+            for chunk, batch in chunks(batches, text_at, size):
+                if now is not None and chunk != now:
+                    keys, counts = settled()
+                    yield from listed()
+                    keys, counts = merged(np.zeros(0, np.uint64))
+                now = chunk
+                texts = batch.column(text_at)
+                for known in (0, 1):
+                    if learn_at is not None:
+                        data, offsets = utf8(texts.filter(pc.equal(batch.column(learn_at), bool(known))))
+                    elif known:
+                        data, offsets = utf8(texts)
+                    else:
+                        continue
+                    if len(offsets) == 1:
+                        continue
+                    if prepare is not None:
+                        data, offsets = prepare(data, offsets)
+                    for grams in stretches(padded(data, offsets, order - 1)[0], order):
+                        waiting[known].append(grams)
+                        if sum(map(len, waiting[known])) > PENDING:
+                            keys, counts = settled()
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(batch)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk], pa.int64()), *[pa.nulls(1, pa.int64())] * 2, pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                    names=["chunk", "gram", "n", "body"])
+            if now is not None:
+                keys, counts = settled()
+                yield from listed()
+
+        table = staged(df.mapInArrow(run, "chunk long, gram long, n long, body binary"), name)
+        self.pairs = table.filter("body is null").select("chunk", "gram", "n")
+        self.bodies = table.filter("body is not null").select("chunk", "body")
+
+    def grams(self) -> DataFrame:
+        """(gram, n) over all chunks."""
+        return self.pairs.groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+class Values:
+    """The values of one chunk's grams."""
+
+    def __init__(self, grams: list[np.ndarray], values: list[np.ndarray]):
+        self.finder = HashArray(np.concatenate(grams).astype(np.uint64))
+        self.values = np.concatenate(values)[self.finder.order]
+
+    def along(self, stream: np.ndarray, order: int, step: int = 1 << 18) -> np.ndarray:
+        """Values of the grams that end at each non-start byte of a padded stream."""
+        out = []
+        for grams in stretches(stream, order, step):
+            at = self.finder.find(grams)
+            if (at < 0).any():
+                raise RuntimeError("a gram of the chunk has no value")
+            out.append(self.values[at])
+        return np.concatenate(out)
+
+
+def with_values(chunked: Chunks, values: DataFrame, make: Callable[[], Callable[[pa.Array, Values], list]],
+                fields: list[T.StructField], drop: tuple[str, ...] = ()) -> DataFrame:
+    """Append Arrow-computed columns to every row, as ``appended`` does; the function also gets its chunk's values.
+
+    ``values`` has (gram, value) for all grams of the chunks.
+    """
+    taken = {f.name.lower() for f in fields}
+    kept = [i for i, f in enumerate(chunked.schema.fields) if f.name.lower() not in taken and f.name not in drop]
+    schema = T.StructType([chunked.schema.fields[i] for i in kept] + fields)
+    names, text_at = schema.names, chunked.columns.index(chunked.text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, now, grams, numbers, found = make(), None, [], [], None
+        for batch in batches:
+            chunk, text = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((np.diff(chunk) != 0) | (np.diff(text.astype(np.int8)) != 0)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(chunk)]):
+                if a == b:
+                    continue
+                if chunk[a] != now:
+                    now, grams, numbers, found = chunk[a], [], [], None
+                if not text[a]:
+                    grams.append(batch.column(2).slice(a, b - a).to_numpy().copy())
+                    numbers.append(batch.column(3).slice(a, b - a).to_numpy().copy())
+                    continue
+                if found is None:
+                    found = Values(grams, numbers)
+                    grams, numbers = [], []
+                for body in batch.column(4).slice(a, b - a):
+                    for part in pa.ipc.open_stream(body.as_buffer()):
+                        yield pa.RecordBatch.from_arrays([part.column(i) for i in kept] + step(part.column(text_at), found), names=names)
+
+    parts = max(1, chunked.bodies.select("chunk").distinct().count())
+    valued = chunked.pairs.select("chunk", "gram").join(values, "gram").select(
+        "chunk", F.lit(False).alias("text"), "gram", F.col("value").cast("float").alias("value"), F.lit(None).cast("binary").alias("body"))
+    texts = chunked.bodies.select("chunk", F.lit(True).alias("text"), F.lit(0).cast("long").alias("gram"), F.lit(0.0).cast("float").alias("value"), "body")
+    met = valued.unionByName(texts).repartitionById(parts, F.pmod("chunk", F.lit(parts)).cast("int"))
+    return met.sortWithinPartitions("chunk", "text").mapInArrow(run, schema)
+
+
 def suffix(gram, size: int):
     """The last ``size`` bytes of a packed gram."""
     return gram.bitwiseAND(F.lit((1 << 8 * size) - 1))

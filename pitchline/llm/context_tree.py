@@ -2,10 +2,11 @@
 
 Texts are lower-cased (A-Z) and their words joined by one blank, with an end mark. Each byte is eight binary decisions;
 every decision is predicted by a mixture, over all context depths from none to ``depth`` bytes, of Krichevsky-
-Trofimov estimates, weighted by how well each depth would have coded the training texts. The tree grows a context only
-if it makes up ``share`` of the training bytes or more; the bytes of its rarer extensions form one further leaf. So
-the tree has at most ``1 / share`` contexts per depth, and ``share`` bounds the broadcast model at every corpus size,
-while counting covers all training bytes.
+Trofimov estimates, weighted by how well each depth would have coded the training texts. Every context that occurs is
+in the tree: it lies in tables, one per depth, and grows with the corpus. Weights are worked out depth by depth, the
+deepest first: the log probabilities of a context's extensions are summed by Spark under the (depth + 1)-gram they
+share, and a task sees one context (at most 256 next bytes) at a time. Predictions go the other way, each gram from the
+one a byte shorter, for the distinct grams of all texts, and reach the texts by a join (``byte_grams``).
 
 The base model scores words alone: frequent ones (``word_share`` of all tokens, so at most ``1 / word_share`` words)
 from a broadcast table, all others by a join with the counts. Defined results: null and empty texts have one token,
@@ -24,10 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from pitchline.llm.byte_grams import context, count_grams, padded, stretches, suffix
-from pitchline.llm.common import HashArray, appended, crc_bucket, row_sums, slices, staged, utf8
+from pitchline.llm.byte_grams import Chunks, Values, context, padded, suffix, with_values
+from pitchline.llm.common import crc_bucket, row_sums, slices, staged, utf8
 
 
 CHUNK = 1024  # contexts whose binary nodes are worked out at a time
@@ -36,7 +36,7 @@ CHUNK = 1024  # contexts whose binary nodes are worked out at a time
 @dataclass(frozen=True)
 class Tree:
     depth: int = 5
-    share: float = 2e-5
+    share: float = 0.0  # the share of the training bytes that a context needs: none, and nothing else is accepted
     word_share: float = 1e-6
     folds: int = 10  # crc32 of the id, modulo this: 0 is held out
     add: float = 0.1  # the base model's additive smoothing
@@ -93,7 +93,7 @@ def byte_logs(one: np.ndarray) -> np.ndarray:
 
 
 class ContextTree:
-    """States (a context of full depth, or a context with all its rarer extensions) and each one's byte logs."""
+    """The tree of given contexts in memory, with each one's byte logs: the tests' second way to the same values."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
         """``levels[d]``: the kept contexts of d bytes, sorted, and their [contexts, 256] next-byte counts."""
@@ -129,8 +129,7 @@ class ContextTree:
             if d:
                 below.insert(0, next_below)
                 logs_below = next_logs
-        self.finders: list[tuple[int, HashArray, np.ndarray]] = []
-        tables, at = [], 0
+        tables = []
         mixed, left = np.zeros((1, 255), np.float32), np.ones((1, 255), np.float32)
         for d in range(depth + 1):
             contexts, by_byte = levels[d]
@@ -146,62 +145,90 @@ class ContextTree:
                 table[part] = byte_logs(np.clip(one, 1e-12, 1 - 1e-12))
             mixed, left = new_mixed, new_left
             tables.append(table)
-            states = np.arange(at, at + n, dtype=np.int32)
-            at += n
-            if d:
-                finder = HashArray(contexts)
-                self.finders.insert(0, (d, finder, states[finder.order]))
         self.table = np.concatenate(tables).reshape(-1)
 
-    def state(self) -> tuple:
-        return self.table, [(d, f.state(), s) for d, f, s in self.finders]
-
-    @classmethod
-    def restore(cls, state: tuple) -> ContextTree:
-        out = cls.__new__(cls)
-        out.table = state[0]
-        out.finders = [(d, HashArray.restore(f), s) for d, f, s in state[1]]
-        return out
-
-    def logs(self, grams: np.ndarray, step: int = 1 << 18) -> np.ndarray:
-        """log10 of the last byte's probability after the bytes before it."""
-        out = np.empty(len(grams), np.float32)
-        for a in range(0, len(grams), step):
-            part = grams[a:a + step]
-            states = np.zeros(len(part), np.int64)  # state 0: no kept context
-            left, before = np.arange(len(part)), part >> np.uint64(8)
-            for d, finder, numbers in self.finders:
-                at = finder.find(before & np.uint64((1 << 8 * d) - 1))
-                hit = at >= 0
-                states[left[hit]] = numbers[at[hit]]
-                left, before = left[~hit], before[~hit]
-                if not len(left):
-                    break
-            out[a:a + step] = self.table[states * 256 + (part & np.uint64(255)).astype(np.int64)]
-        return out
-
-
-def train(docs: DataFrame, text_col: str = "text", tree: Tree = Tree()) -> ContextTree:
-    """Count all (depth + 1)-grams, derive the shorter ones, and weight the kept contexts."""
-    grams = staged(count_grams(docs, text_col, tree.depth + 1, words_joined), "context-grams")
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    parts, table = [], grams
-    for d in range(tree.depth, -1, -1):
-        if d < tree.depth:
-            table = table.groupBy(suffix(F.col("gram"), d + 1).alias("gram")).agg(F.sum("n").alias("n"))
-        visits = F.sum("n").over(Window.partitionBy(context(F.col("gram"))))  # at most 256 rows
-        kept = table.select("gram", "n", visits.alias("visits")).filter(F.col("visits") >= max(1.0, tree.share * total))
-        parts.append(kept.select(F.lit(d).alias("depth"), "gram", "n"))
-    rows = reduce(DataFrame.unionByName, parts).toPandas()  # at most 256 / share rows per depth
-    levels = []
-    for d in range(tree.depth + 1):
-        part = rows[rows["depth"] == d]
-        grams_d = part["gram"].to_numpy().astype(np.uint64)
-        contexts = np.unique(grams_d >> np.uint64(8)) if d else np.zeros(1, np.uint64)
-        by_byte = np.zeros((len(contexts), 256))
-        by_byte[np.searchsorted(contexts, grams_d >> np.uint64(8)), (grams_d & np.uint64(255)).astype(np.int64)] = part["n"]
-        levels.append((contexts, by_byte))
-    return ContextTree(levels)
+
+def weighted_nodes(grams: np.ndarray, n: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted grams of whole contexts, by bit of the last byte: the node's log probability, shares of this depth.
+
+    A node (a context and the leading bits of the next byte) is shared by the grams that begin with those bits. Its log
+    probability stands at the least of them and is 0 at the others, so that sums over grams count each node once.
+    ``below`` has such sums of the context's extensions; without it, contexts end here. The share of this depth in a
+    prediction is (weight of ending here) * (estimate of the gram's own bit), what is left to deeper ones the rest.
+    """
+    logs, here, left = np.zeros((len(grams), 8)), np.zeros((len(grams), 8), np.float32), np.zeros((len(grams), 8), np.float32)
+    n = n.astype(np.float64)
+    for j in range(8):
+        node = grams >> (8 - j)
+        edge = np.concatenate([[True], node[1:] != node[:-1]])
+        first, number = np.flatnonzero(edge), np.cumsum(edge) - 1
+        bit = (grams >> (7 - j)) & 1
+        ones, visits = np.add.reduceat(n * bit, first), np.add.reduceat(n, first)
+        block = log_gamma(visits - ones + 0.5) + log_gamma(ones + 0.5) - np.log(np.pi) - log_gamma(visits + 1)
+        if below is None:
+            weighted, stop = block, np.ones(len(first))
+        else:
+            weighted = np.logaddexp(block, np.add.reduceat(below[:, j], first)) + np.log(0.5)
+            stop = np.exp(np.log(0.5) + block - weighted)
+        logs[first, j] = weighted
+        estimate = (np.where(bit == 1, ones[number], (visits - ones)[number]) + 0.5) / (visits[number] + 1)
+        here[:, j], left[:, j] = stop[number] * estimate, 1 - stop[number]
+    return logs, here, left
+
+
+BITS = range(8)
+NODES = [*[f"v{j}" for j in BITS], *[f"h{j}" for j in BITS], *[f"l{j}" for j in BITS]]
+
+
+def weighted_level(table: DataFrame, deepest: bool) -> DataFrame:
+    """``table`` (gram, n and, unless it is the deepest, the sums v0 .. v7 of the extensions) with its nodes' columns."""
+
+    def run(batches):
+        held: pa.RecordBatch | None = None
+
+        def done(t: pa.Table) -> pa.RecordBatch:
+            grams, n = (t.column(c).to_numpy() for c in ("gram", "n"))
+            below = None if deepest else np.column_stack([t.column(f"v{j}").to_numpy() for j in BITS])
+            columns = [x[:, j] for x in weighted_nodes(grams, n, below) for j in BITS]
+            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n), *map(pa.array, map(np.ascontiguousarray, columns))], names=["gram", "n", *NODES])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            contexts = rows.column("gram").to_numpy() >> 8
+            whole = int(np.searchsorted(contexts, contexts[-1]))  # the last context may go on in the next batch
+            if whole:
+                yield done(rows.slice(0, whole))
+            held = rows.slice(whole).combine_chunks()
+        if held is not None:
+            yield done(held)
+
+    schema = "gram long, n long, " + ", ".join(f"{c} {'double' if c[0] == 'v' else 'float'}" for c in NODES)
+    dealt = table.repartition(context(F.col("gram"))).sortWithinPartitions("gram")
+    return dealt.mapInArrow(run, schema)
+
+
+def train(grams: DataFrame, depth: int) -> list[DataFrame]:
+    """The weighted contexts of every depth, none to ``depth`` bytes, from (gram, n) of depth + 1 bytes; n may be 0."""
+    tables: list[DataFrame] = []
+    table = grams
+    for d in range(depth, -1, -1):
+        if tables:
+            sums = [F.sum(c).alias(c) for c in ("n", *NODES[:8])]
+            table = tables[0].groupBy(suffix(F.col("gram"), d + 1).alias("gram")).agg(*sums)
+        tables.insert(0, staged(weighted_level(table, d == depth), "context-level"))
+    return tables
+
+
+def predicted(tables: list[DataFrame]) -> DataFrame:
+    """(gram, value) for the grams of the deepest table: log10 of the last byte's probability after the bytes before it."""
+    out = tables[0].select("gram", *[F.col(f"h{j}").cast("double").alias(f"p{j}") for j in BITS], *[F.col(f"l{j}").cast("double").alias(f"r{j}") for j in BITS])
+    for d, table in enumerate(tables[1:], 1):
+        own = table.select(F.col("gram").alias("own"), suffix(F.col("gram"), d).alias("gram"), *NODES[8:])
+        mixed = [(F.col(f"p{j}") + F.col(f"r{j}") * F.col(f"h{j}")).alias(f"p{j}") for j in BITS]
+        out = own.join(out, "gram").select(F.col("own").alias("gram"), *mixed, *[(F.col(f"r{j}") * F.col(f"l{j}")).alias(f"r{j}") for j in BITS])
+    return out.select("gram", reduce(lambda a, b: a + b, [F.log10(f"p{j}") for j in BITS]).alias("value"))
 
 
 def word_counts(docs: DataFrame, text_col: str = "text", most: int = 500_000) -> DataFrame:
@@ -235,7 +262,11 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("held_out", crc_bucket("doc_id", tree.folds) == 0)
     learn = rows.filter("not held_out")
-    model = train(learn, "text", tree)
+    if tree.share:
+        raise ValueError("no context is left out of the tree: share has to be 0")
+    order = tree.depth + 1
+    chunked = Chunks(rows.withColumn("learn", ~F.col("held_out")), "text", order, "context-grams", words_joined, "learn")
+    values = predicted(train(chunked.grams(), tree.depth))
     counts = staged(word_counts(learn), "word-counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = learn.count()
@@ -243,16 +274,16 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree
     frequent = F.col("n") >= max(1.0, tree.word_share * train_tokens)
     head = counts.filter(frequent).toPandas()  # at most 1 / word_share words
     logs = {bytes(w): float(np.log10(n + tree.add)) for w, n in zip(head["word"], head["n"])}
-    shared = spark.sparkContext.broadcast((model.state(), logs))
-    order, end_log, end_known = tree.depth + 1, float(np.log10(ends + tree.add)), int(ends > 0)
+    shared = spark.sparkContext.broadcast(logs)
+    end_log, end_known = float(np.log10(ends + tree.add)), int(ends > 0)
 
     def make():
-        lm, known = ContextTree.restore(shared.value[0]), shared.value[1]
+        known = shared.value
 
-        def step(texts: pa.Array) -> list:
+        def step(texts: pa.Array, lm: Values) -> list:
             data, offsets = words_joined(*utf8(texts))
             stream, lengths = padded(data, offsets, order - 1)
-            total = row_sums(np.concatenate([lm.logs(g) for g in stretches(stream, order)]), lengths)
+            total = row_sums(lm.along(stream, order), lengths)
             body = data.tobytes()
             n, found, base, tail, cuts = [], [], [], [], [0]
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -273,7 +304,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tree
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("head_known", T.LongType()),
               T.StructField("head_log", T.DoubleType()), T.StructField("score", T.DoubleType()),
               T.StructField("bits_per_byte", T.DoubleType()), T.StructField("rare", T.ArrayType(T.BinaryType()))]
-    first = staged(appended(rows, make, fields, "text", ("text",)).withColumn("row", F.monotonically_increasing_id()), "context-scores")
+    first = staged(with_values(chunked, values, make, fields, ("text", "learn")).withColumn("row", F.monotonically_increasing_id()), "context-scores")
     others = first.select("row", F.explode("rare").alias("word")).join(counts.filter(~frequent), "word", "left")
     n = F.coalesce(F.col("n"), F.lit(0))
     tails = others.groupBy("row").agg(F.sum((n > 0).cast("long")).alias("tail_known"),

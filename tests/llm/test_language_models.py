@@ -4,9 +4,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pitchline.llm import context_tree, perplexity
+from pitchline.llm import byte_grams, context_tree, perplexity
+from pitchline.llm.common import row_sums, utf8
 from pitchline.llm.queries import QUERIES
 from tests.llm import fixtures
 
@@ -183,6 +187,37 @@ def test_pruned_trees_still_give_distributions():
     assert np.allclose((10.0 ** tree.table.reshape(-1, 256)).sum(axis=1), 1, atol=1e-4)
 
 
+def test_rare_contexts_stay_however_large_the_corpus(spark):
+    odd = "qzxjv wkqyh"  # a few dozen visits among 800 kB
+    data = [(i, fixtures.prose(i, 10000, 500), "en", "s", 0, *["x"] * 7) for i in range(1, 17)]
+    data += [(i, odd, "en", "s", 0, *["x"] * 7) for i in range(100, 140)]
+    got = context_tree.scored(fixtures.documents(spark, data)).collect()
+    plain = context_tree.scored(fixtures.documents(spark, data), tree=context_tree.Tree(share=0.0)).collect()
+    by = {r["doc_id"]: r["bits_per_byte"] for r in plain}
+    assert all(r["bits_per_byte"] == pytest.approx(by[r["doc_id"]], rel=1e-6) for r in got)
+
+
+def test_chunks_of_any_size_give_the_same_scores(spark):
+    rows = fixtures.documents(spark).select("doc_id", "text")
+    plain = None
+    for size in (1, 3000, 1 << 25):
+        chunked = byte_grams.Chunks(rows, "text", 3, "test-grams", size=size)
+        values = chunked.grams().select("gram", F.col("n").cast("double").alias("value"))
+
+        def make():
+            def step(texts, found):
+                data, offsets = utf8(texts)
+                stream, lengths = byte_grams.padded(data, offsets, 2)
+                return [pa.array(row_sums(found.along(stream, 3), lengths))]
+
+            return step
+
+        out = byte_grams.with_values(chunked, values, make, [T.StructField("total", T.DoubleType())])
+        got = sorted((str(r["doc_id"]), r["text"] or "", r["total"]) for r in out.collect())
+        assert plain is None or got == plain
+        plain = got
+
+
 def test_score_beats_the_base_on_held_out_texts(spark):
     sf = "/root/testdata/sf0.1"
     rows = [r for r in QUERIES["op5_context_tree_weighting"](spark, sf).collect() if r["held_out"]]
