@@ -79,6 +79,32 @@ def stored(tables: list[DataFrame], columns: list[str], found: dict, keep) -> di
     return out
 
 
+def probabilities(tables: list[DataFrame], column: str, found: dict, asked: DataFrame, share: float = 0.0) -> DataFrame:
+    """(gram, value): natural log of the interpolated probability of every asked gram, worked out in tables.
+
+    Each order is joined with the one below it by suffix, of which a gram has at most 256 longer ones. A gram that was
+    not counted takes its context's backoff; so does one with less than ``share`` of its order's total.
+    """
+    order, lower = len(tables), None
+    for size in range(1, order + 1):
+        total, d = found[size, column]
+        wanted = asked.select(suffix(F.col("gram"), size).alias("gram"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("asked"))
+        rows = tables[order - size].select("gram", F.col(column).alias("n"), F.lit(0).alias("asked")).unionByName(wanted)
+        rows = rows.groupBy("gram").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+        per_context = Window.partitionBy(context(F.col("gram")))
+        taken = F.when(F.col("n") >= 3, d[2]).when(F.col("n") == 2, d[1]).when(F.col("n") == 1, d[0]).otherwise(0.0)
+        visits = F.nullif(F.sum("n").over(per_context), F.lit(0))
+        own = F.when(F.col("n") >= share * total, F.coalesce((F.col("n") - taken) / visits, F.lit(0.0))).otherwise(0.0)
+        rows = rows.withColumn("own", own).withColumn("mass", F.greatest(1 - F.sum("own").over(per_context), F.lit(1e-9))).filter("asked = 1")
+        if lower is None:
+            out = rows.select("gram", (F.col("own") + F.col("mass") / 256).alias("p"))
+        else:
+            out = rows.withColumn("suffix", suffix(F.col("gram"), size - 1)).join(lower, "suffix").select(
+                "gram", (F.col("own") + F.col("mass") * F.col("p_lower")).alias("p"))
+        lower = out.select(F.col("gram").alias("suffix"), F.col("p").alias("p_lower"))
+    return out.select("gram", F.log("p").alias("value"))
+
+
 class Backoff:
     """Values of grams with backoff: a stored gram's value, else its context's weight plus the shorter gram's value."""
 

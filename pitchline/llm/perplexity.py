@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pitchline.llm import kneser_ney as kn
-from pitchline.llm.byte_grams import count_grams, padded
-from pitchline.llm.common import appended, mix, row_sums, staged, utf8
+from pitchline.llm.byte_grams import Chunks, Values, count_grams, padded, with_values
+from pitchline.llm.common import mix, row_sums, staged, utf8
 
 SYMBOLS = b"[#*$%&|<>]"
 BLANK = np.zeros(256, bool)
@@ -32,7 +32,7 @@ SPAN = 8
 @dataclass(frozen=True)
 class Rules:
     order: int = 5
-    share: float = 2e-6  # grams stored: at most 1 / share per order
+    share: float = 0.0  # of its order's total, what a gram needs to have a value of its own
     min_words: int = 20
     max_repeat_pct: int = 30
     spread: float = 7.0  # half-width of a band, in quartile ranges of its language
@@ -87,25 +87,37 @@ def rule_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [n, chars.astype(np.int64), symbols.astype(np.int64), np.array(dup, np.int64), repeats]
 
 
-def train(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> kn.Backoff:
+@dataclass(frozen=True)
+class Model:
+    """Adjusted counts of all grams by order, the longest first, and their discounts. No gram is too rare."""
+
+    tables: list[DataFrame]
+    found: dict
+
+
+def trained(grams: DataFrame, rules: Rules = Rules()) -> Model:
+    tables = [staged(t, "perplexity-level") for t in kn.levels(grams, rules.order, ["n"])]
+    return Model(tables, kn.discounts(tables, ["n"]))
+
+
+def train(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> Model:
     """The model of all texts: one pass over them, then aggregations over distinct grams."""
-    grams = staged(count_grams(docs, text_col, rules.order), "perplexity-grams")
-    tables = kn.levels(grams, rules.order, ["n"])
-    found = kn.discounts(tables, ["n"])
-    kept = kn.stored(tables, ["n"], found, lambda size: F.col("n") >= rules.share * found[size, "n"][0])
-    return kn.interpolated(kept, lambda size: "n")
+    return trained(staged(count_grams(docs, text_col, rules.order), "perplexity-grams"), rules)
 
 
-def scored(docs: DataFrame, model: kn.Backoff, text_col: str = "text", rules: Rules = Rules(),
-           drop: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with the rule counts and the log-perplexity per word (end mark included)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.state())  # at most 1 / share grams and contexts per order
+def chunks(docs: DataFrame, text_col: str, rules: Rules) -> Chunks:
+    return Chunks(docs, text_col, rules.order, "perplexity-chunks")
+
+
+def scored(docs: DataFrame, model: Model, text_col: str = "text", rules: Rules = Rules(),
+           drop: tuple[str, ...] = (), chunked: Chunks | None = None) -> DataFrame:
+    """``docs`` (``chunked`` if that is at hand) with the rule counts and the log-perplexity per word (end mark included)."""
+    chunked = chunked or chunks(docs, text_col, rules)
+    values = kn.probabilities(model.tables, "n", model.found, chunked.grams(), rules.share)
     order = rules.order
 
     def make():
-        lm = kn.Backoff.restore(shared.value)
-
-        def step(texts: pa.Array) -> list:
+        def step(texts: pa.Array, lm: Values) -> list:
             data, offsets = utf8(texts)
             stream, lengths = padded(data, offsets, order - 1)
             total = row_sums(lm.along(stream, order), lengths)
@@ -114,7 +126,7 @@ def scored(docs: DataFrame, model: kn.Backoff, text_col: str = "text", rules: Ru
 
         return step
 
-    return appended(docs, make, [*COUNTS, LOG_PPL], text_col, drop)
+    return with_values(chunked, values, make, [*COUNTS, LOG_PPL], drop)
 
 
 def failed(rules: Rules = Rules()):
@@ -145,7 +157,9 @@ def bands(rows: DataFrame, lang_col: str = "lang", rules: Rules = Rules()) -> Da
 def judged(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rules: Rules = Rules(),
            drop: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with counts, log_ppl, base_failed and kept. A language without a band keeps what passes the rules."""
-    rows = staged(scored(docs, train(docs, text_col, rules), text_col, rules, drop), "perplexity-scores")
+    chunked = chunks(docs, text_col, rules)
+    model = trained(staged(chunked.grams(), "perplexity-grams"), rules)
+    rows = staged(scored(docs, model, text_col, rules, drop, chunked), "perplexity-scores")
     limits = bands(rows, lang_col, rules)
     made = {"band_lang", "band_null", "low", "high", "base_failed", "kept"}
     base = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c.lower() not in made])

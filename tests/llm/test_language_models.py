@@ -61,6 +61,16 @@ def test_perplexity_is_the_plain_models(spark):
         assert r["log_ppl"] == pytest.approx(want, rel=1e-4)
 
 
+def test_rare_grams_have_values_of_their_own(spark):
+    data = [(i, fixtures.prose(i, 20000, 500), "en", "s", 0, *["x"] * 7) for i in range(12)]  # over a million bytes
+    data.append((100, "qzxjv", "xx", "s", 0, *["x"] * 7))
+    docs = fixtures.documents(spark, data)
+    got = [r["log_ppl"] for r in perplexity.judged(docs).collect() if r["doc_id"] == 100]
+    rules = perplexity.Rules(share=0.0)
+    want = [r["log_ppl"] for r in perplexity.scored(docs, perplexity.train(docs, rules=rules), rules=rules).collect() if r["doc_id"] == 100]
+    assert got == pytest.approx(want, rel=1e-6)
+
+
 def plain_rules(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
