@@ -171,8 +171,8 @@ def verified(part: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"__key": keys, "links": linked @ copies, "label": least})
 
 
-def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
-    """(doc_id, class_id, n_links, text_key) for every row."""
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
+    """(doc_id, class_id, n_links, text_key, group) for every row; the group is null where a text has no words."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = staged(signed(base, "text", join, ("text",)), "join-signatures")
     worded = rows.filter("__key is not null")
@@ -203,12 +203,19 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join
     ids = marked.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("class_id"))
     return marked.join(ids, "group", "left").select(
         "doc_id", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("__key").alias("text_key"))
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("__key").alias("text_key"), "group")
+
+
+def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
+    """(doc_id, class_id, n_links, text_key) for every row."""
+    return grouped(docs, id_col, text_col, join).drop("group")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
-    """``docs`` with one row of each group: the one with the group's id; rows without words all stay."""
-    kept = joined(docs, id_col, text_col, join).filter("doc_id <=> class_id and text_key is not null").select("doc_id", "text_key").distinct()
+    """``docs`` with one row of each group: the least id (null if all are), then the least key; rows without words all stay."""
+    marked = grouped(docs, id_col, text_col, join).filter("text_key is not null")
+    least = marked.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least"))
+    kept = least.select("least.doc_id", "least.text_key")
     rows = keyed(docs, text_col)
     chosen = rows.join(kept.withColumnRenamed("doc_id", "__id"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("text_key")), "left_semi")
     one = chosen.dropDuplicates([id_col, "__key"])

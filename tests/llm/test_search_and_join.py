@@ -105,6 +105,13 @@ def test_deduplicated_keeps_one_of_each_group(spark):
     assert sum(not words(r["text"]) for r in got) == sum(not words(r[1]) for r in data)
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_near_copies_under_one_id_or_none_are_one_group(spark, doc_id):
+    base = fixtures.prose(500, 200)
+    data = [(doc_id, t, "en", "s1", 0, *["x"] * 7) for t in (base, base + " one", base + " two", base)]
+    assert ngram_join.deduplicated(fixtures.documents(spark, data)).count() == 1
+
+
 def test_bands_follow_from_recall():
     join = ngram_join.Join()
     assert 1 - (1 - 0.8 ** join.rows) ** join.bands >= join.recall > 1 - (1 - 0.8 ** join.rows) ** (join.bands - 1)
