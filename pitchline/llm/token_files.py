@@ -110,7 +110,12 @@ ACCENTED = re.compile("[A-Z][\u0300-\u036f]")
 
 
 def plain(text: str) -> str:
-    """The text with A-Z in lower case where the tokenizer, which lower-cases itself, sees no difference."""
+    """The text with A-Z in lower case where the tokenizer, which lower-cases itself, sees no difference.
+
+    Special tokens are found in the text as it is, so pieces with their opening mark stay as they are.
+    """
+    if "<|" in text:
+        return " ".join(piece if "<|" in piece else plain(piece) for piece in text.replace("\n", " ").split(" "))
     if text.isascii() or not ACCENTED.search(text):
         return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
     return text

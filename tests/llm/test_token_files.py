@@ -55,6 +55,13 @@ def test_awkward_rows(spark, form):
     assert all(zlib.crc32(np.array(ids[s], "<u4").tobytes()) == c for _, s, _, c in got)
 
 
+def test_special_tokens_in_capitals_are_plain_text(spark):
+    texts = ["<|ENDOFTEXT|>", "Some <|EndOfText|>, More\n<|endoftext|> End", "A<|StartOfText|>B", "<|startoftext|>Word."]
+    data = [(i, t, "en", "s1", 0, *["x"] * 7) for i, t in enumerate(texts)]
+    got = [tuple(r) for r in token_files.digests(spark, files(spark, fixtures.documents(spark, data))).collect()]
+    assert sorted(got, key=lambda r: r[1]) == expected([r[:2] for r in data])
+
+
 def test_empty_table(spark):
     assert token_files.digests(spark, files(spark, fixtures.empty(spark))).count() == 0
 
