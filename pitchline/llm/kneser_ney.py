@@ -1,9 +1,9 @@
 """Modified Kneser-Ney models over byte n-grams: counted by Spark, looked up in sorted hash arrays.
 
-Counts, continuation counts and discounts come from every gram. A stored model keeps only grams whose share of
-their order's total is at least ``share``; since shares add up to one, it has at most ``1 / share`` grams per order
-however large the corpus is, which is what allows it to be broadcast. The probability of a gram that is not stored
-goes back to its context's backoff weight, so that each context still adds up to one.
+Counts, continuation counts and discounts come from every gram. ``probabilities`` works in tables of any size and is
+what the perplexity uses. ``stored`` collects the grams that its caller keeps and ``Backoff`` is broadcast, so callers
+bound them. The probability of a gram that is not stored goes back to its context's backoff weight, so that each context
+still adds up to one.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def discounts(tables: list[DataFrame], columns: list[str]) -> dict[tuple[int, st
 
 
 def stored(tables: list[DataFrame], columns: list[str], found: dict, keep) -> dict[int, dict[str, np.ndarray]]:
-    """Discounted weights of the grams to store, by order: {"gram": ..., column: ...}, at most 1/share rows each.
+    """Discounted weights of the grams to store, by order: {"gram": ..., column: ...}.
 
     ``keep(size)`` is the condition on a gram. The window spans one context, which has at most 256 next bytes.
     """
