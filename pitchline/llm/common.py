@@ -30,6 +30,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined_totals(rows: DataFrame, totals: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of rows with one row of totals per key (never null), whose column ``size`` counts the key's rows.
+
+    Keys with over a thousandth of all rows are a thousand at most, so they are broadcast and their rows stay where
+    they are; the others meet by a shuffle in which no key weighs more than that.
+    """
+    hot = F.col(size) * 1000 > F.lit(total)
+    few = F.broadcast(totals.filter(hot))
+    return rows.join(few, key).unionByName(
+        rows.join(few.select(key), key, "left_anti").join(totals.filter(~hot), key))
+
+
 def crc_bucket(column: str, buckets: int):
     """crc32 of an id written as text, modulo the bucket count; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(buckets)
