@@ -1,11 +1,14 @@
 """Ordered history per key that stays parallel when one key owns most rows.
 
 A plain ``Window.partitionBy(key)`` puts a whole key into one task.  Here the
-rows are cut into *slices*: equal stretches between the least and the greatest
-value of the leading order column.  The slice number is a plain expression of
-that column, so it is the same wherever it is computed, and how many slices
-there are is set by the cluster.  No window ever spans more than one
-(key, slice); what a slice needs from earlier ones arrives as a few extra rows:
+rows are cut into *slices* of about equal row counts along the order columns.
+The cuts come from a sketch of the order values: one pass that keeps, in every
+cell of a hash of the values, the one with the least hash, which is an even
+sample whatever the values' spread, type or common beginnings.  The slice
+number is a plain expression of the order columns and the cuts, so it is the
+same wherever it is computed, and how many slices there are is set by the
+cluster.  No window ever spans more than one (key, slice); what a slice needs
+from earlier ones arrives as a few extra rows:
 
 * totals of all earlier slices (pre-aggregated, one row per key and slice);
 * the last ``n`` rows before the slice, for frames over the previous n rows.
@@ -37,13 +40,18 @@ class Total:
 
 @dataclass(frozen=True)
 class Recent:
-    """``how`` (avg, sum, count, max, min, list, last) over the previous ``n`` rows."""
+    """``how`` (avg, sum, count, max, min, list, last) over the previous ``n`` rows.
+
+    With ``where``, over the previous n rows for which it holds; rows for which
+    it does not hold see the same as the next one for which it does.
+    """
 
     name: str
     value: Column
     n: int
     how: str = "avg"
     inclusive: bool = False
+    where: Column | None = None
 
     @property
     def reach(self) -> int:
@@ -67,18 +75,16 @@ _AGG = {
 }
 
 
-@dataclass(frozen=True)
-class Span:
-    """Least and greatest value of an order column, as columns: literals or scalar subqueries."""
+# Sampled order values per slice: a slice's share then strays by less than a fifth, as standard deviation.
+SAMPLES = 32
 
-    low: Column
-    high: Column
 
+@dataclass(frozen=True)
+class Span:
+    """Cuts between slices, ascending: an array of structs of the first order columns."""
 
-def span_of(df: DataFrame, column: str) -> Span:
-    """Subqueries over ``df``: nothing runs before the query that uses them."""
-    c = F.col(column)
-    return Span(df.agg(F.min(c)).scalar(), df.agg(F.max(c)).scalar())
+    columns: tuple[str, ...]
+    cuts: Column
 
 
 def slices_of(df: DataFrame) -> int:
@@ -87,25 +93,39 @@ def slices_of(df: DataFrame) -> int:
     return int(conf.get(SLICES_CONF, None) or conf.get("spark.sql.shuffle.partitions"))
 
 
-def _as_number(x: Column, kind: T.DataType) -> Column:
-    """A number that grows with the value; text counts by its first six bytes."""
-    if isinstance(kind, T.DateType):
-        return F.unix_date(x).cast("double")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(x).cast("double")
-    if isinstance(kind, T.StringType):
-        head = F.rpad(F.substring(F.hex(F.encode(x, "UTF-8")), 1, 12), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return x.cast("double")
-
-
-def sliced_by(df: DataFrame, column: str, span: Span | None = None) -> DataFrame:
-    """Tag rows with the slice that their value of ``column`` falls in; values outside the span go to the end slices."""
-    n, kind = slices_of(df), df.schema[column].dataType
-    span = span or span_of(df, column)
-    x, low, high = (_as_number(c, kind) for c in (F.col(column), span.low, span.high))
-    at = F.floor((x - low) * n / F.nullif(high - low, F.lit(0.0)))
-    return df.withColumn(SLICE, F.coalesce(F.least(F.greatest(at, F.lit(0)), F.lit(n - 1)), F.lit(0)).cast("int"))
+def span_of(df: DataFrame, columns: Sequence[str]) -> Span:
+    """The cuts as one subquery over ``df``: nothing runs before the query that uses them."""
+    n = slices_of(df)
+    at = F.xxhash64(*columns)
+    sample = df.groupBy(F.pmod(at, F.lit(SAMPLES * n)).alias("_cell")).agg(*[F.min_by(c, at).alias(c) for c in columns])
+    values = sample.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_all"))
+    places = F.sequence(F.lit(1), F.lit(max(1, n - 1)))
+    cuts = F.transform(places, lambda i: F.get("_all", (i * F.size("_all") / n).cast("int")))
+    return Span(tuple(columns), values.select(F.filter(cuts, lambda c: c.isNotNull())).scalar())
+
+
+def sliced_by(df: DataFrame, order: Sequence[str], span: Span | None = None) -> DataFrame:
+    """Tag rows with their slice, the number of cuts not above them, by a binary search of one column a step."""
+    n = slices_of(df)
+    out = df.withColumn(SLICE, F.lit(0))
+    if n == 1:
+        return out
+    if span is None or tuple(order[:len(span.columns)]) != span.columns:
+        span = span_of(df, order)
+
+    def reached(cut: Column) -> Column:
+        """Whether the row is at the cut or after it, by one order column after the other."""
+        *first, last = span.columns
+        yes = cut[last] <= F.col(last)
+        for c in reversed(first):
+            yes = (cut[c] < F.col(c)) | ((cut[c] == F.col(c)) & yes)
+        return F.coalesce(yes, F.lit(False))
+
+    step = 1 << (n - 1).bit_length() - 1
+    while step:
+        out = out.withColumn(SLICE, F.col(SLICE) + F.when(reached(F.get(span.cuts, F.col(SLICE) + (step - 1))), step).otherwise(0))
+        step >>= 1
+    return out
 
 
 def _input(spec: Spec) -> Column:
@@ -151,15 +171,16 @@ def with_history(
 ) -> DataFrame:
     """Add one column per spec, computed over the earlier rows of the same key.
 
-    ``order`` must be unique per key and free of nulls.  ``span`` holds the
-    bounds of its first column where they are known more cheaply than from
-    ``df``.  ``context`` (see ``history_context``) stands for rows seen before
-    ``df``.
+    ``order`` must be unique per key and free of nulls.  ``span`` holds cuts of
+    its first columns where they are known more cheaply than from ``df``.
+    ``context`` (see ``history_context``) stands for rows seen before ``df``.
     """
     keys, order, specs = list(keys), list(order), list(specs)
-    cols = _input_names(specs)
+    cols, where = _input_names(specs), _where(specs)
     staged = df.withColumns({c: _input(s) for c, s in zip(cols, specs)}).withColumn(_EXTRA, F.lit(False))
-    sliced = sliced_by(staged, order[0], span)
+    if where is not None:
+        staged = staged.withColumn(_COUNTS, F.coalesce(where, F.lit(False)))
+    sliced = sliced_by(staged, order, span)
     if context is not None:
         before = context.withColumn(_EXTRA, F.lit(True)).withColumn(SLICE, F.lit(-1))
         sliced = sliced.unionByName(before, allowMissingColumns=True)
@@ -178,13 +199,18 @@ def with_history(
     recents = [c for c, s in zip(cols, specs) if isinstance(s, Recent)]
     reach = _reach(specs)
     if reach:
-        last = top_n(sliced.select(*keys, SLICE, *order, F.struct(*order, *recents).alias("_row")), [*keys, SLICE],
-                     [F.col(c).desc() for c in order], reach)
-        ends = last.groupBy(*keys, SLICE).agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
-        earlier = F.flatten(F.collect_list("_rows").over(w_slices.rowsBetween(-reach, -1)))
+        counted = F.lit(True)
+        if where is not None:
+            recents, counted = [*recents, _COUNTS], F.col(_COUNTS)
+        last = top_n(sliced.select(*keys, SLICE, *order, counted.alias("_on"), F.struct(*order, *recents).alias("_row")), [*keys, SLICE],
+                     [F.col("_on").desc(), *[F.col(c).desc() for c in order]], reach)
+        # Before the first row that a slice keeps, the number of counted rows finds the last ones of earlier slices.
+        along = W.partitionBy(*keys).orderBy(SLICE, *order)
+        place = F.coalesce(F.sum(F.col("_on").cast("long")).over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+        opens = F.coalesce(F.lag(SLICE).over(along) != F.col(SLICE), F.lit(True))
+        earlier = F.collect_list(F.when(F.col("_on"), F.col("_row"))).over(W.partitionBy(*keys).orderBy(_PLACE).rangeBetween(-reach, -1))
         carried = (
-            ends.withColumn("_rows", earlier)
-            .withColumn("_rows", F.slice("_rows", F.greatest(F.size("_rows") - reach + 1, F.lit(1)), reach))
+            last.withColumns({_PLACE: place, "_opens": opens}).withColumn("_rows", earlier).filter("_opens")
             .select(*keys, SLICE, F.lit(True).alias(_EXTRA), F.explode("_rows").alias("_row"))
             .select(*keys, SLICE, _EXTRA, "_row.*")
         )
@@ -192,7 +218,17 @@ def with_history(
     return _windowed(merged, [*keys, SLICE], order, specs).drop(SLICE)
 
 
-_EXTRA = "_extra"
+_EXTRA, _COUNTS, _PLACE = "_extra", "_counts", "_place"
+
+
+def _where(specs: Sequence[Spec]) -> Column | None:
+    """The condition of the Recent specs of one pass, which must share it."""
+    found = [s.where for s in specs if isinstance(s, Recent)]
+    if any((w is None) != (found[0] is None) or w is not found[0] for w in found):
+        raise ValueError("Recent specs of one history share one condition")
+    if found and found[0] is not None and any(s.inclusive for s in specs if isinstance(s, Recent)):
+        raise ValueError("a conditional Recent spec looks at earlier rows only")
+    return found[0] if found else None
 
 
 def _input_names(specs: Sequence[Spec]) -> list[str]:
@@ -205,9 +241,18 @@ def _reach(specs: Sequence[Spec]) -> int:
 
 def _windowed(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: Sequence[Spec]) -> DataFrame:
     """Extra rows sort first: totals carry no order value, carried rows an earlier one."""
-    cols = _input_names(specs)
+    cols, where = _input_names(specs), _where(specs)
     w = W.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    out = df.withColumns({s.name: _result(s, c, w) for c, s in zip(cols, specs)})
+    plain = {s.name: _result(s, c, w) for c, s in zip(cols, specs) if where is None or not isinstance(s, Recent)}
+    if where is not None:  # the number of counted rows before a row orders the frame over the last n of them
+        before = F.sum(F.col(_COUNTS).cast("long")).over(w.rowsBetween(W.unboundedPreceding, -1))
+        plain[_PLACE] = F.coalesce(before, F.lit(0).cast("long"))
+    out = df.withColumns(plain)
+    if where is not None:
+        by_place = W.partitionBy(*keys).orderBy(_PLACE)
+        out = out.withColumns({
+            s.name: _AGG[s.how](F.when(F.col(_COUNTS), F.col(c))).over(by_place.rangeBetween(-s.n, -1))
+            for c, s in zip(cols, specs) if isinstance(s, Recent)}).drop(_PLACE, _COUNTS)
     return out.filter(~F.col(_EXTRA)).drop(_EXTRA, *cols)
 
 
@@ -221,7 +266,9 @@ def history_context(
     """
     keys, order, specs = list(keys), list(order), list(specs)
     cols = _input_names(specs)
-    seen = df.select(*keys, *order, *[_input(s).alias(c) for c, s in zip(cols, specs)])
+    where = _where(specs)
+    counts = [] if where is None else [F.coalesce(where, F.lit(False)).alias(_COUNTS)]
+    seen = df.select(*keys, *order, *[_input(s).alias(c) for c, s in zip(cols, specs)], *counts)
     if context is not None:
         seen = seen.unionByName(context, allowMissingColumns=True)
     recents = [c for c, s in zip(cols, specs) if isinstance(s, Recent)]
@@ -230,7 +277,8 @@ def history_context(
     if totals:
         parts.append(seen.groupBy(*keys).agg(*[_slice_total(s, c, order).alias(c) for c, s in totals]))
     if _reach(specs):
-        real = seen.filter(F.col(order[0]).isNotNull()).select(*keys, *order, *recents)
+        real = seen.filter(F.col(order[0]).isNotNull() if where is None else F.col(_COUNTS))
+        real = real.select(*keys, *order, *recents, *([] if where is None else [_COUNTS]))
         parts.append(top_n(real, keys, [F.col(c).desc() for c in order], _reach(specs)))
     out = parts[0]
     for p in parts[1:]:

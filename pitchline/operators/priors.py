@@ -6,12 +6,14 @@ own outcome.  All histories of one key share a single ordered pass.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitchline import presets as P
 from pitchline.functions import lineups as L, rules as R
 from pitchline.operators.facts import both_sides, team_long
-from pitchline.operators.ordered import Latest, Recent, Span, Total, with_history
+from pitchline.operators.ordered import Recent, Span, Total, with_history
 from pitchline.session import durable
 
 ORDER = ["match_date", "match_id"]
@@ -173,35 +175,26 @@ def _guard(x: Column) -> Column:
     return F.when(x == 0, F.lit(1)).otherwise(x)
 
 
-def batting_vectors(batting: DataFrame, n: int = 10, span: Span | None = None) -> DataFrame:
-    """Batting average and strike rate over the previous n matches of a player."""
-    specs = [Recent(f"_{c}", F.col(c), n, "sum") for c in ("runs", "balls", "outs")]
-    out = with_history(batting, ["player"], ORDER, specs, span=span)
-    return out.select(
-        "match_id", "player",
-        F.coalesce(F.col("_runs") / _guard(F.col("_outs")), F.lit(0.0)).alias("bat_avg_10"),
-        F.coalesce(F.col("_runs") / _guard(F.col("_balls")) * 100, F.lit(0.0)).alias("bat_sr_10"),
-    )
-
-
-def bowling_vectors(bowling: DataFrame, n: int = 10, span: Span | None = None) -> DataFrame:
-    """Bowling average, economy and strike rate over the previous n matches."""
-    specs = [Recent(f"_{c}", F.col(c), n, "sum") for c in ("wickets", "runs_given", "balls_bowled")]
-    out = with_history(bowling, ["player"], ORDER, specs, span=span)
-    overs = F.col("_balls_bowled") / 6
-    return out.select(
-        "match_id", "player",
-        F.coalesce(F.col("_runs_given") / _guard(F.col("_wickets")), F.lit(0.0)).alias("bowl_avg_10"),
-        F.coalesce(F.col("_runs_given") / _guard(overs), F.lit(0.0)).alias("bowl_econ_10"),
-        F.coalesce(F.col("_balls_bowled") / _guard(F.col("_wickets")), F.lit(0.0)).alias("bowl_sr_10"),
-    )
-
-
 def player_vectors(batting: DataFrame, bowling: DataFrame, n: int = 10, span: Span | None = None) -> DataFrame:
-    """Batting and bowling vectors in one row per match and player, zero-filled."""
-    return batting_vectors(batting, n, span).join(
-        bowling_vectors(bowling, n, span), ["match_id", "player"], "full"
-    ).fillna(0.0)
+    """Batting and bowling rates over a player's previous n matches in that role, zero-filled, one row per match.
+
+    Both roles are one history, keyed by player and role.
+    """
+    roles = {"bat": (batting, ("runs", "balls", "outs")), "bowl": (bowling, ("wickets", "runs_given", "balls_bowled"))}
+    parts = [df.select(*ORDER, "player", F.lit(role).alias("_role"), *[F.col(c).alias(f"_v{i}") for i, c in enumerate(cols)])
+             for role, (df, cols) in roles.items()]
+    # Three branches of the history read these aggregated rows; the joins behind them run once.
+    rows = durable(parts[0].unionByName(parts[1]))
+    specs = [Recent(f"_s{i}", F.col(f"_v{i}"), n, "sum") for i in range(3)]
+    out = with_history(rows, ["player", "_role"], ORDER, specs, span=span)
+    a, b, c = F.col("_s0"), F.col("_s1"), F.col("_s2")
+    rates = {
+        "bat": {"bat_avg_10": a / _guard(c), "bat_sr_10": a / _guard(b) * 100},
+        "bowl": {"bowl_avg_10": b / _guard(a), "bowl_econ_10": b / _guard(c / 6), "bowl_sr_10": c / _guard(a)},
+    }
+    return out.groupBy("match_id", "player").agg(*[
+        F.coalesce(F.max(F.when(F.col("_role") == role, rate)), F.lit(0.0)).alias(name)
+        for role, by_name in rates.items() for name, rate in by_name.items()])
 
 
 def lineup_continuity(lineups: DataFrame, span: Span | None = None) -> DataFrame:
@@ -231,60 +224,12 @@ def player_availability(
     return every.select("match_id", "side", share.alias("availability"), (1 - share).alias("injury_proxy"))
 
 
-def store_features(results: DataFrame, n: int = 5, span: Span | None = None) -> DataFrame:
-    """Feature-store row per match, built from *completed* earlier matches only.
-
-    Each completed match first gets the state *after* it (per key); every
-    match, open or completed, then takes the latest state before it.
-    """
-    d = P.STORE_DEFAULTS
-    # Four histories read the match rows; the join and innings totals behind them run once.
-    results = durable(results)
-    done = F.col("winner").isNotNull()
-    pair = lambda f: (f(1, 2), f(2, 1))
-    long = team_long(results, {
-        "runs_for": pair(lambda a, b: F.col(f"runs_{a}")),
-        "runs_against": pair(lambda a, b: F.col(f"runs_{b}")),
-        "wkts_taken": pair(lambda a, b: F.col(f"wkts_{b}")),
-        "pp_rr": pair(lambda a, b: R.powerplay_rate_or_innings(
-            F.col(f"pp_runs_{a}"), F.col(f"runs_{a}"), F.col(f"balls_{a}") / 6.0)),
-        "death_rr": pair(lambda a, b: R.innings_rate(F.col(f"runs_{a}"), F.col(f"balls_{a}") / 6.0)),
-    }).withColumn("win", win_flag(F.col("winner"), F.col("team")))
-    fill = {"win": d["form"], "runs_for": d["runs"], "runs_against": d["runs"], "wkts_taken": d["wkts"],
-            "pp_rr": d["pp_rr"], "death_rr": d["death_rr"]}
-    long = long.select(*ORDER, "side", "team", "winner", *fill)
-    state = completed_state(long, ["team"], done, [Recent(f"last_{c}", F.col(c), n, "avg", True) for c in fill], span)
-    teams = both_sides(
-        state.withColumns({f"{c}_{n}": F.coalesce(F.col(f"before.last_{c}"), F.lit(v)) for c, v in fill.items()}),
-        ["match_id"], [f"{c}_{n}" for c in fill],
-    )
-    first1 = R.batting_first(*_toss()) == F.col("team1")
-    venue_in = results.select(  # without a known toss, neither the first innings nor the chase is known
-        *ORDER, "venue", "winner",
-        F.when(first1, F.col("runs_1")).when(~first1, F.col("runs_2")).alias("first_runs"),
-        (F.col("winner") == R.chasing_side(*_toss())).cast("int").alias("chase_won"),
-    )
-    v = completed_state(venue_in, ["venue"], done, [
-        Total("first_n", F.col("first_runs"), "count", True), Total("first", F.col("first_runs"), "sum", True),
-        Total("chase_n", F.col("chase_won"), "count", True), Total("chase", F.col("chase_won"), "sum", True),
-    ], span)
-    mean = lambda name: F.col(f"before.{name}") / F.nullif(F.col(f"before.{name}_n"), F.lit(0))
-    venue = v.select(
-        "match_id",
-        F.coalesce(mean("first"), F.lit(d["first_runs"])).alias("venue_avg_first_innings_runs_prior"),
-        F.coalesce(mean("chase"), F.lit(d["chase"])).alias("venue_chase_winrate_prior"),
-    )
-    h2h = head_to_head_any_order(results, span)
-    at = venue_team(results, smoothed=False, span=span)
-    keep = results.select("match_id", "team1", "team2", "venue")
-    return keep.join(teams, "match_id").join(venue, "match_id").join(h2h, "match_id").join(at, "match_id")
-
-
 def completed_state(
     df: DataFrame, keys: list[str], done: Column, specs: list, span: Span | None = None, order: list[str] = ORDER
 ) -> DataFrame:
-    """Add struct ``before``: the spec values after the key's latest completed earlier row."""
-    closed = with_history(df.filter(done), keys, order, specs, span=span)
-    closed = closed.select(*df.columns, F.struct(*[s.name for s in specs]).alias("_after"))
-    every = closed.unionByName(df.filter(~done), allowMissingColumns=True)
-    return with_history(every, keys, order, [Latest("before", F.col("_after"))], span=span).drop("_after")
+    """Add struct ``before``: the spec values over the key's earlier completed rows, in one history."""
+    known = F.coalesce(done, F.lit(False))
+    only = [replace(s, where=known, inclusive=False) if isinstance(s, Recent)
+            else replace(s, value=F.when(known, s.value), inclusive=False) for s in specs]
+    out = with_history(df, keys, order, only, span=span)
+    return out.select(*df.columns, F.struct(*[s.name for s in specs]).alias("before"))

@@ -8,7 +8,7 @@ from pitchline import presets as P
 from pitchline.functions import lineups as L, rules as R
 from pitchline.operators import joins as J, priors
 from pitchline.operators.facts import both_sides, team_long
-from pitchline.operators.ordered import Recent, top_n, with_history
+from pitchline.operators.ordered import Recent, top_n, with_history, span_of
 from pitchline.plans.prior_queries import VECTORS_SQL, rounded
 from pitchline.plans.registry import query
 from pitchline.plans.views import Tables, cte
@@ -102,8 +102,9 @@ def jon7(t: Tables):
         F.concat(F.lit("NATION_"), "c_nationkey").alias("team"),
         F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") % 2400).cast("int")).alias("day_at"),
         F.lit(-1).alias("probe"), F.col("c_custkey").alias("id"), F.lit(None).cast("int").alias("win"))
+    days = span_of(t.read("orders").select(F.col("o_orderdate").cast("date").alias("day_at")), ["day_at"])
     out = priors.completed_state(past.unionByName(asks), ["team"], F.col("probe") == 0,
-                                 [Recent("form", F.col("win"), 5, "avg", True)], None, ["day_at", "probe", "id"])
+                                 [Recent("form", F.col("win"), 5)], days, ["day_at", "probe", "id"])
     return out.filter("probe = -1").select(
         F.col("id").alias("probe_id"), "team", "day_at", F.round(F.coalesce("before.form", F.lit(0.5)), 6).alias("form"))
 

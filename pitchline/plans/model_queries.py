@@ -401,7 +401,7 @@ def sco6(t: Tables):
     long = team_long(log.select("match_id", "match_date", "team1", "team2", "actual"))
     state = priors.completed_state(
         long, ["team"], F.col("actual").isNotNull(),
-        [priors.Recent("form", R.flag(F.col("actual") == F.col("team")), 5, "avg", True)], t.dates)
+        [priors.Recent("form", R.flag(F.col("actual") == F.col("team")), 5)], t.dates)
     recent = A.recent_team_form(long)
     form = state.filter(F.col("actual").isNull()).join(recent, "team", "left").withColumn(
         "form", R.blend(F.coalesce("before.form", F.lit(0.5)), F.col("recent_form"), 0.7))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pitchline.operators import priors
+from pitchline.operators import keyed, priors
 from pitchline.plans.registry import query
 from pitchline.plans.views import Tables, cte
 from pitchline.operators.facts import both_sides, team_long
@@ -221,7 +221,7 @@ def win13(t: Tables):
 
 
 _STORE = ["win", "runs_for", "runs_against", "wkts_taken", "pp_rr", "death_rr"]
-_STORE_SQL = cte("results") + """, gaps AS (
+_STORE_SQL = cte("results", "lineups") + """, gaps AS (
   SELECT * REPLACE (CASE WHEN match_id % 11 <> 0 THEN toss_winner END AS toss_winner,
     CASE WHEN balls_1 > 0 THEN runs_1 END AS runs_1, CASE WHEN balls_2 > 0 THEN runs_2 END AS runs_2,
     CASE WHEN match_id % 7 <> 0 AND balls_1 > 0 THEN pp_runs_1 END AS pp_runs_1,
@@ -252,13 +252,24 @@ h AS (SELECT match_id, {_all("count(winner)", "least(team1, team2), greatest(tea
         {_all("sum(CASE WHEN winner = least(team1, team2) THEN 1 ELSE 0 END)", "least(team1, team2), greatest(team1, team2)")} AS w
       FROM results),
 a AS (SELECT match_id, side, coalesce({_all("sum(win)", "venue, team")} / nullif({_all("count(winner)", "venue, team")}, 0), 0.5) AS r
-      FROM (SELECT tl.*, m.venue FROM tl JOIN matches m ON tl.match_id = m.match_id))
-SELECT m.match_id, m.team1, m.team2, m.venue, """ + ", ".join(
+      FROM (SELECT tl.*, m.venue FROM tl JOIN matches m ON tl.match_id = m.match_id)),
+seats AS (SELECT *, row_number() OVER (PARTITION BY match_id, side ORDER BY player) AS seat FROM lineups),
+rated AS (SELECT seats.*, coalesce(1000 + s_acctbal / 10, 1000) AS rating FROM seats
+  LEFT JOIN supplier ON player = 'Player ' || s_suppkey AND s_suppkey % 5 <> 0 WHERE seat <= 11),
+xi AS (SELECT match_id, side, list(player ORDER BY seat) AS xi, (sum(rating) + 1000 * (11 - count(*))) / 11 AS ravg,
+    CASE WHEN count(*) < 11 THEN greatest(max(rating), 1000) ELSE max(rating) END AS rmax,
+    CASE WHEN count(*) < 11 THEN least(min(rating), 1000) ELSE min(rating) END AS rmin FROM rated GROUP BY 1, 2)
+SELECT m.match_id, m.match_date, m.team1, m.team2, m.venue, m.winner,
+  coalesce(z.toss_winner, m.team1) AS toss_winner, m.toss_decision, round(fa, 5) AS venue_score_prior, """ + ", ".join(
     f"round(team{s}_{c}_5, 6) AS team{s}_{c}_5" for s in (1, 2) for c in _STORE) + """,
   round(fa, 5) AS venue_avg_first_innings_runs_prior, round(ca, 6) AS venue_chase_winrate_prior,
   round(coalesce(CASE WHEN m.team1 < m.team2 THEN w ELSE g - w END / nullif(g, 0), 0.5), 6) AS h2h_any_order_prior,
-  round(a1.r, 6) AS team1_venue_winrate, round(a2.r, 6) AS team2_venue_winrate
-FROM matches m JOIN t ON t.match_id = m.match_id JOIN v ON v.match_id = m.match_id JOIN h ON h.match_id = m.match_id
+  round(a1.r, 6) AS team1_venue_winrate, round(a2.r, 6) AS team2_venue_winrate,
+  """ + ", ".join(f"round(coalesce(x{s}.ravg, 1000), 5) AS team{s}_rating_avg, coalesce(x{s}.rmax, 1000) AS team{s}_rating_max, coalesce(x{s}.rmin, 1000) AS team{s}_rating_min"
+                  for s in (1, 2)) + """, round(coalesce(x1.ravg, 1000) - coalesce(x2.ravg, 1000), 5) AS rating_gap, """ + ", ".join(
+    f"coalesce(x{s}.xi[{i}], 'Unknown_Player_{i}') AS team{s}_player_{i}" for s in (1, 2) for i in range(1, 12)) + """
+FROM matches m JOIN gaps z ON z.match_id = m.match_id LEFT JOIN xi x1 ON x1.match_id = m.match_id AND x1.side = 1
+  LEFT JOIN xi x2 ON x2.match_id = m.match_id AND x2.side = 2 JOIN t ON t.match_id = m.match_id JOIN v ON v.match_id = m.match_id JOIN h ON h.match_id = m.match_id
   JOIN a a1 ON a1.match_id = m.match_id AND a1.side = 1 JOIN a a2 ON a2.match_id = m.match_id AND a2.side = 2"""
 
 
@@ -269,10 +280,12 @@ def win14(t: Tables):
         "toss_winner": F.when(F.col("match_id") % 11 != 0, F.col("toss_winner")),
         **{f"runs_{s}": F.when(known(s), F.col(f"runs_{s}")) for s in (1, 2)},
         **{f"pp_runs_{s}": F.when(known(s) & (F.col("match_id") % 7 != 0), F.col(f"pp_runs_{s}")) for s in (1, 2)}})
-    out = priors.store_features(gaps, span=t.dates)
-    long = "venue_avg_first_innings_runs_prior"
-    return rounded(rounded(out, *[c for c in out.columns if c not in ("match_id", "team1", "team2", "venue", long)]),
-                   long, digits=5)
+    out = keyed.store_features(gaps, span=t.dates)
+    ratings = t.read("supplier").filter("s_suppkey % 5 <> 0").select(
+        F.concat(F.lit("Player "), "s_suppkey").alias("player"), (1000 + F.col("s_acctbal") / 10).alias("rating"))
+    long = ["venue_avg_first_innings_runs_prior", "venue_score_prior", "team1_rating_avg", "team2_rating_avg", "rating_gap"]
+    short = [c for c, kind in out.dtypes if kind == "double" and c not in long]
+    return rounded(rounded(keyed.with_lineups(out, t.lineups, ratings), *short), *long, digits=5)
 
 
 @query("win15_latest_choice", cte("long") + """

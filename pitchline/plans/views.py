@@ -27,8 +27,9 @@ class Tables:
 
     @property
     def dates(self) -> Span:
-        """First and last match date, read from one column of the base table."""
-        return span_of(self.read("orders").select(F.col("o_orderdate").cast("date").alias("d")), "d")
+        """Cuts of all matches by date and id, read from two columns of the base table."""
+        return span_of(self.read("orders").select(F.col("o_orderdate").cast("date").alias("match_date"),
+                                                  F.col("o_orderkey").alias("match_id")), ["match_date", "match_id"])
 
     @property
     def matches(self) -> DataFrame:

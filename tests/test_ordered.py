@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchline.operators.ordered import (
-    SLICES_CONF, Latest, Recent, Total, exact_median, exact_quantiles, history_context, modes, positions, top_n, with_history,
+    SLICE, SLICES_CONF, Latest, Recent, Total, exact_median, exact_quantiles, history_context, modes, positions, sliced_by, slices_of, top_n,
+    with_history,
 )
 
 
@@ -95,3 +96,63 @@ def test_mode_ties_take_the_smallest(spark):
 def test_top_n_limits_before_the_shuffle(skewed):
     plan = top_n(skewed, ["k"], [F.col("v").desc(), F.col("id")], 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def shares(df, order):
+    """Greatest slice over the mean, as with_history would cut the rows."""
+    n = slices_of(df)
+    counts = [r["count"] for r in sliced_by(df, order).groupBy(SLICE).count().collect()]
+    return max(counts) * n / sum(counts)
+
+
+@pytest.mark.parametrize("n", [8, 100])
+def test_slices_hold_about_equal_counts(spark, n):
+    spark.conf.set(SLICES_CONF, n)
+    try:
+        ids = spark.range(20_000)
+        outlier = ids.select(F.when(F.col("id") == 7, F.lit("9999-12-31")).when(F.col("id") == 8, F.lit("0001-01-01"))
+                             .otherwise(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 900).cast("int")).cast("string"))
+                             .cast("date").alias("day"), "id")
+        assert shares(outlier, ["day", "id"]) < 2
+        assert shares(outlier.withColumn("day", F.lit("2020-01-01").cast("date")), ["day", "id"]) < 2  # one day owns all rows
+        texts = ids.select(F.concat(F.lit("the same long beginning "), F.sha1(F.col("id").cast("string"))).alias("t"), "id")
+        assert shares(texts.unionAll(spark.createDataFrame([("zzz", -1), ("", -2)], texts.schema)), ["t"]) < 2
+        assert shares(ids.select(F.pow(F.lit(1.001), F.col("id")).alias("x")), ["x"]) < 2
+    finally:
+        spark.conf.unset(SLICES_CONF)
+
+
+def test_slice_numbers_follow_the_order(spark):
+    """Whatever the number of cuts, and however they are searched, a later row is in no earlier slice."""
+    rows = spark.range(5_000).select((F.col("id") * 7919 % 5003).alias("v"))
+    for n in (2, 32, 33, 64, 65, 200):
+        spark.conf.set(SLICES_CONF, n)
+        got = [r[SLICE] for r in sliced_by(rows, ["v"]).orderBy("v").collect()]
+        spark.conf.unset(SLICES_CONF)
+        assert got == sorted(got) and got[0] == 0 and n * 0.8 < len(set(got)) <= n and max(got) <= n - 1
+
+
+def test_recent_counted_rows_by_brute_force(skewed, slices):
+    known = F.col("opt").isNotNull()
+    specs = [Recent("a3", F.col("v"), 3, where=known), Recent("l2", F.col("v"), 2, "list", where=known), Total("n", F.when(known, 1), "count")]
+    got = {r.id: r for r in with_history(skewed, ["k"], ["day", "id"], specs).collect()}
+    rows = skewed.collect()
+    for key in {r.k for r in rows}:
+        past = []
+        for r in sorted((r for r in rows if r.k == key), key=lambda r: (r.day, r.id)):
+            g = got[r.id]
+            assert sorted(g.l2) == sorted(past[-2:]) and g.n == len(past)
+            assert (g.a3 is None) == (not past) and (not past or abs(g.a3 - np.mean(past[-3:])) < 1e-9)
+            if r.opt is not None:
+                past.append(r.v)
+    with pytest.raises(ValueError):
+        with_history(skewed, ["k"], ["day", "id"], [*specs, Recent("x", F.col("v"), 2)])
+
+
+def test_counted_context_continues(skewed, slices):
+    specs = [Recent("a3", F.col("v"), 3, where=F.col("opt").isNotNull()), Total("n", F.lit(1), "count")]
+    whole = as_rows(with_history(skewed, ["k"], ["day", "id"], specs))
+    early, late = skewed.filter("day < 400"), skewed.filter("day >= 400")
+    context = history_context(early, ["k"], ["day", "id"], specs)
+    parts = as_rows(with_history(early, ["k"], ["day", "id"], specs)) + as_rows(with_history(late, ["k"], ["day", "id"], specs, context=context))
+    assert sorted(parts) == whole
