@@ -287,6 +287,24 @@ def history_context(
     return out.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in missing}) if missing else out
 
 
+def history_now(context: DataFrame, keys: Sequence[str], order: Sequence[str], specs: Sequence[Spec]) -> DataFrame:
+    """One row per key with the specs as a row after everything in the context would see them."""
+    real = F.col(order[0]).isNotNull()
+
+    def value(s: Spec, c: str) -> Column:
+        only = F.when(~real, F.col(c))  # totals carry no order value
+        if not isinstance(s, Recent):
+            return F.coalesce(F.sum(only), F.lit(0).cast("bigint")) if isinstance(s, Total) and s.how == "count" else F.first(only, True)
+        last = F.sort_array(F.collect_list(F.when(real, F.struct(*order, F.col(c).alias("_v")))), asc=False)
+        values = F.transform(F.slice(last, 1, s.n), lambda x: x["_v"])
+        known = F.filter(values, lambda v: v.isNotNull())
+        total = F.aggregate(known, F.lit(0.0), lambda a, v: a + v.cast("double"))
+        return {"avg": total / F.nullif(F.size(known), F.lit(0)), "sum": F.when(F.size(known) > 0, total), "count": F.size(known),
+                "max": F.array_max(values), "min": F.array_min(values), "list": F.reverse(known), "last": F.get(values, F.lit(0))}[s.how]
+
+    return context.groupBy(*keys).agg(*[value(s, c).alias(s.name) for s, c in zip(specs, _input_names(specs))])
+
+
 def positions(
     df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), name: str = "pos", **bounds
 ) -> DataFrame:

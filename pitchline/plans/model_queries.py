@@ -442,6 +442,61 @@ def sco7(t: Tables):
                    "team1_rate", "team2_rate", "venue_toss_bat_rate")
 
 
+_RECENT_NAMES = ["form_winrate", "recent_runs_for", "recent_runs_against", "recent_wkts_taken", "recent_powerplay_rr", "recent_death_rr"]
+_VENUE_NAMES = {2: ("venue_avg_first_innings_runs_prior", 165), 3: ("venue_pp_rr_first_innings_prior", 7.5), 4: ("venue_death_rr_first_innings_prior", 9.5),
+                5: ("venue_pp_rr_second_innings_prior", 7.3), 6: ("venue_death_rr_second_innings_prior", 9.2)}
+_SERVING = LIVE_SQL + """, closed AS (SELECT e.* FROM ent e JOIN matches m ON m.match_id = e.match_id WHERE m.winner IS NOT NULL),
+num AS (SELECT *, row_number() OVER (PARTITION BY kind, key ORDER BY match_date DESC, match_id DESC, side DESC) AS rn FROM closed),
+st AS (SELECT kind, key, count(*) AS games, """ + ", ".join(f"avg(v{i}) AS a{i}" for i in range(7)) + ", sum(v0) AS s0, " + ", ".join(
+    f"avg(v{i}) FILTER (rn <= 5) AS m{i}" for i in range(6)) + """, first(players ORDER BY rn) FILTER (len(players) > 0) AS lineup FROM num GROUP BY 1, 2),
+fx AS (SELECT f.match_id, f.team1, f.team2, f.venue, coalesce(CASE WHEN f.match_id % 11 <> 0 THEN f.toss_winner END, f.team1) AS toss_winner, f.toss_decision, f.match_date,
+  coalesce(p1, []) AS p1, coalesce(p2, []) AS p2 FROM fin f WHERE f.winner IS NULL),
+seat AS (SELECT match_id, side, unnest(xi) AS player FROM (SELECT match_id, 1 AS side, p1[1:11] AS xi FROM fx UNION ALL SELECT match_id, 2, p2[1:11] FROM fx)),
+rate AS (SELECT match_id, side, avg(coalesce(1000 + s_acctbal / 10, 1000)) AS ravg, max(coalesce(1000 + s_acctbal / 10, 1000)) AS rmax,
+  min(coalesce(1000 + s_acctbal / 10, 1000)) AS rmin FROM seat LEFT JOIN supplier ON player = 'Player ' || s_suppkey AND s_suppkey % 5 <> 0 GROUP BY 1, 2),
+j AS (SELECT fx.*, CASE WHEN coalesce(v.games, 0) > 0 THEN (v.s0 + 1) / (v.games + 2) ELSE 0.5 END AS chase, coalesce(v.a1, 0.5) AS bat,
+  """ + ", ".join(f"coalesce(v.a{i}, {d}) AS {n}" for i, (n, d) in _VENUE_NAMES.items()) + ", " + ", ".join(
+    f"coalesce(t{s}.m{i}, {d}) AS team{s}_{n}_5" for s in (1, 2) for i, (n, d) in enumerate(zip(_RECENT_NAMES, (0.5, 160, 160, 6, 7.5, 9.5)))) + """,
+  coalesce(h.a0, 0.5) AS h2h_team1_winrate_prior, """ + ", ".join(
+    f"(coalesce(w{s}.s0, 0) + 1) / (coalesce(w{s}.games, 0) + 2) AS venue_team{s}_winrate_prior, "
+    f"CASE WHEN len(t{s}.lineup) > 0 THEN len(list_intersect(p{s}[1:11], t{s}.lineup)) / greatest(len(p{s}[1:11]), 1)::DOUBLE ELSE 0.5 END AS team{s}_xi_continuity_prior, "
+    f"coalesce(r{s}.ravg, 1000) AS team{s}_player_rating_avg_prior, coalesce(r{s}.rmax, 1000) AS team{s}_player_rating_max_prior, "
+    f"coalesce(r{s}.rmin, 1000) AS team{s}_player_rating_min_prior" for s in (1, 2)) + """,
+  (coalesce(o.s0, 0) + 1) / (coalesce(o.games, 0) + 2) AS toss_decision_venue_team1_winrate_prior
+  FROM fx LEFT JOIN st t1 ON t1.kind = 'team' AND t1.key = team1 LEFT JOIN st t2 ON t2.kind = 'team' AND t2.key = team2
+  LEFT JOIN st v ON v.kind = 'venue' AND v.key = venue LEFT JOIN st h ON h.kind = 'pair' AND h.key = team1 || chr(31) || team2
+  LEFT JOIN st w1 ON w1.kind = 'venue_team' AND w1.key = venue || chr(31) || team1 LEFT JOIN st w2 ON w2.kind = 'venue_team' AND w2.key = venue || chr(31) || team2
+  LEFT JOIN st o ON o.kind = 'toss' AND o.key = venue || chr(31) || CASE WHEN toss_winner = team1 THEN 1 ELSE 0 END || chr(31) || toss_decision
+  LEFT JOIN rate r1 ON r1.match_id = fx.match_id AND r1.side = 1 LEFT JOIN rate r2 ON r2.match_id = fx.match_id AND r2.side = 2)
+SELECT match_id, match_date, team1, team2, venue, toss_winner, toss_decision, """ + ", ".join(
+    f"round({c} + 1e-9, 5) AS {c}" for c in [
+        *[f"team{s}_{n}_5" for s in (1, 2) for n in _RECENT_NAMES], *[n for n, _ in _VENUE_NAMES.values()], "h2h_team1_winrate_prior",
+        *[f"venue_team{s}_winrate_prior" for s in (1, 2)], *[f"team{s}_xi_continuity_prior" for s in (1, 2)],
+        *[f"team{s}_player_rating_{c}_prior" for s in (1, 2) for c in ("avg", "max", "min")], "toss_decision_venue_team1_winrate_prior"]) + """,
+  round(chase + 1e-9, 5) AS venue_chase_winrate_prior, round(2 * chase - 1 + 1e-9, 5) AS venue_score_prior, round(bat + 1e-9, 5) AS venue_toss_bat_rate_prior,
+  CASE WHEN (bat >= 0.5) = (toss_decision = 'bat') THEN 1.0::DOUBLE ELSE 0.0 END AS toss_decision_alignment_prior,
+  round(CASE WHEN toss_decision <> 'field' THEN 0 WHEN toss_winner = team1 THEN chase ELSE 1 - chase END + 1e-9, 5) AS toss_field_chase_boost_team1,
+  round(team1_player_rating_avg_prior - team2_player_rating_avg_prior + 1e-9, 5) AS player_rating_gap_prior, """ + ", ".join(
+    f"0.5::DOUBLE AS team{s}_{c}_prior" for s in (1, 2) for c in ("player_availability", "injury_proxy")) + ", " + ", ".join(
+    f"coalesce(p{s}[{i}], 'Unknown_Player') AS team{s}_player_{i}" for s in (1, 2) for i in range(1, 12)) + " FROM j"
+
+
+@query("sco7_serving_rows_all_features", _SERVING)
+def sco7_full(t: Tables):
+    """Every feature of the open fixtures from the state tables of the decided ones, in one join."""
+    f = finals(t)
+    players = (F.col("players_1"), F.col("players_2"))
+    state = keyed.live_state(f.filter(F.col("winner").isNotNull()), players)
+    ratings = t.read("supplier").filter("s_suppkey % 5 <> 0").select(
+        F.concat(F.lit("Player "), "s_suppkey").alias("player"), (1000 + F.col("s_acctbal") / 10).alias("rating"))
+    fixtures = f.filter(F.col("winner").isNull()).select(
+        "match_id", "match_date", "team1", "team2", "venue", F.when(F.col("match_id") % 11 != 0, F.col("toss_winner")).alias("toss_winner"),
+        "toss_decision", F.col("players_1").alias("team1_players"), F.col("players_2").alias("team2_players"))
+    out = keyed.serving_rows(fixtures, state, ratings)
+    return out.select(*[F.round(F.col(c) + 1e-9, 5).alias(c) if kind == "double" and c != "toss_decision_alignment_prior"
+                        and not c.endswith(("availability_prior", "proxy_prior")) else F.col(c) for c, kind in out.dtypes])
+
+
 _XI = """, sq AS (SELECT 'NATION_' || s_nationkey AS team, 'Player ' || s_suppkey AS player,
     row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rn FROM supplier),
 pv AS (SELECT coalesce(bv.match_id, wv.match_id) AS match_id, coalesce(bv.player, wv.player) AS player, coalesce(bat_avg_10, 0) AS bat_avg_10,
