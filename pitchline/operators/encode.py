@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexerModel, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCols
+from pyspark.ml.param.shared import HasInputCols, HasOutputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pitchline import presets as P
-from pitchline.operators.ordered import exact_median, modes, top_n
+from pitchline.operators.ordered import exact_median, modes, positions, top_n
+from pitchline.session import checkpoint_dir
 
 
 def frequent_values(df: DataFrame, columns: Sequence[str], min_count: int, max_values: int) -> DataFrame:
@@ -25,7 +27,33 @@ def frequent_values(df: DataFrame, columns: Sequence[str], min_count: int, max_v
     return often if not max_values else top_n(often, ["column_name"], [F.col("n").desc(), F.col("value")], max_values)
 
 
-class _ReducerParams(HasInputCols):
+# Up to so many values of all columns ride along in a plan; more of them stay a table that is joined.
+PLAN_VALUES = 10_000
+
+
+class _TableParams(Params):
+    """Where a fitted stage keeps the values that are too many for its own parameters."""
+
+    path = Param(Params._dummy(), "path", "folder of the table of values, empty without one", TypeConverters.toString)
+    planValues = Param(Params._dummy(), "planValues", "most values kept in the plan", TypeConverters.toInt)
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self._setDefault(path="", planValues=PLAN_VALUES)
+
+    def _table(self, dataset: DataFrame, column: str) -> DataFrame:
+        table = dataset.sparkSession.read.parquet(self.getOrDefault("path"))
+        return table.filter(F.col("column_name") == column).drop("column_name")
+
+
+def stored_values(values: DataFrame) -> str:
+    """Write a table of values to the shared folder."""
+    path = f"{checkpoint_dir(values.sparkSession)}/values-{uuid.uuid4().hex}"
+    values.write.parquet(path)
+    return path
+
+
+class _ReducerParams(HasInputCols, _TableParams):
     minCount = Param(Params._dummy(), "minCount", "smallest count to keep", TypeConverters.toInt)
     maxValues = Param(Params._dummy(), "maxValues", "most values kept per column", TypeConverters.toInt)
 
@@ -38,15 +66,18 @@ class CardinalityReducer(Estimator, _ReducerParams, DefaultParamsReadable, Defau
     """Learns the frequent values per text column; the rest becomes one marker."""
 
     @keyword_only
-    def __init__(self, *, inputCols=None, minCount=2, maxValues=500):
+    def __init__(self, *, inputCols=None, minCount=2, maxValues=500, planValues=PLAN_VALUES):
         super().__init__()
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _fit(self, dataset: DataFrame) -> "CardinalityReducerModel":
-        cols = self.getInputCols()
+        cols, most = self.getInputCols(), self.getOrDefault("planValues")
+        values = frequent_values(dataset, cols, self.getOrDefault("minCount"), self.getOrDefault("maxValues"))
+        few = values.limit(most + 1).collect()
+        if len(few) > most:
+            return CardinalityReducerModel(inputCols=cols, kept="{}", path=stored_values(values.select("column_name", "value")))
         kept: dict[str, list[str]] = {c: [] for c in cols}
-        # At most maxValues rows per column reach the driver, or rows / minCount.
-        for row in frequent_values(dataset, cols, self.getOrDefault("minCount"), self.getOrDefault("maxValues")).collect():
+        for row in few:
             kept[row.column_name].append(row.value)
         return CardinalityReducerModel(inputCols=cols, kept=json.dumps({c: sorted(v) for c, v in kept.items()}))
 
@@ -55,12 +86,21 @@ class CardinalityReducerModel(Model, _ReducerParams, DefaultParamsReadable, Defa
     kept = Param(Params._dummy(), "kept", "kept values per column as JSON", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, inputCols=None, kept=None):
+    def __init__(self, *, inputCols=None, kept=None, path=None):
         super().__init__()
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         kept = json.loads(self.getOrDefault("kept"))
+        if self.getOrDefault("path"):
+            out = dataset
+            for c in self.getInputCols():
+                text = F.coalesce(F.col(c).cast("string"), F.lit(P.UNKNOWN_PLAYER))
+                known = self._table(dataset, c).select(F.col("value").alias("_v"), F.lit(True).alias("_kept"))
+                keep = F.coalesce("_kept", F.lit(False)) | text.isin(P.UNKNOWN_PLAYER, P.OTHER_PLAYER)
+                out = out.join(known, text == F.col("_v"), "left").withColumn(
+                    c, F.when(keep, text).otherwise(F.lit(P.OTHER_PLAYER))).drop("_v", "_kept")
+            return out
         return dataset.withColumns({c: reduced(F.col(c), kept[c]) for c in self.getInputCols()})
 
 
@@ -98,6 +138,56 @@ def column_roles(df: DataFrame, skip: Sequence[str]) -> tuple[list[str], list[st
     return text, number
 
 
+class _IndexParams(HasInputCols, HasOutputCols, _TableParams):
+    sizes = Param(Params._dummy(), "sizes", "number of values per column as JSON", TypeConverters.toString)
+
+
+class ValueIndexer(Estimator, _IndexParams, DefaultParamsReadable, DefaultParamsWritable):
+    """Alphabetical index of every value of text columns; a value not seen has the index after the last.
+
+    Few values are MLlib's own indexer.  Many become a dictionary table: their
+    ranks are found slice by slice and values meet their index by a join, so
+    no list of values stands on the driver or in a task.
+    """
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, outputCols=None, planValues=PLAN_VALUES):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _fit(self, dataset: DataFrame):
+        cols, outs, most = self.getInputCols(), self.getOutputCols(), self.getOrDefault("planValues")
+        values = frequent_values(dataset, cols, 1, 0).select("column_name", "value")
+        few = values.limit(most + 1).collect()
+        if len(few) <= most:
+            labels = {c: sorted((r.value for r in few if r.column_name == c), key=str.encode) for c in cols}
+            return PipelineModel([StringIndexerModel.from_labels(labels[c], inputCol=c, outputCol=o, handleInvalid="keep") for c, o in zip(cols, outs)])
+        path = stored_values(dictionary(values))
+        sizes = dataset.sparkSession.read.parquet(path).groupBy("column_name").count().collect()  # one row per column
+        return ValueIndexerModel(inputCols=cols, outputCols=outs, path=path, sizes=json.dumps({c: 0 for c in cols} | {r[0]: r[1] for r in sizes}))
+
+
+class ValueIndexerModel(Model, _IndexParams, DefaultParamsReadable, DefaultParamsWritable):
+    @keyword_only
+    def __init__(self, *, inputCols=None, outputCols=None, path=None, sizes=None):
+        super().__init__()
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        sizes, out = json.loads(self.getOrDefault("sizes")), dataset
+        for c, o in zip(self.getInputCols(), self.getOutputCols()):
+            ranks = self._table(dataset, c).select(F.col("value").alias("_v"), F.col("code").alias("_code"))
+            out = out.join(ranks, F.col(c).cast("string") == F.col("_v"), "left").withColumn(
+                o, F.coalesce(F.col("_code").cast("double"), F.lit(float(sizes[c])))).drop("_v", "_code")
+        return out
+
+
+def dictionary(values: DataFrame) -> DataFrame:
+    """(column_name, value, code): the place of each value among its column's, from 0, by slices of the values."""
+    ranked = positions(values.distinct(), ["value"], ["column_name"])
+    return ranked.select("column_name", "value", (F.col("pos") - 1).alias("code"))
+
+
 class MostFrequentFill(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
     """Learns one value per text column: the most frequent, ties to the smallest."""
 
@@ -149,7 +239,7 @@ def encoder_stages(
     if text:
         idx, hot = [f"_i_{c}" for c in text], [f"_o_{c}" for c in text]
         stages += [
-            StringIndexer(inputCols=text, outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"),
+            ValueIndexer(inputCols=text, outputCols=idx),
             OneHotEncoder(inputCols=idx, outputCols=hot, handleInvalid="keep"),
         ]
         parts += hot
@@ -173,8 +263,6 @@ def one_hot_index(model: PipelineModel, df: DataFrame, hot: str, name: str) -> D
 
 def label_codes(train: DataFrame, label: str, **bounds) -> DataFrame:
     """(label, code): classes of the training split in alphabetical order from 0."""
-    from pitchline.operators.ordered import positions
-
     classes = train.select(F.col(label).cast("string").alias(label)).filter(F.col(label).isNotNull()).distinct()
     return positions(classes, [label], **bounds).select(label, (F.col("pos") - 1).cast("int").alias("code"))
 

@@ -21,6 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from pitchline.operators.evaluate import fit_gaps, log_loss
+from pitchline.session import durable
 
 LABEL = "label"
 
@@ -131,31 +132,36 @@ def draw_candidates(space: Mapping[str, Sequence | tuple[float, float]], n: int,
     return out
 
 
-def search(train: DataFrame, stages: Sequence, kind: str, candidates: Sequence[dict], k: int,
-           metric: str = "f1", parallelism: int = 4) -> list[tuple[dict, float]]:
-    """Cross-validated score per candidate over the ready-made ``fold`` column, best first."""
-    clf = learner(kind)
-    grid = [{clf.getParam(p): v for p, v in c.items()} for c in candidates]
-    pipe, judge = Pipeline(stages=[*stages, clf]), MulticlassClassificationEvaluator(labelCol=LABEL, metricName=metric)
-    sums = [0.0] * len(grid)
-    with ThreadPool(min(parallelism, len(grid))) as pool:
-        for i in range(k):
-            rest, held = train.filter(F.col("fold") != i).cache(), train.filter(F.col("fold") == i).cache()
-            for j, value in enumerate(pool.map(inheritable_thread_target(rest.sparkSession)(
-                    lambda p: judge.evaluate(pipe.fit(rest, p).transform(held))), grid)):
-                sums[j] += value
-            rest.unpersist()
-            held.unpersist()
-    scores = [s / k for s in sums]
-    return sorted(zip(candidates, scores), key=lambda r: (-r[1], str(r[0])))
+def encoded_folds(train: DataFrame, stages: Sequence, k: int, fold: str = "fold", keep: Sequence[str] = ()) -> list[tuple[DataFrame, DataFrame]]:
+    """(learning rows, held-out rows) per fold, encoded by stages that saw the learning rows only, stored once for all candidates."""
+    out = []
+    for i in range(k):
+        rest, held = train.filter(F.col(fold) != i), train.filter(F.col(fold) == i)
+        model = Pipeline(stages=list(stages)).fit(rest)
+        out.append(tuple(durable(model.transform(df).select(LABEL, "features", *keep)) for df in (rest, held)))
+    return out
+
+
+def search(folds: Sequence[tuple[DataFrame, DataFrame]], kind: str, candidates: Sequence[dict], metric: str = "f1",
+           parallelism: int = 4) -> list[tuple[dict, float]]:
+    """Cross-validated score per candidate over stored encoded folds, best first."""
+    clf, judge = learner(kind), MulticlassClassificationEvaluator(labelCol=LABEL, metricName=metric)
+    tasks = [(j, {clf.getParam(p): v for p, v in c.items()}, *fold) for j, c in enumerate(candidates) for fold in folds]
+    sums = [0.0] * len(candidates)
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        run = inheritable_thread_target(folds[0][0].sparkSession)(lambda t: (t[0], judge.evaluate(clf.fit(t[2], t[1]).transform(t[3]))))
+        for j, value in pool.map(run, tasks):
+            sums[j] += value
+    return sorted(zip(candidates, [s / len(folds) for s in sums]), key=lambda r: (-r[1], str(r[0])))
 
 
 def halving(train: DataFrame, stages: Sequence, kind: str, candidates: Sequence[dict], k: int, spread: str,
             start: float = 0.25) -> list[tuple[float, dict, float]]:
     """Each rung doubles the share of rows (by the uniform column ``spread``) and keeps the better half."""
+    folds = encoded_folds(train, stages, k, keep=[spread])
     left, share, trace = list(candidates), start, []
     while True:
-        ranked = search(train.filter(F.col(spread) < share), stages, kind, left, k)
+        ranked = search([tuple(df.filter(F.col(spread) < share) for df in fold) for fold in folds], kind, left)
         trace += [(share, c, s) for c, s in ranked]
         if len(ranked) == 1 or share >= 1.0:
             return trace
@@ -165,10 +171,11 @@ def halving(train: DataFrame, stages: Sequence, kind: str, candidates: Sequence[
 
 def two_stage(train: DataFrame, stages: Sequence, spaces: Mapping[str, Mapping], k: int, quick: int = 1, full: int = 3,
               keep: int = 2) -> list[tuple[str, dict, float]]:
-    """A quick search over every learner, a fuller one over the best ``keep``."""
-    first = {kind: search(train, stages, kind, draw_candidates(s, quick), k)[0] for kind, s in spaces.items()}
+    """A quick search over every learner, a fuller one over the best ``keep``, all on the same encoded folds."""
+    folds = encoded_folds(train, stages, k)
+    first = {kind: search(folds, kind, draw_candidates(s, quick))[0] for kind, s in spaces.items()}
     best = sorted(first, key=lambda n: (-first[n][1], n))[:keep]
-    found = [(n, *search(train, stages, n, draw_candidates(spaces[n], full), k)[0]) for n in best]
+    found = [(n, *search(folds, n, draw_candidates(spaces[n], full))[0]) for n in best]
     return sorted(found, key=lambda r: -r[2])
 
 

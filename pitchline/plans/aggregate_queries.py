@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pitchline import presets as P
 from pitchline.functions import lineups as L, rules as R
-from pitchline.operators import aggregates as A, facts, splits as S, upsert as U
+from pitchline.operators import aggregates as A, facts, scoring as SC, splits as S, upsert as U
 from pitchline.operators.facts import both_sides, team_long
 from pitchline.operators.ordered import positions, top_n
 from pitchline.plans.prior_queries import rounded
@@ -197,23 +198,33 @@ def agg15(t: Tables):
     return rounded(A.summary(t.innings, ["runs", "balls", "wkts"]), "mean", "std")
 
 
+_SNAPSHOT = {"form": 0.5, "runs_for": 160.0, "runs_against": 160.0, "wkts_taken": 7.0, "pp_rr": 8.0, "death_rr": 10.0}
+
+
 @query("agg16_team_snapshot", cte("results") + """, l AS (
-  SELECT match_id, match_date, team1 AS team, winner, runs_1 AS rf, runs_2 AS ra FROM results
-  UNION ALL SELECT match_id, match_date, team2, winner, runs_2, runs_1 FROM results),
-k AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY match_date DESC, match_id DESC) AS rn FROM l WHERE winner IS NOT NULL)
-SELECT n_name AS team, round(coalesce(avg(CASE WHEN winner = team THEN 1 WHEN winner IS NOT NULL THEN 0 END), 0.5), 6) AS form,
-  coalesce(avg(rf), 160.0) AS runs_for, coalesce(avg(ra), 160.0) AS runs_against,
+  SELECT match_id, match_date, team1 AS team, winner, runs_1 AS rf, runs_2 AS ra, wkts_2 AS wt, pp_runs_1 AS pp, balls_1 AS b FROM results
+  UNION ALL SELECT match_id, match_date, team2, winner, runs_2, runs_1, wkts_1, pp_runs_2, balls_2 FROM results),
+k AS (SELECT match_id, team, winner, CASE WHEN winner = team THEN 1 ELSE 0 END AS form, CASE WHEN b > 0 THEN rf END AS runs_for, ra AS runs_against,
+    wt AS wkts_taken, CASE WHEN match_id % 7 <> 0 THEN pp / 6.0::DOUBLE WHEN b > 0 THEN rf / (b / 6.0::DOUBLE) END AS pp_rr,
+    CASE WHEN b > 0 THEN rf / (b / 6.0::DOUBLE) END AS death_rr,
+    row_number() OVER (PARTITION BY team ORDER BY match_date DESC, match_id DESC) AS rn FROM l WHERE winner IS NOT NULL)
+SELECT t AS team, """ + ", ".join(f"round(coalesce(avg({c}), {d}) + 1e-9, 6) AS {c}" for c, d in _SNAPSHOT.items()) + """,
   coalesce(max(CASE WHEN rn = 1 THEN match_id END), -1) AS as_of_match_id
-FROM nation LEFT JOIN k ON n_name = team AND rn <= 5 GROUP BY 1""")
+FROM (SELECT 'NATION_' || n_nationkey AS t FROM nation UNION ALL SELECT 'club ' || n_nationkey FROM nation) LEFT JOIN k ON t = team AND rn <= 5 GROUP BY t""")
 def agg16(t: Tables):
-    pair = lambda f: (f(1, 2), f(2, 1))
-    long = team_long(t.results, {"runs_for": pair(lambda a, b: F.col(f"runs_{a}")),
-                                 "runs_against": pair(lambda a, b: F.col(f"runs_{b}"))})
-    long = long.withColumn("form", R.flag(F.col("winner") == F.col("team")))
-    teams = t.read("nation").select(F.col("n_name").alias("team"))
-    out = A.team_snapshot(long.select("match_id", "match_date", "team", "winner", "form", "runs_for", "runs_against"), teams,
-                          {"form": 0.5, "runs_for": 160.0, "runs_against": 160.0})
-    return rounded(out, "form").fillna(-1, ["as_of_match_id"])
+    """Sides that play and sides that never do; powerplay runs are unknown for some matches."""
+    def side(a: int, b: int):
+        runs, overs = F.when(F.col(f"balls_{a}") > 0, F.col(f"runs_{a}")), F.col(f"balls_{a}") / 6.0
+        pp = F.when(F.col("match_id") % 7 != 0, F.col(f"pp_runs_{a}"))
+        return [runs, F.col(f"runs_{b}"), F.col(f"wkts_{b}"), R.powerplay_rate_or_innings(pp, runs, overs), R.innings_rate(runs, overs)]
+
+    names = [c for c in _SNAPSHOT if c != "form"]
+    long = team_long(t.results, dict(zip(names, zip(side(1, 2), side(2, 1)))))
+    long = long.withColumn("form", R.flag(F.col("winner") == F.col("team"))).select("match_id", "match_date", "team", "winner", *_SNAPSHOT)
+    n = t.read("nation")
+    teams = n.select(F.concat(F.lit("NATION_"), "n_nationkey").alias("team")).unionAll(n.select(F.concat(F.lit("club "), "n_nationkey")))
+    out = A.team_snapshot(long, teams, _SNAPSHOT)
+    return out.select("team", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in _SNAPSHOT], "as_of_match_id").fillna(-1, ["as_of_match_id"])
 
 
 @query("agg17_recent_venue_stats", cte("log") + """, k AS (
@@ -309,14 +320,18 @@ def spl4(t: Tables):
 
 
 @query("spl5_fallback_source", cte("log") + """
-SELECT match_id, actual AS label, 0.5::DOUBLE AS form, coalesce(CAST(first_score AS DOUBLE), 170.0) AS venue_score
-FROM log WHERE actual IS NOT NULL""")
+SELECT match_id, actual AS label, coalesce(CASE WHEN match_id % 11 <> 0 THEN toss_winner END, team1) AS toss_winner,
+  CASE WHEN match_id % 13 <> 0 THEN toss_decision ELSE 'field' END AS toss_decision, """ + ", ".join(
+    f"coalesce(CAST(first_score AS DOUBLE), {d}) AS {c}" if c == "venue_score_prior" else f"{d}::DOUBLE AS {c}" for c, d in P.EVALUATION_DEFAULTS.items()) + """
+FROM log WHERE actual IS NOT NULL AND year(match_date) = 1996""")
 def spl5(t: Tables):
-    from pitchline.operators.scoring import evaluation_source
-
-    log = t.log.select("match_id", "actual", F.col("first_score").cast("double").alias("venue_score"), F.year("match_date").alias("season"))
-    primary = t.matches.filter("season = 2030").select("match_id", F.col("winner").alias("label"))
-    return evaluation_source(primary, log, "actual", "label", {"form": 0.5, "venue_score": 170.0})
+    """No match of the hold-out year: the closed log rows of one season stand in."""
+    log = t.log.select(
+        "match_id", "actual", "team1", F.when(F.col("match_id") % 11 != 0, F.col("toss_winner")).alias("toss_winner"),
+        F.when(F.col("match_id") % 13 != 0, F.upper("toss_decision")).otherwise("no idea").alias("toss_decision"),
+        F.col("first_score").cast("double").alias("venue_score_prior"), F.year("match_date").alias("season"))
+    primary = t.matches.filter("season = 2030").withColumn("label", F.col("winner"))
+    return SC.evaluation_source(primary, log, "actual", "label", P.EVALUATION_DEFAULTS, F.col("season") == 1996)
 
 
 # --- set operations and upserts ---------------------------------------------
@@ -404,14 +419,14 @@ def set7b(t: Tables):
 
 
 @query("set8_array_intersection", cte("lineups") + """
-SELECT a.match_id, count(b.player) AS n_common FROM (SELECT DISTINCT match_id, player FROM lineups WHERE side = 1) a
-  LEFT JOIN (SELECT DISTINCT match_id - 1 AS match_id, player FROM lineups WHERE side = 1) b
-  ON a.match_id = b.match_id AND a.player = b.player GROUP BY 1""")
+SELECT a.match_id, a.side, count(b.player) AS n_common FROM lineups a
+  LEFT JOIN (SELECT match_id - 1 AS match_id, side, player FROM lineups) b
+  ON a.match_id = b.match_id AND a.side = b.side AND a.player = b.player GROUP BY 1, 2""")
 def set8(t: Tables):
-    a = t.lineups.filter("side = 1").select("match_id", "players")
-    b = a.select((F.col("match_id") - 1).alias("match_id"), F.col("players").alias("next_players"))
+    a = t.lineups.select("match_id", "side", "players")
+    b = a.select((F.col("match_id") - 1).alias("match_id"), "side", F.col("players").alias("next_players"))
     common = F.size(F.array_intersect("players", F.coalesce("next_players", F.array().cast("array<string>"))))
-    return a.join(b, "match_id", "left").select("match_id", common.cast("bigint").alias("n_common"))
+    return a.join(b, ["match_id", "side"], "left").select("match_id", "side", common.cast("bigint").alias("n_common"))
 
 
 @query("set9_distinct_teams", cte("long") + "SELECT DISTINCT team FROM long")

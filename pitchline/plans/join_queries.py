@@ -173,8 +173,10 @@ def jon11(t: Tables):
   SELECT l.*, row_number() OVER (PARTITION BY match_id, side ORDER BY player) AS rn, s_suppkey FROM lineup_long l
     LEFT JOIN supplier ON player = 'Player ' || s_suppkey AND match_id % 3 <> 0),
 s AS (SELECT match_id, side, CASE CAST(substr(player, 8) AS INTEGER) % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.35 ELSE 1.0 END
-        + CASE WHEN s_suppkey IS NOT NULL THEN 0.03 ELSE 0 END AS bat FROM f WHERE rn <= 11)
+        + CASE WHEN s_suppkey IS NOT NULL THEN 0.03 ELSE 0 END AS bat, CASE CAST(substr(player, 8) AS INTEGER) % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 1.05 ELSE 0.25 END
+        + CASE WHEN s_suppkey IS NOT NULL THEN 0.03 ELSE 0 END AS bowl FROM f WHERE rn <= 11)
 SELECT match_id, side, round(least(greatest(avg(CAST(bat AS DOUBLE)) / 0.8, 0.88), 1.12), 6) AS bat_multiplier,
+  round(least(greatest(avg(CAST(bowl AS DOUBLE)) / 0.8, 0.88), 1.12), 6) AS bowl_multiplier,
   count(*) AS players_used FROM s GROUP BY 1, 2""")
 def jon12(t: Tables):
     k = F.substr(F.col("player"), F.lit(8)).cast("int")
@@ -182,11 +184,12 @@ def jon12(t: Tables):
     roster = t.read("supplier").select(
         F.concat(F.lit("Player "), "s_suppkey").alias("_name"), F.lit(P.ROSTER_BONUS).alias("bonus"))
     rows = L.lineup_rows(t.lineups, F.slice("players", 1, 11), "match_id", "side")
-    score = R.role_score(role, 0) + F.coalesce("bonus", F.lit(0.0))
+    score = lambda skill: R.role_score(role, skill) + F.coalesce("bonus", F.lit(0.0))
     asked = F.when(F.col("match_id") % 3 == 0, "guest").otherwise(F.col("player"))
     per = rows.withColumn("_name", asked).join(roster, "_name", "left").groupBy("match_id", "side").agg(
-        F.avg(score).alias("bat"), F.count("*").alias("players_used"))
-    return per.select("match_id", "side", F.round(R.squad_multiplier(F.col("bat")), 6).alias("bat_multiplier"), "players_used")
+        F.avg(score(0)).alias("bat"), F.avg(score(1)).alias("bowl"), F.count("*").alias("players_used"))
+    return per.select("match_id", "side", *[F.round(R.squad_multiplier(F.col(c)), 6).alias(f"{c}_multiplier") for c in ("bat", "bowl")],
+                      "players_used")
 
 
 _SIDE_MEANS = """, sm AS (SELECT l.match_id, l.side, """ + ", ".join(

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from pitchline import presets as P
 from pitchline.functions import rules as R
-from pitchline.operators import aggregates as A, encode as EN, joins as J, models as M, priors, scoring as SC, splits as S
+from pitchline.operators import aggregates as A, encode as EN, joins as J, keyed, models as M, priors, scoring as SC, splits as S
 from pitchline.operators.facts import both_sides, team_long
 from pitchline.operators.ordered import top_n
 from pitchline.plans.prior_queries import VECTORS_SQL, rounded
-from pitchline.plans.registry import query
+from pitchline.plans.registry import ORACLES, query
 from pitchline.plans.report_queries import multi_prob, _MP
+from pitchline.plans.stream_queries import LIVE_SQL, finals
 from pitchline.plans.views import Tables, cte
 from pitchline.session import checkpoint_dir, durable
 from pitchline.sources import tables as T
@@ -98,16 +99,24 @@ def enc3(t: Tables):
 c AS (SELECT cell, row_number() OVER (ORDER BY cell) - 1 AS i FROM (SELECT DISTINCT cell FROM tr))
 SELECT te.match_id, CAST(coalesce(c.i, -1) AS INTEGER) AS hot FROM te LEFT JOIN c ON te.match_id % 5 <> 0 AND te.cell = c.cell""")
 def enc4(t: Tables):
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    return _one_hot(t, EN.PLAN_VALUES)
+
+
+@query("enc4_one_hot_by_dictionary", ORACLES["enc4_one_hot_unknown_ignored"])
+def enc4b(t: Tables):
+    """The same with the values in a table, as where there are too many for a plan."""
+    return _one_hot(t, 0)
+
+
+def _one_hot(t: Tables, plan_values: int):
+    from pyspark.ml.feature import OneHotEncoder
 
     train, test = _cells(t)
-    pipe = Pipeline(stages=[
-        StringIndexer(inputCol="cell", outputCol="i", handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCol="i", outputCol="o", handleInvalid="keep")]).fit(train)
-    asked = test.withColumn("cell", F.when(F.col("match_id") % 5 == 0, "guest").otherwise(F.col("cell")))
-    out = EN.one_hot_index(pipe, pipe.transform(asked), "o", "hot")
-    known = len(pipe.stages[0].labels)
-    return out.select("match_id", F.when(F.col("hot") < known, F.col("hot")).otherwise(-1).alias("hot"))
+    pipe = Pipeline(stages=[EN.ValueIndexer(inputCols=["cell"], outputCols=["i"], planValues=plan_values)]).fit(train)
+    asked = pipe.transform(test.withColumn("cell", F.when(F.col("match_id") % 5 == 0, "guest").otherwise(F.col("cell"))))
+    known = pipe.transform(train)
+    hot = OneHotEncoder(inputCol="i", outputCol="o", handleInvalid="keep").fit(known.select(F.col("i").cast("double").alias("i")))
+    return EN.one_hot_index(hot, hot.transform(asked.withColumn("i", F.col("i").cast("double"))), "o", "hot").select("match_id", F.coalesce("hot", F.lit(-1)).alias("hot"))
 
 
 @query("enc5_infrequent_bucket", cte("matches") + _TRAIN_TEST + """, f AS (SELECT cell FROM tr GROUP BY 1 HAVING count(*) >= 10), b AS (
@@ -119,6 +128,13 @@ def enc5(t: Tables):
     return model.transform(test).groupBy(F.col("cell").alias("v")).agg(F.count("*").alias("n"))
 
 
+@query("enc5_infrequent_by_dictionary", ORACLES["enc5_infrequent_bucket"])
+def enc5b(t: Tables):
+    train, test = _cells(t)
+    model = EN.CardinalityReducer(inputCols=["cell"], minCount=10, maxValues=0, planValues=0).fit(train)
+    return model.transform(test).groupBy(F.col("cell").alias("v")).agg(F.count("*").alias("n"))
+
+
 @query("enc6_label_codes", cte("matches") + """, c AS (
   SELECT winner, row_number() OVER (ORDER BY winner) - 1 AS code FROM (SELECT DISTINCT winner FROM matches WHERE season < 2000 AND winner IS NOT NULL))
 SELECT m.match_id, m.winner, CAST(c.code AS INTEGER) AS code FROM matches m JOIN c ON m.winner = c.winner WHERE m.season >= 2000""")
@@ -201,7 +217,7 @@ def _searched(t: Tables, found):
 def mod7(t: Tables):
     train, _ = splits(t)
     cands = M.draw_candidates({"regParam": [0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.0, 0.5]}, 4)
-    return _searched(t, M.search(train, stages(), "logistic", cands, FOLDS))
+    return _searched(t, M.search(M.encoded_folds(train, stages(), FOLDS), "logistic", cands))
 
 
 @query("mod8_successive_halving")
@@ -213,6 +229,21 @@ def mod8(t: Tables):
                                    "share double, params string, cv_score double")
 
 
+@query("mod8_halving_rungs", cte("matches") + """, tr AS (SELECT match_id * 7919 % 10007 / 10007.0::DOUBLE AS spread FROM matches WHERE winner IS NOT NULL AND season < 2000)
+SELECT share, candidates, (SELECT count(*) FROM tr WHERE spread < share) AS n_rows
+FROM (VALUES (0.25::DOUBLE, 4::BIGINT), (0.5, 2), (1.0, 1)) v(share, candidates)""")
+def mod8b(t: Tables):
+    """The rungs of a search: share of the rows, candidates that met it, rows they learnt from and were judged on."""
+    train, _ = splits(t)
+    cands = M.draw_candidates({"regParam": (0.0001, 0.5)}, 4)
+    trace = M.halving(train, stages(), "logistic", cands, FOLDS, "spread")
+    rungs = t.spark.createDataFrame([(share, i) for i, (share, _, _) in enumerate(trace)], "share double, i int")
+    rungs = rungs.groupBy("share").agg(F.count("*").alias("candidates"))
+    cuts = F.array(*[F.lit(float(s)) for s in sorted({share for share, _, _ in trace})])
+    seen = train.select(F.explode(F.filter(cuts, lambda c: F.col("spread") < c)).alias("share")).groupBy("share").agg(F.count("*").alias("n_rows"))
+    return rungs.join(seen, "share").select("share", "candidates", "n_rows")
+
+
 @query("mod9_two_stage_search")
 def mod9(t: Tables):
     train, _ = splits(t)
@@ -250,7 +281,7 @@ def mod12(t: Tables):
 def mod13(t: Tables):
     train, _ = splits(t)
     cands = M.draw_candidates({"regParam": (0.0001, 0.3), "elasticNetParam": (0.0, 1.0)}, 4, seed=11)
-    return _searched(t, M.search(train, stages(), "logistic", cands, FOLDS, metric="accuracy"))
+    return _searched(t, M.search(M.encoded_folds(train, stages(), FOLDS), "logistic", cands, metric="accuracy"))
 
 
 @query("srt5_feature_importance")

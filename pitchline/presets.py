@@ -73,3 +73,15 @@ ROSTER_BONUS = 0.03
 MULTIPLIER_BAND = (0.88, 1.12)
 MULTIPLIER_BASE = 0.8
 HEALTHY_ACCURACY = 0.65
+
+# Neutral features of a logged match that stands in for a hold-out row.
+EVALUATION_DEFAULTS = {
+    "team1_form_winrate_5": 0.5, "team2_form_winrate_5": 0.5, "venue_chase_winrate_prior": 0.5, "venue_score_prior": 170.0,
+    "h2h_team1_winrate_prior": 0.5, "venue_team1_winrate_prior": 0.5, "venue_team2_winrate_prior": 0.5,
+    "venue_avg_first_innings_runs_prior": 170.0, "team1_recent_runs_for_5": 160.0, "team2_recent_runs_for_5": 160.0,
+    "team1_recent_runs_against_5": 160.0, "team2_recent_runs_against_5": 160.0, "team1_recent_wkts_taken_5": 7.0,
+    "team2_recent_wkts_taken_5": 7.0, "team1_recent_powerplay_rr_5": 8.0, "team2_recent_powerplay_rr_5": 8.0,
+    "team1_recent_death_rr_5": 10.0, "team2_recent_death_rr_5": 10.0, "team1_player_rating_avg_prior": 1000.0,
+    "team2_player_rating_avg_prior": 1000.0, "team1_player_rating_max_prior": 1150.0, "team2_player_rating_max_prior": 1150.0,
+    "team1_player_rating_min_prior": 850.0, "team2_player_rating_min_prior": 850.0, "player_rating_gap_prior": 0.0,
+}

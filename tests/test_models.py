@@ -64,3 +64,56 @@ def test_bundle_round_trip(spark, tables, tmp_path):
     assert isinstance(again, PipelineModel) and meta == {"target": "label"}
     key = lambda m: sorted(tuple(r) for r in M.score(m, test).collect())
     assert key(model) == key(again)
+
+
+def test_many_values_become_a_table(spark, tmp_path):
+    """A dictionary of 300,000 values, never listed anywhere, gives the places of the sorted values."""
+    rows = spark.range(300_000).select(F.sha1(F.col("id").cast("string")).alias("x"), (F.col("id") % 7).cast("string").alias("y"))
+    model = EN.ValueIndexer(inputCols=["x", "y"], outputCols=["i", "j"], planValues=1000).fit(rows)
+    assert isinstance(model, EN.ValueIndexerModel)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    out = EN.ValueIndexerModel.load(str(tmp_path / "m")).transform(rows.unionAll(spark.createDataFrame([("none", None)], "x string, y string")))
+    want = {x: i for i, x in enumerate(sorted(r.x for r in rows.collect()))}
+    got = out.select("x", "i", "y", "j").collect()
+    assert len(got) == 300_001
+    for r in got:
+        assert r.i == want.get(r.x, 300_000) and r.j == (7 if r.y is None else int(r.y))
+
+
+def test_both_indexers_agree(spark):
+    rows = spark.createDataFrame([(v,) for v in ["b", "a", None, "Ä", "é", "Z", "😀", "￿", ""]], "x string")
+    few, table = (EN.ValueIndexer(inputCols=["x"], outputCols=["i"], planValues=n).fit(rows).transform(rows) for n in (100, 0))
+    assert sorted(map(str, few.collect())) == sorted(map(str, table.select(few.columns).collect()))
+
+
+def test_many_frequent_values_stay_a_table(spark):
+    rows = spark.range(4000).select((F.col("id") % 1500).cast("string").alias("x"))
+    few, table = (EN.CardinalityReducer(inputCols=["x"], minCount=3, maxValues=0, planValues=n).fit(rows) for n in (10_000, 10))
+    asked = rows.unionAll(spark.createDataFrame([(None,), ("new",), (P.UNKNOWN_PLAYER,)], "x string"))
+    assert table.getOrDefault("path") and not few.getOrDefault("path")
+    assert sorted(r.x for r in few.transform(asked).collect()) == sorted(r.x for r in table.transform(asked).collect())
+
+
+def test_encoders_are_fitted_once_per_fold(tables, monkeypatch):
+    train, _ = splits(tables)
+    fits = []
+    old = EN.MostFrequentFill._fit
+    monkeypatch.setattr(EN.MostFrequentFill, "_fit", lambda self, df: fits.append(1) or old(self, df))
+    cands = M.draw_candidates({"regParam": [0.001, 0.01, 0.1]}, 3)
+    found = M.search(M.encoded_folds(train, stages(), 3), "logistic", cands)
+    assert len(fits) == 3 and [s for _, s in found] == sorted((s for _, s in found), reverse=True)
+    fits.clear()
+    trace = M.halving(train, stages(), "logistic", cands, 3, "spread")
+    assert len(fits) == 3 and [share for share, _, _ in trace] == [0.25] * 3 + [0.5]
+
+
+def test_search_on_folds_equals_fitting_whole_pipelines(tables):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+    train, _ = splits(tables)
+    (params, got), = M.search(M.encoded_folds(train, stages(), 3), "logistic", [{"regParam": 0.05}])
+    judge = MulticlassClassificationEvaluator(labelCol="label", metricName="f1")
+    parts = [judge.evaluate(Pipeline(stages=[*stages(), M.learner("logistic", **params)]).fit(train.filter(F.col("fold") != i)).transform(
+        train.filter(F.col("fold") == i))) for i in range(3)]
+    assert abs(got - sum(parts) / 3) < 1e-6

@@ -167,3 +167,36 @@ def test_p_values(spark):
     assert abs(df.select(E.correlation_p("r", "n").alias("p")).first().p - 0.05) < 1e-5
     f = spark.createDataFrame([(4.102821, 2.0, 10.0)], "f double, a double, b double")
     assert abs(f.select(E.f_test_p("f", "a", "b").alias("p")).first().p - 0.05) < 1e-5
+
+
+@pytest.mark.parametrize("patterns", [50_000, 3])
+def test_contains_override_by_brute_force(spark, patterns):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abC") for _ in range(n))
+    texts = [(i, rng.choice([None, "", word(rng.randint(1, 30))]), rng.choice([None, "old"])) for i in range(300)]
+    rules = [(word(rng.randint(1, 6)), f"v{i}", rng.randint(1, 12)) for i in range(25)] + [("", "never", 99), (None, "never", 99), ("É", "e", 5)]
+    texts.append((1000, "xéx", "old"))
+    df = spark.createDataFrame(texts, "id long, t string, v string")
+    got = {r.id: r.v for r in J.contains_override(df, "t", spark.createDataFrame(rules, "pattern string, new_value string, ord int"), "v", patterns).collect()}
+    for i, t, old in texts:
+        hits = [(o, v) for p, v, o in rules if p and t and p.lower() in t.lower()]
+        assert got[i] == (max(hits)[1] if hits else old)
+
+
+def test_contains_override_shuffles_no_texts(spark):
+    rules = spark.createDataFrame([("a", "x", 1)], "pattern string, new_value string, ord int")
+    out = J.contains_override(spark.range(10).select(F.col("id").cast("string").alias("t"), F.lit("o").alias("v")), "t", rules, "v")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    nothing = J.contains_override(out, "t", rules.limit(0), "v")
+    assert nothing.count() == 10
+
+
+def test_fallback_rows_only_without_a_hold_out(spark):
+    from pitchline.operators import scoring as SC
+
+    log = spark.createDataFrame([(1, "A", "A", None, "BAT ", 2020), (2, " ", "B", "B", "x", 2020), (3, "C", "C", "D", "field", 2021)],
+                                "match_id long, actual string, team1 string, toss_winner string, toss_decision string, season int")
+    primary = log.withColumn("label", F.col("actual"))
+    pick = lambda p: {tuple(r) for r in SC.evaluation_source(p, log, "actual", "label", {"f": 0.5, "season": 7}, F.col("season") == 2020).collect()}
+    assert pick(primary.limit(0)) == {(1, "A", "A", "bat", 0.5, 2020.0)}
+    assert pick(primary.filter("match_id = 3")) == {(3, "C", "D", "field", 0.5, 2021.0)}
