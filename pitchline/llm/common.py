@@ -50,8 +50,8 @@ def crc_bucket(column: str, buckets: int):
 SLICE = 2 << 20
 
 
-def slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch with about SLICE bytes of text each, or one longer text, so memory stays bounded."""
+def slices(batch: pa.RecordBatch, text_at: int, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about ``size`` bytes of text each, or one longer text, so memory stays bounded."""
     column = batch.column(text_at)
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     if not len(column):
@@ -59,13 +59,13 @@ def slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
     offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset:column.offset + len(column) + 1]
     a = 0
     while a < len(column):
-        b = max(a + 1, int(np.searchsorted(offsets, int(offsets[a]) + SLICE, side="right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, int(offsets[a]) + size, side="right")) - 1)
         yield batch.slice(a, b - a)
         a = b
 
 
 def appended(df: DataFrame, make: Callable[[], Callable[[pa.Array], list]], fields: list[T.StructField],
-             text_col: str, drop: tuple[str, ...] = ()) -> DataFrame:
+             text_col: str, drop: tuple[str, ...] = (), size: int = SLICE) -> DataFrame:
     """Append Arrow-computed columns to every row.
 
     ``make`` runs once per task and returns the function from a part of the text column to the
@@ -81,7 +81,7 @@ def appended(df: DataFrame, make: Callable[[], Callable[[pa.Array], list]], fiel
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for whole in batches:
-            for batch in slices(whole, text_at):
+            for batch in slices(whole, text_at, size):
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + step(batch.column(text_at)), names=names)
 
     return base.mapInArrow(run, schema)

@@ -21,13 +21,14 @@ from pitchline.llm.common import HashArray
 CHUNK = 1 << 18
 
 
-def levels(grams: DataFrame, order: int, columns: list[str], types: str | None = None) -> list[DataFrame]:
-    """Adjusted counts for orders ``order`` .. 1: raw at the top, below it the number of distinct left extensions.
+def levels(grams: DataFrame, order: int, columns: list[str], types: str | None = None, size: int | None = None) -> list[DataFrame]:
+    """Adjusted counts for ``order`` orders from ``size`` bytes (``order`` if not given) down: at the top as they are,
+    below it the number of distinct left extensions.
 
     ``columns`` are counted per class; ``types`` names a column that counts extensions in any class.
     """
     out = [grams]
-    for size in range(order - 1, 0, -1):
+    for size in range((size or order) - 1, (size or order) - order, -1):
         sums = [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in columns]
         if types:
             sums.append(F.count(F.lit(1)).alias(types))
@@ -79,22 +80,24 @@ def stored(tables: list[DataFrame], columns: list[str], found: dict, keep) -> di
     return out
 
 
-def probabilities(tables: list[DataFrame], column: str, found: dict, asked: DataFrame, share: float = 0.0) -> DataFrame:
+def probabilities(tables: list[DataFrame], column: str, found: dict, asked: DataFrame | None = None) -> DataFrame:
     """(gram, value): natural log of the interpolated probability of every asked gram, worked out in tables.
 
     Each order is joined with the one below it by suffix, of which a gram has at most 256 longer ones. A gram that was
-    not counted takes its context's backoff; so does one with less than ``share`` of its order's total.
+    not counted takes its context's backoff. Without ``asked``, the model's own grams are; then the suffixes of all of
+    them stand in the tables already, and nothing is added or grouped again.
     """
     order, lower = len(tables), None
     for size in range(1, order + 1):
-        total, d = found[size, column]
-        wanted = asked.select(suffix(F.col("gram"), size).alias("gram"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("asked"))
-        rows = tables[order - size].select("gram", F.col(column).alias("n"), F.lit(0).alias("asked")).unionByName(wanted)
-        rows = rows.groupBy("gram").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+        d = found[size, column][1]
+        rows = tables[order - size].select("gram", F.col(column).alias("n"), F.lit(1 if asked is None else 0).alias("asked"))
+        if asked is not None:
+            wanted = asked.select(suffix(F.col("gram"), size).alias("gram"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("asked"))
+            rows = rows.unionByName(wanted).groupBy("gram").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
         per_context = Window.partitionBy(context(F.col("gram")))
         taken = F.when(F.col("n") >= 3, d[2]).when(F.col("n") == 2, d[1]).when(F.col("n") == 1, d[0]).otherwise(0.0)
         visits = F.nullif(F.sum("n").over(per_context), F.lit(0))
-        own = F.when(F.col("n") >= share * total, F.coalesce((F.col("n") - taken) / visits, F.lit(0.0))).otherwise(0.0)
+        own = F.coalesce((F.col("n") - taken) / visits, F.lit(0.0))
         rows = rows.withColumn("own", own).withColumn("mass", F.greatest(1 - F.sum("own").over(per_context), F.lit(1e-9))).filter("asked = 1")
         if lower is None:
             out = rows.select("gram", (F.col("own") + F.col("mass") / 256).alias("p"))

@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 from pitchline.llm.common import appended, mix, staged, utf8
 from pitchline.llm.shingles import row_minimum, shingle_hashes, word_hashes
 
+PART = 1 << 18  # bytes of text taken at once: hashes need some fifty times as much
+
 
 @dataclass(frozen=True)
 class Join:
@@ -83,7 +85,7 @@ def signed(docs: DataFrame, text_col: str, join: Join, drop: tuple[str, ...] = (
 
         return step
 
-    return appended(docs, make, [T.StructField("__key", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))], text_col, drop)
+    return appended(docs, make, [T.StructField("__key", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))], text_col, drop, PART)
 
 
 def keyed(docs: DataFrame, text_col: str) -> DataFrame:
@@ -97,7 +99,7 @@ def keyed(docs: DataFrame, text_col: str) -> DataFrame:
 
         return step
 
-    return appended(docs, make, [T.StructField("__key", T.LongType())], text_col)
+    return appended(docs, make, [T.StructField("__key", T.LongType())], text_col, size=PART)
 
 
 def sets(docs: DataFrame, text_col: str, join: Join) -> DataFrame:
@@ -116,7 +118,7 @@ def sets(docs: DataFrame, text_col: str, join: Join) -> DataFrame:
         return step
 
     fields = [T.StructField("__key", T.LongType()), T.StructField("__grams", T.ArrayType(T.LongType()))]
-    return appended(docs, make, fields, text_col, (text_col,))
+    return appended(docs, make, fields, text_col, (text_col,), PART)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:

@@ -32,7 +32,6 @@ SPAN = 8
 @dataclass(frozen=True)
 class Rules:
     order: int = 5
-    share: float = 0.0  # of its order's total, what a gram needs to have a value of its own
     min_words: int = 20
     max_repeat_pct: int = 30
     spread: float = 7.0  # half-width of a band, in quartile ranges of its language
@@ -96,13 +95,16 @@ class Model:
 
 
 def trained(grams: DataFrame, rules: Rules = Rules()) -> Model:
-    tables = [staged(t, "perplexity-level") for t in kn.levels(grams, rules.order, ["n"])]
+    """Every order is stored once and counted from the stored order above it."""
+    tables = [staged(grams, "perplexity-level")]
+    for size in range(rules.order, 1, -1):
+        tables.append(staged(kn.levels(tables[-1], 2, ["n"], size=size)[1], "perplexity-level"))
     return Model(tables, kn.discounts(tables, ["n"]))
 
 
 def train(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> Model:
     """The model of all texts: one pass over them, then aggregations over distinct grams."""
-    return trained(staged(count_grams(docs, text_col, rules.order), "perplexity-grams"), rules)
+    return trained(count_grams(docs, text_col, rules.order), rules)
 
 
 def chunks(docs: DataFrame, text_col: str, rules: Rules) -> Chunks:
@@ -111,9 +113,13 @@ def chunks(docs: DataFrame, text_col: str, rules: Rules) -> Chunks:
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", rules: Rules = Rules(),
            drop: tuple[str, ...] = (), chunked: Chunks | None = None) -> DataFrame:
-    """``docs`` (``chunked`` if that is at hand) with the rule counts and the log-perplexity per word (end mark included)."""
+    """``docs`` with the rule counts and the log-perplexity per word (end mark included).
+
+    ``chunked`` holds the docs where the model was made of its very grams.
+    """
+    own = chunked is not None
     chunked = chunked or chunks(docs, text_col, rules)
-    values = kn.probabilities(model.tables, "n", model.found, chunked.grams(), rules.share)
+    values = kn.probabilities(model.tables, "n", model.found, None if own else chunked.grams())
     order = rules.order
 
     def make():
@@ -158,7 +164,7 @@ def judged(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rule
            drop: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with counts, log_ppl, base_failed and kept. A language without a band keeps what passes the rules."""
     chunked = chunks(docs, text_col, rules)
-    model = trained(staged(chunked.grams(), "perplexity-grams"), rules)
+    model = trained(chunked.grams(), rules)
     rows = staged(scored(docs, model, text_col, rules, drop, chunked), "perplexity-scores")
     limits = bands(rows, lang_col, rules)
     made = {"band_lang", "band_null", "low", "high", "base_failed", "kept"}

@@ -50,7 +50,7 @@ def kneser_ney(streams, order):
 
 def test_perplexity_is_the_plain_models(spark):
     data = fixtures.rows()
-    rules = perplexity.Rules(order=3, share=0.0)
+    rules = perplexity.Rules(order=3)
     docs = fixtures.documents(spark)
     got = perplexity.scored(docs, perplexity.train(docs, rules=rules), rules=rules).select("doc_id", "text", "log_ppl").collect()
     streams = [b"\xfe" * 2 + (r[1] or "").encode() + b"\xff" for r in data]
@@ -66,7 +66,7 @@ def test_rare_grams_have_values_of_their_own(spark):
     data.append((100, "qzxjv", "xx", "s", 0, *["x"] * 7))
     docs = fixtures.documents(spark, data)
     got = [r["log_ppl"] for r in perplexity.judged(docs).collect() if r["doc_id"] == 100]
-    rules = perplexity.Rules(share=0.0)
+    rules = perplexity.Rules()
     want = [r["log_ppl"] for r in perplexity.scored(docs, perplexity.train(docs, rules=rules), rules=rules).collect() if r["doc_id"] == 100]
     assert got == pytest.approx(want, rel=1e-6)
 
