@@ -33,6 +33,8 @@ from pitchline.llm.common import appended, ragged, utf8
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # a character without a piece scores this much below the lowest piece, as in the library
 
+PART = 1 << 18  # bytes of text taken at once; words and ids of a part need some forty times as much
+
 
 @dataclass(frozen=True)
 class Search:
@@ -282,7 +284,7 @@ def encoded(docs: DataFrame, model_file: str, text_col: str = "text", search: Se
     fields = [T.StructField("n_pieces", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
               T.StructField("best_scores", T.ArrayType(T.DoubleType())), T.StructField("best_sizes", T.ArrayType(T.LongType())),
               T.StructField("best_crc32", T.ArrayType(T.LongType())), T.StructField("decodes_back", T.BooleanType())]
-    return appended(docs, make, fields, text_col, drop)
+    return appended(docs, make, fields, text_col, drop, PART)
 
 
 def decoded(rows: DataFrame, model_file: str, ids_col: str = "ids") -> DataFrame:
