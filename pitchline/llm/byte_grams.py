@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchline.llm.common import HashArray, slices, staged, utf8
+from pitchline.llm.common import HashArray, slices, staged, tidy, utf8
 
 # Bytes that UTF-8 never uses mark the start and the end of a text.
 START, END = 0xFE, 0xFF
@@ -108,7 +108,7 @@ def count_grams(df: DataFrame, text_col: str, order: int, prepare: Callable | No
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys[part].astype(np.int64)), pa.array(counts[part].astype(np.int64))], names=["gram", "n"])
 
-    out = df.select(F.col(text_col).alias("text")).mapInArrow(run, "gram long, n long")
+    out = df.select(F.col(text_col).alias("text")).mapInArrow(tidy(run), "gram long, n long")
     return out.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
@@ -189,7 +189,7 @@ class Chunks:
                 keys, counts = settled()
                 yield from listed()
 
-        table = staged(df.mapInArrow(run, "chunk long, gram long, n long, body binary"), name)
+        table = staged(df.mapInArrow(tidy(run), "chunk long, gram long, n long, body binary"), name)
         self.pairs = table.filter("body is null").select("chunk", "gram", "n")
         self.bodies = table.filter("body is not null").select("chunk", "body")
 
@@ -253,7 +253,7 @@ def with_values(chunked: Chunks, values: DataFrame, make: Callable[[], Callable[
         "chunk", F.lit(False).alias("text"), "gram", F.col("value").cast("float").alias("value"), F.lit(None).cast("binary").alias("body"))
     texts = chunked.bodies.select("chunk", F.lit(True).alias("text"), F.lit(0).cast("long").alias("gram"), F.lit(0.0).cast("float").alias("value"), "body")
     met = valued.unionByName(texts).repartitionById(parts, F.pmod("chunk", F.lit(parts)).cast("int"))
-    return met.sortWithinPartitions("chunk", "text").mapInArrow(run, schema)
+    return met.sortWithinPartitions("chunk", "text").mapInArrow(tidy(run), schema)
 
 
 def suffix(gram, size: int):

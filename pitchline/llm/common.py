@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -47,6 +48,24 @@ def crc_bucket(column: str, buckets: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(buckets)
 
 
+def give_back() -> None:
+    """Hand free memory back to the system: workers live on after their task, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries have none
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with free memory handed back at the end of the task."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 SLICE = 2 << 20
 
 
@@ -84,7 +103,7 @@ def appended(df: DataFrame, make: Callable[[], Callable[[pa.Array], list]], fiel
             for batch in slices(whole, text_at, size):
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + step(batch.column(text_at)), names=names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
