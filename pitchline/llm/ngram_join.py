@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitchline.llm.common import appended, mix, staged, utf8
+from pitchline.llm.common import WORD, appended, mix, staged, utf8
 from pitchline.llm.shingles import row_minimum, shingle_hashes, word_hashes
 
 PART = 1 << 18  # bytes of text taken at once: hashes need some fifty times as much
@@ -88,20 +88,6 @@ def signed(docs: DataFrame, text_col: str, join: Join, drop: tuple[str, ...] = (
     return appended(docs, make, [T.StructField("__key", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))], text_col, drop, PART)
 
 
-def keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with __key alone."""
-
-    def make():
-        def step(texts: pa.Array) -> list:
-            data, offsets = utf8(texts)
-            words, counts = word_hashes(lowered(data), offsets)
-            return [pa.array(text_keys(words, counts).view(np.int64), mask=counts == 0)]
-
-        return step
-
-    return appended(docs, make, [T.StructField("__key", T.LongType())], text_col, size=PART)
-
-
 def sets(docs: DataFrame, text_col: str, join: Join) -> DataFrame:
     """``docs`` with __key and __grams, the sorted distinct n-gram hashes; without the text."""
 
@@ -174,8 +160,8 @@ def verified(part: pa.Table, similarity: float) -> pa.Table:
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
-    """(doc_id, class_id, n_links, text_key, group) for every row; the group is null where a text has no words."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """(doc_id, class_id, n_links, text_key, group, text_hash) for every row; the group is null where a text has no words."""
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     rows = staged(signed(base, "text", join, ("text",)), "join-signatures")
     worded = rows.filter("__key is not null")
     classes = worded.groupBy("__key").agg(F.count(F.lit(1)).alias("copies"), F.first("__bands").alias("bands"))
@@ -201,24 +187,26 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", joi
     facts = worded.groupBy("__key").agg(F.count(F.lit(1)).alias("copies")).join(links, "__key", "left").join(
         labels.withColumnRenamed("node", "__key"), "__key", "left")
     facts = facts.select("__key", F.coalesce("label", "__key").alias("group"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    marked = rows.select("doc_id", "__key").join(facts, "__key", "left")
+    marked = rows.select("doc_id", "__key", "text_hash").join(facts, "__key", "left")
     ids = marked.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("class_id"))
     return marked.join(ids, "group", "left").select(
         "doc_id", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("__key").alias("text_key"), "group")
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("__key").alias("text_key"), "group", "text_hash")
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
     """(doc_id, class_id, n_links, text_key) for every row."""
-    return grouped(docs, id_col, text_col, join).drop("group")
+    return grouped(docs, id_col, text_col, join).drop("group", "text_hash")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
-    """``docs`` with one row of each group: the least id (null if all are), then the least key; rows without words all stay."""
+    """``docs`` with one row of each group: the least id (null if all are), then the least key and hash of the text; rows
+    without words all stay. The rows themselves do not pass through Python: their id and hash find them again."""
     marked = grouped(docs, id_col, text_col, join).filter("text_key is not null")
-    least = marked.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least"))
-    kept = least.select("least.doc_id", "least.text_key")
-    rows = keyed(docs, text_col)
-    chosen = rows.join(kept.withColumnRenamed("doc_id", "__id"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("text_key")), "left_semi")
-    one = chosen.dropDuplicates([id_col, "__key"])
-    return one.unionByName(rows.filter("__key is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    least = marked.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "text_hash")).alias("least"))
+    kept = staged(least.select(F.col("least.doc_id").alias("__id"), F.col("least.text_hash").alias("__hash")), "join-kept")
+    worded = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    rows = docs.withColumn("__text_hash", F.xxhash64(F.col(text_col)))
+    chosen = rows.filter(worded).join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
+    one = chosen.dropDuplicates([id_col, "__text_hash"])
+    return one.unionByName(rows.filter(~worded)).select(*[F.col(f"`{c}`") for c in docs.columns])
