@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from pitchline import presets as P
 from pitchline.functions import rules as R
-from pitchline.operators import aggregates as A, encode as EN, joins as J, keyed, models as M, priors, scoring as SC, splits as S
+from pitchline.operators import aggregates as A, encode as EN, joins as J, keyed, live as LV, models as M, priors, scoring as SC, splits as S
 from pitchline.operators.facts import both_sides, team_long
-from pitchline.operators.ordered import top_n
+from pitchline.operators.ordered import span_of, top_n
+from pitchline.plans.join_queries import SIDE_MEANS_SQL, side_means
 from pitchline.plans.prior_queries import VECTORS_SQL, rounded
 from pitchline.plans.registry import ORACLES, query
 from pitchline.plans.report_queries import multi_prob, _MP
@@ -449,6 +450,84 @@ def sco6(t: Tables):
     return rounded(rounded(rows, "team1_form", "team2_form", "toss_advantage", "venue_chase_winrate_prior"), "venue_score_prior", digits=5)
 
 
+# The feed's spelling of a name, and one that nobody knows.
+_RAW_TEAM = "CASE WHEN match_id % 13 = 0 THEN 'Touring side' WHEN match_id % 3 = 0 THEN replace({c}, 'NATION', 'NATON') ELSE {c} END"
+_RAW_VENUE = "CASE WHEN match_id % 17 = 0 THEN 'Moon' ELSE replace(venue, '-', ' ') END"
+_ROLE = "CASE CAST(substr(player, 8) AS INT) % 3 WHEN 0 THEN 'Batting Allrounder' WHEN 1 THEN 'Bowler' ELSE 'Batsman' END"
+_NEAR = "(SELECT arg_max(name, score) FROM (SELECT {n} AS name, 1 - levenshtein({c}, {n}) / greatest(length({c}), length({n}))::DOUBLE AS score FROM {t}) WHERE score >= {cut})"
+_SCO6 = cte("matches", "batting", "bowling", "lineups", "log") + SIDE_MEANS_SQL[len(cte("matches", "batting", "bowling", "lineups")):] + """,
+tp AS (SELECT team, avg(bat_avg) AS bat_avg, avg(bat_sr) AS bat_sr, avg(bowl_eco) AS bowl_eco, avg(bowl_sr) AS bowl_sr FROM (
+  SELECT CASE WHEN sm.side = 1 THEN team1 ELSE team2 END AS team, sm.* FROM sm JOIN matches m ON m.match_id = sm.match_id) GROUP BY 1),
+cl AS (SELECT *, CASE WHEN first_score >= 60 THEN 'Batting' ELSE 'Bowling' END AS pitch, CASE WHEN first_score % 2 = 0 THEN 'High' ELSE 'Low' END AS bounce,
+  CASE WHEN actual = CASE WHEN toss_decision = 'field' THEN toss_winner WHEN toss_winner = team1 THEN team2 ELSE team1 END THEN 1 ELSE 0 END AS ch,
+  row_number() OVER (PARTITION BY venue ORDER BY match_date DESC, match_id DESC) AS rn FROM log WHERE actual IS NOT NULL),
+vp AS (SELECT venue, avg(first_score) AS s, avg(ch) AS c, avg(CASE WHEN toss_winner = actual THEN 1 ELSE 0 END) AS tw,
+  (SELECT pitch FROM cl x WHERE x.venue = cl.venue GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS pitch,
+  (SELECT bounce FROM cl x WHERE x.venue = cl.venue GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS bounce,
+  coalesce(avg(first_score) FILTER (rn <= 20), 170.0) AS rs, avg(CASE WHEN toss_winner = actual THEN 1 ELSE 0 END) FILTER (rn <= 20) AS rt FROM cl GROUP BY 1),
+raw AS (SELECT match_id, match_date, """ + ", ".join(f"{_RAW_TEAM.format(c=c)} AS {c}" for c in ("team1", "team2", "toss_winner")) + f""",
+  {_RAW_VENUE} AS venue, toss_decision FROM log WHERE actual IS NULL),
+tn AS (SELECT r.n, coalesce({_NEAR.format(n="tp.team", c="r.n", t="tp", cut=0.6)}, r.n) AS name FROM (
+  SELECT team1 AS n FROM raw UNION SELECT team2 FROM raw UNION SELECT toss_winner FROM raw) r),
+vn AS (SELECT r.n, coalesce({_NEAR.format(n="vp.venue", c="r.n", t="vp", cut=0.45)}, r.n) AS name FROM (SELECT DISTINCT venue AS n FROM raw) r),""" + """
+fx AS (SELECT match_id, match_date, a.name AS team1, b.name AS team2, c.name AS toss_winner, v.name AS venue, toss_decision FROM raw
+  JOIN tn a ON a.n = raw.team1 JOIN tn b ON b.n = raw.team2 JOIN tn c ON c.n = raw.toss_winner JOIN vn v ON v.n = raw.venue),
+sd AS (SELECT match_id, match_date, 1 AS side, team1 AS team FROM fx UNION ALL SELECT match_id, match_date, 2, team2 FROM fx),
+pl AS (SELECT team1 AS team, match_date, match_id, CASE WHEN winner = team1 THEN 1 ELSE 0 END AS win FROM matches WHERE winner IS NOT NULL
+  UNION ALL SELECT team2, match_date, match_id, CASE WHEN winner = team2 THEN 1 ELSE 0 END FROM matches WHERE winner IS NOT NULL),
+pn AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY match_date, match_id) AS n FROM pl),
+upto AS (SELECT sd.match_id, sd.side, sd.team, max(n) AS n FROM sd LEFT JOIN pn ON pn.team = sd.team AND pn.match_date < sd.match_date GROUP BY 1, 2, 3),
+fm AS (SELECT u.match_id, u.side, u.team, coalesce(avg(win), 0.5) AS form FROM upto u LEFT JOIN pn ON pn.team = u.team AND pn.n BETWEEN u.n - 4 AND u.n GROUP BY 1, 2, 3),
+rf AS (SELECT team, avg(win) AS rf FROM (SELECT *, max(n) OVER (PARTITION BY team) AS last FROM pn) WHERE n > last - 5 GROUP BY 1),
+sqd AS (SELECT sd.match_id, sd.side, sd.team, l.player, row_number() OVER (PARTITION BY sd.match_id, sd.side ORDER BY player) AS rn
+  FROM sd JOIN lineups l ON l.match_id = sd.match_id AND l.side = sd.side WHERE sd.match_id % 4 <> 0),
+ros AS (SELECT 'NATION_' || ((s_nationkey + d) % 25) AS team, 'Player ' || s_suppkey AS player FROM supplier, (SELECT unnest(range(12)) AS d)),
+mu AS (SELECT q.match_id, q.side, least(greatest(avg(CASE CAST(substr(q.player, 8) AS INT) % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.35 ELSE 1.0 END::DOUBLE
+    + CASE WHEN ros.team IS NOT NULL THEN 0.03 ELSE 0 END) / 0.8, 0.88), 1.12) AS bm,
+  least(greatest(avg(CASE CAST(substr(q.player, 8) AS INT) % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 1.05 ELSE 0.25 END::DOUBLE
+    + CASE WHEN ros.team IS NOT NULL THEN 0.03 ELSE 0 END) / 0.8, 0.88), 1.12) AS wm, count(*) AS used
+  FROM sqd q LEFT JOIN ros ON ros.team = q.team AND ros.player = q.player WHERE q.rn <= 11 GROUP BY 1, 2),
+sr AS (SELECT fm.match_id, fm.side, CASE WHEN rf IS NULL THEN form ELSE 0.7::DOUBLE * form + 0.3::DOUBLE * rf END AS form,
+  coalesce(bat_avg, 30) * coalesce(bm, 1) AS bat_avg, coalesce(bat_sr, 140) * coalesce(bm, 1) AS bat_sr, coalesce(bowl_eco, 8.5) / coalesce(wm, 1) AS bowl_eco,
+  coalesce(bowl_sr, 20) / coalesce(wm, 1) AS bowl_sr, coalesce(bm, 1) AS bm, coalesce(wm, 1) AS wm, coalesce(used, 0) AS used
+  FROM fm LEFT JOIN rf ON rf.team = fm.team LEFT JOIN mu ON mu.match_id = fm.match_id AND mu.side = fm.side LEFT JOIN tp ON tp.team = fm.team)
+SELECT fx.match_id, match_date, team1, team2, fx.venue, toss_winner, toss_decision, """ + ", ".join(
+    f"round(a{s}.form + 1e-9, 5) AS team{s}_form_winrate_5, " + ", ".join(f"round(a{s}.{c} + 1e-9, 5) AS team{s}_{c}" for c in LV.SKILLS)
+    + f", round(a{s}.bm + 1e-9, 5) AS team{s}_bat_multiplier, round(a{s}.wm + 1e-9, 5) AS team{s}_bowl_multiplier, a{s}.used AS team{s}_players_used"
+    for s in (1, 2)) + """,
+  round(CASE WHEN s IS NULL THEN 170 ELSE 0.8::DOUBLE * s + 0.2::DOUBLE * rs END + 1e-9, 5) AS venue_score_prior, round(coalesce(c, 0.52) + 1e-9, 5) AS venue_chase_winrate_prior,
+  round(CASE WHEN s IS NULL THEN 0.5 ELSE 0.8::DOUBLE * tw + 0.2::DOUBLE * rt END + 1e-9, 5) AS toss_advantage, coalesce(pitch, 'Batting') AS pitch_type,
+  coalesce(bounce, 'Medium') AS bounce_and_carry, CASE WHEN toss_decision = 'field' AND coalesce(c, 0.52) >= 0.52 THEN 1 ELSE 0 END AS is_high_dew
+FROM fx JOIN sr a1 ON a1.match_id = fx.match_id AND a1.side = 1 JOIN sr a2 ON a2.match_id = fx.match_id AND a2.side = 2 LEFT JOIN vp ON vp.venue = fx.venue"""
+
+
+@query("sco6_live_rows_all_features", _SCO6)
+def sco6_full(t: Tables):
+    """Announced fixtures in the feed's spelling: names, form, profiles, squads, venue and toss in one row each."""
+    log = durable(t.log)
+    role = F.expr(_ROLE)
+    squads = t.lineup_slots.withColumn("_role", role).groupBy("match_id").agg(*[
+        F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct(F.col("player").alias("name"), F.col("_role").alias("role"))))).alias(f"_squad{s}")
+        for s in (1, 2)])
+    fixtures = log.filter("actual IS NULL").select(
+        "match_id", "match_date", *[F.expr(_RAW_TEAM.format(c=c)).alias(c) for c in ("team1", "team2", "toss_winner")],
+        F.expr(_RAW_VENUE).alias("venue"), F.initcap("toss_decision").alias("toss_decision")).join(squads, "match_id", "left")
+    fixtures = fixtures.withColumns({f"team{s}_squad": F.when(F.col("match_id") % 4 != 0, F.col(f"_squad{s}")) for s in (1, 2)}).drop("_squad1", "_squad2")
+    means = rounded(side_means(t), *P.VECTOR_DEFAULTS, digits=5).join(t.matches.select("match_id", "team1", "team2"), "match_id")
+    teams = A.team_profiles(means.withColumn("team", F.when(F.col("side") == 1, F.col("team1")).otherwise(F.col("team2"))), LV.SKILLS)
+    closed = log.filter("actual IS NOT NULL").withColumns({
+        "winner": F.col("actual"), "venue_score_prior": F.col("first_score"),
+        "venue_chase_winrate_prior": R.flag(R.chasing_side(F.col("toss_winner"), F.col("toss_decision"), F.col("team1"), F.col("team2")) == F.col("actual")),
+        "pitch_type": F.when(F.col("first_score") >= 60, "Batting").otherwise("Bowling"),
+        "bounce_and_carry": F.when(F.col("first_score") % 2 == 0, "High").otherwise("Low")})
+    venues = A.venue_profiles(closed, "venue", ["venue_score_prior", "venue_chase_winrate_prior"], ["pitch_type", "bounce_and_carry"])
+    roster = t.read("supplier").select(F.concat(F.lit("PLAYER-"), "s_suppkey").alias("player"), "s_nationkey", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("d"))
+    roster = roster.select(F.concat(F.lit("NATION_"), (F.col("s_nationkey") + F.col("d")) % 25).alias("team"), "player")
+    days = span_of(t.read("orders").select(F.col("o_orderdate").cast("date").alias("match_date")), ["match_date"])
+    out = LV.live_rows(fixtures, t.matches.filter("winner IS NOT NULL"), log, durable(teams), durable(venues), roster, days)
+    return out.select(*[F.round(F.col(c) + 1e-9, 5).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes])
+
+
 @query("sco7_serving_rows", cte("log") + """,
 ts AS (SELECT team, count(*) AS games, CAST(sum(CASE WHEN actual = team THEN 1 ELSE 0 END) AS BIGINT) AS wins FROM (
   SELECT team1 AS team, actual FROM log WHERE actual IS NOT NULL UNION ALL SELECT team2, actual FROM log WHERE actual IS NOT NULL) GROUP BY 1),
@@ -476,65 +555,96 @@ def sco7(t: Tables):
 _RECENT_NAMES = ["form_winrate", "recent_runs_for", "recent_runs_against", "recent_wkts_taken", "recent_powerplay_rr", "recent_death_rr"]
 _VENUE_NAMES = {2: ("venue_avg_first_innings_runs_prior", 165), 3: ("venue_pp_rr_first_innings_prior", 7.5), 4: ("venue_death_rr_first_innings_prior", 9.5),
                 5: ("venue_pp_rr_second_innings_prior", 7.3), 6: ("venue_death_rr_second_innings_prior", 9.2)}
-_SERVING = LIVE_SQL + """, closed AS (SELECT e.* FROM ent e JOIN matches m ON m.match_id = e.match_id WHERE m.winner IS NOT NULL),
-num AS (SELECT *, row_number() OVER (PARTITION BY kind, key ORDER BY match_date DESC, match_id DESC, side DESC) AS rn FROM closed),
+_CLOSED = ", closed AS (SELECT e.* FROM ent e JOIN matches m ON m.match_id = e.match_id WHERE m.winner IS NOT NULL)"
+_LAST_STATE = """, num AS (SELECT *, row_number() OVER (PARTITION BY kind, key ORDER BY match_date DESC, match_id DESC, side DESC) AS rn FROM closed),
 st AS (SELECT kind, key, count(*) AS games, """ + ", ".join(f"avg(v{i}) AS a{i}" for i in range(7)) + ", sum(v0) AS s0, " + ", ".join(
-    f"avg(v{i}) FILTER (rn <= 5) AS m{i}" for i in range(6)) + """, first(players ORDER BY rn) FILTER (len(players) > 0) AS lineup FROM num GROUP BY 1, 2),
-fx AS (SELECT f.match_id, f.team1, f.team2, f.venue, coalesce(CASE WHEN f.match_id % 11 <> 0 THEN f.toss_winner END, f.team1) AS toss_winner, f.toss_decision, f.match_date,
-  coalesce(p1, []) AS p1, coalesce(p2, []) AS p2 FROM fin f WHERE f.winner IS NULL),
+    f"avg(v{i}) FILTER (rn <= 5) AS m{i}" for i in range(6)) + """, first(players ORDER BY rn) FILTER (len(players) > 0) AS lineup FROM num GROUP BY 1, 2)"""
+_STATE_BEFORE = """, st AS (SELECT match_id, side, kind, key, count(*) OVER w AS games, """ + ", ".join(f"avg(v{i}) OVER w AS a{i}" for i in range(7)) + (
+    ", sum(v0) OVER w AS s0, ") + ", ".join(
+    f"avg(v{i}) OVER (PARTITION BY kind, key ORDER BY match_date, match_id, side ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS m{i}" for i in range(6)) + """,
+  last_value(CASE WHEN len(players) > 0 THEN players END IGNORE NULLS) OVER w AS lineup
+  FROM closed WINDOW w AS (PARTITION BY kind, key ORDER BY match_date, match_id, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+def _features_sql(state: str, which: str, own: str = "", extra: str = "", availability: str = "") -> str:
+    """All live features: ``own`` ties a state row to its match and side, where the state differs by match."""
+    at = lambda alias, side: own.format(a=alias, side=side)
+    return LIVE_SQL + _CLOSED + state + f""",
+fx AS (SELECT f.match_id, f.team1, f.team2, f.venue, coalesce(CASE WHEN f.match_id % 11 <> 0 OR f.winner IS NOT NULL THEN f.toss_winner END, f.team1) AS toss_winner,
+  f.toss_decision, f.match_date, coalesce(p1, []) AS p1, coalesce(p2, []) AS p2, f.winner FROM fin f WHERE f.winner IS {which}),
 seat AS (SELECT match_id, side, unnest(xi) AS player FROM (SELECT match_id, 1 AS side, p1[1:11] AS xi FROM fx UNION ALL SELECT match_id, 2, p2[1:11] FROM fx)),
 rate AS (SELECT match_id, side, avg(coalesce(1000 + s_acctbal / 10, 1000)) AS ravg, max(coalesce(1000 + s_acctbal / 10, 1000)) AS rmax,
   min(coalesce(1000 + s_acctbal / 10, 1000)) AS rmin FROM seat LEFT JOIN supplier ON player = 'Player ' || s_suppkey AND s_suppkey % 5 <> 0 GROUP BY 1, 2),
 j AS (SELECT fx.*, CASE WHEN coalesce(v.games, 0) > 0 THEN (v.s0 + 1) / (v.games + 2) ELSE 0.5 END AS chase, coalesce(v.a1, 0.5) AS bat,
   """ + ", ".join(f"coalesce(v.a{i}, {d}) AS {n}" for i, (n, d) in _VENUE_NAMES.items()) + ", " + ", ".join(
-    f"coalesce(t{s}.m{i}, {d}) AS team{s}_{n}_5" for s in (1, 2) for i, (n, d) in enumerate(zip(_RECENT_NAMES, (0.5, 160, 160, 6, 7.5, 9.5)))) + """,
+        f"coalesce(t{s}.m{i}, {d}) AS team{s}_{n}_5" for s in (1, 2) for i, (n, d) in enumerate(zip(_RECENT_NAMES, (0.5, 160, 160, 6, 7.5, 9.5)))) + """,
   coalesce(h.a0, 0.5) AS h2h_team1_winrate_prior, """ + ", ".join(
-    f"(coalesce(w{s}.s0, 0) + 1) / (coalesce(w{s}.games, 0) + 2) AS venue_team{s}_winrate_prior, "
-    f"CASE WHEN len(t{s}.lineup) > 0 THEN len(list_intersect(p{s}[1:11], t{s}.lineup)) / greatest(len(p{s}[1:11]), 1)::DOUBLE ELSE 0.5 END AS team{s}_xi_continuity_prior, "
-    f"coalesce(r{s}.ravg, 1000) AS team{s}_player_rating_avg_prior, coalesce(r{s}.rmax, 1000) AS team{s}_player_rating_max_prior, "
-    f"coalesce(r{s}.rmin, 1000) AS team{s}_player_rating_min_prior" for s in (1, 2)) + """,
+        f"(coalesce(w{s}.s0, 0) + 1) / (coalesce(w{s}.games, 0) + 2) AS venue_team{s}_winrate_prior, "
+        f"CASE WHEN len(t{s}.lineup) > 0 THEN len(list_intersect(p{s}[1:11], t{s}.lineup)) / greatest(len(p{s}[1:11]), 1)::DOUBLE ELSE 0.5 END AS team{s}_xi_continuity_prior, "
+        f"coalesce(r{s}.ravg, 1000) AS team{s}_player_rating_avg_prior, coalesce(r{s}.rmax, 1000) AS team{s}_player_rating_max_prior, "
+        f"coalesce(r{s}.rmin, 1000) AS team{s}_player_rating_min_prior" for s in (1, 2)) + f""",
   (coalesce(o.s0, 0) + 1) / (coalesce(o.games, 0) + 2) AS toss_decision_venue_team1_winrate_prior
-  FROM fx LEFT JOIN st t1 ON t1.kind = 'team' AND t1.key = team1 LEFT JOIN st t2 ON t2.kind = 'team' AND t2.key = team2
-  LEFT JOIN st v ON v.kind = 'venue' AND v.key = venue LEFT JOIN st h ON h.kind = 'pair' AND h.key = team1 || chr(31) || team2
-  LEFT JOIN st w1 ON w1.kind = 'venue_team' AND w1.key = venue || chr(31) || team1 LEFT JOIN st w2 ON w2.kind = 'venue_team' AND w2.key = venue || chr(31) || team2
-  LEFT JOIN st o ON o.kind = 'toss' AND o.key = venue || chr(31) || CASE WHEN toss_winner = team1 THEN 1 ELSE 0 END || chr(31) || toss_decision
+  FROM fx LEFT JOIN st t1 ON t1.kind = 'team' AND t1.key = team1{at("t1", 1)} LEFT JOIN st t2 ON t2.kind = 'team' AND t2.key = team2{at("t2", 2)}
+  LEFT JOIN st v ON v.kind = 'venue' AND v.key = venue{at("v", 0)} LEFT JOIN st h ON h.kind = 'pair' AND h.key = team1 || chr(31) || team2{at("h", 0)}
+  LEFT JOIN st w1 ON w1.kind = 'venue_team' AND w1.key = venue || chr(31) || team1{at("w1", 1)}
+  LEFT JOIN st w2 ON w2.kind = 'venue_team' AND w2.key = venue || chr(31) || team2{at("w2", 2)}
+  LEFT JOIN st o ON o.kind = 'toss' AND o.key = venue || chr(31) || CASE WHEN toss_winner = team1 THEN 1 ELSE 0 END || chr(31) || toss_decision{at("o", 0)}
   LEFT JOIN rate r1 ON r1.match_id = fx.match_id AND r1.side = 1 LEFT JOIN rate r2 ON r2.match_id = fx.match_id AND r2.side = 2)
-SELECT match_id, match_date, team1, team2, venue, toss_winner, toss_decision, """ + ", ".join(
-    f"round({c} + 1e-9, 5) AS {c}" for c in [
-        *[f"team{s}_{n}_5" for s in (1, 2) for n in _RECENT_NAMES], *[n for n, _ in _VENUE_NAMES.values()], "h2h_team1_winrate_prior",
-        *[f"venue_team{s}_winrate_prior" for s in (1, 2)], *[f"team{s}_xi_continuity_prior" for s in (1, 2)],
-        *[f"team{s}_player_rating_{c}_prior" for s in (1, 2) for c in ("avg", "max", "min")], "toss_decision_venue_team1_winrate_prior"]) + """,
+SELECT j.match_id, match_date, team1, team2, venue, toss_winner, toss_decision, {extra}""" + ", ".join(
+        f"round({c} + 1e-9, 5) AS {c}" for c in [
+            *[f"team{s}_{n}_5" for s in (1, 2) for n in _RECENT_NAMES], *[n for n, _ in _VENUE_NAMES.values()], "h2h_team1_winrate_prior",
+            *[f"venue_team{s}_winrate_prior" for s in (1, 2)], *[f"team{s}_xi_continuity_prior" for s in (1, 2)],
+            *[f"team{s}_player_rating_{c}_prior" for s in (1, 2) for c in ("avg", "max", "min")], "toss_decision_venue_team1_winrate_prior"]) + """,
   round(chase + 1e-9, 5) AS venue_chase_winrate_prior, round(2 * chase - 1 + 1e-9, 5) AS venue_score_prior, round(bat + 1e-9, 5) AS venue_toss_bat_rate_prior,
   CASE WHEN (bat >= 0.5) = (toss_decision = 'bat') THEN 1.0::DOUBLE ELSE 0.0 END AS toss_decision_alignment_prior,
   round(CASE WHEN toss_decision <> 'field' THEN 0 WHEN toss_winner = team1 THEN chase ELSE 1 - chase END + 1e-9, 5) AS toss_field_chase_boost_team1,
   round(team1_player_rating_avg_prior - team2_player_rating_avg_prior + 1e-9, 5) AS player_rating_gap_prior, """ + ", ".join(
-    f"0.5::DOUBLE AS team{s}_{c}_prior" for s in (1, 2) for c in ("player_availability", "injury_proxy")) + ", " + ", ".join(
-    f"coalesce(p{s}[{i}], 'Unknown_Player') AS team{s}_player_{i}" for s in (1, 2) for i in range(1, 12)) + " FROM j"
+        f"{f'av{s}.{a}' if availability else '0.5::DOUBLE'} AS team{s}_{c}_prior" for s in (1, 2)
+        for a, c in (("availability", "player_availability"), ("injury_proxy", "injury_proxy"))) + ", " + ", ".join(
+        f"coalesce(p{s}[{i}], 'Unknown_Player') AS team{s}_player_{i}" for s in (1, 2) for i in range(1, 12)) + " FROM j" + (
+        "".join(f" JOIN ({availability}) av{s} ON av{s}.match_id = j.match_id AND av{s}.side = {s}" for s in (1, 2)) if availability else "")
 
 
-@query("sco7_serving_rows_all_features", _SERVING)
+def _shown(out):
+    """Means of fractions: a tiny shift keeps exact halves from rounding by summation order."""
+    return out.select(*[F.round(F.col(c) + 1e-9, 5).alias(c) if kind == "double" and c != "toss_decision_alignment_prior"
+                        and not c.endswith(("availability_prior", "proxy_prior")) else F.col(c) for c, kind in out.dtypes])
+
+
+def _known_ratings(t: Tables):
+    return t.read("supplier").filter("s_suppkey % 5 <> 0").select(
+        F.concat(F.lit("Player "), "s_suppkey").alias("player"), (1000 + F.col("s_acctbal") / 10).alias("rating"))
+
+
+@query("sco7_serving_rows_all_features", _features_sql(_LAST_STATE, "NULL"))
 def sco7_full(t: Tables):
     """Every feature of the open fixtures from the state tables of the decided ones, in one join."""
     f = finals(t)
     players = (F.col("players_1"), F.col("players_2"))
     state = keyed.live_state(f.filter(F.col("winner").isNotNull()), players)
-    ratings = t.read("supplier").filter("s_suppkey % 5 <> 0").select(
-        F.concat(F.lit("Player "), "s_suppkey").alias("player"), (1000 + F.col("s_acctbal") / 10).alias("rating"))
     fixtures = f.filter(F.col("winner").isNull()).select(
         "match_id", "match_date", "team1", "team2", "venue", F.when(F.col("match_id") % 11 != 0, F.col("toss_winner")).alias("toss_winner"),
         "toss_decision", F.col("players_1").alias("team1_players"), F.col("players_2").alias("team2_players"))
-    out = keyed.serving_rows(fixtures, state, ratings)
-    return out.select(*[F.round(F.col(c) + 1e-9, 5).alias(c) if kind == "double" and c != "toss_decision_alignment_prior"
-                        and not c.endswith(("availability_prior", "proxy_prior")) else F.col(c) for c, kind in out.dtypes])
+    return _shown(keyed.serving_rows(fixtures, state, _known_ratings(t)))
 
 
-_XI = """, sq AS (SELECT 'NATION_' || s_nationkey AS team, 'Player ' || s_suppkey AS player,
+@query("win14_training_rows", _features_sql(
+    _STATE_BEFORE, "NOT NULL", " AND {a}.match_id = fx.match_id AND {a}.side = {side}", "winner, ", ORACLES["win13_player_availability"]))
+def win14_training(t: Tables):
+    """The whole training table: every feature of each decided match as it stood before it, lineups and winner."""
+    sides = team_long(t.matches.select("match_id", "team1", "team2"))
+    seen = rounded(priors.player_availability(t.lineup_long, sides, span=t.dates), "availability", "injury_proxy")
+    return _shown(keyed.training_rows(durable(finals(t)), (F.col("players_1"), F.col("players_2")), _known_ratings(t), seen))
+
+
+_XI_LISTS = """, sq AS (SELECT 'NATION_' || s_nationkey AS team, 'Player ' || s_suppkey AS player,
     row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rn FROM supplier),
 pv AS (SELECT coalesce(bv.match_id, wv.match_id) AS match_id, coalesce(bv.player, wv.player) AS player, coalesce(bat_avg_10, 0) AS bat_avg_10,
     coalesce(bat_sr_10, 0) AS bat_sr_10, coalesce(bowl_econ_10, 0) AS bowl_econ_10, coalesce(bowl_sr_10, 0) AS bowl_sr_10
   FROM bv FULL JOIN wv ON bv.match_id = wv.match_id AND bv.player = wv.player),
 lv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY player ORDER BY match_id DESC) AS rn FROM pv) WHERE rn = 1)
-SELECT sq.team, count(*) AS players, round(coalesce(avg(CASE WHEN bat_avg_10 > 0 THEN bat_avg_10 END), 25), 5) AS bat_avg,
+"""
+_XI_SELECT = """SELECT sq.team, count(*) AS players, round(coalesce(avg(CASE WHEN bat_avg_10 > 0 THEN bat_avg_10 END), 25), 5) AS bat_avg,
   round(coalesce(avg(CASE WHEN bat_sr_10 > 0 THEN bat_sr_10 END), 125), 5) AS bat_sr,
   round(coalesce(avg(CASE WHEN bowl_econ_10 > 0 THEN bowl_econ_10 END), 8.5), 5) AS bowl_eco,
   round(coalesce(avg(CASE WHEN bowl_sr_10 > 0 THEN bowl_sr_10 END), 20), 5) AS bowl_sr
@@ -554,7 +664,7 @@ def squad_vectors(t: Tables):
         F.coalesce(F.avg(F.when(F.col(c) > 0, F.col(c))), F.lit(P.VECTOR_DEFAULTS[n])).alias(n) for c, n in named.items()])
 
 
-@query("sco9_likely_xi_vectors", VECTORS_SQL + _XI)
+@query("sco9_likely_xi_vectors", VECTORS_SQL + _XI_LISTS + _XI_SELECT)
 def sco9(t: Tables):
     return rounded(squad_vectors(t), *P.VECTOR_DEFAULTS, digits=5)
 
@@ -570,3 +680,31 @@ def sco9b(t: Tables):
     s = M.score(model, frame.filter("season = 2001"), ("match_id", "team1", "team2"))
     who, conf = SC.binary_decision(F.col("p1"), F.col("team1"), F.col("team2"))
     return s.select("match_id", "team1", "team2", F.round("p1", 6).alias("p1"), who.alias("predicted"), F.round(conf, 6).alias("confidence"))
+
+
+_FUTURE = """, sv AS (""" + _XI_SELECT + """),
+fu AS (SELECT match_id, team1, team2, venue FROM matches WHERE season = 2001)"""
+
+
+@query("sco9_future_rows", VECTORS_SQL + _XI_LISTS + _FUTURE + """
+SELECT match_id, team1, team2, venue, team1 AS toss_winner, """ + ", ".join(
+    f"coalesce(a{s}.{c}, {d}) AS team{s}_{c}" for s in (1, 2) for c, d in P.VECTOR_DEFAULTS.items()) + ", " + ", ".join(
+    f"'{v}' AS {c}" if isinstance(v, str) else f"{v}{'::DOUBLE' if isinstance(v, float) else ''} AS {c}" for c, v in P.FUTURE_CONTEXT.items()) + """
+FROM fu LEFT JOIN sv a1 ON a1.team = team1 LEFT JOIN sv a2 ON a2.team = team2""")
+def sco9_rows(t: Tables):
+    """Every fixture of the last season before anything is known of its day: likely lineups and the preset context."""
+    v = rounded(squad_vectors(t), *P.VECTOR_DEFAULTS, digits=5)
+    return LV.future_rows(t.matches.filter("season = 2001").select("match_id", "team1", "team2", "venue"), v)
+
+
+@query("sco9_future_score_means", cte("matches") + f""", p AS (
+  SELECT venue, round({_MEAN}, 4) AS p1 FROM matches WHERE winner IS NOT NULL AND season < 2001 GROUP BY 1)
+SELECT match_id, CASE WHEN p1 >= 0.5 THEN team1 ELSE team2 END AS predicted, p1, round(greatest(p1, 1 - p1), 4) AS confidence
+FROM matches JOIN p ON p.venue = matches.venue WHERE season = 2001""")
+def sco9_means(t: Tables):
+    """The same rows scored by a model whose probabilities are the venue's means."""
+    f = LV.future_rows(t.matches.filter("season = 2001").select("match_id", "team1", "team2", "venue"), squad_vectors(t))
+    model = M.fit(_decided(t).filter("season < 2001"), _venue_only(), M.learner("logistic", regParam=0.0, tol=1e-9, maxIter=200))
+    s = M.score(model, f.withColumn("label", F.lit(0.0)), ("match_id", "team1", "team2")).withColumn("p1", F.round("p1", 4))
+    who, confidence = SC.binary_decision(F.col("p1"), F.col("team1"), F.col("team2"))
+    return s.select("match_id", who.alias("predicted"), "p1", F.round(confidence, 4).alias("confidence"))

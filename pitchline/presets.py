@@ -47,6 +47,19 @@ STORE_DEFAULTS = {
     "h2h": 0.5, "venue_team": 0.5, "chase": 0.5,
 }
 VECTOR_DEFAULTS = {"bat_avg": 25.0, "bat_sr": 125.0, "bowl_eco": 8.5, "bowl_sr": 20.0}
+TEAM_PROFILE_DEFAULTS = {"bat_avg": 30.0, "bat_sr": 140.0, "bowl_eco": 8.5, "bowl_sr": 20.0}
+VENUE_PROFILE_DEFAULTS = {"venue_score_prior": 170.0, "venue_chase_winrate_prior": 0.52, "toss_advantage": 0.5,
+                          "pitch_type": "Batting", "bounce_and_carry": "Medium"}
+
+# Least similarity at which a name of the feed counts as a known one.
+TEAM_CUTOFF = 0.6
+VENUE_CUTOFF = 0.45
+
+# What is assumed of a match before its day.
+FUTURE_CONTEXT = {
+    "toss_decision": "field", "pitch_type": "Batting", "bounce_and_carry": "Low", "team1_form_winrate_5": 0.5,
+    "team2_form_winrate_5": 0.5, "venue_score_prior": 180.0, "venue_chase_winrate_prior": 0.55, "toss_advantage": 0.0, "is_high_dew": 1,
+}
 
 # Rating update and rating scale.
 START_RATING = 1000.0
