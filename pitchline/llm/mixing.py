@@ -27,7 +27,7 @@ from pitchline.llm.common import WORD, staged
 class Mix:
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)  # by source in code-point order, repeating
     most: int = 3  # a source's target stops at this multiple of its size
-    blocks: int = 1024  # blocks per source
+    blocks: int = 1024  # blocks of a source, and of its target where that is smaller
     levels: int = 4  # of the splitting tree: 2 ** levels output shards
     seed: int = 8
     strips: int = 4096  # hash strips in which running sums and ranks are taken
@@ -52,7 +52,9 @@ def units(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
 
 
 def targets(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """sid, source, source_size, target, quota (blocks): one row per source, so the windows here are small.
+    """sid, source, source_size, target, blocks, quota (blocks): one row per source, so the windows here are small.
+
+    A source's blocks are small against its target too, however small a part of the source that is.
 
     With sources ordered by how soon they reach their limit, the ones before the first that stays below it stop at
     their limits, and the rest share what is left by weight.
@@ -71,8 +73,10 @@ def targets(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
     rate = F.min(F.when(F.col("rate") <= at, F.struct(at, "sid", "rate"))).over(whole)["rate"]
     target = F.least(F.col("limit"), F.coalesce(rate * F.col("weight"), F.col("limit")))
     share = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
+    finer = F.least(F.ceil(mix.blocks / F.nullif(share, F.lit(0.0))), F.col("source_size"))
+    blocks = F.greatest(F.lit(mix.blocks), F.coalesce(finer, F.lit(0))).cast("long")
     return listed.withColumn("target", target).select(
-        "sid", "source", "source_size", "target", F.round(share * mix.blocks).cast("long").alias("quota"))
+        "sid", "source", "source_size", "target", blocks.alias("blocks"), F.round(share * blocks).cast("long").alias("quota"))
 
 
 def split(quotas: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -121,10 +125,10 @@ def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     inside = Window.partitionBy("sid", "strip").orderBy("key", "id", "hash").rowsBetween(Window.unboundedPreceding, 0)
     placed = keyed.withColumn("upto", F.sum("words").over(inside)).join(offsets, ["sid", "strip"])
     middle = F.col("offset") + F.col("upto") - F.col("words") / 2
-    block = F.coalesce(F.floor(middle * mix.blocks / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0))
-    placed = placed.withColumn("block", F.least(block, F.lit(mix.blocks - 1)).cast("long"))
+    block = F.coalesce(F.floor(middle / F.nullif(F.col("source_size"), F.lit(0)) * F.col("blocks")), F.lit(0))
+    placed = placed.withColumn("block", F.least(block, F.col("blocks") - 1).cast("long"))
     draws = F.expr(
-        f"transform(filter(transform(sequence(0, {mix.most - 1}), e -> e * {mix.blocks} + block), d -> d < quota),"
+        f"transform(filter(transform(sequence(0, {mix.most - 1}), e -> e * blocks + block), d -> d < quota),"
         " d -> array_min(filter(runs, r -> r.end > d)).shard)")
     return placed.select("id", "source", "hash", "size", "copies", "source_size", "target", "block",
                          F.coalesce(draws, F.expr("cast(array() as array<int>)")).alias("draws"))

@@ -49,6 +49,14 @@ def test_mix_meets_its_targets(spark, skew):
         assert abs(by_source[sizes[s]] - want[s]) <= 3 * most[s] + sizes[s] / 1024
 
 
+def test_a_small_part_of_a_large_source_is_met(spark):
+    rows = [(k, f"s{k:03d}", "w " * 100) for k in range(200)] + [(1000 + k, "z", "w " * 10) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = [r for r in mixing.taken(docs, mix=mixing.Mix(blocks=16)).collect() if r["source_size"] == 4000]
+    assert 40 < got[0]["target"] < 50
+    assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 10
+
+
 def test_tree_splits_quotas_exactly(spark):
     mix = mixing.Mix(levels=3)
     quotas = {0: 1000, 1: 37, 2: 0, 3: 3}
@@ -122,6 +130,26 @@ def test_shards_are_even_and_whole(spark, plan):
     assert place == sorted((r["shard"], r["slot"], zlib.crc32((r["text"] or "").encode())) for r in shards.read(spark, second, docs).collect())
 
 
+def test_copies_of_one_row_fill_many_buckets(spark):
+    plan = shards.Plan(shards=4, bucket_bytes=4000)
+    rows = [(None, "same words")] * 9000 + [(7, None)] * 9000 + [(k, f"own {k}") for k in range(2000)] + [(8, "long " * 2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    places = []
+    for n in (7, 3):
+        path = f"{checkpoint_dir(spark)}/t-{uuid.uuid4().hex}"
+        shards.write(docs.repartition(n), path, plan=plan)
+        got = shards.read(spark, path, docs).collect()
+        assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(rows)
+        sizes = Counter(r["shard"] for r in got)
+        assert max(sizes.values()) - min(sizes.values()) <= 1
+        same = Counter(r["shard"] for r in got if r["text"] == "same words")
+        assert min(same.values()) > 9000 / 4 * 0.7  # scattered over all shards
+        places.append(sorted((r["shard"], r["slot"], str(r["doc_id"]), str(r["text"])) for r in got))
+    assert places[0] == places[1]
+    spread = shards._numbered(docs.filter("doc_id is null"), plan, 50).groupBy("__bucket").count().collect()
+    assert len(spread) == 50 and max(r["count"] for r in spread) < 2 * 9000 / 50
+
+
 def test_no_rows_to_shard(spark):
     path = f"{checkpoint_dir(spark)}/t-{uuid.uuid4().hex}"
     shards.write(fixtures.empty(spark), path)
