@@ -30,7 +30,7 @@ class Mix:
     blocks: int = 1024  # blocks of a source, and of its target where that is smaller
     levels: int = 4  # of the splitting tree: 2 ** levels output shards
     seed: int = 8
-    strips: int = 4096  # hash strips in which running sums and ranks are taken
+    strips: int = 4096  # hash strips in which running sums and ranks are taken; copies of one row made at a time
 
     @property
     def shards(self) -> int:
@@ -136,11 +136,17 @@ def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
           mix: Mix = Mix()) -> DataFrame:
-    """Per row: doc_id, size, source_size, target and the words that the mix takes of it."""
-    rows = drawn(docs, id_col, text_col, source_col, mix)
-    each = rows.withColumn("copy", F.explode(F.expr("sequence(1, copies)")))
-    return each.select(F.col("id").alias("doc_id"), "size", "source_size", "target",
-                       (F.col("size") * F.size("draws")).alias("taken"))
+    """Per row: doc_id, size, source_size, target and the words that the mix takes of it.
+
+    The copies of one row are made a strip at a time, by as many tasks as there are strips.
+    """
+    rows = drawn(docs, id_col, text_col, source_col, mix).select(
+        "id", "hash", "size", "source_size", "target", "copies", (F.col("size") * F.size("draws")).alias("taken"))
+    last = F.floor((F.col("copies") - 1) / mix.strips)
+    strips = rows.withColumn("strip", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition("id", "hash", "strip")
+    upto = F.least(F.lit(mix.strips).cast("long"), F.col("copies") - F.col("strip") * mix.strips)
+    each = strips.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), upto)))
+    return each.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",

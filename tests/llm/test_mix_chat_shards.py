@@ -57,6 +57,13 @@ def test_a_small_part_of_a_large_source_is_met(spark):
     assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 10
 
 
+def test_copies_come_in_strips(spark):
+    rows = [(5, "a", "two words")] * 23 + [(5, "a", "three more words")] * 10 + [(None, "a", None)] * 11 + [(6, "b", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.taken(docs, mix=mixing.Mix(strips=10)).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in got) == {(5, 2): 23, (5, 3): 10, (None, 0): 11, (6, 1): 1}
+
+
 def test_tree_splits_quotas_exactly(spark):
     mix = mixing.Mix(levels=3)
     quotas = {0: 1000, 1: 37, 2: 0, 3: 3}
