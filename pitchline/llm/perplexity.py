@@ -1,14 +1,19 @@
 """Quality rules with n-gram perplexity.
 
-A modified Kneser-Ney model over the bytes of all documents gives every text a log-perplexity per word. Documents of
-one language form a band around its median; a text above or below the band is rejected, as is one that fails the
-plain rules. Defined results: a null or empty text has no words and fails the rules; a null language is a language
-of its own; an empty table gives an empty result; repeated rows are judged alike, each on its own row.
+A modified Kneser-Ney model over the bytes of all documents gives every text a log-perplexity, per word and per letter
+byte (A-Z, a-z and the bytes of other scripts). The second is judged: marks, digits and blanks cost bytes but count for
+nothing, so tables and symbols cannot pass for easy prose. Each language has a lower and an upper limit, set apart from
+each other from its own lower and upper tail; a text beyond one is rejected, as is one that fails the plain rules.
+Limits come from different texts, so copies, however many, move none. Defined results: a null or empty text has no words
+and fails the rules; a text of any length is judged whole; a null language is a language of its own; an empty table
+gives an empty result; repeated rows are judged alike, each on its own row; a column of the input that has the name of a
+result, or ``__text_key``, is replaced, all others stay.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +31,8 @@ BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(SYMBOLS[1:-1])] = True
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 SPAN = 8
 
 
@@ -34,13 +41,15 @@ class Rules:
     order: int = 5
     min_words: int = 20
     max_repeat_pct: int = 30
-    spread: float = 7.0  # half-width of a band, in quartile ranges of its language
-    least_spread: float = 0.01  # a quartile range counts as this much at least
-    bins: int = 1000  # log-perplexity is binned to 1/bins when quartiles are taken
+    lower: float = 15.0  # the lower limit, in distances of the first quartile from the median
+    upper: float = 8.0  # the upper limit, in distances of the third quartile from the median
+    least_spread: float = 0.01  # such a distance counts as this much at least
+    bins: int = 10000  # log-perplexity is binned to 1/bins when quartiles are taken
 
 
 COUNTS = [T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-LOG_PPL = T.StructField("log_ppl", T.DoubleType())
+SCORES = [T.StructField("log_ppl", T.DoubleType()), T.StructField("letter_ppl", T.DoubleType())]
+TEXT_KEY = "__text_key"
 
 
 def repeat_words(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -113,7 +122,7 @@ def chunks(docs: DataFrame, text_col: str, rules: Rules) -> Chunks:
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", rules: Rules = Rules(),
            drop: tuple[str, ...] = (), chunked: Chunks | None = None) -> DataFrame:
-    """``docs`` with the rule counts and the log-perplexity per word (end mark included).
+    """``docs`` with the rule counts and the log-perplexity per word and per letter byte (end mark included).
 
     ``chunked`` holds the docs where the model was made of its very grams.
     """
@@ -128,11 +137,16 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", rules: Rules =
             stream, lengths = padded(data, offsets, order - 1)
             total = row_sums(lm.along(stream, order), lengths)
             counts = rule_counts(data, offsets)
-            return [pa.array(x) for x in counts] + [pa.array(-total / np.maximum(counts[0], 1))]
+            letters = row_sums(LETTER[data], np.diff(offsets))
+            body = data.tobytes()
+            keys = [int.from_bytes(blake2b(body[a:b], digest_size=8).digest(), "little", signed=True)
+                    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            return [pa.array(x) for x in counts] + [
+                pa.array(-total / np.maximum(counts[0], 1)), pa.array(-total / np.maximum(letters, 1)), pa.array(keys, pa.int64())]
 
         return step
 
-    return with_values(chunked, values, make, [*COUNTS, LOG_PPL], drop)
+    return with_values(chunked, values, make, [*COUNTS, *SCORES, T.StructField(TEXT_KEY, T.LongType())], drop)
 
 
 def failed(rules: Rules = Rules()):
@@ -140,36 +154,37 @@ def failed(rules: Rules = Rules()):
 
 
 def bands(rows: DataFrame, lang_col: str = "lang", rules: Rules = Rules()) -> DataFrame:
-    """(band_lang, low, high) per language from the texts that pass the plain rules.
+    """(__lang, __null, __low, __high) per language from the different texts that pass the plain rules.
 
     Quartiles come from a histogram per language, so a language of any size is one small group of bins.
     """
-    binned = rows.filter(~failed(rules)).groupBy(
-        F.coalesce(F.col(lang_col), F.lit("")).alias("band_lang"), F.col(lang_col).isNull().alias("band_null"),
-        F.floor(F.col("log_ppl") * rules.bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy("band_lang", "band_null")
+    language = [F.coalesce(F.col(lang_col), F.lit("")).alias("__lang"), F.col(lang_col).isNull().alias("__null")]
+    texts = rows.filter(~failed(rules)).groupBy(*language, TEXT_KEY).agg(F.min("letter_ppl").alias("score"))
+    binned = texts.groupBy("__lang", "__null", F.floor(F.col("score") * rules.bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("__lang", "__null")
     upto = F.sum("n").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
     cum = binned.select("*", upto.alias("upto"), F.sum("n").over(by).alias("all"))
 
     def quartile(q: float):
         return F.min(F.when(F.col("upto") >= q * F.col("all"), (F.col("bin") + 0.5) / rules.bins))
 
-    q = cum.groupBy("band_lang", "band_null").agg(
+    q = cum.groupBy("__lang", "__null").agg(
         quartile(0.25).alias("q1"), quartile(0.5).alias("q2"), quartile(0.75).alias("q3"))
-    width = rules.spread * F.greatest(F.col("q3") - F.col("q1"), F.lit(rules.least_spread))
-    return q.select("band_lang", "band_null", (F.col("q2") - width).alias("low"), (F.col("q2") + width).alias("high"))
+    below, above = (F.greatest(d, F.lit(rules.least_spread)) for d in (F.col("q2") - F.col("q1"), F.col("q3") - F.col("q2")))
+    return q.select("__lang", "__null", (F.col("q2") - rules.lower * below).alias("__low"), (F.col("q2") + rules.upper * above).alias("__high"))
 
 
 def judged(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", rules: Rules = Rules(),
            drop: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with counts, log_ppl, base_failed and kept. A language without a band keeps what passes the rules."""
+    """``docs`` with counts, log_ppl, letter_ppl, base_failed and kept. A language without limits keeps what passes the rules."""
     chunked = chunks(docs, text_col, rules)
     model = trained(chunked.grams(), rules)
     rows = staged(scored(docs, model, text_col, rules, drop, chunked), "perplexity-scores")
     limits = bands(rows, lang_col, rules)
-    made = {"band_lang", "band_null", "low", "high", "base_failed", "kept"}
-    base = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c.lower() not in made])
-    on = (F.coalesce(F.col(lang_col), F.lit("")) == F.col("band_lang")) & (F.col(lang_col).isNull() == F.col("band_null"))
-    out = base.join(limits, on, "left")
-    within = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
-    return out.select(*base.columns, failed(rules).alias("base_failed"), (~failed(rules) & within).alias("kept"))
+    base = [F.col(f"`{c}`") for c in rows.columns if c.lower() not in ("base_failed", "kept", TEXT_KEY)]
+    own = "__limits"
+    while own in rows.columns:
+        own += "_"
+    on = (F.coalesce(F.col(lang_col), F.lit("")) == F.col(f"{own}.__lang")) & (F.col(lang_col).isNull() == F.col(f"{own}.__null"))
+    within = F.coalesce(F.col("letter_ppl").between(F.col(f"{own}.__low"), F.col(f"{own}.__high")), F.lit(True))
+    return rows.join(limits.select(F.struct("*").alias(own)), on, "left").select(*base, failed(rules).alias("base_failed"), (~failed(rules) & within).alias("kept"))

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -94,6 +95,70 @@ def test_rules_and_bands(spark):
     assert perplexity.judged(fixtures.empty(spark)).count() == 0
 
 
+def quartile_limits(scores, rules):
+    """Limits of one language from its different texts: from sorted values, without bins."""
+    s = sorted(scores)
+    q1, q2, q3 = (s[max(1, math.ceil(q * len(s))) - 1] for q in (0.25, 0.5, 0.75))
+    return q2 - rules.lower * max(q2 - q1, rules.least_spread), q2 + rules.upper * max(q3 - q2, rules.least_spread)
+
+
+def judged_by_hand(data, rules):
+    """(doc_id, kept, letter log-perplexity) from plain dictionaries, for rows (doc_id, text, lang)."""
+    order = rules.order
+    streams = [b"\xfe" * (order - 1) + (t or "").encode() + b"\xff" for _, t, _ in data]
+    p = kneser_ney(streams, order)
+    seen, out, texts = {}, [], {}
+    for (doc, text, lang), s in zip(data, streams):
+        if text not in seen:
+            letters = sum(b >= 0x80 or chr(b).isalpha() for b in (text or "").encode())
+            seen[text] = -sum(math.log(p(s[i - order + 1:i + 1])) for i in range(order - 1, len(s))) / max(1, letters)
+        words, _, _, _, repeated = plain_rules(text)
+        bad = words < rules.min_words or 100 * repeated > rules.max_repeat_pct * words
+        if not bad:
+            texts.setdefault(lang, {})[text] = seen[text]
+        out.append((doc, lang, bad, seen[text]))
+    limits = {lang: quartile_limits(v.values(), rules) for lang, v in texts.items()}
+    return [(doc, not bad and limits[lang][0] <= score <= limits[lang][1], score) for doc, lang, bad, score in out]
+
+
+def planted():
+    """(doc_id, text, lang): two languages of plain prose, one text copied often, and junk for either limit."""
+    r = random.Random(5)
+    data = [(i, fixtures.prose(i, 120 + 9 * (i % 30)).replace("1", "e").replace("2", "o"), ["en", "de"][i % 2]) for i in range(120)]
+    copied = fixtures.prose(500, 200)
+    data += [(1000 + i, copied, "en") for i in range(60)]
+    words = sorted({w for _, t, _ in data for w in t.split()})
+    table = " | ".join(r.choice(words) for _ in range(150))
+    noise = "".join(chr(r.randrange(33, 127)) + (" " if r.random() < 0.2 else "") for _ in range(900))
+    # One long word in ever other lengths: no window of eight words comes twice, yet nearly every letter is foreseen.
+    dull = " ".join("holdingcompanyincorporated" * n for n in r.sample(range(1, 60), 40))
+    return data + [(2000, table, "en"), (2001, noise, "de"), (2002, dull, "en"), (2003, "", "en"), (2004, None, None)]
+
+
+def test_both_limits_reject_planted_junk_and_no_prose(spark):
+    data = planted()
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    rules = perplexity.Rules(order=3)
+    got = {r["doc_id"]: r for r in perplexity.judged(docs, rules=rules).collect()}
+    for doc, kept, score in judged_by_hand(data, rules):
+        assert got[doc]["letter_ppl"] == pytest.approx(score, rel=1e-4)
+        assert got[doc]["kept"] == kept, (doc, score)
+    assert [d for d in (2000, 2001, 2002, 2003, 2004) if got[d]["kept"]] == []
+    assert not any(got[d]["base_failed"] for d in (2000, 2001, 2002))
+    assert all(got[i]["kept"] for i in range(120)) and all(got[1000 + i]["kept"] for i in range(60))
+
+
+def test_columns_of_the_input_stay_or_are_replaced_by_results(spark):
+    names = ("__low", "band_lang", "low", "high", "letter_ppl", "kept", "chunk", "gram", "n", "value", "body")
+    docs = spark.createDataFrame([(i, fixtures.prose(i, 60), "en", *["x"] * 11) for i in range(9)],
+                                 "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in names))
+    got = perplexity.judged(docs)
+    assert len(got.columns) == len(set(got.columns))
+    for r in got.collect():
+        assert all(r[c] == "x" for c in names if c not in ("letter_ppl", "kept")) and isinstance(r["letter_ppl"], float)
+        assert r["kept"] is True
+
+
 def test_perplexity_query_over_all_documents(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = QUERIES["op3_ngram_perplexity"](spark, SF).collect()
