@@ -2,11 +2,13 @@
 
 Values of grams reach the texts by joins, not by a broadcast, so a table of values may be of any size. Rows are read
 once and stored in chunks, stretches of one partition: their rows packed and compressed, and their distinct grams. The
-grams are joined with the values, and rows and values of a chunk meet in one task.
+grams are joined with the values, and rows and values of a chunk meet in one task. Chunks are stored in buckets, so only
+the values move to them: the rows are written once and never shuffled.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,8 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from pitchline.llm.common import HashArray, slices, staged, tidy, utf8
+from pitchline.llm.common import HashArray, give_back, slices, tidy, utf8
+from pitchline.session import checkpoint_dir
 
 # Bytes that UTF-8 never uses mark the start and the end of a text.
 START, END = 0xFE, 0xFF
@@ -26,6 +30,8 @@ PENDING = 1 << 22
 # Text bytes of a chunk. A task may have several.
 CHUNK_BYTES = 32 << 20
 CHUNK_STEP = 1_000_003  # more than a table has partitions
+BUCKETS = 50_000  # of stored chunks, at most; a bucket's chunks are taken one after the other
+LEVEL = 6  # of the compression of stored rows
 
 
 def padded(data: np.ndarray, offsets: np.ndarray, front: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,6 +130,20 @@ def chunks(batches: Iterator[pa.RecordBatch], text_at: int, size: int) -> Iterat
             yield int(number[a]) * CHUNK_STEP + partition, batch.slice(a, b - a)
 
 
+def partitions(df: DataFrame) -> int:
+    """How many tasks read the rows."""
+    return df.select().rdd.getNumPartitions()
+
+
+def bucketed(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """``staged`` with the rows of a chunk in one bucket, so that chunks are grouped where they lie."""
+    spark = df.sparkSession
+    name = f"{name}-{uuid.uuid4().hex}"
+    known = name.replace("-", "_")
+    df.write.bucketBy(max(1, min(buckets, BUCKETS)), "chunk").option("path", f"{checkpoint_dir(spark)}/{name}").saveAsTable(known)
+    return spark.table(known)
+
+
 class Chunks:
     """Stored rows: ``pairs`` (chunk, gram, n) has the distinct grams of every chunk, ``bodies`` (chunk, body) its rows.
 
@@ -180,7 +200,7 @@ class Chunks:
                         if sum(map(len, waiting[known])) > PENDING:
                             keys, counts = settled()
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as out:
                     out.write_batch(batch)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([chunk], pa.int64()), *[pa.nulls(1, pa.int64())] * 2, pa.array([sink.getvalue().to_pybytes()], pa.binary())],
@@ -189,7 +209,7 @@ class Chunks:
                 keys, counts = settled()
                 yield from listed()
 
-        table = staged(df.mapInArrow(tidy(run), "chunk long, gram long, n long, body binary"), name)
+        table = bucketed(df.mapInArrow(tidy(run), "chunk long, gram long, n long, body binary"), name, 8 * partitions(df))
         self.pairs = table.filter("body is null").select("chunk", "gram", "n")
         self.bodies = table.filter("body is not null").select("chunk", "body")
 
@@ -226,34 +246,20 @@ def with_values(chunked: Chunks, values: DataFrame, make: Callable[[], Callable[
     kept = [i for i, f in enumerate(chunked.schema.fields) if f.name.lower() not in taken and f.name not in drop]
     schema = T.StructType([chunked.schema.fields[i] for i in kept] + fields)
     names, text_at = schema.names, chunked.columns.index(chunked.text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step, now, grams, numbers, found = make(), None, [], [], None
-        for batch in batches:
-            chunk, text = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero((np.diff(chunk) != 0) | (np.diff(text.astype(np.int8)) != 0)) + 1
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(chunk)]):
-                if a == b:
-                    continue
-                if chunk[a] != now:
-                    now, grams, numbers, found = chunk[a], [], [], None
-                if not text[a]:
-                    grams.append(batch.column(2).slice(a, b - a).to_numpy().copy())
-                    numbers.append(batch.column(3).slice(a, b - a).to_numpy().copy())
-                    continue
-                if found is None:
-                    found = Values(grams, numbers)
-                    grams, numbers = [], []
-                for body in batch.column(4).slice(a, b - a):
-                    for part in pa.ipc.open_stream(body.as_buffer()):
-                        yield pa.RecordBatch.from_arrays([part.column(i) for i in kept] + step(part.column(text_at), found), names=names)
-
-    parts = max(1, chunked.bodies.select("chunk").distinct().count())
-    valued = chunked.pairs.select("chunk", "gram").join(values, "gram").select(
-        "chunk", F.lit(False).alias("text"), "gram", F.col("value").cast("float").alias("value"), F.lit(None).cast("binary").alias("body"))
-    texts = chunked.bodies.select("chunk", F.lit(True).alias("text"), F.lit(0).cast("long").alias("gram"), F.lit(0.0).cast("float").alias("value"), "body")
-    met = valued.unionByName(texts).repartitionById(parts, F.pmod("chunk", F.lit(parts)).cast("int"))
-    return met.sortWithinPartitions("chunk", "text").mapInArrow(tidy(run), schema)
+    arrow = to_arrow_schema(schema)
+
+    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
+        step, out = make(), []
+        if rows.num_rows:
+            found = Values([known.column("gram").to_numpy()], [known.column("value").to_numpy()])
+            for body in (x for part in rows.column("body").chunks for x in part):
+                for part in pa.ipc.open_stream(body.as_buffer()):
+                    out.append(pa.RecordBatch.from_arrays([part.column(i) for i in kept] + step(part.column(text_at), found), names=names))
+        give_back()
+        return pa.Table.from_batches(out).cast(arrow) if out else arrow.empty_table()
+
+    valued = chunked.pairs.join(values, "gram").select(F.col("chunk").alias("at"), "gram", F.col("value").cast("float").alias("value"))
+    return chunked.bodies.groupBy("chunk").cogroup(valued.groupBy("at")).applyInArrow(run, schema)
 
 
 def suffix(gram, size: int):
