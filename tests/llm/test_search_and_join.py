@@ -135,3 +135,40 @@ def test_search_asks_the_least_of_several_texts_under_one_id(spark):
         found.append([(r["rank"], r["doc_id"], r["score"]) for r in rows])
     one = bm25_search.search_all(docs, spark.createDataFrame([(200, least)], "doc_id long, text string")).orderBy("rank", "doc_id").collect()
     assert found[0] == found[1] == [(r["rank"], r["doc_id"], r["score"]) for r in one]
+
+
+def test_rounds_of_components_take_about_an_edge_a_node(spark, monkeypatch):
+    """Texts of one group meet another least text in each band; the rows of a round must not grow with the bands."""
+    nodes, hubs = 400, 30
+    edges = [(1000 + i, h) for i in range(nodes) for h in range(i % 7, hubs, 7)] + [(h, h) for h in range(hubs)]
+    edges += [(1000 + i, 7 + i % 2) for i in range(nodes)] + [(5001, 5000), (5002, 5001)]
+    sizes = []
+
+    def staged(df, name):
+        out = ngram_join_staged(df, name)
+        sizes.append(out.count())
+        return out
+
+    ngram_join_staged = ngram_join.staged
+    monkeypatch.setattr(ngram_join, "staged", staged)
+    labels = {r["node"]: r["label"] for r in ngram_join.components(spark.createDataFrame(edges, "node long, other long"), "test").collect()}
+    want = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in range(10):
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    assert labels == want
+    assert max(sizes[1:]) <= 2 * (nodes + 2 * hubs)
+
+
+def test_a_pair_of_tiles_connects_only_what_the_tiles_do_not():
+    import pyarrow as pa
+
+    n = 40
+    part = pa.table({"__key": pa.array(range(100, 100 + n)), "copies": pa.array([1 + i % 2 for i in range(n)]), "tile": pa.array([i % 2 for i in range(n)], pa.int32()),
+                     "__grams": pa.array([list(range(20))] * (n - 2) + [list(range(50, 60))] * 2)})
+    rows = ngram_join.verified(part, 0.8).to_pylist()
+    assert [(r["__key"], r["label"]) for r in rows if r["label"] != r["__key"]] == [(101, 100), (139, 138)]
+    assert rows[0]["links"] == sum(1 + i % 2 for i in range(1, n - 2, 2)) and rows[-1]["links"] == 1
+    one = ngram_join.verified(part.filter(pa.compute.equal(part["tile"], 0)), 0.8).to_pylist()
+    assert {r["label"] for r in one} == {100, 138}
