@@ -172,3 +172,12 @@ def test_a_pair_of_tiles_connects_only_what_the_tiles_do_not():
     assert rows[0]["links"] == sum(1 + i % 2 for i in range(1, n - 2, 2)) and rows[-1]["links"] == 1
     one = ngram_join.verified(part.filter(pa.compute.equal(part["tile"], 0)), 0.8).to_pylist()
     assert {r["label"] for r in one} == {100, 138}
+
+
+def test_lists_of_a_tenth_of_a_shard_are_walked(spark):
+    """A list that misses few blocks bounds nothing, so that most documents would be scored in full."""
+    data = [(i, f"all mid{i % 10} " + fixtures.prose(i, 5, 2000)) for i in range(640)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    batch = bm25_search.index(docs, "doc_id", "text", bm25_search.Search()).toArrow().combine_chunks().to_batches()[0]
+    shard = bm25_search.Shard(batch, 0, 7.0, bm25_search.Search())
+    assert (shard.sizes[shard.common] * 4 >= 640).all() and len(shard.common) >= 1
