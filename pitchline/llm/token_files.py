@@ -16,7 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pitchline.llm.common import ragged, slices
+from pitchline.llm.common import ragged, slices, tidy
 
 MAGIC = b"PFR1"
 BLOCK = 512
+RUN = 1000  # pieces of one text for the tokenizer
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,7 @@ class Format:
     percentile: float = 0.95  # share of a block's values that its width must hold
     shard_bytes: int = 64 << 20  # text of a shard, about: the larger, the more often a task meets a piece again
     segment: int = 1 << 18  # ids after which a segment closes at the next document end
-    cached: int = 500_000  # distinct text pieces whose ids a task remembers
+    cached: int = 200_000  # distinct text pieces whose ids a task remembers
 
 
 def widths(deltas: np.ndarray, percentile: float) -> np.ndarray:
@@ -107,6 +108,8 @@ def unpack(payload: bytes) -> np.ndarray:
 
 # An A-Z before one of these would be put together differently once it is in lower case.
 ACCENTED = re.compile("[A-Z][\u0300-\u036f]")
+# A word of letters and perhaps one of marks behind it; the tokenizer never makes fewer words of these.
+SIMPLE = re.compile(r"[^\W\d_]+([!#$%&*+,./:;=?@~]*)")
 
 
 def plain(text: str) -> str:
@@ -124,9 +127,12 @@ def plain(text: str) -> str:
 class Pieces(dict):
     """Numbers for text pieces; new ones wait until the tokenizer has given their ids."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, last: np.ndarray | None = None):
         super().__init__()
         self.tokenizer = tokenizer
+        if last is None:
+            last = self.word_ends(tokenizer)
+        self.last = last
         self.waiting: list[tuple[int, str]] = []  # for the tokenizer
         self.joined: list[tuple[int, int, int]] = []  # number, and the two numbers whose ids it has
         self.ids = np.zeros(1 << 16, np.uint32)
@@ -134,6 +140,28 @@ class Pieces(dict):
         self.starts = np.zeros(1 << 16, np.int64)
         self.sizes = np.zeros(1 << 16, np.int64)
 
+    @staticmethod
+    def word_ends(tokenizer) -> np.ndarray:
+        """Of each id: whether a word ends with it; empty if the tokenizer does not tell."""
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        if not suffix:
+            return np.zeros(0, bool)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        last = np.zeros(max(vocabulary.values()) + 1, bool)
+        last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        return last
+
+    def trimmed(self, most: int) -> Pieces:
+        """Itself up to ``most`` pieces; beyond, the first half of them, since what is frequent is met early."""
+        if len(self) <= most:
+            return self
+        out, n = Pieces(self.tokenizer, self.last), most // 2
+        out.update(islice(self.items(), n))
+        out.ids, out.end = self.ids[ragged(self.starts[:n], self.sizes[:n])], int(self.sizes[:n].sum())
+        out.sizes = self.sizes[:n].copy()
+        out.starts = np.cumsum(out.sizes) - out.sizes
+        return out
+
     def __missing__(self, piece: str) -> int:
         if len(piece) > 1 and piece[-1] in ".,!?;:" and "a" <= piece[-2] <= "z":
             # A mark after a letter is a token of its own.
@@ -153,18 +181,34 @@ class Pieces(dict):
         self.end += len(flat)
 
     def settle(self) -> None:
-        """Give all new pieces their ids."""
+        """Give all new pieces their ids.
+
+        Most pieces are one or two words, so many go to the tokenizer as one text, whose word ends part them again.
+        """
         if len(self) > len(self.starts):
             more = np.zeros(len(self), np.int64)
             self.starts, self.sizes = np.concatenate([self.starts, more]), np.concatenate([self.sizes, more])
-        fresh = []
-        for a in range(0, len(self.waiting), 10_000):  # an encoding is large until its ids are taken
-            part = [piece for _, piece in self.waiting[a:a + 10_000]]
-            fresh += [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
-        flat = np.fromiter(chain.from_iterable(fresh), np.uint32, int(sizes.sum()))
-        numbers = np.fromiter((n for n, _ in self.waiting), np.int64, len(fresh))
-        self._place(numbers, sizes, flat)
+        simple, others = [], []
+        for number, piece in self.waiting:
+            found = SIMPLE.fullmatch(piece) if len(self.last) else None
+            if found:
+                simple.append((number, piece, 2 if found[1] else 1))
+            else:
+                others.append((number, piece))
+        for a in range(0, len(simple), RUN):
+            number, part, made = zip(*simple[a:a + RUN])
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends, words = np.flatnonzero(self.last[ids]) + 1, np.cumsum(made)
+            if len(ends) == words[-1] and ends[-1] == len(ids):
+                self._place(np.array(number, np.int64), np.diff(ends[words - 1], prepend=0), ids)
+            else:
+                others += zip(number, part)
+        for a in range(0, len(others), 2_000):  # an encoding is large until its ids are taken
+            part = others[a:a + 2_000]
+            fresh = [e.ids for e in self.tokenizer.encode_batch_fast([p for _, p in part], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
+            flat = np.fromiter(chain.from_iterable(fresh), np.uint32, int(sizes.sum()))
+            self._place(np.fromiter((n for n, _ in part), np.int64, len(part)), sizes, flat)
         if self.joined:
             number, left, right = np.array(self.joined, np.int64).T
             sizes = self.sizes[left] + self.sizes[right]
@@ -221,8 +265,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, id_c
             return out
 
         for batch in (part for whole in batches for part in slices(whole, 1)):
-            if len(pieces) > form.cached:
-                pieces = Pieces(tokenizer)
+            pieces = pieces.trimmed(form.cached)
             tokens, counts = pieces.encode(batch.column(1).to_pylist())
             ends = np.cumsum(counts + 1)
             body = np.full(int(ends[-1]) if len(ends) else 0, end_id, np.uint32)
@@ -244,7 +287,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, id_c
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     ordered = rows.repartitionByRange(size // form.shard_bytes + 1, "doc_id").sortWithinPartitions("doc_id", "text")
     schema = "shard int, segment int, first long, n long, doc_ids array<long>, sizes array<long>, payload binary"
-    ordered.mapInArrow(run, schema).write.parquet(path)
+    ordered.mapInArrow(tidy(run), schema).write.parquet(path)
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
@@ -284,4 +327,4 @@ def _decoded(files: DataFrame, column: str, of, collect) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", name])
 
     return files.select("doc_ids", "sizes", "payload", "start").mapInArrow(
-        run, f"doc_id long, start long, n_tokens long, {column}")
+        tidy(run), f"doc_id long, start long, n_tokens long, {column}")

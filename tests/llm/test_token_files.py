@@ -71,3 +71,44 @@ def test_query_matches_the_tokenizer_document_by_document(spark):
     got = sorted(tuple(r)[:4] for r in QUERIES["op1_pfor_token_files"](spark, sf).collect())
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     assert got == expected([tuple(r) for r in docs])
+
+
+class Counting:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self):
+        from tokenizers import Tokenizer
+
+        self.inner, self.texts = Tokenizer.from_file(FILE), 0
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += len(texts)
+        return self.inner.encode_batch_fast(texts, **how)
+
+
+def test_new_words_go_to_the_tokenizer_together():
+    tokenizer = Counting()
+    texts = [" ".join(f"{a}{b}{c}" + ("$$$" if c == "é" else "") for a in "abxyé" for b in "nmop" for c in "stué") + " İx it's 12 日本 ,"]
+    pieces = token_files.Pieces(tokenizer)
+    ids, counts = pieces.encode(texts)
+    assert ids.tolist() == tokenizer.inner.encode(texts[0], add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+    many = token_files.Pieces(tokenizer)
+    tokenizer.texts = 0
+    plain = " ".join(f"{a}{b}{c}{d}" for a in "abxy" for b in "nmop" for c in "stué" for d in "aeio")
+    assert many.encode([plain])[0].tolist() == tokenizer.inner.encode(plain, add_special_tokens=False).ids
+    assert tokenizer.texts == 1
+
+
+def test_a_trimmed_table_keeps_the_early_pieces():
+    tokenizer = Counting()
+    pieces = token_files.Pieces(tokenizer)
+    first = pieces.encode(["the, cat it's on ünder mats"])[0]
+    pieces.encode([" ".join(f"word{k}" for k in range(50))])
+    small = pieces.trimmed(20)
+    assert len(small) == 10
+    tokenizer.texts = 0
+    assert small.encode(["the, cat it's on ünder mats"])[0].tolist() == first.tolist() and tokenizer.texts == 0
+    assert pieces.trimmed(1000) is pieces
