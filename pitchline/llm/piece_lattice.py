@@ -5,7 +5,7 @@ for each character without a piece, which becomes its bytes. A forward Viterbi p
 from the start; these are exact heuristics for a backward A-star search, which pops the N best segmentations in order.
 
 No piece crosses a word start (or a line end, where no piece holds one), so the lattice is a chain of small lattices.
-Each distinct word is passed through once per task. An alternative segmentation differs from the best in some words;
+Each distinct word is passed through once per task, the new ones of a part side by side. An alternative segmentation differs from the best in some words;
 the N - 1 words whose second-best way is closest include all that the N best can differ in, so the search runs over the
 chain of these words and the others keep their best pieces.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
 
@@ -33,6 +34,9 @@ from pitchline.llm.common import appended, ragged, utf8
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # a character without a piece scores this much below the lowest piece, as in the library
 
+CLASSES = 128  # characters that the table of piece starts tells apart, but for one
+LONGEST = 32  # characters of a word that is passed through beside others
+
 PART = 1 << 18  # bytes of text taken at once; words and ids of a part need some forty times as much
 
 
@@ -63,6 +67,7 @@ class Vocabulary:
         self.pieces.update({names[i]: (scores[i], i) for i in normal})
         self.joined = {pair for i in normal for pair in zip(names[i], names[i][1:])}
         self.line_end = not any("\n" in names[i] for i in normal)
+        self._table()
         raw = [names[i].replace(MARK, " ").encode() if i in scores else b"" for i in range(self.size)]
         for value, i in enumerate(self.byte):
             raw[int(i)] = bytes([value])
@@ -70,6 +75,26 @@ class Vocabulary:
         self.raw_sizes = np.fromiter(map(len, raw), np.int64, self.size)
         self.raw_starts = np.cumsum(self.raw_sizes) - self.raw_sizes
 
+    def _table(self) -> None:
+        """The starts of pieces as a table: by start and class of the next character, the longer start (0: none)."""
+        often = [c for c, _ in Counter(c for p in self.pieces for c in p).most_common(CLASSES - 1)]
+        self.classes = np.zeros(0x110000, np.uint8)  # 0: in no piece
+        self.classes[[ord(c) for c in {c for p in self.pieces for c in p}]] = CLASSES  # in few
+        self.classes[[ord(c) for c in often]] = np.arange(1, CLASSES)
+        inner = {p[:-1] for p in self.pieces} - {""}
+        numbers = {"": 1} | {p: k for k, p in enumerate(sorted(inner), 2)}
+        self.leaves = len(numbers) + 1
+        for p in self.pieces:
+            numbers.setdefault(p, len(numbers) + 1)
+        self.longer = np.zeros((self.leaves, CLASSES), np.int32)
+        self.scores = np.full(len(numbers) + 1, -np.inf)
+        self.numbers = np.full(len(numbers) + 1, -1, np.int32)
+        for p, found in self.pieces.items():
+            if (c := self.classes[ord(p[-1])]) < CLASSES:
+                self.longer[numbers[p[:-1]], c] = numbers[p]
+            if found is not None:
+                self.scores[numbers[p]], self.numbers[numbers[p]] = found
+
     def words(self, text: str) -> list[str]:
         """The parts of a text that no piece crosses: a run of marks and what follows it, and line ends."""
         marked = MARK + text.replace(" ", MARK)
@@ -149,6 +174,78 @@ class Vocabulary:
             at = start
         return self.ids(word, path[::-1]), score[n], gap
 
+    def best_of_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``best`` of many words side by side: ids end to end, counts, scores, gaps; and the words left out.
+
+        Left out (count 0) are long words, and those with characters that are rare or have no piece.
+        """
+        n = len(words)
+        counts, scores, gaps = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        sizes = np.fromiter(map(len, words), np.int64, n)
+        kinds = self.classes[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        first = np.cumsum(sizes) - sizes
+        fit = sizes <= LONGEST
+        fit[np.repeat(np.arange(n), sizes)[(kinds == CLASSES) | (kinds == 0)]] = False
+        taken = np.flatnonzero(fit)
+        taken = taken[np.argsort(-sizes[taken], kind="stable")]  # the words that reach a place come first
+        sizes = sizes[taken]
+        m, longest = len(taken), int(sizes[0]) if len(taken) else 0
+        reach = np.searchsorted(-sizes, -np.arange(longest + 1), side="left")  # words with more characters than that
+        grid = np.zeros((longest, m), np.uint8)
+        place = np.repeat(np.arange(m), sizes)
+        depth = np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        grid[depth, place] = kinds[first[taken][place] + depth]
+        score, second = np.full((longest + 1, m), -np.inf), np.full((longest + 1, m), -np.inf)
+        score[:1] = 0
+        behind, piece = np.zeros((longest + 1, m), np.int32), np.zeros((longest + 1, m), np.int32)
+
+        def enter(b: int, at: np.ndarray, a: int, value: np.ndarray, number: np.ndarray | int) -> None:
+            had = score[b, at]
+            better = value > had
+            second[b, at] = np.where(better, had, np.maximum(second[b, at], value))
+            score[b, at] = np.where(better, value, had)
+            behind[b, at] = np.where(better, a, behind[b, at])
+            piece[b, at] = np.where(better, number, piece[b, at])
+
+        for a in range(longest):
+            at = np.arange(reach[a])
+            alone = np.zeros(len(at), bool)
+            state = self.longer[1, grid[a, :len(at)]]
+            for b in range(a + 1, longest + 1):
+                if b > a + 1:
+                    go = (state < self.leaves) & (at < reach[b - 1])
+                    at, state = at[go], state[go]
+                    state = self.longer[state, grid[b - 1, at]]
+                go = state > 0
+                at, state = at[go], state[go]
+                if not len(at):
+                    break
+                value = self.scores[state]
+                ends = value > -np.inf
+                if b == a + 1:
+                    alone[at[ends]] = True
+                enter(b, at[ends], a, score[a, at[ends]] + value[ends], self.numbers[state[ends]])
+            at = np.flatnonzero(~alone)
+            enter(a + 1, at, a, score[a, at] + self.unknown, -1)
+        steps = np.full((longest, m), -2, np.int32)  # filled from the back
+        at, gap, rows = sizes.copy(), np.full(m, np.inf), np.arange(m)
+        total = score[sizes, rows] if m else np.zeros(0)
+        for k in range(longest - 1, -1, -1):
+            rows = rows[at[rows] > 0]
+            here = at[rows]
+            gap[rows] = np.minimum(gap[rows], score[here, rows] - second[here, rows])
+            steps[k, rows] = piece[here, rows]
+            at[rows] = behind[here, rows]
+        known = ~(steps == -1).any(axis=0)
+        used = steps.T[known]
+        taken = taken[known]
+        made = (used >= 0).sum(axis=1)
+        flat = used[used >= 0]
+        counts[taken], scores[taken], gaps[taken] = made, total[known], gap[known]
+        starts = np.zeros(n, np.int64)
+        starts[taken] = np.cumsum(made) - made
+        return flat[ragged(starts, counts)], counts, scores, gaps, np.flatnonzero(counts == 0)
+
     def search(self, words: list[str], most: int) -> list[tuple[float, list[list[int]]]]:
         """The ``most`` best segmentations of words in a row: (score, ids of each word), best first, by A-star."""
         lattices = [self.lattice(w) for w in words]
@@ -177,43 +274,52 @@ class Vocabulary:
 
 
 class Words(dict):
-    """Numbers for words; by number their best ids (one flat array), scores and gaps."""
+    """Numbers for words; by number their best ids (one flat array), scores and gaps. New words wait for ``settle``."""
 
     def __init__(self, vocabulary: Vocabulary, search: Search):
         super().__init__()
         self.vocabulary, self.search = vocabulary, search
-        self.lists: list[tuple[int, ...]] = []
-        self.settled = 0
-        self.scores: list[float] = []
-        self.gaps: list[float] = []
+        self.waiting: list[str] = []
+        self.parts: dict[str, tuple[list[int], float, float]] = {}
+        self.scores, self.gaps = np.zeros(0), np.zeros(0)
         self.flat = np.zeros(0, np.int32)
         self.starts = np.zeros(1, np.int64)
         self.characters = 0
 
     def __missing__(self, word: str) -> int:
-        parts = self.vocabulary.cuts(word)
-        if len(parts) == 1:
-            ids, score, gap = self.vocabulary.best(word)
-        else:
-            numbers = [self[part] for part in parts]
-            ids = chain.from_iterable(self.lists[k] for k in numbers)
-            score, gap = sum(self.scores[k] for k in numbers), min(self.gaps[k] for k in numbers)
         number = self[word] = len(self)
-        self.lists.append(tuple(ids))
-        self.scores.append(score)
-        self.gaps.append(gap)
+        self.waiting.append(word)
         self.characters += len(word)
         return number
 
+    def alone(self, word: str) -> tuple[list[int], float, float]:
+        """Best ids, score and gap of one word, put together from its parts'."""
+        ids, score, gap = [], 0.0, np.inf
+        for part in self.vocabulary.cuts(word):
+            if part not in self.parts:
+                self.parts[part] = self.vocabulary.best(part)
+                self.characters += len(part)
+            more, value, behind = self.parts[part]
+            ids += more
+            score, gap = score + value, min(gap, behind)
+        return ids, score, gap
+
     def settle(self) -> tuple[np.ndarray, np.ndarray]:
         """Scores and gaps by number; new ids join the flat array."""
-        fresh = self.lists[self.settled:]
-        self.settled = len(self.lists)
-        sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
-        more = np.fromiter(chain.from_iterable(fresh), np.int32, int(sizes.sum()))
-        self.flat = np.concatenate([self.flat, more])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        return np.array(self.scores), np.array(self.gaps)
+        if self.waiting:
+            flat, counts, scores, gaps, left = self.vocabulary.best_of_all(self.waiting)
+            if len(left):
+                found = [self.alone(self.waiting[k]) for k in left.tolist()]
+                starts = np.cumsum(counts) - counts
+                scores[left], gaps[left] = [s for _, s, _ in found], [g for _, _, g in found]
+                lists = [np.array(ids, np.int32) for ids, _, _ in found]
+                flat = np.insert(flat, np.repeat(starts[left], [len(x) for x in lists]), np.concatenate(lists))
+                counts[left] = [len(x) for x in lists]
+            self.scores, self.gaps = np.concatenate([self.scores, scores]), np.concatenate([self.gaps, gaps])
+            self.flat = np.concatenate([self.flat, flat])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+            self.waiting.clear()
+        return self.scores, self.gaps
 
     def trimmed(self) -> Words:
         return Words(self.vocabulary, self.search) if self.characters > self.search.cached_characters else self

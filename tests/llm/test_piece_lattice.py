@@ -79,3 +79,26 @@ def test_query_takes_the_best_way(spark, library):
         assert r["best_scores"][0] == pytest.approx(sum(vocabulary.best(w)[1] for w in words))
         assert r["best_scores"] == sorted(r["best_scores"], reverse=True)
     assert len(library.encode(texts[0])) == len(rows[[r["doc_id"] for r in rows].index(0)]["ids"])
+
+
+WORDS = ["▁the", "▁Schadenfreude", "\n", "▁", "▁▁▁", "x" * 3000, "▁日本語テスト", "▁odd\x00", "aaaaaaa", "▁über,", "✓", "▁" + "therein" * 9]
+
+
+def test_words_side_by_side_are_as_each_alone(vocabulary):
+    import random
+
+    r = random.Random(3)
+    made = WORDS + ["▁" + "".join(r.choice("abcdetionsüßñ日ε✓#1.▁") for _ in range(r.randint(0, 40))) for _ in range(500)]
+    words = piece_lattice.Words(vocabulary, piece_lattice.Search())
+    for part in (made[:200], made[150:]):  # some of the second part are known
+        numbers = [words[w] for w in part]
+        scores, gaps = words.settle()
+        got = [(words.flat[words.starts[k]:words.starts[k + 1]].tolist(), scores[k], gaps[k]) for k in numbers]
+        assert got == [vocabulary.best(w) for w in part]
+
+
+def test_common_words_are_not_passed_through_one_by_one(vocabulary, monkeypatch):
+    monkeypatch.setattr(piece_lattice.Vocabulary, "best", None)
+    words = piece_lattice.Words(vocabulary, piece_lattice.Search())
+    numbers = [words[w] for w in vocabulary.words("Hello world, it is a café in Zürich.")]
+    assert len(words.settle()[0]) == len(set(numbers))
