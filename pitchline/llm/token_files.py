@@ -16,16 +16,17 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, islice
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pitchline.llm.common import ragged, slices, tidy
+from pitchline.llm.common import ragged, row_sums, slices, tidy, utf8
 
 MAGIC = b"PFR1"
 BLOCK = 512
@@ -37,7 +38,7 @@ class Format:
     percentile: float = 0.95  # share of a block's values that its width must hold
     shard_bytes: int = 64 << 20  # text of a shard, about: the larger, the more often a task meets a piece again
     segment: int = 1 << 18  # ids after which a segment closes at the next document end
-    cached: int = 200_000  # distinct text pieces whose ids a task remembers
+    cached: int = 400_000  # distinct text pieces whose ids a task remembers
 
 
 def widths(deltas: np.ndarray, percentile: float) -> np.ndarray:
@@ -108,8 +109,11 @@ def unpack(payload: bytes) -> np.ndarray:
 
 # An A-Z before one of these would be put together differently once it is in lower case.
 ACCENTED = re.compile("[A-Z][\u0300-\u036f]")
+MARKS = "!#$%&*+,./:;=?@~"
+# No token spans one of these letters or digits and a mark behind it.
+BEHIND = f"([a-z0-9ß-öø-ÿ])([{MARKS}])"
 # A word of letters and perhaps one of marks behind it; the tokenizer never makes fewer words of these.
-SIMPLE = re.compile(r"[^\W\d_]+([!#$%&*+,./:;=?@~]*)")
+SIMPLE = re.compile(rf"[^\W\d_]+([{MARKS}]*)")
 
 
 def plain(text: str) -> str:
@@ -134,11 +138,11 @@ class Pieces(dict):
             last = self.word_ends(tokenizer)
         self.last = last
         self.waiting: list[tuple[int, str]] = []  # for the tokenizer
-        self.joined: list[tuple[int, int, int]] = []  # number, and the two numbers whose ids it has
         self.ids = np.zeros(1 << 16, np.uint32)
         self.end = 0
         self.starts = np.zeros(1 << 16, np.int64)
         self.sizes = np.zeros(1 << 16, np.int64)
+        self.uses = np.zeros(1 << 16, np.int64)
 
     @staticmethod
     def word_ends(tokenizer) -> np.ndarray:
@@ -152,25 +156,22 @@ class Pieces(dict):
         return last
 
     def trimmed(self, most: int) -> Pieces:
-        """Itself up to ``most`` pieces; beyond, the first half of them, since what is frequent is met early."""
+        """Itself up to ``most`` pieces; beyond, half as many: those used most often, of equal ones those met first."""
         if len(self) <= most:
             return self
-        out, n = Pieces(self.tokenizer, self.last), most // 2
-        out.update(islice(self.items(), n))
-        out.ids, out.end = self.ids[ragged(self.starts[:n], self.sizes[:n])], int(self.sizes[:n].sum())
-        out.sizes = self.sizes[:n].copy()
+        out = Pieces(self.tokenizer, self.last)
+        kept = np.sort(np.argsort(-self.uses[:len(self)], kind="stable")[:most // 2])
+        stays = np.zeros(len(self), bool)
+        stays[kept] = True
+        out.update(zip(compress(self, stays.tolist()), range(len(kept))))  # a piece's number is its place
+        out.ids, out.end = self.ids[ragged(self.starts[kept], self.sizes[kept])], int(self.sizes[kept].sum())
+        out.sizes, out.uses = self.sizes[kept], self.uses[kept]
         out.starts = np.cumsum(out.sizes) - out.sizes
         return out
 
     def __missing__(self, piece: str) -> int:
-        if len(piece) > 1 and piece[-1] in ".,!?;:" and "a" <= piece[-2] <= "z":
-            # A mark after a letter is a token of its own.
-            parts = self[piece[:-1]], self[piece[-1]]
-            number = self[piece] = len(self)
-            self.joined.append((number, *parts))
-        else:
-            number = self[piece] = len(self)
-            self.waiting.append((number, piece))
+        number = self[piece] = len(self)
+        self.waiting.append((number, piece))
         return number
 
     def _place(self, numbers: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
@@ -187,11 +188,14 @@ class Pieces(dict):
         """
         if len(self) > len(self.starts):
             more = np.zeros(len(self), np.int64)
-            self.starts, self.sizes = np.concatenate([self.starts, more]), np.concatenate([self.sizes, more])
+            self.starts, self.sizes, self.uses = (np.concatenate([x, more]) for x in (self.starts, self.sizes, self.uses))
         simple, others = [], []
         for number, piece in self.waiting:
-            found = SIMPLE.fullmatch(piece) if len(self.last) else None
-            if found:
+            if not len(self.last):
+                others.append((number, piece))
+            elif piece.isalpha():
+                simple.append((number, piece, 1))
+            elif found := SIMPLE.fullmatch(piece):
                 simple.append((number, piece, 2 if found[1] else 1))
             else:
                 others.append((number, piece))
@@ -209,31 +213,28 @@ class Pieces(dict):
             sizes = np.fromiter(map(len, fresh), np.int64, len(fresh))
             flat = np.fromiter(chain.from_iterable(fresh), np.uint32, int(sizes.sum()))
             self._place(np.fromiter((n for n, _ in part), np.int64, len(part)), sizes, flat)
-        if self.joined:
-            number, left, right = np.array(self.joined, np.int64).T
-            sizes = self.sizes[left] + self.sizes[right]
-            pair = np.stack([left, right], axis=1).reshape(-1)
-            self._place(number, sizes, self.ids[ragged(self.starts[pair], self.sizes[pair])])
         self.waiting.clear()
-        self.joined.clear()
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and each text's count.
 
-        No token spans white space, so a text's ids are those of its pieces between blanks and line ends.
+        No token spans white space, so a text's ids are those of its pieces between blanks, line ends and before marks.
         """
-        get = self.__getitem__
-        numbers, counts = [], []
-        for text in texts:
-            pieces = plain(text).replace("\n", " ").split(" ") if text else []
-            numbers.append(np.fromiter(map(get, pieces), np.int32, len(pieces)))
-            counts.append(len(pieces))
+        cut = pc.replace_substring_regex(pa.array([plain(text).replace("\n", " ") if text else None for text in texts], pa.large_string()),
+                                         BEHIND, r"\1 \2")
+        counts = pc.fill_null(pc.add(pc.count_substring(cut, " "), 1), 0).to_numpy()
+        if not counts.any():
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        found = pc.split_pattern(cut, " ").flatten().dictionary_encode()
+        data, offsets = utf8(found.dictionary)
+        different = np.insert(data, offsets[1:-1], ord(" ")).tobytes().decode().split(" ")  # a list, as pieces have no blanks
+        numbers = np.fromiter(map(self.__getitem__, different), np.int64, len(different))
         self.settle()
-        number = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
+        which = found.indices.to_numpy()
+        self.uses[numbers] += np.bincount(which, minlength=len(numbers))
+        number = numbers[which]
         length = self.sizes[number]
-        per_text = np.add.reduceat(np.append(length, 0), np.cumsum([0, *counts[:-1]])) if counts else np.zeros(0, np.int64)
-        per_text[np.array(counts, np.int64) == 0] = 0
-        return self.ids[ragged(self.starts[number], length)], per_text
+        return self.ids[ragged(self.starts[number], length)], row_sums(length, counts).astype(np.int64)
 
 
 def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, id_col: str = "doc_id",

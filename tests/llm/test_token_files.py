@@ -112,3 +112,27 @@ def test_a_trimmed_table_keeps_the_early_pieces():
     tokenizer.texts = 0
     assert small.encode(["the, cat it's on ünder mats"])[0].tolist() == first.tolist() and tokenizer.texts == 0
     assert pieces.trimmed(1000) is pieces
+
+
+def test_marks_are_parted_from_words():
+    tokenizer = Counting()
+    pieces = token_files.Pieces(tokenizer)
+    marked = "haus&&& haus.*** haus,### haus! Haus? größe&&& größe.*** größe 12&&& 12.***"
+    assert pieces.encode([marked])[0].tolist() == tokenizer.inner.encode(marked, add_special_tokens=False).ids
+    assert {"haus", "größe", "12", "&&&", ".***"} <= set(pieces) and not any(p[:1].isalnum() and not p.isalnum() for p in pieces)
+    odd = ["İ, x İ. a.b,c 1,2.3 it's, we'll. <|endoftext|>, A̧, e,̈x ≠ a≠ ÷, x÷. ², ½. Ⅷ, ŉ! ªº. ñ@ß#",
+           None, "", " ", "a,", ",a", "\n.\n", "ö, Ö. ÿ, Ÿ. ĳ, Σ, ς.", "日本, 日. ✓, ,"]
+    ids, counts = pieces.encode(odd)
+    wanted = [tokenizer.inner.encode(t or "", add_special_tokens=False).ids for t in odd]
+    assert counts.tolist() == [len(w) for w in wanted] and ids.tolist() == [i for w in wanted for i in w]
+
+
+def test_a_trimmed_table_keeps_the_pieces_used_most():
+    pieces = token_files.Pieces(Counting())
+    pieces.encode([" ".join(f"early{k}" for k in range(30))])
+    late = pieces.encode(["later words later words"])[0]
+    small = pieces.trimmed(20)
+    assert len(small) == 10 and {"later", "words"} <= set(small)
+    tokens = small.tokenizer.texts
+    assert small.encode(["later words later words"])[0].tolist() == late.tolist() and small.tokenizer.texts == tokens
+    assert all(small.encode([p])[0].tolist() == small.tokenizer.inner.encode(p, add_special_tokens=False).ids for p in small)
