@@ -9,20 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchline.llm import mixing, ngram_join, perplexity, piece_lattice, toxicity
-from pitchline.llm.common import table
+from pitchline.llm.common import small_batches, table
 from pitchline.session import checkpoint_dir
 
+# Fewer words than op2 remembers: its workers stand beside a heap that four stages have filled.
+REMEMBERED = piece_lattice.Search(cached_characters=1_000_000)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.scored(docs, model).filter(F.col("predicted") == 0).select(*docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return perplexity.judged(docs).filter("kept").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return ngram_join.deduplicated(docs)
 
 
@@ -31,7 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return piece_lattice.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), drop=("text",))
+    small_batches(spark)
+    return piece_lattice.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), search=REMEMBERED, drop=("text",))
 
 
 STAGES = [

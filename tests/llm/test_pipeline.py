@@ -1,7 +1,9 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from pitchline.llm import mixing, piece_lattice, toxicity
+from pitchline.llm import mixing, ngram_join, piece_lattice, toxicity
 from pitchline.llm.common import table
 from pitchline.session import checkpoint_dir
 from tests.llm.test_language_models import plain_rules
@@ -46,3 +48,22 @@ def piece_lattice_file():
 def test_run_gives_the_same_rows_again(spark):
     first, second = (sorted((r["doc_id"], tuple(r["ids"])) for r in corpus_pipeline.run(spark, SF).collect()) for _ in range(2))
     assert first == second and first
+
+
+def test_rows_go_to_python_in_small_batches(spark, monkeypatch):
+    """Few rows, but long ones: a batch is closed by its bytes."""
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["n"])
+
+    seen = lambda docs, *a, **k: docs.mapInArrow(sizes, "n long")
+    monkeypatch.setattr(piece_lattice, "encoded", seen)
+    monkeypatch.setattr(ngram_join, "deduplicated", seen)
+    docs = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("word "), 100_000).alias("text"))  # 30 MB
+    for stage in (corpus_pipeline.encode_pieces, corpus_pipeline.drop_near_duplicates):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        found = [r["n"] for r in stage(spark, docs, SF).collect()]
+        assert len(found) >= 5 and max(found) <= 8 << 20 and sum(found) >= 30_000_000
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
