@@ -132,6 +132,17 @@ def test_slice_numbers_follow_the_order(spark):
         assert got == sorted(got) and got[0] == 0 and n * 0.8 < len(set(got)) <= n and max(got) <= n - 1
 
 
+def test_cuts_stand_once_in_each_branch(skewed, spark):
+    """The search of a slice adds no copy of the subquery per step: plans stay small however many slices there are."""
+    spark.conf.set(SLICES_CONF, 100)
+    try:
+        tagged = sliced_by(skewed, ["day", "id"])
+        assert tagged.columns == [*skewed.columns, SLICE]
+        assert tagged._jdf.queryExecution().optimizedPlan().toString().count("scalar-subquery#") == 1
+    finally:
+        spark.conf.unset(SLICES_CONF)
+
+
 def test_recent_counted_rows_by_brute_force(skewed, slices):
     known = F.col("opt").isNotNull()
     specs = [Recent("a3", F.col("v"), 3, where=known), Recent("l2", F.col("v"), 2, "list", where=known), Total("n", F.when(known, 1), "count")]
