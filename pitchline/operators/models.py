@@ -46,6 +46,11 @@ def fit(train: DataFrame, stages: Sequence, clf) -> PipelineModel:
     return Pipeline(stages=[*stages, clf]).fit(train)
 
 
+def fitted(train: DataFrame, stages: Sequence) -> list:
+    """The stages as fitted on these rows: models that learn from the same rows share them."""
+    return list(Pipeline(stages=list(stages)).fit(train).stages)
+
+
 def score(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ("match_id",)) -> DataFrame:
     """keep columns, label, p1 and the predicted class."""
     out = model.transform(df)
@@ -79,9 +84,15 @@ def train_and_test_metrics(models: Mapping[str, PipelineModel], train: DataFrame
     return fit_gaps(m.groupBy("model").agg(*[pick(s, c) for s in ("train", "test") for c in ("accuracy", "f1", "log_loss")]))
 
 
-def out_of_fold(df: DataFrame, stages: Sequence, clf, k: int, fold: str = "fold") -> DataFrame:
-    """Every row scored by a model that never saw its fold."""
-    parts = [score(fit(df.filter(F.col(fold) != i), stages, clf), df.filter(F.col(fold) == i), ("match_id", fold)) for i in range(k)]
+def fold_encoders(df: DataFrame, stages: Sequence, k: int, fold: str = "fold") -> list[list]:
+    """The stages per fold, as fitted on all rows outside it."""
+    return [fitted(df.filter(F.col(fold) != i), stages) for i in range(k)]
+
+
+def out_of_fold(df: DataFrame, stages: Sequence, clf, k: int, fold: str = "fold", encoders: Sequence[Sequence] | None = None) -> DataFrame:
+    """Every row scored by a model that never saw its fold; ``encoders`` are its ``fold_encoders`` where several models share them."""
+    own = encoders or [stages] * k
+    parts = [score(fit(df.filter(F.col(fold) != i), own[i], clf), df.filter(F.col(fold) == i), ("match_id", fold)) for i in range(k)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -103,16 +114,18 @@ def with_base_scores(df: DataFrame, scores: Mapping[str, DataFrame]) -> DataFram
 
 def stack(train: DataFrame, stages: Sequence, bases: Mapping[str, object], k: int, meta_columns: Sequence[str]) -> Stacked:
     """Meta model learns from out-of-fold scores; bases are then refitted on all rows."""
-    oof = {n: out_of_fold(train, stages, clf, k) for n, clf in bases.items()}
+    encoders, whole = fold_encoders(train, stages, k), fitted(train, stages)
+    oof = {n: out_of_fold(train, stages, clf, k, encoders=encoders) for n, clf in bases.items()}
     frame = with_base_scores(train, oof)
     inputs = VectorAssembler(inputCols=[*[f"base_{n}" for n in bases], *meta_columns], outputCol="features", handleInvalid="keep")
     meta = fit(frame.fillna(0.0, list(meta_columns)), [inputs], learner("logistic"))
-    return Stacked({n: fit(train, stages, clf) for n, clf in bases.items()}, meta)
+    return Stacked({n: fit(train, whole, clf) for n, clf in bases.items()}, meta)
 
 
 def seed_average(train: DataFrame, df: DataFrame, stages: Sequence, kind: str, seeds: Sequence[int], **params) -> DataFrame:
     """Mean probability over models that differ by seed only."""
-    parts = [score(fit(train, stages, learner(kind, s, **params)), df) for s in seeds]
+    whole = fitted(train, stages)
+    parts = [score(fit(train, whole, learner(kind, s, **params)), df) for s in seeds]
     mean = reduce(DataFrame.unionByName, parts).groupBy("match_id", LABEL).agg(F.avg("p1").alias("p1"))
     return mean.withColumn("pred", (F.col("p1") >= 0.5).cast("int"))
 

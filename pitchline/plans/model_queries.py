@@ -53,7 +53,8 @@ def stages():
 
 def _report(t: Tables, **models):
     train, test = splits(t)
-    fitted = {n: M.fit(train, stages(), clf) for n, clf in models.items()}
+    whole = M.fitted(train, stages())
+    fitted = {n: M.fit(train, whole, clf) for n, clf in models.items()}
     out = M.train_and_test_metrics(fitted, train, test)
     return rounded(out, *[c for c in out.columns if c != "model"])
 
@@ -258,7 +259,8 @@ def mod9(t: Tables):
 @query("mod10_winner_selection")
 def mod10(t: Tables):
     train, test = splits(t)
-    fitted = {n: M.fit(train, stages(), clf) for n, clf in (("l2", M.learner("logistic")), ("forest", M.learner("forest")))}
+    whole = M.fitted(train, stages())
+    fitted = {n: M.fit(train, whole, clf) for n, clf in (("l2", M.learner("logistic")), ("forest", M.learner("forest")))}
     return M.choose(_rounded_all(M.train_and_test_metrics(fitted, train, test)), "generalization", max_gap=0.2)
 
 

@@ -107,6 +107,20 @@ def test_encoders_are_fitted_once_per_fold(tables, monkeypatch):
     assert len(fits) == 3 and [share for share, _, _ in trace] == [0.25] * 3 + [0.5]
 
 
+def test_models_on_the_same_rows_share_encoders(tables, monkeypatch):
+    train, test = splits(tables)
+    apart = [M.score(M.fit(train, stages(), M.learner("forest", s, numTrees=3)), test).select("match_id", "p1") for s in (1, 2)]
+    want = {r.match_id: r.p1 for r in apart[0].unionAll(apart[1]).groupBy("match_id").agg(F.avg("p1").alias("p1")).collect()}
+    fits = []
+    old = EN.MostFrequentFill._fit
+    monkeypatch.setattr(EN.MostFrequentFill, "_fit", lambda self, df: fits.append(1) or old(self, df))
+    got = M.seed_average(train, test, stages(), "forest", [1, 2], numTrees=3).collect()
+    assert len(fits) == 1 and len(got) == len(want) and all(abs(r.p1 - want[r.match_id]) < 1e-9 for r in got)
+    fits.clear()
+    M.stack(train, stages(), {"a": M.learner("logistic"), "b": M.learner("logistic", regParam=0.1)}, 3, ["team1_form"])
+    assert len(fits) == 4  # three folds, and all rows
+
+
 def test_search_on_folds_equals_fitting_whole_pipelines(tables):
     from pyspark.ml import Pipeline
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
