@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchline.operators.ordered import (
-    SLICE, SLICES_CONF, Latest, Recent, Total, exact_median, exact_quantiles, history_context, modes, positions, sliced_by, slices_of, top_n,
+    SLICE, SLICES_CONF, _slices_joined, Latest, Recent, Total, exact_median, exact_quantiles, history_context, long_keys, modes, positions, sliced_by, slices_of, top_n,
     with_history,
 )
 
@@ -143,6 +143,24 @@ def test_cuts_stand_once_in_each_branch(skewed, spark):
         spark.conf.unset(SLICES_CONF)
 
 
+def test_only_long_keys_are_cut(spark, slices):
+    """Each row in as few slices as its key needs, and every result as with plain windows, unknown keys included."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 100 != 1, F.concat(F.lit("k"), F.col("id") % 700)).alias("k"),
+        (F.col("id") * 7 % 1009).alias("day"), "id", (F.col("id") % 51).alias("v"), F.when(F.col("id") % 4 == 0, F.col("id")).alias("opt"))
+    long = long_keys(rows, ["k"], 300)
+    assert [(r["_k_k"], r["_parts"]) for r in long.collect()] == [("hot", 4)]
+    got = with_history(rows, ["k"], ["day", "id"], SPECS(), long=long)
+    want = brute(rows.collect())
+    found = got.collect()
+    assert len(found) == len(want) == 3000
+    for r in found:
+        w = want[r.id]
+        assert (r.n, r.s, r.hi, r.s_in, r.prev, r.sum3, r.l4, r.opt_before) == (w[0], w[1], w[2], w[3], w[5], w[6], w[7], w[8])
+    cut = _slices_joined(sliced_by(rows, ["day", "id"]), ["k"], long).groupBy("k").agg(F.countDistinct(SLICE).alias("n")).collect()
+    assert {r.n for r in cut if r.k != "hot"} == {1} and {r.n for r in cut if r.k == "hot"} == {min(slices, 4)}
+
+
 def test_recent_counted_rows_by_brute_force(skewed, slices):
     known = F.col("opt").isNotNull()
     specs = [Recent("a3", F.col("v"), 3, where=known), Recent("l2", F.col("v"), 2, "list", where=known), Total("n", F.when(known, 1), "count")]
